@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -13,8 +14,9 @@ def ship(spark) -> None:
     if getattr(sc, "_vellum_shipped", False):
         return
     here = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as tmp:
-        stage = Path(tmp, "stage")
-        shutil.copytree(here, stage / here.name, ignore=shutil.ignore_patterns("__pycache__"))
-        sc.addPyFile(shutil.make_archive(str(Path(tmp, "vellum_package")), "zip", stage))
+    tmp = tempfile.mkdtemp()  # the driver serves the file from here as long as it runs
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    stage = Path(tmp, "stage")
+    shutil.copytree(here, stage / here.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(Path(tmp, "vellum_package")), "zip", stage))
     sc._vellum_shipped = True

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import mixing, near_dedup, packing, secret_scan, token_files
+from vellum.llm import ann, embed_dedup, mixing, near_dedup, packing, secret_scan, token_files
 from vellum.llm.scratch import table
 from vellum.llm.tokens import tokenizer_path
 
@@ -21,13 +22,21 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_near_dedup, op5_packing, op8_mixing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_near_dedup, op5_packing, op6_ann, op8_mixing, op9_embed_dedup, op10_secret_scan)}
 ORACLES: dict[str, str] = {}

@@ -1,29 +1,39 @@
 """Exact, memoised encoding with the ``tokenizers`` library.
 
-A byte-pair tokenizer splits a text before merging, and no merge crosses such
-a split.  So a text may be cut at places where the splitter always cuts, each
-distinct chunk is encoded once by the library, and a text's ids are its
-chunks' ids joined.  The memo is bounded: it is emptied when full.
+A byte-pair tokenizer splits a text into pieces before merging, and no merge
+crosses a split.  So each distinct piece is encoded once by the library, and a
+text's ids are its pieces' ids joined.  Plain prose is cut by byte operations
+where the splitter is known to cut; any other text by the splitter's own
+pattern.  The memo is bounded: it is emptied when full.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import string
 import sys
 from array import array
-from collections.abc import Iterable
+
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_ENTRIES = 1_200_000
-#: Longer chunks are encoded but not kept.
-MEMO_CHUNK = 64
+MEMO_ENTRIES = 1_500_000
+#: Longer pieces are encoded but not kept.
+MEMO_PIECE = 64
+
+# The splitters' patterns as their tokenizer files state them.
+_WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SPACE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Up to U+012F composition and case don't depend on neighbours, unless marks follow.
+_BEYOND = re.compile("[^\\x00-į]")
 
-#: White space other than the plain space and line feed, in str.
-_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-#: Between a non-space and one space before a non-space.
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of plain prose: ASCII letters, digits, space, line feed, full stop, comma, and letters U+00C0 to U+00FF.
+_PLAIN = (string.ascii_letters + string.digits + " \n.,").encode() + bytes(range(0x80, 0xC0)) + b"\xc3"
+_RUNS = (b"..", b".,", b",.", b",,", b" .", b" ,", b"\xc3\x97", b"\xc3\xb7")
+_SPACES = (b"  ", b" \n", b"\n ", b"\n\n")
 
 
 def _little(ids: list[int]) -> bytes:
@@ -33,8 +43,13 @@ def _little(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
+def _plain(text: bytes) -> bool:
+    """Only plain prose, and no stop or comma next to one another, after a space, or after a sign."""
+    return not text.translate(None, _PLAIN) and not any(x in text for x in _RUNS)
+
+
 class Encoder:
-    """``encode(texts)`` yields each text's ids as little-endian uint32 bytes."""
+    """``encode(text)`` gives the ids of UTF-8 bytes as little-endian uint32 bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,67 +58,84 @@ class Encoder:
         self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self._tok.no_padding()
         self._tok.no_truncation()
-        self._memo: dict = {}
+        self._memo: dict[bytes | str, bytes] = {}
 
-    def _chunks(self, text: bytes) -> list:
-        raise NotImplementedError
-
-    def _as_text(self, chunk) -> str:
+    def _split(self, text: bytes) -> list:
+        """Chunks of plain prose (bytes) or pieces (str) that the library encodes alone as it does within the text."""
         raise NotImplementedError
 
     def encode(self, text: bytes) -> bytes:
-        chunks = self._chunks(text)
+        pieces = self._split(text)
         memo = self._memo
         try:
-            return b"".join(map(memo.__getitem__, chunks))
+            return b"".join(map(memo.__getitem__, pieces))
         except KeyError:
             pass
-        missing = [c for c in set(chunks) if c not in memo]
-        fresh = dict(zip(missing, self._library(missing), strict=True))
-        out = b"".join([memo[c] if c in memo else fresh[c] for c in chunks])
+        # a stop or comma after a word is a piece of its own: such chunks are put together from the memo
+        missing = [c for c in set(pieces) if c not in memo]
+        parts = {c: (c[:-1], c[-1:]) if isinstance(c, bytes) and len(c) > 1 and c[-1] in b".," else (c,) for c in missing}
+        wanted = [c for c in {x for p in parts.values() for x in p} if c not in memo]
+        fresh = dict(zip(wanted, self._library([c if isinstance(c, str) else c.decode("utf-8", "replace") for c in wanted]), strict=True))
+        for c, p in parts.items():
+            if len(p) == 2:
+                fresh[c] = (fresh.get(p[0]) or memo[p[0]]) + (fresh.get(p[1]) or memo[p[1]])
+        out = b"".join([memo[c] if c in memo else fresh[c] for c in pieces])
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
-        memo.update((c, v) for c, v in fresh.items() if len(c) <= MEMO_CHUNK)
+        memo.update(fresh if max(map(len, fresh)) <= MEMO_PIECE else {c: v for c, v in fresh.items() if len(c) <= MEMO_PIECE})
         return out
 
-    def _library(self, chunks: list) -> Iterable[bytes]:
-        for i in range(0, len(chunks), 4096):
-            part = [self._as_text(c) for c in chunks[i : i + 4096]]
-            for e in self._tok.encode_batch_fast(part, add_special_tokens=False):
-                yield _little(e.ids)
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 4096):
+            out += [_little(e.ids) for e in self._tok.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
+        return out
 
 
 class WordEncoder(Encoder):
-    """For splitters that drop white space: ASCII white space always separates."""
+    """For the lower-casing splitter that drops white space."""
 
-    def _chunks(self, text: bytes) -> list:
-        return text.split()
-
-    def _as_text(self, chunk) -> str:
-        return chunk.decode("utf-8", "replace")
+    def __init__(self, path: str):
+        super().__init__(path)
+        vocab = self._tok.get_vocab()
+        self._ends = bytearray(max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            self._ends[i] = token.endswith("</w>")
+
+    def _split(self, text: bytes) -> list:
+        if _plain(text):
+            return text.lower().split()
+        s = text.decode("utf-8", "replace")
+        if _BEYOND.search(s):
+            return s.encode().split()  # white space always separates
+        return _WORD_PIECES.findall(s.lower())
+
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        """Words go in together, 100 to a call; each ends with the one id that ends a word."""
+        words = [k for k, p in enumerate(pieces) if p.isalpha()]
+        out: list = [None] * len(pieces)
+        for i in range(0, len(words), 100):
+            part = words[i : i + 100]
+            ids = self._tok.encode(" ".join([pieces[k] for k in part]), add_special_tokens=False).ids
+            ends = [k + 1 for k, x in enumerate(ids) if self._ends[x]]
+            if len(ends) == len(part):
+                flat, a = _little(ids), 0
+                for k, b in zip(part, ends, strict=True):
+                    out[k] = flat[4 * a : 4 * b]
+                    a = b
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, super()._library([pieces[k] for k in rest]), strict=True):
+            out[k] = x
+        return out
 
 
 class SpaceEncoder(Encoder):
-    """For byte-level splitters whose words take the one space before them.
-
-    One space between two non-spaces always begins a new piece; texts with
-    other white space are cut by the slower expression.
-    """
-
-    def _chunks(self, text: bytes) -> list:
-        s = text.decode("utf-8", "replace")
-        if not s:
-            return []
-        if "  " in s or " \n" in s or "\n " in s or s[0] == " " or s[-1] == " " or _OTHER_SPACE.search(s):
-            parts = _INNER_SPACE.split(s)
-        else:
-            parts = s.split(" ")
-        first = ("", parts[0])  # has no space before it
-        parts[0] = first
-        return parts
+    """For the byte-level splitter whose words take the one space before them."""
 
-    def _as_text(self, chunk) -> str:
-        return chunk[1] if isinstance(chunk, tuple) else " " + chunk
+    def _split(self, text: bytes) -> list:
+        if text and _plain(text) and not any(x in text for x in _SPACES) and text[0] not in b" .,\n" and text[-1] not in b" \n":
+            return text.replace(b" ", b"\1 ").replace(b"\n", b"\1\n\1").split(b"\1")
+        return _SPACE_PIECES.findall(text.decode("utf-8", "replace"))
 
 
 _CACHE: dict[tuple[type, str], Encoder] = {}
@@ -114,6 +146,7 @@ def encoder(kind: type[Encoder], path: str) -> Encoder:
     key = (kind, path)
     if key not in _CACHE:
         _CACHE[key] = kind(path)
+        gc.freeze()
     return _CACHE[key]
 
 

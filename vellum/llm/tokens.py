@@ -67,24 +67,26 @@ class Encoder:
     def encode(self, text: bytes) -> bytes:
         pieces = self._split(text)
         memo = self._memo
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            pass
-        # a stop or comma after a word is a piece of its own: such chunks are put together from the memo
-        missing = [c for c in set(pieces) if c not in memo]
-        parts = {c: (c[:-1], c[-1:]) if isinstance(c, bytes) and len(c) > 1 and c[-1] in b".," else (c,) for c in missing}
-        wanted = [c for c in {x for p in parts.values() for x in p} if c not in memo]
-        fresh = dict(zip(wanted, self._library([c if isinstance(c, str) else c.decode("utf-8", "replace") for c in wanted]), strict=True))
-        for c, p in parts.items():
-            if len(p) == 2:
-                fresh[c] = (fresh.get(p[0]) or memo[p[0]]) + (fresh.get(p[1]) or memo[p[1]])
-        out = b"".join([memo[c] if c in memo else fresh[c] for c in pieces])
+        missing = set(pieces).difference(memo)
+        if missing:
+            self._learn(missing)
+        out = b"".join(map(memo.__getitem__, pieces))
+        if missing and max(map(len, missing)) > MEMO_PIECE:
+            for c in missing:
+                if len(c) > MEMO_PIECE:
+                    del memo[c]
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
-        memo.update(fresh if max(map(len, fresh)) <= MEMO_PIECE else {c: v for c, v in fresh.items() if len(c) <= MEMO_PIECE})
         return out
 
+    def _learn(self, missing: set) -> None:
+        """A stop or comma after a word is a piece of its own: such chunks are put together from the memo."""
+        memo = self._memo
+        ends = [c for c in missing if c[-1:] in (b".", b",") and len(c) > 1]
+        wanted = list(missing.difference(ends).union({c[:-1] for c in ends}, {c[-1:] for c in ends}).difference(memo))
+        memo.update(zip(wanted, self._library([c if isinstance(c, str) else c.decode("utf-8", "replace") for c in wanted]), strict=True))
+        memo.update([(c, memo[c[:-1]] + memo[c[-1:]]) for c in ends])
+
     def _library(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(pieces), 4096):

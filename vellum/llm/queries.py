@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import ann, embed_dedup, mixing, near_dedup, packing, secret_scan, token_files
+from vellum.llm import ann, embed_dedup, html_extract, mixing, near_dedup, packing, secret_scan, token_files, toxicity
 from vellum.llm.scratch import table
 from vellum.llm.tokens import tokenizer_path
 
@@ -14,10 +14,19 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -38,5 +47,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_near_dedup, op5_packing, op6_ann, op8_mixing, op9_embed_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_near_dedup, op4_html_extract, op5_packing, op6_ann, op8_mixing, op9_embed_dedup, op10_secret_scan)}
 ORACLES: dict[str, str] = {}

@@ -1 +1,3 @@
+"""Query modules; importing this package registers them all."""
 
+from vellum.plans import layout_queries, page_queries, registry, text_queries  # noqa: F401

@@ -58,7 +58,7 @@ def _codes(kind: str, dim: int, top: float, lift: bool, probes: int, query: bool
     return run
 
 
-def _score(kind: str, keep: int, probes: int):
+def _score(kind: str, keep: int, dim: int, probes: int):
     """Best ``keep`` candidates of each query in one block; with codes, only those this table gives first."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -68,9 +68,10 @@ def _score(kind: str, keep: int, probes: int):
             x = matrix([*q["vec"], *c["vec"]], kind)
             a, b = x[: len(q)], x[len(q) :]
             code = int(rows["code"].iloc[0])
-            table = 0 if code < 0 else code // int(rows["span"].iloc[0])
+            table = 0 if code < 0 else code // (2 * dim)
             if table:
-                qc = np.stack(q["codes"].to_numpy())[:, : table * probes].reshape(len(q), table, probes)
+                unit = a / np.linalg.norm(a, axis=1, keepdims=True)
+                qc = np.stack([t * 2 * dim + axes(unit, t, dim, probes) for t in range(table)], axis=1)
                 cc = np.stack(c["codes"].to_numpy())[:, :table]
             rough = a @ b.T
             ids, owners = c["rep"].to_numpy(), q["rep"].to_numpy()
@@ -87,7 +88,7 @@ def _score(kind: str, keep: int, probes: int):
     return run
 
 
-def _blocks(cands: DataFrame, queries: DataFrame, span: int, scratch: Scratch, name: str) -> DataFrame:
+def _blocks(cands: DataFrame, queries: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Rows of one code, dealt to a grid of candidate blocks by query blocks."""
     count = lambda df, n: df.groupBy("code").agg(F.count("*").alias(n))
     sizes = scratch.write(count(cands, "nc").join(count(queries, "nq"), "code"), f"{name}-sizes")
@@ -96,7 +97,7 @@ def _blocks(cands: DataFrame, queries: DataFrame, span: int, scratch: Scratch, n
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = cands.join(grid, "code").select("code", "rep", block("nc", 1).alias("i"), every("nq").alias("j"), F.lit(0).alias("side"))
     right = queries.join(grid, "code").select("code", "rep", every("nc").alias("i"), block("nq", 2).alias("j"), F.lit(1).alias("side"))
-    return left.union(right).withColumn("span", F.lit(span))
+    return left.union(right)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -117,17 +118,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     low, top, longest = measured.agg(F.min("norm"), F.max("norm"), F.max("size")).first()
     lift = bool(top) and (low / top) ** 2 < 1 - 1e-6
     dim = power_of_two((longest or size) // size + int(lift))
-    span, probes = 2 * dim, min(PROBES, 2 * dim)
+    probes = min(PROBES, 2 * dim)
     shape = "rep long, vec binary, codes array<int>"
     filed = scratch.write(classes.select("rep", "vec").mapInArrow(_codes(kind, dim, top or 1.0, lift, 1, False), shape), "filed")
     ask = classes.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "vec")
     ask = scratch.write(ask.mapInArrow(_codes(kind, dim, top or 1.0, lift, probes, True), shape), "ask")
 
     def search(cands: DataFrame, queries: DataFrame, name: str) -> DataFrame:
-        dealt = _blocks(cands, queries, span, scratch, name)
-        both = filed.select("rep", "vec", "codes", F.lit(0).alias("side")).union(ask.select("rep", "vec", "codes", F.lit(1).alias("side")))
+        dealt = _blocks(cands, queries, scratch, name)
+        both = filed.select("rep", "vec", "codes", F.lit(0).alias("side")).union(ask.select("rep", "vec", F.lit(None).cast("array<int>").alias("codes"), F.lit(1).alias("side")))
         full = dealt.join(both, ["rep", "side"]).repartition(partitions(spark), "code", "i", "j")
-        found = full.groupBy("code", "i", "j").applyInPandas(_score(kind, k + 1, probes), "rep long, found long, score double")
+        found = full.groupBy("code", "i", "j").applyInPandas(_score(kind, k + 1, dim, probes), "rep long, found long, score double")
         best = Window.partitionBy("rep").orderBy(F.desc("score"), "found")
         return scratch.write(found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r"), name)
 

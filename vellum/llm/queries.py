@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import ann, embed_dedup, html_extract, mixing, near_dedup, packing, secret_scan, token_files, toxicity
+from vellum.llm import ann, embed_dedup, html_extract, licenses, mixing, near_dedup, packing, secret_scan, token_files, toxicity
 from vellum.llm.scratch import table
 from vellum.llm.tokens import tokenizer_path
 
@@ -35,6 +35,10 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.notices(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,5 +51,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_near_dedup, op4_html_extract, op5_packing, op6_ann, op8_mixing, op9_embed_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_near_dedup, op4_html_extract, op5_packing, op6_ann, op7_licenses, op8_mixing, op9_embed_dedup, op10_secret_scan)}
 ORACLES: dict[str, str] = {}

@@ -19,6 +19,7 @@ def decided(requests: DataFrame, width: str, limit: int) -> DataFrame:
 
 def counted(requests: DataFrame, width: str, limit: int, late: str = "10 minutes") -> DataFrame:
     """(start, client, n, rejected) of each window; works on streams, late data up to ``late``."""
+    requests = requests.withColumn("ts", F.col("ts").cast("timestamp"))
     rows = requests.withWatermark("ts", late) if requests.isStreaming else requests
     g = rows.groupBy(F.window("ts", width).alias("w"), "client").agg(F.count("*").alias("n"))
     return g.select(F.col("w.start").alias("start"), "client", "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("rejected"))

@@ -187,7 +187,7 @@ class Model:
         best = self.entry(core) if core.isalpha() else max((self.entry(p) for p in _NOT_LETTERS.split(core) if p), default=(0.0, ""))
         if best[0] or not self.lexicon:
             return best
-        for form in dict.fromkeys((core, token)):
+        for form in dict.fromkeys((core, token, token.rstrip(_EDGES), token.lstrip(_EDGES))):
             inner = "*" in form.strip("*")
             if len(form) > 2 and (not form.isalpha() or _TWICE.search(form) or not form.isascii()) and (self._reaches(skeleton(form)) or inner and len(form) < 40 and self._starred(form)):
                 best = max(best, self.entry(decode(form, self.cost)))

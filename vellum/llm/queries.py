@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import ann, embed_dedup, html_extract, licenses, mixing, near_dedup, packing, secret_scan, token_files, toxicity
+from vellum.llm import ann, embed_dedup, html_extract, licenses, mixing, near_dedup, oracles, packing, secret_scan, token_files, toxicity
 from vellum.llm.scratch import table
 from vellum.llm.tokens import tokenizer_path
 
@@ -52,4 +52,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_near_dedup, op4_html_extract, op5_packing, op6_ann, op7_licenses, op8_mixing, op9_embed_dedup, op10_secret_scan)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES

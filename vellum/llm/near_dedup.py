@@ -13,16 +13,18 @@ words), held as 64-bit hashes.  Documents are linked from similarity 0.75.
    sets agree in a register with probability equal to their similarity, small
    sets too.
 3. Banding.  Bands of ``ROWS`` compressed registers are bucket keys.
-4. Stars.  In each bucket every member is paired with one leader only.  Pairs
-   pass a Jaccard estimate corrected for register collisions (a pair must fall
-   more than six deviations short to be dropped) and are confirmed on the full
-   sets.  Members not yet connected with their leader get other leaders, for
-   ``STAR_ROUNDS`` rounds.
-5. The rest.  What is still unconnected in a bucket is compared completely, in
-   bounded block pairs that emit only pairs whose estimate passes, and
-   confirmed as before.
-
-So groups of thousands of near copies cost edges linear in their size, and no
+4. Stars.  In each bucket every member is paired with one leader only: the one
+   whose buckets hold most members, so the centre of a group of near copies.
+   Pairs pass a Jaccard estimate corrected for register collisions (a pair must
+   fall more than six deviations short to be dropped) and are confirmed on the
+   full sets.
+5. The rest.  In buckets whose members are not all connected by then, members
+   outside the bucket's main component are compared with all others of other
+   components: in bounded block pairs, each pair at its first shared band only,
+   by estimate and then on full sets.  A task skips pairs that it has already
+   connected and emits links, never candidates.
+
+So a group of thousands of near copies costs edges linear in its size, and no
 link is lost to a bucket's size.  Components come from ``graph.components``.
 
 Defined results: null, empty and white-space texts have n_shingles 0 and link
@@ -36,12 +38,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.blocks import dealt
+from vellum.llm.blocks import runs
 from vellum.llm.graph import components
 from vellum.llm.scratch import Scratch, partitions
 
@@ -51,7 +52,6 @@ SIMILARITY = (75, 100)
 BUCKETS = 128
 ROWS = 4
 MANTISSA = 10
-STAR_ROUNDS = 3
 BLOCK = 256
 
 _U = np.uint64
@@ -156,16 +156,19 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(seq, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "sequence", "registers"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """64-bit bucket keys of register rows, one a band."""
     bands = BUCKETS // ROWS
     salt = _mix(np.arange(1, bands + 1, dtype=_U) * _GOLD)
+    packed = (registers.reshape(-1, bands, ROWS).astype(_U) << (np.arange(ROWS, dtype=_U) * _U(16))).sum(axis=2, dtype=_U)
+    return _mix(_mix(packed + salt) ^ salt).view(np.int64)
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u2").reshape(-1, bands, ROWS)
-        packed = (regs.astype(_U) << (np.arange(ROWS, dtype=_U) * _U(16))).sum(axis=2, dtype=_U)
-        keys = _mix(_mix(packed + salt) ^ salt).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc_id").to_numpy(), bands)), pa.array(keys.ravel())], names=["doc_id", "key"])
+        if batch.num_rows:
+            keys = band_keys(np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u2"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc_id").to_numpy(), keys.shape[1])), pa.array(keys.ravel())], names=["doc_id", "key"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,22 +189,41 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair whose estimate passes and that are not connected yet."""
-    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    same = int(rows["i"].iloc[0]) == int(rows["j"].iloc[0])
-    right = left if same else right
-    out = []
-    if len(left) and len(right):
-        regs = [np.frombuffer(b"".join(x["registers"]), "<u2").reshape(len(x), BUCKETS) for x in (left, right)]
-        ids, comps = [x["doc_id"].to_numpy() for x in (left, right)], [x["comp"].to_numpy() for x in (left, right)]
-        cut = _cut()
-        for k in range(len(left)):
-            hit = (estimate(regs[0][k], regs[1]) >= cut) & (comps[1] != comps[0][k])
-            if same:
-                hit[: k + 1] = False
-            out += [(ids[0][k], x) for x in ids[1][hit]]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components of one bucket's block pair: side 0 holds members outside its main component, side 1 any."""
+    cut = _cut()
+    for rows, bounds in runs(batches, ("key", "i", "j")):
+        regs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), "<u2").reshape(-1, BUCKETS)
+        doc, comp, key, side, active = (rows.column(c).to_numpy() for c in ("doc_id", "comp", "key", "side", "active"))
+        sets = rows.column("shingles").combine_chunks()
+        out: list[tuple[int, int]] = []
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            left, right = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+            if not len(left) or not len(right):
+                continue
+            keys = band_keys(regs[right])
+            root: dict[int, int] = {}
+
+            def top(c: int, root: dict[int, int] = root) -> int:
+                while c in root:
+                    c = root[c]
+                return c
+
+            for x in left.tolist():
+                rough = estimate(regs[x], regs[right])
+                own = band_keys(regs[x])[0]
+                shared = keys == own
+                first = own[shared.argmax(axis=1)] == key[s]
+                maybe = (rough >= cut) & (comp[right] != comp[x]) & first & ~(active[right] & (doc[right] <= doc[x]))
+                mine = np.frombuffer(sets[x].as_py(), _U) if maybe.any() else None
+                for k in np.flatnonzero(maybe)[np.argsort(-rough[maybe], kind="stable")].tolist():
+                    y = int(right[k])
+                    a, b = top(int(comp[x])), top(int(comp[y]))
+                    if a != b and linked(mine, np.frombuffer(sets[y].as_py(), _U)):
+                        root[max(a, b)] = min(a, b)
+                        out.append((int(doc[x]), int(doc[y])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -214,47 +236,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = scratch.write(known.groupBy("sequence").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "registers")
 
-    # buckets with more than one class; each member with its bucket's first leader
+    # buckets with more than one class; each member with its bucket's leader
     bands = scratch.write(reps.mapInArrow(_bands, "doc_id long, key long").distinct(), "bands")
-    order = F.struct(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("leader"))
-    led = scratch.write(bands.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["leader"].alias("leader")).filter("n > 1").select("key", "leader"), "led")
-    members = scratch.write(bands.join(led, "key"), "members")
-    scratch.drop(bands)
+    sizes = scratch.write(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    shared = scratch.write(bands.join(sizes, "key"), "shared")
+    degree = scratch.write(shared.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degree")
+    ranked = scratch.write(shared.join(degree, "doc_id").select("key", "doc_id", "degree"), "ranked")
+    led = scratch.write(ranked.groupBy("key").agg(F.max_by("doc_id", F.struct("degree", F.xxhash64("doc_id"))).alias("leader")), "led")
+    members = scratch.write(ranked.select("key", "doc_id").join(led, "key"), "members")
+    scratch.drop(bands, shared, ranked)
 
     # full sets of those documents only
     wanted = scratch.write(members.select("doc_id").distinct(), "wanted")
     sets = rows.join(wanted, "doc_id", "left_semi").repartition(partitions(spark), "doc_id").mapInArrow(_sets, "doc_id long, shingles binary, registers binary")
     sets = scratch.write(sets.dropDuplicates(["doc_id"]), "sets")
 
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"), F.col("registers").alias(f"regs_{x}"))
-        # both joins before Python; the larger side never groups by a leader
-        pairs = scratch.write(pairs.select("a", "b").distinct(), f"{name}-pairs")
-        return scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm, "a long, b long"), name)
-
-    links = confirm(members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), "links0")
-    comps = components(links, scratch, "cc0")
-    for r in range(1, STAR_ROUNDS + 1):
-        by = scratch.write(comps, f"comps{r}")
-        own = members.join(by.withColumnsRenamed({"id": "doc_id", "component": "c"}), "doc_id", "left")
-        own = own.join(by.withColumnsRenamed({"id": "leader", "component": "lc"}), "leader", "left")
-        own = own.withColumns({"comp": F.coalesce("c", "doc_id"), "lc": F.coalesce("lc", "leader")}).filter("comp <> lc").select("key", "doc_id", "comp")
-        open_ = scratch.write(own, f"open{r}")
-        seed = F.struct(F.xxhash64("doc_id", F.lit(r)).alias("o"), F.col("doc_id").alias("leader"), F.col("comp").alias("lc"))
-        led = open_.groupBy("key").agg(F.min(seed).alias("l"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
-        led = scratch.write(led.select("key", "l.leader", "l.lc", "n"), f"led{r}")
-        if led.isEmpty():
-            break
-        if r == STAR_ROUNDS:
-            some = open_.join(led.select("key"), "key", "left_semi")
-            full = dealt(some, led.select("key", "n"), "key", F.col("doc_id"), BLOCK).join(reps, "doc_id")
-            pairs = full.groupBy("key", "i", "j").applyInPandas(_block, "a long, b long")
-        else:
-            members = scratch.write(open_.join(led.select("key", "leader", "lc"), "key").select("key", "doc_id", "leader", "comp", "lc"), f"members{r}")
-            pairs = members.filter("comp <> lc").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-            members = members.select("key", "doc_id", "leader")
-        links = links.union(confirm(pairs, f"links{r}"))
-        comps = components(links, scratch, f"cc{r}")
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"), F.col("registers").alias(f"regs_{x}"))
+    pairs = scratch.write(members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    stars = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm, "a long, b long"), "stars")
+    by = scratch.write(components(stars, scratch, "cc0"), "comps0")
+
+    # the rest: buckets whose members (but for the leader, which met them all) are in several components
+    own = members.filter("doc_id <> leader").join(by.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    own = scratch.write(own, "own")
+    mains = own.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    mains = scratch.write(mains.filter("most < n").select("key", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("ka"), F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "mains")
+    if mains.isEmpty():
+        comps = by
+    else:
+        open_ = own.join(mains, "key").withColumn("active", F.col("comp") != F.col("main"))
+        block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n).cast("long")).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        cols = ("key", "doc_id", "comp", "active")
+        some = open_.filter("active").select(*cols, block("ka").alias("i"), every("k").alias("j"), F.lit(0).alias("side"))
+        every_one = open_.select(*cols, every("ka").alias("i"), block("k").alias("j"), F.lit(1).alias("side"))
+        full = some.union(every_one).join(sets, "doc_id").repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = scratch.write(full.mapInArrow(_rest, "a long, b long"), "more")
+        comps = components(stars.union(more), scratch, "cc1")
 
     comps = comps.withColumnsRenamed({"id": "rep", "component": "component_id"})
     named = scratch.write(classes.select("sequence", "rep").join(comps, "rep", "left").select("sequence", F.coalesce("component_id", "rep").alias("component_id")), "named")

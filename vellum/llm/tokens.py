@@ -2,38 +2,35 @@
 
 A byte-pair tokenizer splits a text into pieces before merging, and no merge
 crosses a split.  So each distinct piece is encoded once by the library, and a
-text's ids are its pieces' ids joined.  Plain prose is cut by byte operations
-where the splitter is known to cut; any other text by the splitter's own
-pattern.  The memo is bounded: it is emptied when full.
+text's ids are its pieces' ids joined.  Texts are cut by byte operations at
+white space where the splitter is known to cut, and otherwise by its own
+pattern.  The memo is bounded: when full it becomes the old generation, whose
+entries are taken over as they are met again, and the one before it goes.
 """
 
 from __future__ import annotations
 
 import gc
 import os
-import re
 import string
 import sys
 from array import array
 
+import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_ENTRIES = 1_500_000
+#: Of each of two generations.
+MEMO_ENTRIES = 1_000_000
 #: Longer pieces are encoded but not kept.
 MEMO_PIECE = 64
 
-# The splitters' patterns as their tokenizer files state them.
-_WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Fixed value: the byte-level splitter's pattern as its tokenizer file states it.
 _SPACE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Up to U+012F composition and case don't depend on neighbours, unless marks follow.
-_BEYOND = re.compile("[^\\x00-į]")
-
-#: Bytes of plain prose: ASCII letters, digits, space, line feed, full stop, comma, and letters U+00C0 to U+00FF.
-_PLAIN = (string.ascii_letters + string.digits + " \n.,").encode() + bytes(range(0x80, 0xC0)) + b"\xc3"
-_RUNS = (b"..", b".,", b",.", b",,", b" .", b" ,", b"\xc3\x97", b"\xc3\xb7")
-_SPACES = (b"  ", b" \n", b"\n ", b"\n\n")
+#: White space that is not a single space or line feed between other characters, in UTF-8.
+_SPACES = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_ALNUM = frozenset((string.ascii_letters + string.digits).encode())
 
 
 def _little(ids: list[int]) -> bytes:
@@ -43,11 +40,6 @@ def _little(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-def _plain(text: bytes) -> bool:
-    """Only plain prose, and no stop or comma next to one another, after a space, or after a sign."""
-    return not text.translate(None, _PLAIN) and not any(x in text for x in _RUNS)
-
-
 class Encoder:
     """``encode(text)`` gives the ids of UTF-8 bytes as little-endian uint32 bytes."""
 
@@ -59,9 +51,10 @@ class Encoder:
         self._tok.no_padding()
         self._tok.no_truncation()
         self._memo: dict[bytes | str, bytes] = {}
+        self._old: dict[bytes | str, bytes] = {}
 
     def _split(self, text: bytes) -> list:
-        """Chunks of plain prose (bytes) or pieces (str) that the library encodes alone as it does within the text."""
+        """Chunks (bytes) or pieces (str) that the library encodes alone as it does within the text."""
         raise NotImplementedError
 
     def encode(self, text: bytes) -> bytes:
@@ -74,15 +67,19 @@ class Encoder:
         if missing and max(map(len, missing)) > MEMO_PIECE:
             for c in missing:
                 if len(c) > MEMO_PIECE:
-                    del memo[c]
+                    memo.pop(c, None)
         if len(memo) > MEMO_ENTRIES:
-            memo.clear()
+            self._old, self._memo = memo, {}
         return out
 
     def _learn(self, missing: set) -> None:
         """A stop or comma after a word is a piece of its own: such chunks are put together from the memo."""
-        memo = self._memo
-        ends = [c for c in missing if c[-1:] in (b".", b",") and len(c) > 1]
+        memo, old = self._memo, self._old
+        if old:
+            back = [c for c in missing if c in old]
+            memo.update([(c, old[c]) for c in back])
+            missing = missing.difference(back)
+        ends = [c for c in missing if c[-1:] in (b".", b",") and len(c) > 1 and c[-2] in _ALNUM]
         wanted = list(missing.difference(ends).union({c[:-1] for c in ends}, {c[-1:] for c in ends}).difference(memo))
         memo.update(zip(wanted, self._library([c if isinstance(c, str) else c.decode("utf-8", "replace") for c in wanted]), strict=True))
         memo.update([(c, memo[c[:-1]] + memo[c[-1:]]) for c in ends])
@@ -105,12 +102,8 @@ class WordEncoder(Encoder):
             self._ends[i] = token.endswith("</w>")
 
     def _split(self, text: bytes) -> list:
-        if _plain(text):
-            return text.lower().split()
-        s = text.decode("utf-8", "replace")
-        if _BEYOND.search(s):
-            return s.encode().split()  # white space always separates
-        return _WORD_PIECES.findall(s.lower())
+        # white space always separates; ASCII case can go first unless a mark may compose with the letter
+        return (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
 
     def _library(self, pieces: list[str]) -> list[bytes]:
         """Words go in together, 100 to a call; each ends with the one id that ends a word."""
@@ -118,7 +111,7 @@ class WordEncoder(Encoder):
         out: list = [None] * len(pieces)
         for i in range(0, len(words), 100):
             part = words[i : i + 100]
-            ids = self._tok.encode(" ".join([pieces[k] for k in part]), add_special_tokens=False).ids
+            ids = self._tok.encode_batch_fast([" ".join([pieces[k] for k in part])], add_special_tokens=False)[0].ids
             ends = [k + 1 for k, x in enumerate(ids) if self._ends[x]]
             if len(ends) == len(part):
                 flat, a = _little(ids), 0
@@ -134,11 +127,40 @@ class WordEncoder(Encoder):
 class SpaceEncoder(Encoder):
     """For the byte-level splitter whose words take the one space before them."""
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        vocab = self._tok.get_vocab()
+        # a sign of the byte alphabet stands for one byte
+        self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self._bytes[i] = len(token)
+
     def _split(self, text: bytes) -> list:
-        if text and _plain(text) and not any(x in text for x in _SPACES) and text[0] not in b" .,\n" and text[-1] not in b" \n":
-            return text.replace(b" ", b"\1 ").replace(b"\n", b"\1\n\1").split(b"\1")
+        # one space, or one line feed, between other characters always begins a piece
+        if text and not any(x in text for x in _SPACES) and text[0] not in b" \n" and text[-1] not in b" \n":
+            return text.replace(b" ", b"\xff ").replace(b"\n", b"\xff\n\xff").split(b"\xff")
         return _SPACE_PIECES.findall(text.decode("utf-8", "replace"))
 
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        """Words that begin with their space go in together, 100 to a call; byte lengths tell whose ids are whose."""
+        words = [k for k, p in enumerate(pieces) if p[:1] == " " and p[1:].isalpha()]
+        out: list = [None] * len(pieces)
+        for i in range(0, len(words), 100):
+            part = [pieces[k] for k in words[i : i + 100]]
+            ids = np.array(self._tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.cumsum([len(p.encode()) for p in part])
+            ends = np.cumsum(self._bytes[ids])
+            at = np.searchsorted(ends, stops) + 1
+            if len(ids) == at[-1] and (ends[at - 1] == stops).all():
+                flat, a = ids.tobytes(), 0
+                for k, b in zip(words[i : i + 100], (4 * at).tolist(), strict=True):
+                    out[k] = flat[a:b]
+                    a = b
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, super()._library([pieces[k] for k in rest]), strict=True):
+            out[k] = x
+        return out
+
 
 _CACHE: dict[tuple[type, str], Encoder] = {}
 

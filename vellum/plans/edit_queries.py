@@ -147,10 +147,10 @@ def edit_kinds(spark, sf):
     return e.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {SQL_LINES}, c AS (SELECT doc_id, unnest(range(length(text))) AS i, unnest(string_split(text, '')) AS ch FROM layout_lines WHERE line_no = 0 AND length(text) > 0), s AS (SELECT *, i BETWEEN 3 AND 9 AS styled FROM c), g AS (SELECT *, (styled IS DISTINCT FROM lag(styled) OVER (PARTITION BY doc_id ORDER BY i))::INT AS st FROM s), r AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g)
-SELECT doc_id, run::BIGINT AS run, string_agg(ch, '' ORDER BY i) AS text, any_value(styled) AS bold FROM r GROUP BY doc_id, run""")
+@query(f"""WITH {SQL_LINES}, r AS (SELECT doc_id, line_no, text, unnest([1, 2, 3]) AS k, unnest([substr(text, 1, 3), substr(text, 4, 7), substr(text, 11)]) AS part FROM layout_lines)
+SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k)::BIGINT AS run, part AS text, k = 2 AS bold FROM r WHERE part <> ''""")
 def range_style(spark, sf):
-    """Characters 3 to 9 of the first line made bold; equal neighbours joined."""
-    first = lines(spark, sf).filter("line_no = 0 and text <> ''")
+    """Characters 3 to 9 of each line made bold; equal neighbours joined."""
     runs = F.array(*[F.struct(F.substring("text", a + 1, n).alias("text"), F.lit(b).alias("bold")) for a, n, b in ((0, 3, False), (3, 7, True), (10, 1 << 30, False))])
-    return first.select("doc_id", F.posexplode(F.filter(runs, lambda r: r["text"] != "")).alias("run", "r")).select("doc_id", (F.col("run") + 1).cast("long").alias("run"), "r.text", "r.bold")
+    rows = lines(spark, sf).select("doc_id", "line_no", F.posexplode(F.filter(runs, lambda r: r["text"] != "")).alias("run", "r"))
+    return rows.select("doc_id", "line_no", (F.col("run") + 1).cast("long").alias("run"), "r.text", "r.bold")

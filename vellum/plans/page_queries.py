@@ -90,10 +90,10 @@ def zip_crc(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc"))
 
 
-@query(f"""WITH {SQL_PAGES} SELECT doc_id, page_index, ((CASE (doc_id % 4) WHEN 0 THEN 270 WHEN 1 THEN 0 WHEN 2 THEN 90 ELSE 180 END + 180) % 360)::INT AS rotation FROM doc_pages WHERE page_index = 0""")
+@query(f"""WITH {SQL_PAGES} SELECT doc_id, page_index, ((CASE (doc_id % 4) WHEN 0 THEN 270 WHEN 1 THEN 0 WHEN 2 THEN 90 ELSE 180 END + 180) % 360)::INT AS rotation FROM doc_pages""")
 def page_rotation(spark, sf):
     base = F.element_at(F.array(F.lit(270), F.lit(0), F.lit(90), F.lit(180)), (F.col("doc_id") % 4 + 1).cast("int"))
-    return doc_pages(spark, sf).filter("page_index = 0").select("doc_id", "page_index", P.rotated(base, F.lit(180)).alias("rotation"))
+    return doc_pages(spark, sf).select("doc_id", "page_index", P.rotated(base, F.lit(180)).alias("rotation"))
 
 
 SIZES = "(length(text) * 40000)::BIGINT AS bytes, (length(text) // 3)::INT AS n"

@@ -79,27 +79,27 @@ def link_restore_semi_anti(spark, sf):
     return S.restored(_links(spark, sf), ln.filter("line_no % 3 = 0"), ln.filter("line_no % 10 = 4")).select("doc_id", "link_seq", "uri")
 
 
-SQL_TILES = f"""{SQL_ITEMS}, tiles AS (SELECT doc_id, page_index, text, line_no * 1000 + word_no AS seq, "left", "right", top, bottom, ocr_conf AS conf FROM layout_items WHERE doc_id % 10 = 0
- UNION ALL SELECT doc_id, page_index, text, 1000000 + line_no * 1000 + word_no, "left" + 1 + word_no % 9, "right" + 1 + word_no % 9, top + 1, bottom + 1, (ocr_conf * 7) % 100 FROM layout_items WHERE doc_id % 10 = 0 AND word_no % 2 = 0)"""
+SQL_TILES = f"""{SQL_ITEMS}, tiles AS (SELECT doc_id, page_index, text, line_no * 1000 + word_no AS seq, "left", "right", top, bottom, ocr_conf AS conf FROM layout_items
+ UNION ALL SELECT doc_id, page_index, text, 1000000 + line_no * 1000 + word_no, "left" + 1 + word_no % 9, "right" + 1 + word_no % 9, top + 1, bottom + 1, (ocr_conf * 7) % 100 FROM layout_items WHERE word_no % 2 = 0)"""
 
 
-@query(f"""WITH {SQL_TILES} SELECT doc_id, seq::BIGINT AS seq FROM tiles a WHERE NOT EXISTS (SELECT 1 FROM tiles b WHERE a.doc_id = b.doc_id AND a.page_index = b.page_index AND trim(a.text) = trim(b.text) AND abs(a.seq - b.seq) = 1000000
+@query(f"""WITH {SQL_TILES} SELECT doc_id, seq::BIGINT AS seq FROM tiles a WHERE NOT EXISTS (SELECT 1 FROM tiles b WHERE a.doc_id = b.doc_id AND a.page_index = b.page_index AND trim(a.text) = trim(b.text) AND a.seq % 1000000 = b.seq % 1000000 AND a.seq <> b.seq
  AND (b.conf > a.conf OR (b.conf = a.conf AND b.seq < a.seq)) AND {SQL_INTER.format(a='a', b='b')} / ((a."right" - a."left") * 12 + (b."right" - b."left") * 12 - {SQL_INTER.format(a='a', b='b')}) > 0.5)""")
 def nms_dedupe(spark, sf):
     """Copies of words in overlapping tiles: the more confident stays."""
-    i = items(spark, sf).filter("doc_id % 10 = 0").withColumns({"seq": F.expr(SEQ).cast("long"), "conf": F.col("ocr_conf")})
+    i = items(spark, sf).withColumns({"seq": F.expr(SEQ).cast("long"), "conf": F.col("ocr_conf")})
     push = 1 + F.col("word_no") % 9
     copy = i.filter("word_no % 2 = 0").withColumns({"seq": F.col("seq") + 1000000, "left": F.col("left") + push, "right": F.col("right") + push, "top": F.col("top") + 1, "bottom": F.col("bottom") + 1, "conf": F.col("ocr_conf") * 7 % 100})
     return S.suppressed(i.unionByName(copy), 0.5).select("doc_id", "seq")
 
 
-@query(f"""WITH {SQL_ITEMS}, b AS (SELECT doc_id, page_index, line_no, word_no, "left", "right", top, bottom FROM layout_items) SELECT doc_id, line_no, word_no, 612 - "right" AS x0, 792 - bottom AS y0, 612 - "left" AS x1, 792 - top AS y1 FROM b WHERE doc_id % 20 = 0""")
+@query(f"""WITH {SQL_ITEMS}, b AS (SELECT doc_id, page_index, line_no, word_no, "left", "right", top, bottom FROM layout_items) SELECT doc_id, line_no, word_no, 612 - "right" AS x0, 792 - bottom AS y0, 612 - "left" AS x1, 792 - top AS y1 FROM b""")
 def bbox_rotate(spark, sf):
     """Boxes of pages read upside down, back in page space."""
     from vellum.functions.geometry import unrotated
 
     box = {"x0": F.col("left"), "y0": F.col("top"), "x1": F.col("right"), "y1": F.col("bottom")}
-    i = items(spark, sf).filter("doc_id % 20 = 0")
+    i = items(spark, sf)
     return i.withColumn("b", unrotated(box, F.lit(180), F.lit(612.0), F.lit(792.0))).select("doc_id", "line_no", "word_no", "b.*")
 
 

@@ -260,6 +260,12 @@ def test_main_text_odd(page, want):
     assert html_extract.main_text(page) == want
 
 
+def test_articles_beside_the_main_one():
+    cards = "<section><article><h2>Card</h2><p>Teaser.</p></article></section>"
+    assert html_extract.main_text(f'<body><div class="has-sidebar"><main>{cards}<article>{BODY}</article>{cards}<p>More from us and others here</p></main></div></body>') == WANT
+    assert html_extract.main_text(f"<body><main><header><p>Menu of it</p></header>{BODY}</main><div>Some other words</div></body>") == WANT
+
+
 def test_extract_keeps_articles_whole(spark):
     """On the test pages: the article's blocks, by a plain reading of their markup."""
     import html

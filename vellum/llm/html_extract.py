@@ -10,9 +10,10 @@ The line-block distribution sums the text length of the lines in a sliding
 window, furniture and link text counting nothing.  Text surges where the
 window sum rises from nothing towards the page's largest block, and dives
 where it falls back for good; what stands between surge and dive, furniture
-aside, is the main text.  Where the page marks its article, surge and dive can
-only lie at or in it, and short paragraphs at its ends belong to it: nothing is
-dropped inside an article.
+aside, is the main text.  Where the page marks articles (or else its main
+part), the distribution is read over each, the one that holds most text is
+taken, and short paragraphs at its ends belong to it: nothing is dropped inside
+an article.
 
 One row at a time: no shuffle, no state.  Work is linear in the page.
 
@@ -40,7 +41,6 @@ RAW = frozenset("script style noscript template textarea title iframe svg math o
 FURNITURE = frozenset("nav aside footer form dialog menu button fieldset label input".split())
 #: Outside an article only: inside, a header holds its heading.
 HEADER = frozenset(["header"])
-ARTICLE = frozenset(["article", "main"])
 #: Elements that begin and end a block of text.
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -58,6 +58,8 @@ MARK = re.compile(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|<(?=[a-zA-Z/!?])[^>]*\Z", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
+#: Parts of class names that tell what else the page has.
+_BESIDE = re.compile(r"\b(?:has|have|with|without|no)[-_][\w-]+", re.I)
 
 
 @dataclass
@@ -65,7 +67,7 @@ class Line:
     text: str
     linked: int  # characters in links
     furniture: bool
-    article: int  # number of the enclosing article, 0: none
+    article: int  # number of the enclosing article, -1: the main part only, 0: none
 
 
 def _marked(tag: str, attrs: str) -> bool:
@@ -74,7 +76,7 @@ def _marked(tag: str, attrs: str) -> bool:
     for name, a, b, c in _ATTR.findall(attrs):
         value = a or b or c
         name = name.lower()
-        if name in ("class", "id", "role") and MARK.search(value):
+        if name in ("class", "id", "role") and MARK.search(_BESIDE.sub("", value)):
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -142,10 +144,12 @@ def lines(page: str) -> list[Line]:
         if tag in VOID or m[3].endswith("/"):
             continue
         furniture, article = state()
-        if tag in ARTICLE and not article and not furniture:
+        if tag == "article" and article <= 0 and not furniture:
             articles += 1
             article = articles
-        furniture = furniture or tag in FURNITURE or tag in HEADER and not article or _marked(tag, m[3])
+        elif tag == "main" and not article and not furniture:
+            article = -1
+        furniture = furniture or tag in FURNITURE or tag in HEADER and article <= 0 or _marked(tag, m[3])
         if tag in BLOCK or furniture != state()[0]:
             if furniture != state()[0]:
                 flush()
@@ -185,17 +189,18 @@ def surge_and_dive(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
 def main_text(page: str | None) -> str:
     found = lines(page or "")
     weights = [0 if x.furniture else max(0, len(x.text) - x.linked) for x in found]
-    marked = {x.article for x in found if x.article and not x.furniture}
-    if marked:
-        # the article with the most text; several are siblings of one page: all that hold text
-        first, last = next(k for k, x in enumerate(found) if x.article), max(k for k, x in enumerate(found) if x.article) + 1
-        inside = [w if x.article else 0 for w, x in zip(weights, found, strict=True)]
-        surge, dive = surge_and_dive(inside)
-        surge, dive = min(surge, first), max(dive, last)
-        keep = [x for x in found[surge:dive] if x.article and not x.furniture]
+    size: dict[int, int] = {}
+    for w, x in zip(weights, found, strict=True):
+        size[x.article] = size.get(x.article, 0) + w
+    part = max((k for k in size if k > 0), key=lambda k: (size[k], -k), default=-1 if size.get(-1) else 0)
+    if part and size[part]:
+        # the run of text within the part, with what stands before and after it there
+        inside = [k for k, x in enumerate(found) if x.article == part]
+        surge, dive = surge_and_dive([w if x.article == part else 0 for w, x in zip(weights, found, strict=True)])
+        surge, dive = min(surge, inside[0]), max(dive, inside[-1] + 1)
+        keep = [x for x in found[surge:dive] if x.article == part and not x.furniture]
     else:
         surge, dive = surge_and_dive(weights)
-        # a heading before the surge is its title
         keep = [x for x in found[surge:dive] if not x.furniture and x.linked < len(x.text)]
     return "\n\n".join(x.text for x in keep)
 

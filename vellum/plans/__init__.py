@@ -1,3 +1,3 @@
 """Query modules; importing this package registers them all."""
 
-from vellum.plans import edit_queries, grouping_queries, layout_queries, more_queries, other_queries, page_queries, registry, spatial_queries, text_queries  # noqa: F401
+from vellum.plans import edit_queries, grouping_queries, last_queries, layout_queries, more_queries, other_queries, page_queries, registry, spatial_queries, text_queries  # noqa: F401

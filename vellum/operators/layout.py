@@ -15,7 +15,7 @@ PAGE = ("doc_id", "page_index")
 def upper_median(values: Column) -> Column:
     """Middle element, the upper one of an even number."""
     a = F.array_sort(values)
-    return F.element_at(a, F.floor(F.size(a) / 2).cast("int") + 1)
+    return F.get(a, F.floor(F.size(a) / 2).cast("int"))
 
 
 def blocks(lines: DataFrame) -> DataFrame:
@@ -35,12 +35,12 @@ def blocks(lines: DataFrame) -> DataFrame:
 
 def segments(items: DataFrame) -> DataFrame:
     """Items with the number of their segment in the line: split where a gap exceeds max(2.5 median gaps, 0.6 heights)."""
-    line = Window.partitionBy("doc_id", "line_no")
-    w = line.orderBy("word_no")
+    w = Window.partitionBy("doc_id", "line_no").orderBy("word_no")
     gapped = items.withColumn("gap", F.col("left") - F.lag("right").over(w))
-    med = upper_median(F.filter(F.collect_list("gap").over(line), lambda x: x.isNotNull()))
+    # one median a line, joined back: a window would sort a line's gaps for each of its words
+    med = gapped.groupBy("doc_id", "line_no").agg(upper_median(F.collect_list("gap")).alias("med"))
     wide = F.col("gap") > F.greatest(2.5 * F.col("med"), 0.6 * F.col("height"))
-    marked = gapped.withColumn("med", med).withColumn("wide", F.coalesce(wide.cast("int"), F.lit(0)))
+    marked = gapped.join(med, ["doc_id", "line_no"]).withColumn("wide", F.coalesce(wide.cast("int"), F.lit(0)))
     return marked.withColumn("segment", F.sum("wide").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("gap", "med", "wide")
 
 
@@ -49,9 +49,9 @@ def scramble(items: DataFrame, least: int = 10) -> DataFrame:
     seq = Window.partitionBy(*PAGE).orderBy("seq")
     mid = (F.col("top") + F.col("bottom")) / 2
     step = items.withColumn("dy", F.lead(mid).over(seq) - mid)
-    med = upper_median(F.collect_list(F.when(F.col("height") > 0, F.col("height"))).over(Window.partitionBy(*PAGE)))
-    marked = step.withColumn("up", F.when(F.col("dy").isNotNull(), (F.col("dy") < -1.3 * F.coalesce(med, F.lit(1.0))).cast("double")))
-    return marked.groupBy(*PAGE).agg(F.count("*").alias("n"), F.avg("up").alias("r")).select(*PAGE, "n", F.when(F.col("n") < least, 0.0).otherwise(F.coalesce("r", F.lit(0.0))).alias("ratio"))
+    page = step.groupBy(*PAGE).agg(F.count("*").alias("n"), F.collect_list("dy").alias("dys"), upper_median(F.collect_list(F.when(F.col("height") > 0, F.col("height")))).alias("med"))
+    up = F.size(F.filter("dys", lambda d: d < -1.3 * F.coalesce("med", F.lit(1.0))))
+    return page.select(*PAGE, "n", F.when((F.col("n") < least) | (F.size("dys") == 0), 0.0).otherwise(up / F.size("dys")).alias("ratio"))
 
 
 def line_style(items: DataFrame) -> DataFrame:

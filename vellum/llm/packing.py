@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -73,13 +73,17 @@ def _cut(path: str, end_id: int, capacity: int):
     return run
 
 
-def best_fit(items: list[int], size: np.ndarray, bins: Bins, capacity: int) -> Bins:
+def load(b: list[int], size: Sequence[int]) -> int:
+    return sum([size[x] for x in b])
+
+
+def best_fit(items: list[int], size: Sequence[int], bins: Bins, capacity: int) -> Bins:
     """Put ``items``, longest first, each where it leaves the least room; opens bins as needed."""
-    room = sorted((capacity - int(size[b].sum()), i) for i, b in enumerate(bins))
+    room = sorted([(capacity - load(b, size), i) for i, b in enumerate(bins)])
     bins = list(bins)
     owned = set()
     for x in sorted(items, key=lambda i: -size[i]):
-        n = int(size[x])
+        n = size[x]
         at = bisect_left(room, (n, -1))
         if at < len(room):
             left, i = room.pop(at)
@@ -95,13 +99,13 @@ def best_fit(items: list[int], size: np.ndarray, bins: Bins, capacity: int) -> B
     return bins
 
 
-def fitness(bins: Bins, size: np.ndarray, capacity: int) -> float:
-    return sum((int(size[b].sum()) / capacity) ** 2 for b in bins) / len(bins)
+def fitness(bins: Bins, size: Sequence[int], capacity: int) -> float:
+    return sum([(load(b, size) / capacity) ** 2 for b in bins]) / len(bins)
 
 
-def crossover(a: Bins, b: Bins, size: np.ndarray, capacity: int, rng: np.random.Generator) -> Bins:
+def crossover(a: Bins, b: Bins, size: Sequence[int], capacity: int, rng: np.random.Generator) -> Bins:
     """Whole well-filled bins of ``a`` injected into ``b``."""
-    fill = np.array([size[g].sum() for g in a])
+    fill = np.array([load(g, size) for g in a])
     full = np.flatnonzero(fill >= np.quantile(fill, 0.5))
     injected = [a[i] for i in rng.permutation(full)[: max(1, len(full) // 2)]]
     placed = {x for g in injected for x in g}
@@ -114,29 +118,30 @@ def crossover(a: Bins, b: Bins, size: np.ndarray, capacity: int, rng: np.random.
     return best_fit(displaced, size, injected + kept, capacity)
 
 
-def mutate(a: Bins, size: np.ndarray, capacity: int, rng: np.random.Generator) -> Bins:
+def mutate(a: Bins, size: Sequence[int], capacity: int, rng: np.random.Generator) -> Bins:
     """Break the emptiest bins and a few others; best-fit their pieces in a shaken order."""
-    order = np.argsort([size[g].sum() for g in a])
+    order = np.argsort([load(g, size) for g in a])
     broken = set(order[: max(2, len(a) // 10)].tolist()) | set(rng.integers(0, len(a), max(1, len(a) // 20)).tolist())
     loose = [x for i in broken for x in a[i]]
     return best_fit(loose, size, [g for i, g in enumerate(a) if i not in broken], capacity)
 
 
-def evolve(size: np.ndarray, seeds: list[Bins], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
+def evolve(size: Sequence[int], seeds: list[Bins], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
     """One epoch of one island: the fittest packing found."""
     rng = np.random.default_rng(seed)
+    size = [int(n) for n in size]
     items = list(range(len(size)))
     pool = [*seeds, best_fit(items, size, [], capacity)]
     while len(pool) < population:  # first items dealt at random, the rest best-fit
         some = rng.permutation(len(size))[: len(size) // 3].tolist()
         start: Bins = []
         for x in some:
-            if start and size[start[-1]].sum() + size[x] <= capacity:
+            if start and load(start[-1], size) + size[x] <= capacity:
                 start[-1].append(x)
             else:
                 start.append([x])
         pool.append(best_fit(list(set(items) - set(some)), size, start, capacity))
-    least = -(-int(size.sum()) // capacity)
+    least = -(-sum(size) // capacity)
     scored = sorted(((len(p), -fitness(p, size, capacity), i, p) for i, p in enumerate(pool)), key=lambda x: x[:3])[:population]
     n = len(pool)
     for _ in range(generations):
@@ -192,7 +197,7 @@ def _finish(capacity: int):
             for r in frame.itertuples():
                 size = np.asarray(r.length, dtype=np.int64)
                 packings = [_grouped(np.asarray(e)) for e in r.elites]
-                best = min(packings, key=lambda p: (len(p), -fitness(p, size, capacity)))
+                best = min(packings, key=lambda p: (len(p), -fitness(p, r.length, capacity)))
                 bins, offset, fill = _flat(best, len(size)), np.empty(len(size), np.int64), np.empty(len(size))
                 for g in best:
                     ends = np.cumsum(size[g])

@@ -149,6 +149,12 @@ def test_skeleton_pruning_changes_nothing(toxic_model):
             assert model.entry(toxicity.decode(token, model.cost)) == (0.0, "")
 
 
+def test_reject_keeps_other_columns(spark, toxic_model):
+    docs = docs_of(spark, ["an idiot er", "the on", None])
+    kept = toxicity.reject(docs, toxic_model[0])
+    assert kept.schema == docs.schema and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ["a b", None])
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
@@ -159,6 +165,8 @@ def test_toxicity_without_labels(spark):
 def test_trigrams_cover_whole_text():
     n = Counter(toxicity.trigrams("ab ab").tolist())
     assert sum(n.values()) == 6 and max(n.values()) == 2
+    parts = [t or "" for t in ODD]
+    assert Counter(toxicity.trigrams("\n".join(parts)).tolist()) == sum((Counter(toxicity.trigrams(t).tolist()) for t in parts), Counter())
 
 
 # --- 3 ---------------------------------------------------------------------

@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.blocks import runs
 from vellum.llm.graph import components
+from vellum.llm.memory import claim
 from vellum.llm.scratch import Scratch, partitions
 
 WORDS = 5
@@ -53,6 +54,8 @@ BUCKETS = 128
 ROWS = 4
 MANTISSA = 10
 BLOCK = 256
+#: Word hashes that a worker keeps.
+WORD_HASHES = 600_000
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -71,7 +74,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 1_000_000:
+        if len(self) > WORD_HASHES:
             self.clear()
         h = self[word] = xxh3_64_intdigest(word)
         return h
@@ -145,6 +148,7 @@ SKETCHES = "doc_id long, n_shingles long, sequence binary, registers binary"
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
+    claim("words", _WORDS.clear)
     for batch in batches:
         n, seq, regs = [], [], []
         for text in batch.column("text").cast(pa.binary()):
@@ -172,6 +176,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("words", _WORDS.clear)
     for batch in batches:
         found = [shingles(t.as_py().lower().split()) for t in batch.column("text").cast(pa.binary())]
         regs = [sketch(s).tobytes() if len(s) else b"" for s in found]

@@ -19,10 +19,12 @@ from array import array
 import numpy as np
 import regex
 
+from vellum.llm.memory import claim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Of each of two generations.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 800_000
 #: Longer pieces are encoded but not kept.
 MEMO_PIECE = 64
 
@@ -72,6 +74,9 @@ class Encoder:
             self._old, self._memo = memo, {}
         return out
 
+    def forget(self) -> None:
+        self._memo, self._old = {}, {}
+
     def _learn(self, missing: set) -> None:
         """A stop or comma after a word is a piece of its own: such chunks are put together from the memo."""
         memo, old = self._memo, self._old
@@ -171,6 +176,7 @@ def encoder(kind: type[Encoder], path: str) -> Encoder:
     if key not in _CACHE:
         _CACHE[key] = kind(path)
         gc.freeze()
+    claim(f"encoder {path}", _CACHE[key].forget)
     return _CACHE[key]
 
 

@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.memory import claim
 from vellum.llm.scratch import Scratch
 
 #: Labelled rows used for fitting, about.
@@ -49,6 +51,10 @@ PREFIXES = (4, 5, 6, 7)
 LEAST_DOCS = 3
 #: Longest word looked for in a run of single letters.
 SPELT = 24
+#: Tokens whose weights a worker keeps.
+MEMO_ENTRIES = 1_000_000
+#: Characters that are counted in one call, about.
+JOINED = 1 << 20
 
 # Letters of the model: 0 is a word's edge, then a-z, then U+00DF to U+00FF, then any other.
 K = 26 + 33 + 2
@@ -90,8 +96,15 @@ def trigrams(text: str) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(K**3, np.int64)
     for batch in batches:
-        for text in batch.column("text"):
-            total += np.bincount(trigrams(text.as_py()), minlength=K**3)
+        held: list[str] = []
+        size = 0
+        for text in [*batch.column("text"), None]:  # a line feed between texts is a word's edge like their ends
+            if text is not None:
+                held.append(text.as_py())
+                size += len(held[-1])
+            if held and (text is None or size > JOINED):
+                total += np.bincount(trigrams("\n".join(held)), minlength=K**3)
+                held, size = [], 0
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
 
@@ -111,17 +124,27 @@ def language_model(texts: DataFrame, scratch: Scratch) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
+def _bare(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+
+
+_BARE = {i: _bare(chr(i)) for i in range(0x80, 0x250)}
+_BARE_SKELETON = {i: c.translate(_SKELETON) for i, c in _BARE.items()} | _SKELETON
+
+
 def fold(word: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+    """Letters without their accents."""
+    return word if word.isascii() else "".join([c if c < "\u0250" else _bare(c) for c in word.translate(_BARE)])
 
 
 def skeleton(token: str) -> str:
-    return _TWICE.sub(r"\1", _NOT_LETTERS.sub("", fold(token).translate(_SKELETON)))
+    return _TWICE.sub(r"\1", _NOT_LETTERS.sub("", fold(token).translate(_SKELETON) if max(token, default="") >= "\u0250" else token.translate(_BARE_SKELETON)))
 
 
 def features(word: str) -> list[str]:
     """``word$`` and its beginnings."""
-    return [f"{word}$", *(word[:k] for k in PREFIXES if len(word) >= k)]
+    n = len(word)
+    return [word + "$", *[word[:k] for k in PREFIXES if n >= k]]
 
 
 def decode(token: str, cost: np.ndarray) -> str:
@@ -162,6 +185,7 @@ class Model:
     lexicon: dict[str, float] = field(default_factory=dict)
     weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
     share: float | None = None  # set if there is nothing to learn from
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def __post_init__(self):
         # skeletons of entries: whole words, and beginnings by length
@@ -171,10 +195,16 @@ class Model:
 
     def entry(self, word: str) -> tuple[float, str]:
         """Weight and name of the strongest entry that ``word`` matches."""
-        return max(((self.lexicon[f], f) for f in features(word) if f in self.lexicon), default=(0.0, ""))
+        found = [(self.lexicon[f], f) for f in features(word) if f in self.lexicon]
+        return max(found) if found else (0.0, "")
 
     def _reaches(self, s: str) -> bool:
-        return s in self.whole or any(s[:n] in part for n, part in self.starts.items())
+        if s in self.whole:
+            return True
+        for n, part in self.starts.items():
+            if s[:n] in part:
+                return True
+        return False
 
     def _starred(self, token: str) -> bool:
         """A sign for any letter: compare with it as a wildcard."""
@@ -219,15 +249,27 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+_MEMOS: dict[str, Memo] = {}
+
+
+def memo_of(model: Model) -> Memo:
+    """This worker's memo for a model, kept from task to task; only one model's at a time."""
+    if model.key not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[model.key] = Memo(model)
+    claim("toxicity", _MEMOS.clear)
+    return _MEMOS[model.key]
+
+
 class Memo(dict):
-    """Weights of tokens, for one task; emptied when full."""
+    """Weights of tokens; emptied when full."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
     def __missing__(self, token: str) -> tuple[float, str]:
-        if len(self) > 500_000:
+        if len(self) > MEMO_ENTRIES:
             self.clear()
         w = self.model.weigh(token)
         if len(token) <= 64:
@@ -299,7 +341,7 @@ def _lexicon(sample: DataFrame, t1: int, t0: int) -> dict[str, float]:
 
 def _inputs(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(model)
+        memo = memo_of(model)
         for batch in batches:
             x = [model.inputs(model.found(t.as_py(), memo)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), batch.column("toxic")], names=["x", "y", "toxic"])
@@ -335,13 +377,13 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, boun
     return model
 
 
-def _scores(model: Model):
+def _scores(model: Model, names: tuple[str, str] = ("score", "entries")):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(model)
+        memo = memo_of(model)
         for batch in batches:
             found = [model.found(t.as_py(), memo) for t in batch.column("_text")]
             more = [pa.array([model.score(f) for f in found], pa.float64()), pa.array([",".join(sorted(f)) for f in found], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_text"), *more], names=[*(c for c in batch.schema.names if c != "_text"), "score", "entries"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_text"), *more], names=[*(c for c in batch.schema.names if c != "_text"), *names])
 
     return run
 
@@ -358,4 +400,5 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
     rows = docs.select(*names, F.coalesce("text", F.lit("")).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(_scores(model), f"{kinds}, score double, entries string").filter(F.col("score") < 0.5).select(*names)
+    scored = rows.mapInArrow(_scores(model, ("_toxic", "_entries")), f"{kinds}, _toxic double, _entries string")
+    return scored.filter(F.col("_toxic") < 0.5).select(*names)

@@ -4,7 +4,7 @@ Bit-equal vectors form a class; classes are compared.  Each of ``TABLES``
 tables joins ``HASHES`` cross-polytope hashes (nearest signed axis after a
 fast Hadamard pseudo-rotation); multiprobe adds, for each hash, the code with
 that hash's second axis.  At cosine 0.95 in 64 dimensions one table misses a
-pair with probability about 0.3, all tables with less than one in a million.
+pair with probability about 0.45, all tables with about one in ten million.
 
 Rows that share a code are compared in bounded block pairs, in double
 precision.  A pair that shares several codes counts at the first only, so
@@ -22,19 +22,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.blocks import dealt
+from vellum.llm.blocks import dealt, runs
 from vellum.llm.graph import components
 from vellum.llm.scratch import Scratch, partitions
 from vellum.llm.vectors import axes, matrix, packed, power_of_two, valid, width
 
 COSINE = 0.95
-TABLES = 12
-HASHES = 2
+TABLES = 20
+HASHES = 3
 BLOCK = 256
 
 
@@ -74,41 +73,45 @@ def _local_roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _compare(kind: str):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows[rows["side"] == 0]
-        same = int(rows["i"].iloc[0]) == int(rows["j"].iloc[0])
-        right = left if same else rows[rows["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"rep": [], "links": [], "root": []}, dtype="int64")
-        key = int(rows["code"].iloc[0])
-        x = matrix([*left["vec"], *right["vec"]], kind)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        a, b = x[: len(left)], x[len(left) :]
-        hit = a @ b.T >= COSINE
-        if same:
-            hit = np.triu(hit, 1)
-        i, j = np.nonzero(hit)
-        ids = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()])
-        mult = np.concatenate([left["n"].to_numpy(), right["n"].to_numpy()])
-        # a pair counts at the first code it shares
-        ca, cb = np.stack(left["codes"].to_numpy()), np.stack(right["codes"].to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per = HASHES + 1
-        first = np.ones(len(i), bool)
-        for at in range(0, len(i), 4096):
-            p, q = ca[i[at : at + 4096]].reshape(-1, TABLES, per), cb[j[at : at + 4096]].reshape(-1, TABLES, per)
-            shared = (p[:, :, :, None] == q[:, :, None, :]).any(axis=3)
-            lowest = np.where(shared, p, np.iinfo(np.int64).max).reshape(len(p), -1).min(axis=1)
-            first[at : at + 4096] = lowest == key
-        i, j = i[first], j[first] + len(left)
-        links = np.zeros(len(ids), np.int64)
-        np.add.at(links, i, mult[j])
-        np.add.at(links, j, mult[i])
-        whole = np.zeros((len(ids), len(ids)), bool)
-        whole[i, j] = whole[j, i] = True
-        root = _local_roots(whole, ids)
-        some = links > 0
-        return pd.DataFrame({"rep": ids[some], "links": links[some], "root": root[some]})
+        for rows, bounds in runs(batches, ("code", "i", "j")):
+            x = matrix(rows.column("vec").to_pylist(), kind)
+            x /= np.abs(x).max(axis=1, keepdims=True)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            ids, mult, key, side, one = (rows.column(c).to_numpy() for c in ("rep", "n", "code", "side", "same"))
+            codes = rows.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), TABLES, per)
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if one[s]:
+                    hit = np.triu(x[s:e] @ x[s:e].T >= COSINE, 1)
+                    left = right = np.arange(s, e)
+                else:
+                    left, right = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+                    hit = x[left] @ x[right].T >= COSINE
+                i, j = np.nonzero(hit)
+                if not len(i):
+                    continue
+                i, j = left[i], right[j]
+                # a pair counts at the first code it shares
+                first = np.ones(len(i), bool)
+                for at in range(0, len(i), 4096):
+                    p, q = codes[i[at : at + 4096]], codes[j[at : at + 4096]]
+                    shared = (p[:, :, :, None] == q[:, :, None, :]).any(axis=3)
+                    first[at : at + 4096] = np.where(shared, p, np.iinfo(np.int64).max).reshape(len(p), -1).min(axis=1) == key[s]
+                i, j = i[first] - s, j[first] - s
+                if not len(i):
+                    continue
+                links = np.zeros(e - s, np.int64)
+                np.add.at(links, i, mult[s:e][j])
+                np.add.at(links, j, mult[s:e][i])
+                some = np.flatnonzero(links)
+                small = np.zeros((len(some), len(some)), bool)
+                at_i, at_j = np.searchsorted(some, i), np.searchsorted(some, j)
+                small[at_i, at_j] = small[at_j, at_i] = True
+                out.append((ids[s:e][some], links[some], _local_roots(small, ids[s:e][some])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["rep", "links", "root"])
 
     return run
 
@@ -127,8 +130,9 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     keys = coded.select("rep", F.explode(F.array_distinct("codes")).alias("code"))
     sizes = scratch.write(keys.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     wanted = dealt(keys, sizes, "code", F.col("rep"), BLOCK)
-    full = wanted.join(coded, "rep").repartition(partitions(spark), "code", "i", "j")
-    found = scratch.write(full.groupBy("code", "i", "j").applyInPandas(_compare(kind), "rep long, links long, root long"), "found")
+    full = wanted.join(coded, "rep").withColumn("same", F.col("i") == F.col("j"))
+    full = full.repartition(partitions(spark), "code", "i", "j").sortWithinPartitions("code", "i", "j")
+    found = scratch.write(full.mapInArrow(_compare(kind), "rep long, links long, root long"), "found")
     comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.select("vec", "rep", "n").join(counts, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")

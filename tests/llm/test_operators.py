@@ -380,6 +380,30 @@ def test_nearest(spark, scale):
     assert hit / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize(("dim", "norms"), [(64, "outlier"), (64, "spread"), (64, "heavy"), (200, "unit")])
+def test_nearest_recall_with_any_norms_and_dimension(spark, dim, norms):
+    rng = np.random.default_rng(dim)
+    n = 6000
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "outlier":
+        x[7] *= 3
+    elif norms == "spread":
+        x *= rng.uniform(0.2, 3, (n, 1))
+    elif norms == "heavy":
+        x *= np.exp(rng.standard_normal((n, 1)))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in range(0, n, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert hit / (20 * len(got)) >= 0.9
+
+
 def test_nearest_small(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (40, None)], "vec_id long, embedding array<double>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())

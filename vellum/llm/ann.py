@@ -1,18 +1,18 @@
 """Operator 6: nearest neighbours by inner product, cross-polytope tables and exact reranking.
 
 Bit-equal vectors form a class of which the smallest ids are kept; classes are
-indexed.  Inner product becomes angle by one more component,
-``sqrt(1 - |x|^2 / M^2)`` with the largest norm M (left out where all norms are
-equal).  Each table rotates by fast Hadamard rounds and files a class under its
-nearest signed axis; a query probes its ``PROBES`` nearest axes in each of
-``TABLES`` tables.  Candidates meet queries in blocks of bounded size, are
+indexed.  Each table rotates by fast Hadamard rounds and files a class under the
+signed axis nearest to its direction; a query probes its nearest axes in each of
+``TABLES`` tables.  Norms don't enter the codes: they would only bring a row and
+the query further apart.  Candidates meet queries in blocks of bounded size, are
 scored exactly in double precision, and a candidate that several tables give
 is emitted by the first only.  A query that finds fewer than it could is
 compared with all rows, in blocks.
 
-The defaults give recall about 0.98 (at least 0.9 is asked for) for random
-vectors in 64 dimensions, where near neighbours hardly stand out, at 10 thousand
-rows and more with more rows; any clustering raises it.
+How many axes to probe is measured: ``SAMPLE`` queries are compared with all
+rows, and as many axes are probed as give ``RECALL`` of their true neighbours
+(``PROBES`` at least), whatever dimension and norms are.  Where that would read
+more rows than there are, all queries are compared with all rows instead.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components take no part; a null vec_id takes no part; an empty table gives no
@@ -35,22 +35,24 @@ from vellum.llm.vectors import axes, matrix, packed, power_of_two, width
 K = 20
 TABLES = 8
 PROBES = 16
+#: Recall that the probes must reach on so many queries.
+RECALL, SAMPLE = 0.95, 128
 CANDIDATES, QUERIES = 2048, 512
 #: Copies of one vector are gathered in so many parts first.
 SALTS = 1024
 
 
-def _codes(kind: str, dim: int, top: float, lift: bool, probes: int, query: bool):
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _codes(kind: str, dim: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column("vec").to_pylist(), kind)
-            if query:
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            elif lift:
-                x = x / top
-                x = np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))], axis=1)
+            x = _unit(matrix(batch.column("vec").to_pylist(), kind))
             codes = np.concatenate([t * 2 * dim + axes(x, t, dim, probes) for t in range(TABLES)], axis=1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)), pa.array(codes.astype(np.int32).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("vec"), lists], names=["rep", "vec", "codes"])
@@ -58,6 +60,57 @@ def _codes(kind: str, dim: int, top: float, lift: bool, probes: int, query: bool
     return run
 
 
+def _ranks(kind: str, dim: int, keep: int, reps: list[int], vecs: list[bytes]):
+    """Best ``keep`` other rows of each sampled query in a partition, with the least place that a row's axis has among the query's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = np.zeros((len(vecs), dim))
+        known = matrix(vecs, kind)
+        a[:, : known.shape[1]] = known
+        unit = _unit(a)
+        place = np.empty((TABLES, len(a), 2 * dim), np.int32)
+        for t in range(TABLES):
+            np.put_along_axis(place[t], axes(unit, t, dim, 2 * dim), np.arange(2 * dim, dtype=np.int32)[None, :], axis=1)
+        own = np.array(reps)
+        best: list[list[np.ndarray]] = [[] for _ in vecs]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column("vec").to_pylist(), kind)
+            ids = batch.column("rep").to_numpy()
+            at = np.stack(batch.column("codes").to_pandas().to_numpy()) - 2 * dim * np.arange(TABLES)
+            score = a[:, : x.shape[1]] @ x.T
+            score[own[:, None] == ids[None, :]] = -np.inf
+            for q in range(len(a)):
+                top = np.argpartition(-score[q], keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
+                least = np.min([place[t, q, at[top, t]] for t in range(TABLES)], axis=0)
+                found = np.stack([score[q][top], ids[top].astype(np.float64), least], axis=1)
+                found = np.concatenate([*best[q], found[found[:, 0] > -np.inf]])
+                best[q] = [found[np.lexsort((found[:, 1], -found[:, 0]))[:keep]]]
+        rows = [(q, *r) for q in range(len(a)) for f in best[q] for r in f]
+        if rows:
+            q, score, _, least = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(score, pa.float64()), pa.array([int(p) for p in least], pa.int32())], names=["q", "score", "place"])
+
+    return run
+
+
+def _probes(filed: DataFrame, ask: DataFrame, kind: str, dim: int, k: int) -> int:
+    """Axes to probe in each table for ``RECALL`` on a sample of the queries."""
+    sample = ask.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+    if not sample:
+        return 1
+    near = filed.mapInArrow(_ranks(kind, dim, k, [r["rep"] for r in sample], [bytes(r["vec"]) for r in sample]), "q int, score double, place int")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "place")
+    counts = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).groupBy("place").count().orderBy("place").collect()
+    total, got = sum(r["count"] for r in counts), 0
+    for r in counts:
+        got += r["count"]
+        if got >= RECALL * total:
+            return r["place"] + 1
+    return 1
+
+
 def _score(kind: str, keep: int, dim: int, probes: int):
     """Best ``keep`` candidates of each query in one block; with codes, only those this table gives first."""
 
@@ -70,7 +123,7 @@ def _score(kind: str, keep: int, dim: int, probes: int):
             code = int(rows["code"].iloc[0])
             table = 0 if code < 0 else code // (2 * dim)
             if table:
-                unit = a / np.linalg.norm(a, axis=1, keepdims=True)
+                unit = _unit(a)
                 qc = np.stack([t * 2 * dim + axes(unit, t, dim, probes) for t in range(table)], axis=1)
                 cc = np.stack(c["codes"].to_numpy())[:, :table]
             rough = a @ b.T
@@ -114,15 +167,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     total = rows.count()
 
     size = int(kind[-1])
-    measured = classes.select("vec").mapInArrow(_norms(kind), "norm double, size int")
-    low, top, longest = measured.agg(F.min("norm"), F.max("norm"), F.max("size")).first()
-    lift = bool(top) and (low / top) ** 2 < 1 - 1e-6
-    dim = power_of_two((longest or size) // size + int(lift))
-    probes = min(PROBES, 2 * dim)
+    longest = classes.agg(F.max(F.length("vec"))).first()[0]
+    dim = power_of_two((longest or size) // size)
     shape = "rep long, vec binary, codes array<int>"
-    filed = scratch.write(classes.select("rep", "vec").mapInArrow(_codes(kind, dim, top or 1.0, lift, 1, False), shape), "filed")
-    ask = classes.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "vec")
-    ask = scratch.write(ask.mapInArrow(_codes(kind, dim, top or 1.0, lift, probes, True), shape), "ask")
+    filed = scratch.write(classes.select("rep", "vec").mapInArrow(_codes(kind, dim, 1), shape), "filed")
+    asking = classes.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "vec")
+    most = max(1, 2 * dim // TABLES)  # so many read as many rows as there are
+    needed = _probes(filed, asking, kind, dim, k)
+    probes = max(needed, min(PROBES, most))
+    ask = scratch.write(asking.mapInArrow(_codes(kind, dim, min(probes, most)), shape), "ask")
 
     def search(cands: DataFrame, queries: DataFrame, name: str) -> DataFrame:
         dealt = _blocks(cands, queries, scratch, name)
@@ -133,7 +186,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         return scratch.write(found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r"), name)
 
     coded = lambda df: df.select("rep", F.explode("codes").alias("code"))
-    found = search(coded(filed), coded(ask), "found")
+    one = lambda df: df.select("rep", F.lit(-1).alias("code"))
+    found = search(coded(filed), coded(ask), "found") if probes <= most else search(one(filed), one(ask), "found")
 
     def ranked(found: DataFrame) -> DataFrame:
         ids = found.join(classes.select(F.col("rep").alias("found"), "ids"), "found").select("rep", "score", F.explode("ids").alias("vec_id"))
@@ -150,17 +204,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     if short.isEmpty():
         done = first
     else:
-        one = lambda df: df.select("rep", F.lit(-1).alias("code"))
         again = ranked(search(one(filed), one(short.select("rep").distinct()), "rest")).join(short.select("query_id"), "query_id", "left_semi")
         done = first.join(short.select("query_id"), "query_id", "left_anti").unionByName(again)
     return done.select("query_id", "rank", "vec_id", "score")
-
-
-def _norms(kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column("vec").to_pylist()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.linalg.norm(matrix(rows, kind), axis=1)), pa.array([len(r) for r in rows], pa.int32())], names=["norm", "size"])
-
-    return run

@@ -291,6 +291,17 @@ def test_surge_and_dive():
     assert html_extract.surge_and_dive([0, 0]) == (0, 0) and html_extract.surge_and_dive([]) == (0, 0)
 
 
+def test_surge_and_dive_keeps_all_runs_of_text():
+    assert html_extract.surge_and_dive([80, 60000] + [60] * 40) == (0, 42)
+    assert html_extract.surge_and_dive([300] * 5 + [0] * 4 + [300] * 4) == (0, 13)
+    related = "".join(f"<p><a href=/{k}>Another page {k}</a></p>" for k in range(4))
+    advert = "".join(f'<p class="ad">Buy {k} now</p>' for k in range(4))
+    first, last = "First half of it. " * 20, "Second half of it. " * 20
+    for between in (related, advert):
+        page = f"<body><p>{first}</p>{between}<p>{last}</p>{advert}<p>Short end.</p></body>"
+        assert html_extract.main_text(page) == f"{first.strip()}\n\n{last.strip()}\n\nShort end."
+
+
 # --- 5 ---------------------------------------------------------------------
 
 

@@ -7,10 +7,10 @@ header and footer, sidebars, forms, scripts, styles, notices, adverts, reader
 comments, by tag, role, class or id) are *furniture*.
 
 The line-block distribution sums the text length of the lines in a sliding
-window, furniture and link text counting nothing.  Text surges where the
-window sum rises from nothing towards the page's largest block, and dives
-where it falls back for good; what stands between surge and dive, furniture
-aside, is the main text.  Where the page marks articles (or else its main
+window, furniture left out and link text counting nothing.  Text surges where
+the window sum rises from nothing to the page's largest block, or to any
+further one of at least ``SURGE``, and dives where it falls back to nothing for
+good; what stands between the first surge and the last dive is the main text.  Where the page marks articles (or else its main
 part), the distribution is read over each, the one that holds most text is
 taken, and short paragraphs at its ends belong to it: nothing is dropped inside
 an article.
@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
+#: Least window sum of a further run of text: about a long line.
+SURGE = 86
 
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select option datalist head".split())
@@ -161,34 +163,33 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def surge_and_dive(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
-    """First and last line (exclusive) of the run of window sums around the largest that doesn't fall to nothing.
+def runs(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """Runs of lines over which no window sum falls to nothing: (first, last exclusive, largest window sum)."""
+    out: list[tuple[int, int, int]] = []
+    for k, w in enumerate(weights):
+        if not w:
+            continue
+        heavy = sum(weights[k : k + window])
+        if out and k - out[-1][1] < window:
+            out[-1] = (out[-1][0], k + 1, max(out[-1][2], heavy))
+        else:
+            out.append((k, k + 1, heavy))
+    return out
 
-    ``sums[k]`` covers lines k .. k + window - 1.
-    """
-    n = len(weights)
-    if not any(weights):
+
+def surge_and_dive(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
+    """First and last line (exclusive) of the text: the run with the largest window sum, and all others that surge."""
+    found = runs(weights, window)
+    if not found:
         return 0, 0
-    sums = [sum(weights[k : k + window]) for k in range(n)]
-    peak = max(range(n), key=lambda k: sums[k])
-    low = max(1, sums[peak] // 100)
-    surge = peak
-    while surge > 0 and sums[surge - 1] >= low:
-        surge -= 1
-    while not weights[surge]:
-        surge += 1
-    dive = peak
-    while dive < n and sums[dive] >= low:
-        dive += 1
-    dive = min(n, dive)
-    while not weights[dive - 1]:
-        dive -= 1
-    return surge, dive
+    surge = min(SURGE, max(r[2] for r in found))
+    text = [r for r in found if r[2] >= surge]
+    return text[0][0], text[-1][1]
 
 
 def main_text(page: str | None) -> str:
-    found = lines(page or "")
-    weights = [0 if x.furniture else max(0, len(x.text) - x.linked) for x in found]
+    found = [x for x in lines(page or "") if not x.furniture]
+    weights = [max(0, len(x.text) - x.linked) for x in found]
     size: dict[int, int] = {}
     for w, x in zip(weights, found, strict=True):
         size[x.article] = size.get(x.article, 0) + w
@@ -198,10 +199,10 @@ def main_text(page: str | None) -> str:
         inside = [k for k, x in enumerate(found) if x.article == part]
         surge, dive = surge_and_dive([w if x.article == part else 0 for w, x in zip(weights, found, strict=True)])
         surge, dive = min(surge, inside[0]), max(dive, inside[-1] + 1)
-        keep = [x for x in found[surge:dive] if x.article == part and not x.furniture]
+        keep = [x for x in found[surge:dive] if x.article == part]
     else:
         surge, dive = surge_and_dive(weights)
-        keep = [x for x in found[surge:dive] if not x.furniture and x.linked < len(x.text)]
+        keep = [x for x in found[surge:dive] if x.linked < len(x.text)]
     return "\n\n".join(x.text for x in keep)
 
 

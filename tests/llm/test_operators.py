@@ -302,6 +302,17 @@ def test_surge_and_dive_keeps_all_runs_of_text():
         assert html_extract.main_text(page) == f"{first.strip()}\n\n{last.strip()}\n\nShort end."
 
 
+@pytest.mark.parametrize("page", ["<body>{card}{body}</body>", "<body>{body}{card}</body>", "<body><main>{card}{body}</main></body>", "<body><main>{card}</main>{body}</body>"])
+def test_short_article_beside_longer_text(page):
+    paragraphs = [f"Paragraph {k} of the text. " * 8 for k in range(6)]
+    body = "<div>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div>"
+    card = "<article><h2>Card</h2><p>Teaser.</p></article>"
+    want = "\n\n".join(p.strip() for p in paragraphs)
+    assert html_extract.main_text(page.format(card=card, body=body)).replace("Card\n\nTeaser.\n\n", "").replace("\n\nCard\n\nTeaser.", "") == want
+    assert html_extract.main_text(f"<body><article>{body}</article><p>{paragraphs[0]}</p></body>") == want
+    assert html_extract.main_text(f"<body><main>Menu of it</main>{body}</body>") == "Menu of it\n\n" + want
+
+
 # --- 5 ---------------------------------------------------------------------
 
 

@@ -10,10 +10,15 @@ The line-block distribution sums the text length of the lines in a sliding
 window, furniture left out and link text counting nothing.  Text surges where
 the window sum rises from nothing to the page's largest block, or to any
 further one of at least ``SURGE``, and dives where it falls back to nothing for
-good; what stands between the first surge and the last dive is the main text.  Where the page marks articles (or else its main
-part), the distribution is read over each, the one that holds most text is
-taken, and short paragraphs at its ends belong to it: nothing is dropped inside
-an article.
+good; what stands between the first surge and the last dive is the main text.
+
+Marks of the page are weights: the article with most text, its weight doubled,
+is compared with the block that the distribution finds in the text outside
+articles, and likewise the main part with the text outside it.  The heavier one
+is the main text.  A marked part that wins is taken to its ends, as short
+paragraphs there belong to it: its marks tell where it begins and ends better
+than window sums do.  One that loses is text as any other: it stays if it
+stands within the block or surges by itself.
 
 One row at a time: no shuffle, no state.  Work is linear in the page.
 
@@ -36,6 +41,8 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: Least window sum of a further run of text: about a long line.
 SURGE = 86
+#: A marked article or main part weighs so much against unmarked text.
+MARKED = 2
 
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select option datalist head".split())
@@ -190,19 +197,29 @@ def surge_and_dive(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
 def main_text(page: str | None) -> str:
     found = [x for x in lines(page or "") if not x.furniture]
     weights = [max(0, len(x.text) - x.linked) for x in found]
-    size: dict[int, int] = {}
+    parts: dict[int, list[int]] = {}
     for w, x in zip(weights, found, strict=True):
-        size[x.article] = size.get(x.article, 0) + w
-    part = max((k for k in size if k > 0), key=lambda k: (size[k], -k), default=-1 if size.get(-1) else 0)
-    if part and size[part]:
-        # the run of text within the part, with what stands before and after it there
-        inside = [k for k, x in enumerate(found) if x.article == part]
-        surge, dive = surge_and_dive([w if x.article == part else 0 for w, x in zip(weights, found, strict=True)])
-        surge, dive = min(surge, inside[0]), max(dive, inside[-1] + 1)
-        keep = [x for x in found[surge:dive] if x.article == part]
+        parts.setdefault(x.article, []).append(w)
+    size = {a: sum(of) for a, of in parts.items()}
+
+    def block(rows: list[int]) -> tuple[list[int], int]:
+        """Those of the lines that stand between surge and dive, and their weight."""
+        surge, dive = surge_and_dive([weights[k] for k in rows])
+        return rows[surge:dive], sum(weights[k] for k in rows[surge:dive])
+
+    article = max((k for k in size if k > 0), key=lambda k: (size[k], -k), default=0)
+    beside, rival = block([k for k, x in enumerate(found) if x.article <= 0])
+    if article and size[article] and MARKED * size[article] >= rival:
+        keep = [x for x in found if x.article == article]
     else:
-        surge, dive = surge_and_dive(weights)
-        keep = [x for x in found[surge:dive] if x.linked < len(x.text)]
+        main = [k for k, x in enumerate(found) if x.article == -1]
+        rival = block([k for k, x in enumerate(found) if not x.article])[1]
+        marked = bool(size.get(-1)) and MARKED * size[-1] >= rival
+        part = main if marked else beside
+        surging = {a for a, of in parts.items() if a > 0 and any(r[2] >= SURGE for r in runs(of))}
+        keep = [x for k, x in enumerate(found) if part and part[0] <= k <= part[-1] or x.article in surging]
+        if not marked:
+            keep = [x for x in keep if x.linked < len(x.text)]
     return "\n\n".join(x.text for x in keep)
 
 

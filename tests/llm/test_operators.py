@@ -313,6 +313,13 @@ def test_short_article_beside_longer_text(page):
     assert html_extract.main_text(f"<body><main>Menu of it</main>{body}</body>") == "Menu of it\n\n" + want
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_ids_name_sections_of_an_article(tag):
+    body = '<section id="discussion"><h2 id="In_popular_culture">In popular culture</h2><p>It is known.</p></section><section id="related-work"><h2 id="search">Search</h2><p>Others did so.</p></section>'
+    beside = '<section id="comments"><p>Nice post.</p></section><section class="related"><p>Read this.</p></section>'
+    assert html_extract.main_text(f"<body><{tag}>{body}{beside}</{tag}></body>") == "In popular culture\n\nIt is known.\n\nSearch\n\nOthers did so."
+
+
 # --- 5 ---------------------------------------------------------------------
 
 

@@ -64,6 +64,9 @@ MARK = re.compile(
     r"comment|comments|commentlist|disqus|respond|reply|replies|discussion|search|skip|complementary|contentinfo|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Sections and headings of an article are named by their ids; only these words tell of a reader's part.
+_REPLIES = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|respond)(?:$|[\s_-])", re.I)
+_NAMED = frozenset("section h1 h2 h3 h4 h5 h6 hgroup".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|<(?=[a-zA-Z/!?])[^>]*\Z", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -79,13 +82,14 @@ class Line:
     article: int  # number of the enclosing article, -1: the main part only, 0: none
 
 
-def _marked(tag: str, attrs: str) -> bool:
+def _marked(tag: str, attrs: str, inside: bool) -> bool:
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         value = a or b or c
         name = name.lower()
-        if name in ("class", "id", "role") and MARK.search(_BESIDE.sub("", value)):
+        words = _REPLIES if inside and name == "id" and tag in _NAMED else MARK
+        if name in ("class", "id", "role") and words.search(_BESIDE.sub("", value)):
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -158,7 +162,7 @@ def lines(page: str) -> list[Line]:
             article = articles
         elif tag == "main" and not article and not furniture:
             article = -1
-        furniture = furniture or tag in FURNITURE or tag in HEADER and article <= 0 or _marked(tag, m[3])
+        furniture = furniture or tag in FURNITURE or tag in HEADER and article <= 0 or _marked(tag, m[3], article != 0)
         if tag in BLOCK or furniture != state()[0]:
             if furniture != state()[0]:
                 flush()

@@ -149,6 +149,36 @@ def test_skeleton_pruning_changes_nothing(toxic_model):
             assert model.entry(toxicity.decode(token, model.cost)) == (0.0, "")
 
 
+def _toy_model():
+    words = "moron idiot stupid nice word other table".split()
+    cost = np.full((toxicity.K,) * 3, 8.0, np.float32)
+    for w in words:
+        a = b = 0
+        for c in [*w, None]:
+            i = int(toxicity._INDEX[ord(c)]) if c else 0
+            cost[a, b, i] = 0.5
+            a, b = b, i
+    return toxicity.Model(cost, {"moron$": 3.0, "idiot$": 3.0, "stup": 2.5})
+
+
+@pytest.mark.parametrize("text", ["m+o+r+o+n", "m+o+r+o+n, you", "m|o|r|o|n", "m(o(ron", "*diot", "i*d*i*o*t", "s+t+u+pid", "m + o + r + o + n", "m/o/r/o/n", "m\u00a0o\u00a0r\u00a0o\u00a0n", "m\no\nr\no\nn", "m = o = r = o = n", "m , o , r , o , n"])
+def test_signs_dropped_or_read(text):
+    model = _toy_model()
+    assert model.found(text, toxicity.Memo(model))
+
+
+def test_pruning_changes_no_score():
+    model = _toy_model()
+    rng = random.Random(5)
+    for _ in range(3000):
+        word = rng.choice(["moron", "idiot", "stupid", "nice", "word"])
+        token = "".join(c + rng.choice(["", "", "+", "|", "*", "-", "!", "0", c]) for c in word)
+        pruned = not model._reaches(toxicity.skeleton(token)) and not model._dropping(token)
+        if pruned:
+            assert model.entry(toxicity.decode(token, model.cost)) == (0.0, "")
+    assert not model.found("the table | a | b | c | " + "-" * 5000 + "x " + "=" * 5000 + "xy 1 2 3 4 5 6 * * * *", toxicity.Memo(model))
+
+
 def test_reject_keeps_other_columns(spark, toxic_model):
     docs = docs_of(spark, ["an idiot er", "the on", None])
     kept = toxicity.reject(docs, toxic_model[0])

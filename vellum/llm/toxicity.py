@@ -13,8 +13,9 @@ output of a channel; the operator restores the likeliest input and scores that.
    signs as each letter they stand for, separators and repeated letters
    possibly dropped, runs of single letters joined).  Viterbi decoding under
    the language model gives the restored word.  Tokens whose look-alike
-   skeleton begins like no lexicon entry are not decoded, as no path through
-   their lattice can reach an entry: this changes no score.
+   skeleton, with any of its signs dropped, begins like no lexicon entry are
+   not decoded, as no path through their lattice can reach an entry: this
+   changes no score.  Tokens of stars only are no words.
 4. Score: a logistic function of the strongest entry found and of the number
    of different ones, fitted on the sample.
 
@@ -76,7 +77,10 @@ SEPARATORS = frozenset(" .-_*~'`^/\\·•,:;=+")
 _SKELETON = {ord(k): v[0] for k, v in LOOKS.items() if k != "*"} | {ord("l"): "i"}
 _TWICE = re.compile(r"(.)\1+")
 _NOT_LETTERS = re.compile(r"[^a-zß-öø-ÿĀ-ɏ]+")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t._*-]{1,3}\S){2,}(?!\S)")
+_SIGNS = re.compile("[" + re.escape("".join(LOOKS)) + "]")
+_BETWEEN = r"\s" + re.escape("".join(sorted(SEPARATORS - {" "})))
+_SPACED = re.compile(rf"(?<![^{_BETWEEN}])[^{_BETWEEN}](?:[{_BETWEEN}]{{1,3}}[^{_BETWEEN}]){{2,}}(?![^{_BETWEEN}])")
+_GAPS = re.compile(rf"[{_BETWEEN}]+")
 _EDGES = ".,;:!?\"'()[]{}%&#$*…«»<>"
 
 
@@ -192,6 +196,20 @@ class Model:
         self.whole = {skeleton(f[:-1]) for f in self.lexicon if f[-1] == "$"}
         starts = {skeleton(f) for f in self.lexicon if f[-1] != "$"}
         self.starts = {n: {s for s in starts if len(s) == n} for n in {len(s) for s in starts}}
+        # a tree of both: next nodes by letter, each node's last letter, nodes that end a word or a beginning
+        self.next: list[dict[str, int]] = [{}]
+        self.last = [""]
+        self.ends: tuple[set[int], set[int]] = (set(), set())
+        for words, ends in zip((self.whole, starts), self.ends, strict=True):
+            for word in words:
+                at = 0
+                for c in word:
+                    if c not in self.next[at]:
+                        self.next[at][c] = len(self.next)
+                        self.next.append({})
+                        self.last.append(c)
+                    at = self.next[at][c]
+                ends.add(at)
 
     def entry(self, word: str) -> tuple[float, str]:
         """Weight and name of the strongest entry that ``word`` matches."""
@@ -206,10 +224,25 @@ class Model:
                 return True
         return False
 
-    def _starred(self, token: str) -> bool:
-        """A sign for any letter: compare with it as a wildcard."""
-        pattern = re.compile("".join(".?" if c == "*" else re.escape(c) for c in _TWICE.sub(r"\1", "".join(c if c == "*" else skeleton(c) for c in token))))
-        return any(pattern.fullmatch(w) for w in self.whole) or any(pattern.match(w) for part in self.starts.values() for w in part)
+    def _dropping(self, token: str, begin: bool = True) -> bool:
+        """Whether an entry's skeleton can be read in ``token`` (or begin it) if any sign may be dropped; a star is any letter."""
+        whole, starts = self.ends
+        at = {0}
+        for c in token:
+            new = set() if c.isalpha() else set(at)
+            if c == "*":
+                new.update(n for k in at for n in self.next[k].values())
+            else:
+                to = at
+                for x in skeleton(c):
+                    to = {k if self.last[k] == x else self.next[k].get(x) for k in to} - {None}
+                new |= to
+            if not new:
+                return False
+            if begin and not new.isdisjoint(starts):
+                return True
+            at = new
+        return not at.isdisjoint(whole)
 
     def weigh(self, token: str) -> tuple[float, str]:
         """Best entry in a written token, restored if need be."""
@@ -218,8 +251,8 @@ class Model:
         if best[0] or not self.lexicon:
             return best
         for form in dict.fromkeys((core, token, token.rstrip(_EDGES), token.lstrip(_EDGES))):
-            inner = "*" in form.strip("*")
-            if len(form) > 2 and (not form.isalpha() or _TWICE.search(form) or not form.isascii()) and (self._reaches(skeleton(form)) or inner and len(form) < 40 and self._starred(form)):
+            signs = form.strip("*") and _SIGNS.search(form)
+            if len(form) > 2 and (not form.isalpha() or _TWICE.search(form) or not form.isascii()) and (self._reaches(skeleton(form)) or signs and self._dropping(form)):
                 best = max(best, self.entry(decode(form, self.cost)))
         return best
 
@@ -228,11 +261,12 @@ class Model:
         low = text.lower()
         out = {f: w for w, f in map(memo.__getitem__, set(low.split())) if w}
         for m in _SPACED.finditer(low) if self.lexicon else ():
-            letters = re.split(r"[ \t._*-]+", m[0])
+            letters = _GAPS.split(m[0])
             for k in range(len(letters)):  # a spelt word may stand among other single letters
                 for n in range(3, min(SPELT, len(letters) - k) + 1):
                     part = "".join(letters[k : k + n])
-                    if skeleton(part) in self.whole or n == len(letters) and self._reaches(skeleton(part)):
+                    all_ = n == len(letters)
+                    if skeleton(part) in self.whole or all_ and self._reaches(skeleton(part)) or _SIGNS.search(part) and self._dropping(part, all_):
                         w, f = self.entry(decode(part, self.cost))
                         if w:
                             out[f] = w

@@ -473,6 +473,13 @@ def test_nearest_small(spark):
 # --- 7 ---------------------------------------------------------------------
 
 
+@pytest.mark.parametrize(("notice", "name"), [("Released under the MIT Licence.", "MIT-notice"), ("This is free and unencumbered software released into the public\ndomain.", "Unlicense")])
+def test_license_prefilter_passes_every_cue(spark, notice, name):
+    text = "ther on anea. " * 30 + notice + " thion er the. " * 30
+    got = licenses.notices(docs_of(spark, [text, "ther on anea. " * 30])).collect()
+    assert [(r["license"], text[r["start"] : r["stop"]] + ".", r["differences"]) for r in got] == [(name, notice, "-license+licence" if "Licence" in notice else "")]
+
+
 @pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
 def test_license_templates_find_themselves(name):
     body = licenses.TEMPLATES[name]

@@ -46,7 +46,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
 }
-CUES = (b"licens", b"copyright", b"permission", b"redistribut", b"warrant", b"public domain", b"free software")
+CUES = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public", "domain", "free", "software")
 
 #: Words of a block before and after its cues; cues closer than that share a block, up to ``LONGEST`` words.
 BEFORE, AFTER, LONGEST = 12, 24, 400
@@ -55,7 +55,8 @@ LEAST_GAIN, LEAST_WORDS = 0.15, 0.8
 SCHEMA = "doc_id long, license string, start long, stop long, gain double, n_words int, differences string"
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-_CUE = re.compile(r"licen[sc]|copyright|permission|redistribut|warrant|public|domain|free|software", re.I)
+_CUE = re.compile("|".join(CUES), re.I)
+_CUE_BYTES = [c.encode() for c in CUES]
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
@@ -131,7 +132,7 @@ def scan(text: str) -> list[tuple[str, int, int, float, int, str]]:
         todo = [(a, b)]
         while todo:  # after a notice, what stands before and after it
             lo, hi = todo.pop()
-            block = [w for w, _, _ in found[lo:hi]]
+            block = [w.replace("licenc", "licens") for w, _, _ in found[lo:hi]]  # one word in two spellings; which is reported
             if not any(_CUE.search(w) for w in block):
                 continue
             good = []
@@ -145,6 +146,7 @@ def scan(text: str) -> list[tuple[str, int, int, float, int, str]]:
                 continue
             # exact wording decides among those that compression put forward
             _, gain, name, first, last, notes = max(good, key=lambda x: (x[5] == "", x[0], x[1]))
+            notes = ";".join([*([notes] if notes else []), *(f"-{w}+{raw}" for w, (raw, _, _) in zip(block[first:last], found[lo + first : lo + last], strict=True) if w != raw)])
             out[(found[lo + first][1], found[lo + last - 1][2])] = (name, found[lo + first][1], found[lo + last - 1][2], gain, last - first, notes)
             todo += [(lo, lo + first), (lo + last, hi)]
     return [out[k] for k in sorted(out)]
@@ -156,7 +158,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
             raw = text.as_py()
             low = raw.lower()
-            if any(c in low for c in CUES):
+            if any(c in low for c in _CUE_BYTES):
                 rows += [(doc, *n) for n in scan(raw.decode("utf-8", "replace"))]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
         types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.string())

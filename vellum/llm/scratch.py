@@ -59,6 +59,14 @@ class Scratch:
             self._path(t._vellum_path, "delete", True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}".lower() in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,15 +4,20 @@ Base kinds are patterns; the method adds spans of high Shannon entropy: each
 candidate string of a character class (hex digits; base64 letters) is read by
 a sliding window whose entropy is kept by incremental counts.  For counts c of
 a window of w characters, ``H = log2(w) - sum(c * log2(c)) / w``; when one
-character leaves and one enters, only their two terms change.  Candidates that
+character leaves and one enters, only their two counts and terms change.  Candidates that
 match the allow list (placeholders, alphabets, published checksums) are
 suppressed; base spans never are.
 
 Everything is a per-row expression: one scan, no shuffle, no Python worker.
 A row without a candidate costs one pattern search a kind.
 
+Work is linear in a text and, but for a factor of the root of their number, in
+its spans.
+
 Defined results: null text is empty (no spans, the digest of the empty
-string); spans are in code points, end exclusive; repeated rows stay.
+string; ``redact`` leaves it null); an empty table gives no rows; spans are in
+code points, end exclusive; repeated rows stay; other columns stay as they are,
+but ``scan`` replaces those that have the names of its own two.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.scratch import fresh
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run that is long enough is the same match as any run kept by its length.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -29,6 +36,8 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_VALUE = 6
 
 WINDOW = 20
+#: Code points counted by a window: from "+" to "z".
+FIRST_SIGN, SIGNS = 43, 80
 #: kind, run of its characters, what a run must hold, least bits in some window
 CLASSES = (
     ("entropy_hex", "[0-9A-Fa-f]", ("[0-9]", "[A-Fa-f]"), 2.95),
@@ -48,6 +57,36 @@ def _guarded(chars: str, needs: tuple[str, ...]) -> str:
     return f"(?<!{chars})" + "".join(f"(?={chars}*{x})" for x in needs) + _run(chars)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once for a row, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(items: Column, init: Column, step, kind: str) -> Column:
+    """All results of ``step(state, item) -> (state, result)`` over an array; ``kind`` is the result's type.
+
+    Appending to an array copies it, so results are gathered in parts of about
+    the root of their number and the parts are joined once.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def append(acc: Column, x: Column) -> Column:
+        state, result = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(result)).alias("out"))
+
+    def over(held: Column) -> Column:
+        part = F.ceil(F.sqrt(F.size(held))).cast("int")
+        parts = F.when(F.size(held) > 0, F.sequence(F.lit(0), F.ceil(F.size(held) / part).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+        def one(acc: Column, k: Column) -> Column:
+            inner = F.aggregate(F.slice(held, k * part + 1, part), F.struct(acc["state"].alias("state"), none.alias("out")), append)
+            return let(inner, lambda i: F.struct(i["state"].alias("state"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
+
+        return F.aggregate(parts, F.struct(init.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), one, lambda a: F.flatten(a["out"]))
+
+    return let(items, over)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """All leftmost non-overlapping matches as structs (start, stop, word); ``word`` is the group's text.
 
@@ -57,16 +96,14 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     words = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     rows = F.arrays_zip(gaps.alias("gap"), F.transform(found, lambda x: F.length(x)).alias("len"), words.alias("word"))
-    kind = "array<struct<start:int,stop:int,word:string>>"
+    kind = "struct<start:int,stop:int,word:string>"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["0"]
-        stop = start + x["1"]
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["2"].alias("word")))).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["0"]
+        return start + x["1"], F.struct(start.alias("start"), (start + x["1"]).alias("stop"), x["2"].alias("word"))
 
     zipped = rows.cast("array<struct<`0`:int,`1`:int,`2`:string>>")
-    init = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(F.filter(zipped, lambda x: x["1"].isNotNull()), init, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(pattern), running(F.filter(zipped, lambda x: x["1"].isNotNull()), F.lit(0), step, kind)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _term(c: Column) -> Column:
@@ -74,33 +111,39 @@ def _term(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
 
-def _times(chars: Column, c: Column) -> Column:
-    return F.size(F.filter(chars, lambda x: x == c))
+def surge(word: Column, bits: float, window: int = WINDOW) -> Column:
+    """(first, last) window of ``word`` with at least ``bits``; first is null if there is none.
 
+    One fold over the characters keeps a count of each and the sum of their
+    terms; a character that enters or leaves changes one count and one term.
+    """
+    none = F.lit(None).cast("int")
+    empty = F.array_repeat(F.lit(0), SIGNS)
+    codes = F.transform(F.split(word, ""), lambda c: F.ascii(c) - FIRST_SIGN)
 
-def surge(word: Column, bits: float, window: int = WINDOW) -> Column:
-    """(first, last) window of ``word`` with at least ``bits``; first is null if there is none."""
-    chars = F.split(word, "")
+    def put(counts: Column, at: Column, n: Column) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), at), F.array(n), F.slice(counts, at + 2, F.lit(SIGNS)))
 
-    def enter(s: Column, i: Column) -> Column:
-        n = _times(F.slice(chars, F.lit(1), i - 1), F.element_at(chars, i))
-        return s + _term(n + 1) - _term(n)
+    def over(held: Column) -> Column:
+        def leave(acc: Column, j: Column) -> Column:
+            out = F.get(held, j - window)
+            n = F.get(acc["counts"], out)
+            return F.when(j >= window, F.struct(put(acc["counts"], out, n - 1).alias("counts"), (acc["s"] - _term(n) + _term(n - 1)).alias("s"))).otherwise(F.struct(acc["counts"].alias("counts"), acc["s"].alias("s")))
 
-    def slide(acc: Column, j: Column) -> Column:
-        out, new = F.element_at(chars, j), F.element_at(chars, j + window)
-        inner = F.slice(chars, j + 1, F.lit(window - 1))
-        gone, come = _times(inner, out), _times(inner, new)
-        s = acc["s"] - _term(gone + 1) + _term(gone) + _term(come + 1) - _term(come)
-        return note(s, j, acc["first"], acc["last"])
+        def enter(left: Column, acc: Column, j: Column) -> Column:
+            new = F.get(held, j)
+            n = F.get(left["counts"], new)
+            return let(left["s"] + _term(n + 1) - _term(n), lambda s: note(put(left["counts"], new, n + 1), s, j, acc))
 
-    def note(s: Column, j: Column, first: Column, last: Column) -> Column:
-        high = F.log2(F.lit(float(window))) - s / window >= bits
-        return F.struct(s.alias("s"), F.when(high & first.isNull(), j).otherwise(first).alias("first"), F.when(high, j).otherwise(last).alias("last"))
+        def note(counts: Column, s: Column, j: Column, acc: Column) -> Column:
+            at = j - (window - 1)
+            high = (at >= 0) & (F.log2(F.lit(float(window))) - s / window >= bits)
+            return F.struct(counts.alias("counts"), s.alias("s"), F.when(high & acc["first"].isNull(), at).otherwise(acc["first"]).alias("first"), F.when(high, at).otherwise(acc["last"]).alias("last"))
 
-    none = F.lit(None).cast("int")
-    s0 = F.aggregate(F.sequence(F.lit(1), F.lit(window)), F.lit(0.0), enter)
-    steps = F.when(F.size(chars) > window, F.sequence(F.lit(1), F.size(chars) - window)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, note(s0, F.lit(0), none, none), slide)
+        init = F.struct(empty.alias("counts"), F.lit(0.0).alias("s"), none.alias("first"), none.alias("last"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(held) - 1), init, lambda acc, j: let(leave(acc, j), lambda left: enter(left, acc, j)), lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+
+    return let(codes, over)
 
 
 def _kind(spans: Column, kind: str) -> Column:
@@ -118,13 +161,12 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["stop"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus the arrays ``base_spans`` and ``entropy_spans`` of (start, rank, stop, kind)."""
+def scan(docs: DataFrame, text: str = "text", base: str = "base_spans", added: str = "entropy_spans") -> DataFrame:
+    """``docs`` plus the arrays ``base`` and ``added`` of (start, rank, stop, kind); columns of these names are replaced."""
     t = F.coalesce(F.col(text), F.lit(""))
     assign = F.filter(matches(t, ASSIGN, 2), lambda m: F.length(m["word"]) >= ASSIGN_VALUE)
-    base = F.concat(_kind(assign, "assign"), _kind(matches(t, ACCESS), "access"), _kind(matches(t, HEX), "hex"))
-    added = reduce(lambda a, b: F.concat(a, b), [_entropy(t, *c) for c in CLASSES])
-    return docs.withColumns({"base_spans": base, "entropy_spans": added})
+    plain = F.concat(_kind(assign, "assign"), _kind(matches(t, ACCESS), "access"), _kind(matches(t, HEX), "hex"))
+    return docs.withColumns({base: plain, added: reduce(lambda a, b: F.concat(a, b), [_entropy(t, *c) for c in CLASSES])})
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -134,15 +176,38 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span replaced; overlapping spans become one mark."""
-    s = scan(docs, text)
-    spans = F.array_sort(F.concat("base_spans", "entropy_spans"))
-    t = F.coalesce(F.col(text), F.lit(""))
+    """``docs`` with every found span replaced; overlapping spans become one mark.  All columns of ``docs`` stay.
 
-    def step(acc: Column, m: Column) -> Column:
-        fresh = m["start"] >= acc["at"]
-        kept = F.concat(acc["out"], F.when(fresh, F.concat(F.substring(t, acc["at"] + 1, m["start"] - acc["at"]), F.lit(mark))).otherwise(""))
-        return F.struct(F.greatest(acc["at"], m["stop"]).alias("at"), kept.alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return s.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(F.col(text))).drop("base_spans", "entropy_spans")
+    A text is cut at the first span of each part of about the root of their
+    number, as finding a place in a text reads it from its beginning.
+    """
+    base, added = fresh(docs, "base"), fresh(docs, "added")
+    t = F.col(text)
+    n = F.length(t)
+
+    def cut(spans: Column) -> Column:
+        part = F.ceil(F.sqrt(F.size(spans))).cast("int")
+
+        def one(k: Column) -> Column:
+            some = F.slice(spans, k * part + 1, part)
+            start = F.when(k == 0, 0).otherwise(some[0]["start"])
+            stop = F.coalesce(F.get(spans, (k + 1) * part)["start"], n)
+            # what earlier parts have covered: their furthest stop
+            reach = F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), k * part), lambda m: m["stop"])), F.lit(0))
+            return let(F.struct(start.alias("at"), F.substring(t, start + 1, F.greatest(stop, F.array_max(F.transform(some, lambda m: m["stop"]))) - start).alias("text")), lambda p: pieces(some, p, stop, reach))
+
+        def pieces(some: Column, p: Column, stop: Column, reach: Column) -> Column:
+            def step(at: Column, m: Column) -> tuple[Column, Column]:
+                shown = F.concat(F.substring(p["text"], at - p["at"] + 1, m["start"] - at), F.lit(mark))
+                return F.greatest(at, m["stop"]), F.when(m["start"] >= at, shown).otherwise("")
+
+            begun = F.greatest(reach, p["at"])
+            done = running(some, begun, step, "string")
+            end = F.greatest(begun, F.array_max(F.transform(some, lambda m: m["stop"])))
+            rest = F.when(stop > end, F.substring(p["text"], end - p["at"] + 1, stop - end)).otherwise("")
+            return F.concat(F.array_join(done, ""), rest)
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(F.size(spans) / part).cast("int") - 1), one), "")
+
+    spans = F.array_sort(F.concat(base, added))
+    return scan(docs, text, base, added).withColumn(text, F.when(F.size(F.concat(base, added)) > 0, let(spans, cut)).otherwise(t)).select(*docs.columns)

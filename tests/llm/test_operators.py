@@ -180,10 +180,58 @@ def test_pruning_changes_no_score():
     assert not model.found("the table | a | b | c | " + "-" * 5000 + "x " + "=" * 5000 + "xy 1 2 3 4 5 6 * * * *", toxicity.Memo(model))
 
 
+class Unpruned(toxicity.Model):
+    """Decodes all that could hide an entry."""
+
+    def _reaches(self, s):
+        return True
+
+
+@pytest.mark.parametrize("sign", sorted({*toxicity.LOOKS, *toxicity.SEPARATORS, "?", "%", "é"}))
+def test_pruned_weights_equal_unpruned(sign):
+    model = _toy_model()
+    whole = Unpruned(model.cost, model.lexicon)
+    rng = random.Random(sign)
+    for word in ("moron", "idiot", "stupid", "stupidity", "nice", "word", "diot"):
+        for k in range(len(word) + 1):
+            for n in (1, 2, 3):
+                other = rng.choice([*toxicity.LOOKS, *toxicity.SEPARATORS, ""])
+                for token in (word[:k] + sign * n + word[k:], word[:k] + sign * n + word[k:].replace("o", other), word[:k] + sign + word[k + 1 :], sign.join(word), (sign + other).join(word)):
+                    assert model.weigh(token) == whole.weigh(token), token
+
+
+def test_spelt_words_of_any_length():
+    model = _toy_model()
+    model.lexicon["antidisestablishmentarianism$"] = 3.0
+    model = toxicity.Model(model.cost, model.lexicon)
+    assert model.found(" ".join("antidisestablishmentarianism") + " x y z", toxicity.Memo(model))
+    assert model.found("x y " + " ".join("m" * 40 + "oron") + " z", toxicity.Memo(model))
+    assert model.found("q " + " ".join("i" + "3" * 60 + "diot"), toxicity.Memo(model))
+    began = time.time()
+    for t in ("1 0 " * 20_000, "m " * 20_000 + "o r o n", "m o r o n n " * 5000, "i d i o t" + " t" * 20_000, "stup" + "x7" * 50_000, "m" + "+" * 100_000 + "oron"):
+        model.found(t, toxicity.Memo(model))
+    assert time.time() - began < 60
+
+
+def test_spelt_parts_equal_brute_force():
+    model = _toy_model()
+    rng = random.Random(9)
+    for _ in range(400):
+        letters = [x for _ in range(rng.randint(1, 3)) for c in rng.choice(["moron", "idiot", "nice", "stu", "x", "m0r0n", "1d10t"]) for x in [c] * rng.choice([1, 1, 1, 2])]
+        letters = [x for c in letters for x in ([c, rng.choice("|3#$!")] if rng.random() < 0.1 else [c])]
+        if len(letters) < 3:
+            continue
+        run = " ".join(letters)
+        parts = ["".join(letters[a:b]) for a in range(len(letters)) for b in range(a + 3, len(letters) + 1)]
+        want = {f for p in parts for w, f in [model.entry(toxicity.decode(p, model.cost))] if w and (f[-1] == "$" or p == "".join(letters))}
+        assert set(model.found(run, toxicity.Memo(model))) == want, run
+
+
 def test_reject_keeps_other_columns(spark, toxic_model):
-    docs = docs_of(spark, ["an idiot er", "the on", None])
+    docs = docs_of(spark, ["an idiot er", "the on", None]).withColumns({"_text": F.lit(1), "_toxic": F.lit("x"), "_entries": F.col("doc_id")})
     kept = toxicity.reject(docs, toxic_model[0])
-    assert kept.schema == docs.schema and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+    assert kept.schema.simpleString() == docs.schema.simpleString() and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+    assert {(r["_text"], r["_toxic"]) for r in kept.collect()} == {(1, "x")}
 
 
 def test_toxicity_without_labels(spark):

@@ -15,7 +15,11 @@ output of a channel; the operator restores the likeliest input and scores that.
    the language model gives the restored word.  Tokens whose look-alike
    skeleton, with any of its signs dropped, begins like no lexicon entry are
    not decoded, as no path through their lattice can reach an entry: this
-   changes no score.  Tokens of stars only are no words.
+   changes no score.  Tokens of stars only are no words.  A run of single
+   letters is read as one word, and so is each part of it that the lattice can
+   read as an entry, whatever its length: for each entry and each end (of more
+   than three repeats of a letter the first two and the last) the shortest
+   such part, and that one with all repeats of its first letter.
 4. Score: a logistic function of the strongest entry found and of the number
    of different ones, fitted on the sample.
 
@@ -24,7 +28,9 @@ inputs of a score.  Every text is read whole, each row by itself.
 
 Defined results: null and empty texts score like any text without an entry; a
 null doc_id is not held out and not used for fitting; without labels of both
-kinds all texts get the (smoothed) share of toxic labels; repeated rows stay.
+kinds all texts get the (smoothed) share of toxic labels; repeated rows stay;
+an empty table gives no rows; ``score`` ignores other columns, ``reject`` keeps
+them, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,15 +49,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.memory import claim
-from vellum.llm.scratch import Scratch
+from vellum.llm.scratch import Scratch, fresh
 
 #: Labelled rows used for fitting, about.
 SAMPLE = 20_000
 HELD_OUT = 5
 PREFIXES = (4, 5, 6, 7)
 LEAST_DOCS = 3
-#: Longest word looked for in a run of single letters.
-SPELT = 24
 #: Tokens whose weights a worker keeps.
 MEMO_ENTRIES = 1_000_000
 #: Characters that are counted in one call, about.
@@ -153,7 +157,7 @@ def features(word: str) -> list[str]:
 
 def decode(token: str, cost: np.ndarray) -> str:
     """The likeliest word behind ``token`` (lower case): Viterbi over (last two letters, last sign)."""
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
     for c in token:
         steps: list[tuple[str, float]] = []  # emitted letter or "", cost
         letter = c.isalpha()
@@ -166,19 +170,29 @@ def decode(token: str, cost: np.ndarray) -> str:
             steps.append((x, SWAP + (1.0 if c == "*" else 0.0)))
         if not letter:
             steps.append(("", DROP if c in SEPARATORS else DROP_SIGN))
-        new: dict[tuple[int, int, str], tuple[float, str]] = {}
+        new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
         for (a, b, last), (s, word) in states.items():
             options = steps + ([("", REPEAT)] if letter and (last == c or last == fold(c)) else [])
             for x, extra in options:
                 if x:
                     i = int(_INDEX[ord(x)]) if ord(x) < 0x250 else K - 1
-                    key, value = (b, i, x), (s + extra + float(cost[a, b, i]), word + x)
+                    key, value = (b, i, x), (s + extra + float(cost[a, b, i]), (word, x))
                 else:
                     key, value = (a, b, last), (s + extra, word)
                 if key not in new or value[0] < new[key][0]:
                     new[key] = value
         states = new
-    return min((s + float(cost[a, b, 0]), w) for (a, b, _), (s, w) in states.items())[1]
+    ends = [(s + float(cost[a, b, 0]), word) for (a, b, _), (s, word) in states.items()]
+    least = min(s for s, _ in ends)
+    return min(_letters(word) for s, word in ends if s == least)
+
+
+def _letters(word: tuple | None) -> str:
+    out = []
+    while word:
+        word, x = word
+        out.append(x)
+    return "".join(reversed(out))
 
 
 @dataclass
@@ -256,20 +270,52 @@ class Model:
                 best = max(best, self.entry(decode(form, self.cost)))
         return best
 
+    def _spelt(self, letters: list[str]) -> Iterator[tuple[int, int]]:
+        """Parts that can be read as a whole entry, by one walk over the run: each node of the tree knows the latest letter that leads to it."""
+        at: dict[int, int] = {}
+        read = [skeleton(c) for c in letters]
+        for j, c in enumerate(letters):
+            inner = 1 < j < len(letters) - 1 and read[j - 2] == read[j - 1] == read[j] == read[j + 1]
+            new = {} if c.isalpha() else dict(at)
+            to = {**at, 0: j}
+            if c == "*":
+                to = {n: max(b for k, b in to.items() if n in self.next[k].values()) for n in {n for k in to for n in self.next[k].values()}}
+            else:
+                for x in read[j]:
+                    step: dict[int, int] = {}
+                    for k, b in to.items():
+                        n = k if self.last[k] == x else self.next[k].get(x)
+                        if n is not None and step.get(n, -1) < b:
+                            step[n] = b
+                    to = step
+                if not read[j]:
+                    to = {}
+            for n, b in to.items():
+                if new.get(n, -1) < b:
+                    new[n] = b
+                if n in self.ends[0] and not inner:
+                    yield b, j + 1
+                    first = b
+                    while first and read[first - 1] == read[b]:
+                        first -= 1
+                    if first < b:
+                        yield first, j + 1
+            at = new
+
     def found(self, text: str, memo: dict) -> dict[str, float]:
         """Entries in a whole text."""
         low = text.lower()
         out = {f: w for w, f in map(memo.__getitem__, set(low.split())) if w}
         for m in _SPACED.finditer(low) if self.lexicon else ():
             letters = _GAPS.split(m[0])
-            for k in range(len(letters)):  # a spelt word may stand among other single letters
-                for n in range(3, min(SPELT, len(letters) - k) + 1):
-                    part = "".join(letters[k : k + n])
-                    all_ = n == len(letters)
-                    if skeleton(part) in self.whole or all_ and self._reaches(skeleton(part)) or _SIGNS.search(part) and self._dropping(part, all_):
-                        w, f = self.entry(decode(part, self.cost))
-                        if w:
-                            out[f] = w
+            whole = "".join(letters)
+            parts = {"".join(letters[a:b]) for a, b in self._spelt(letters) if b - a > 2}
+            if self._reaches(skeleton(whole)) or _SIGNS.search(whole) and self._dropping(whole):
+                parts.add(whole)
+            for part in parts:
+                w, f = self.entry(decode(part, self.cost))
+                if w:
+                    out[f] = w
         return out
 
     def inputs(self, found: dict[str, float]) -> tuple[float, float]:
@@ -412,12 +458,15 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, boun
 
 
 def _scores(model: Model, names: tuple[str, str] = ("score", "entries")):
+    """The last column is the text; it goes, score and entries come."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = memo_of(model)
         for batch in batches:
-            found = [model.found(t.as_py(), memo) for t in batch.column("_text")]
+            *kept, texts = batch.columns
+            found = [model.found(t.as_py(), memo) for t in texts]
             more = [pa.array([model.score(f) for f in found], pa.float64()), pa.array([",".join(sorted(f)) for f in found], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_text"), *more], names=[*(c for c in batch.schema.names if c != "_text"), *names])
+            yield pa.RecordBatch.from_arrays([*kept, *more], names=[*batch.schema.names[:-1], *names])
 
     return run
 
@@ -430,9 +479,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows whose text scores 0.5 or more."""
-    names = docs.columns
-    rows = docs.select(*names, F.coalesce("text", F.lit("")).alias("_text"))
+    """``docs`` without the rows whose text scores 0.5 or more; its columns may have any names."""
+    text, toxic, entries = (fresh(docs, name) for name in ("text", "toxic", "entries"))
+    rows = docs.select("*", F.coalesce("text", F.lit("")).alias(text))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    scored = rows.mapInArrow(_scores(model, ("_toxic", "_entries")), f"{kinds}, _toxic double, _entries string")
-    return scored.filter(F.col("_toxic") < 0.5).select(*names)
+    scored = rows.mapInArrow(_scores(model, (toxic, entries)), f"{kinds}, `{toxic}` double, `{entries}` string")
+    return scored.filter(F.col(toxic) < 0.5).select(*docs.columns)

@@ -42,9 +42,8 @@ def test_encoder_equals_library(kind, name, spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path(name))
-    plain.encode_special_tokens = True
     enc = encoder(kind, tokenizer_path(name))
-    texts = [t or "" for t in ODD] + [r["text"] for r in table(spark, "/root/testdata/sf0.001", "documents").select("text").collect()]
+    texts = [t or "" for t in ODD] + ["hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|><|endoftext|> b ", "<|ENDOFTEXT|> x", "<|endoftext<|endoftext|>|>", " <|startoftext|>\n<|endoftext|>é"] + [r["text"] for r in table(spark, "/root/testdata/sf0.001", "documents").select("text").collect()]
     for t in texts * 2:
         assert enc.encode(t.encode()) == array("I", plain.encode(t, add_special_tokens=False).ids).tobytes(), t[:60]
 
@@ -92,6 +91,11 @@ def test_token_files(spark):
         ids = enc.encode((t or "").encode()) + array("I", [1]).tobytes()
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids) // 4, zlib.crc32(ids))
         at += r["n_tokens"]
+    out = Scratch(spark, "tokens").place("set")
+    token_files.write_tokens(docs_of(spark, ODD), out, path, segment_ids=500)
+    found = {r["doc_id"]: r["ids"] for r in token_files.lookup(spark, out, [*range(0, len(ODD), 3), 10_000, -4]).collect()}
+    assert found == {i: [*array("I", enc.encode((ODD[i] or "").encode())), 1] for i in range(0, len(ODD), 3)}
+    assert token_files.lookup(spark, out, []).collect() == []
     assert token_files.token_files(spark.createDataFrame([], EMPTY), path).collect() == []
 
 
@@ -101,6 +105,14 @@ def test_token_files_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] is not None, r["doc_id"]) for r in got) == [(False, None), (True, -7), (True, 3), (True, 3)]
 
 
+def test_token_files_of_one_id_use_all_shards(spark):
+    out = Scratch(spark, "tokens").place("set")
+    token_files.write_tokens(spark.createDataFrame([(None, "a")] * 2000, "doc_id long, text string"), out, tokenizer_path("word_bpe_49k.json"))
+    n = [r["n_docs"] for r in spark.read.parquet(out).collect()]
+    assert sum(n) == 2000 and max(n) < 1500
+    assert sorted(r["start"] for r in token_files.read_tokens(spark, out).collect()) == list(range(0, 4000, 2))
+
+
 # --- 2 ---------------------------------------------------------------------
 
 

@@ -11,17 +11,22 @@ Boundaries are the documents' end offsets within the segment.  An Elias-Fano
 sequence of n values below u keeps ``floor(log2(u/n))`` low bits of each value
 packed, and the high parts in unary in about 2n bits; a sampled select
 directory (one u32 for every 64 values) finds any boundary without a table of
-64-bit offsets.
+64-bit offsets.  ``read_tokens`` streams a set; ``lookup`` gives the ids of
+stated documents by select alone: a search over the doc ids, two boundaries.
+
+Ranges are cut by (doc_id, hash of the text, row), so documents of one id, null
+included, are spread like any others.
 
 Defined results: null text is empty (only the end id); null doc_id sorts
 first and comes back as null; repeated doc_ids keep all their rows, ordered by
-text; an empty table gives an empty set.  Extra columns are ignored.
+a hash of the text; an empty table gives an empty set.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +44,10 @@ SELECT_EVERY = 64
 SEGMENT_IDS = 2_000_000
 END_ID = 1
 
-SEGMENT_SCHEMA = "shard int, seg int, shard_start long, n_docs int, n_ids long, payload binary"
+#: Documents of one ``lookup`` at most: a stated list, sent to each task.
+LOOKUP = 100_000
+
+SEGMENT_SCHEMA = "shard int, seg int, shard_start long, n_docs int, n_ids long, first_doc long, last_doc long, payload binary"
 ROW_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -130,6 +138,20 @@ class Segment:
         known = (self._ids.all() + np.array([self._base], np.int64).view(np.uint64)).view(np.int64)
         return [None] * self.n_null + known.tolist()
 
+    def find(self, doc_id: int) -> list[int]:
+        """Places of a document id: binary search by select."""
+        n = self._ids.n
+        if not n or doc_id < self._base:
+            return []
+        want, lo, hi = doc_id - self._base, 0, n
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if self._ids.select(mid) < want else (lo, mid)
+        last = lo
+        while last < n and self._ids.select(last) == want:
+            last += 1
+        return [self.n_null + k for k in range(lo, last)]
+
     def bounds(self) -> np.ndarray:
         return np.concatenate([[0], self.ends.all().astype(np.int64)])
 
@@ -151,11 +173,13 @@ def _segments(path: str, end_id: int, limit: int):
 
         def close() -> pa.RecordBatch:
             nonlocal seg, done, held
-            row = [[shard], [seg], [done], [len(docs)], [held], [Segment.dump(docs, ids)]]
+            known = [d for d in docs[:1] + docs[-1:] if d is not None] or [None]
+            first = next((d for d in docs if d is not None), None)
+            row = [[shard], [seg], [done], [len(docs)], [held], [first], [known[-1]], [Segment.dump(docs, ids)]]
             seg, done, held = seg + 1, done + held, 0
             docs.clear()
             ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["shard", "seg", "shard_start", "n_docs", "n_ids", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "seg", "shard_start", "n_docs", "n_ids", "first_doc", "last_doc", "payload"])
 
         for batch in batches:
             if shard is None and batch.num_rows:
@@ -180,8 +204,8 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID, seg
     One range shuffle of the texts; each range is one shard, written by one task as it encodes.
     """
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    ranged = rows.repartitionByRange(n, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text", F.spark_partition_id().alias("shard"))
     ranged.mapInArrow(_segments(path, end_id, segment_ids), SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(out)
 
 
@@ -214,6 +238,32 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     return files.select("shard", "shard_start", "payload").mapInArrow(_rows(base), ROW_SCHEMA)
 
 
+def _lookup(wanted: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, ids = [], []
+            for first, last, payload in zip(batch.column("first_doc").to_pylist(), batch.column("last_doc").to_pylist(), batch.column("payload"), strict=True):
+                some = wanted[bisect_left(wanted, first) : bisect_right(wanted, last)]
+                s = Segment(payload.as_py()) if some else None
+                for doc in some:
+                    for i in s.find(doc):
+                        docs.append(doc)
+                        ids.append(s.ids(i).astype("<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return run
+
+
+def lookup(spark: SparkSession, out: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of a stated list of documents; segments of other ranges are not read."""
+    wanted = sorted(set(doc_ids))
+    if len(wanted) > LOOKUP:
+        raise ValueError(f"at most {LOOKUP} documents at once")
+    files = spark.read.schema(SEGMENT_SCHEMA).parquet(out)
+    some = files.filter((F.col("last_doc") >= (wanted or [0])[0]) & (F.col("first_doc") <= (wanted or [-1])[-1]))
+    return some.select("first_doc", "last_doc", "payload").mapInArrow(_lookup(wanted), "doc_id long, ids array<long>")
+
+
 def token_files(docs: DataFrame, path: str) -> DataFrame:
     """Write a set in the session's shared folder and read it back."""
     scratch = Scratch(docs.sparkSession, "tokens")

@@ -6,12 +6,14 @@ text's ids are its pieces' ids joined.  Texts are cut by byte operations at
 white space where the splitter is known to cut, and otherwise by its own
 pattern.  The memo is bounded: when full it becomes the old generation, whose
 entries are taken over as they are met again, and the one before it goes.
+The strings of special tokens in a text give their ids, as in the library.
 """
 
 from __future__ import annotations
 
 import gc
 import os
+import re
 import string
 import sys
 from array import array
@@ -49,7 +51,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # special tokens' strings are cut out of a text as the library does; what is left is ordinary text, also where lower-casing makes one
+        added = self._tok.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("tokens added with options are not supported")
+        self._special = {t.content.encode(): _little([i]) for i, t in added.items()}
+        self._specials = re.compile(b"(" + b"|".join(sorted(map(re.escape, self._special), key=len, reverse=True)) + b")")
+        self._tok.encode_special_tokens = True
         self._tok.no_padding()
         self._tok.no_truncation()
         self._memo: dict[bytes | str, bytes] = {}
@@ -60,6 +68,13 @@ class Encoder:
         raise NotImplementedError
 
     def encode(self, text: bytes) -> bytes:
+        if any(x in text for x in self._special):
+            parts = self._specials.split(text)
+            return b"".join([self._special[x] if k % 2 else self._plain(x) for k, x in enumerate(parts)])
+        return self._plain(text)
+
+    def _plain(self, text: bytes) -> bytes:
+        """Ids of a text without special tokens' strings."""
         pieces = self._split(text)
         memo = self._memo
         missing = set(pieces).difference(memo)

@@ -565,6 +565,42 @@ def test_license_notices_equal_brute_force(spark):
     assert Counter((r["doc_id"], r["start"]) for r in licenses.notices(docs).collect()) == want
 
 
+def _optimum(size, capacity):
+    """Fewest bins, by dynamic programming over sets of pieces: (bins, load of the last)."""
+    best = [(0, capacity)] + [(99, 0)] * ((1 << len(size)) - 1)
+    for s in range(1 << len(size)):
+        bins, used = best[s]
+        for i, n in enumerate(size):
+            if not s >> i & 1:
+                best[s | 1 << i] = min(best[s | 1 << i], (bins, used + n) if used + n <= capacity else (bins + 1, n))
+    return best[-1][0]
+
+
+def test_packings_equal_the_optimum():
+    rng = np.random.default_rng(3)
+    over = 0
+    for k in range(60):
+        size = rng.integers(1, [30, 60, 101][k % 3], 10).tolist()
+        want, got = _optimum(size, 100), len(packing.evolve(size, [], 100, k))
+        assert packing.least_bins(size, 100) <= want <= got
+        over += got - want
+    assert over <= 1
+
+
+def test_genetic_packing_beats_best_fit():
+    rng = np.random.default_rng(4)
+    total = fit = 0
+    for seed in range(4):
+        size = []
+        for _ in range(200):  # three pieces fill a sequence, which best fit hardly finds
+            a = int(rng.integers(760, 980))
+            b = int(rng.integers(500, (2048 - a) // 2))
+            size += [a, b, 2048 - a - b]
+        total += len(packing.evolve(size, [], 2048, seed))
+        fit += len(packing.best_fit(list(range(len(size))), size, [], 2048))
+    assert total < 0.95 * fit and total < 1.07 * 4 * 200
+
+
 # --- 8 ---------------------------------------------------------------------
 
 

@@ -10,6 +10,10 @@ shard several islands evolve a population of packings in tasks of their own:
 * crossover injects well-filled bins of one parent into the other, removes the
   other's bins that hold a piece now placed twice, and best-fits the displaced
   pieces again;
+* mutation breaks the emptiest bins and some others, rebuilds those that can
+  be filled from their pieces (sums that can be reached), best-fits the rest;
+* evolution stops at a lower bound of the number of bins: ordinary documents
+  are short beside a sequence, and best fit alone is often there already;
 * after an epoch each island sends its elite packing to the next island of the
   ring, where it joins the next epoch's population.
 
@@ -20,8 +24,9 @@ dealing costs no more than a bin a final shard.
 Only lengths travel; ids are turned to a checksum where they are made.  Every
 group has a bounded size whatever the data, as shards are dealt by row hash.
 
-Defined results: null text is empty (one piece, the end id); repeated rows are
-pieces of their own; an empty table gives no rows.
+Defined results: null text is empty (one piece, the end id); a null doc_id is
+an id like any other; repeated rows and ids are pieces of their own; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,9 +49,11 @@ SHARD = 2000
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 12
+GENERATIONS = 24
 #: Bins of the first round at least so full stay.
 KEEP_FILL = 0.995
+#: A mutation rebuilds bins at least so full, from pieces in an order shaken by so many places.
+FULL, SHAKE = 0.999, 8
 END_ID = 0
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -118,12 +125,52 @@ def crossover(a: Bins, b: Bins, size: Sequence[int], capacity: int, rng: np.rand
     return best_fit(displaced, size, injected + kept, capacity)
 
 
+def fullest(items: list[int], size: Sequence[int], room: int) -> list[int]:
+    """Those of ``items`` that fill ``room`` best: sums that can be reached are the bits of one integer."""
+    mask, reach, steps = (1 << (room + 1)) - 1, 1, []
+    for x in items:
+        if size[x] <= room:
+            steps.append((x, reach))
+            reach = (reach | reach << int(size[x])) & mask
+            if reach >> room & 1:
+                break
+    total, out = reach.bit_length() - 1, []
+    for x, before in reversed(steps):
+        if not before >> total & 1:
+            out.append(x)
+            total -= size[x]
+    return out
+
+
 def mutate(a: Bins, size: Sequence[int], capacity: int, rng: np.random.Generator) -> Bins:
-    """Break the emptiest bins and a few others; best-fit their pieces in a shaken order."""
+    """Break the emptiest bins and some full ones; rebuild as many of them filled as well as their pieces can, best-fit the rest."""
     order = np.argsort([load(g, size) for g in a])
-    broken = set(order[: max(2, len(a) // 10)].tolist()) | set(rng.integers(0, len(a), max(1, len(a) // 20)).tolist())
-    loose = [x for i in broken for x in a[i]]
-    return best_fit(loose, size, [g for i, g in enumerate(a) if i not in broken], capacity)
+    broken = set(order[: max(2, len(a) // 20)].tolist()) | set(rng.integers(0, len(a), max(2, len(a) // 10)).tolist())
+    loose = sorted([x for i in broken for x in a[i]], key=lambda x: -size[x])
+    built = []
+    while loose:
+        first, rest = loose[0], loose[1:]
+        shaken = [rest[i] for i in np.argsort(np.arange(len(rest)) + rng.normal(0, SHAKE, len(rest)))]
+        some = {first, *fullest(shaken, size, capacity - size[first])}
+        if load(list(some), size) < FULL * capacity:
+            break
+        built.append(sorted(some))
+        loose = [x for x in loose if x not in some]
+    return best_fit(loose, size, built + [g for i, g in enumerate(a) if i not in broken], capacity)
+
+
+def least_bins(size: Sequence[int], capacity: int) -> int:
+    """A lower bound: pieces over ``capacity - a`` stand alone, those over half take a bin each, the rest from ``a`` on share what is left."""
+    v = np.sort(np.asarray(size, dtype=np.int64))
+    if not len(v):
+        return 0
+    total = np.concatenate([[0], np.cumsum(v)])
+    half = np.searchsorted(v, capacity // 2, "right")
+    a = np.unique(np.concatenate([[0], v[v <= capacity // 2]]))
+    alone, low = np.searchsorted(v, capacity - a, "right"), np.searchsorted(v, a, "left")
+    room = (alone - half) * capacity - (total[alone] - total[half])
+    more = -(-(total[half] - total[low] - room) // capacity)
+    return int((len(v) - half + np.maximum(0, more)).max())
 
 
 def evolve(size: Sequence[int], seeds: list[Bins], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
@@ -141,7 +188,7 @@ def evolve(size: Sequence[int], seeds: list[Bins], capacity: int, seed: int, pop
             else:
                 start.append([x])
         pool.append(best_fit(list(set(items) - set(some)), size, start, capacity))
-    least = -(-sum(size) // capacity)
+    least = least_bins(size, capacity)
     scored = sorted(((len(p), -fitness(p, size, capacity), i, p) for i, p in enumerate(pool)), key=lambda x: x[:3])[:population]
     n = len(pool)
     for _ in range(generations):

@@ -127,6 +127,7 @@ def crossover(a: Bins, b: Bins, size: Sequence[int], capacity: int, rng: np.rand
 
 def fullest(items: list[int], size: Sequence[int], room: int) -> list[int]:
     """Those of ``items`` that fill ``room`` best: sums that can be reached are the bits of one integer."""
+    room = int(room)
     mask, reach, steps = (1 << (room + 1)) - 1, 1, []
     for x in items:
         if size[x] <= room:
@@ -178,7 +179,10 @@ def evolve(size: Sequence[int], seeds: list[Bins], capacity: int, seed: int, pop
     rng = np.random.default_rng(seed)
     size = [int(n) for n in size]
     items = list(range(len(size)))
-    pool = [*seeds, best_fit(items, size, [], capacity)]
+    least = least_bins(size, capacity)
+    pool = [*seeds, best_fit(items, size, [], capacity)] if min(map(len, seeds), default=least + 1) > least else list(seeds)
+    if min(map(len, pool)) <= least:
+        return min(pool, key=lambda p: (len(p), -fitness(p, size, capacity)))
     while len(pool) < population:  # first items dealt at random, the rest best-fit
         some = rng.permutation(len(size))[: len(size) // 3].tolist()
         start: Bins = []
@@ -188,7 +192,6 @@ def evolve(size: Sequence[int], seeds: list[Bins], capacity: int, seed: int, pop
             else:
                 start.append([x])
         pool.append(best_fit(list(set(items) - set(some)), size, start, capacity))
-    least = least_bins(size, capacity)
     scored = sorted(((len(p), -fitness(p, size, capacity), i, p) for i, p in enumerate(pool)), key=lambda x: x[:3])[:population]
     n = len(pool)
     for _ in range(generations):
@@ -214,7 +217,7 @@ def _flat(bins: Bins, n: int) -> np.ndarray:
 
 def _grouped(of: np.ndarray) -> Bins:
     out: Bins = [[] for _ in range(int(of.max()) + 1)]
-    for x, k in enumerate(of):
+    for x, k in enumerate(of.tolist()):
         out[k].append(x)
     return out
 

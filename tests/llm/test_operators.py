@@ -411,6 +411,47 @@ def test_ids_name_sections_of_an_article(tag):
     assert html_extract.main_text(f"<body><{tag}>{body}{beside}</{tag}></body>") == "In popular culture\n\nIt is known.\n\nSearch\n\nOthers did so."
 
 
+PARAGRAPHS = ["The river rose in the night and the lower fields stood under water by noon of the next day.", "Nobody had seen that since the old bridge went.", "Later that week the mill began to work again, slowly, and the road to the town was open.", "So it was."]
+
+
+@pytest.mark.parametrize("broken", ["<svg><path d=1>", "<object data=x>", "<video>", "<select><option>a", "<math>", "<canvas>"])
+def test_unclosed_elements_end_with_what_holds_them(broken):
+    page = f"<article><p>{PARAGRAPHS[0]}</p><div>{broken} lost</div><p>{PARAGRAPHS[1]}</p></article><footer><svg><path></svg> end</footer>"
+    assert html_extract.main_text(page) == "\n\n".join(PARAGRAPHS[:2])
+
+
+def test_pages_of_many_tags_take_linear_time():
+    began = time.time()
+    n = 100_000
+    for page in ("<div>" * n + "</b>" * n + "x", "<option>" * n + "x", "<svg>" * n + "x", "<article>" + "<svg>" * n + "</article>" + PARAGRAPHS[0], "<div>" * n + "</div>" * n, "<p>" * n + "x", "<li><a>" * n, "</div>" * n, "<script>" * n + "</script>x", "<a \"" * n, "<x y='" * n + ">"):
+        html_extract.main_text(page)
+    assert time.time() - began < 40
+
+
+def test_the_distribution_decides_where_nothing_is_marked():
+    links = "".join(f"<div><a href=x>{w} page</a></div>" for w in ("first", "next", "last", "other"))
+    text = "".join(f"<div>{p}</div>" for p in PARAGRAPHS)
+    page = f"<body><div>Site of the valley</div>{links}{text}{links}<div>All rights kept</div></body>"
+    assert html_extract.main_text(page) == "\n\n".join(PARAGRAPHS)
+    everything = "\n\n".join(x.text for x in html_extract.lines(page) if not x.furniture)
+    assert everything != html_extract.main_text(page)
+
+
+def test_paragraphs_that_are_links_and_short_ends_stay():
+    page = f"<body><div>{PARAGRAPHS[0]}</div><div><a href=x>All of it is here</a></div><div>{PARAGRAPHS[2]}</div><div>So it was.</div><div>The end.</div></body>"
+    assert html_extract.main_text(page) == "\n\n".join([PARAGRAPHS[0], "All of it is here", PARAGRAPHS[2], "So it was.", "The end."])
+    long = "word " * 12_000
+    page = f"<body><div>{long}</div>" + "".join(f"<div>{p}</div>" for p in PARAGRAPHS) + "</body>"
+    assert html_extract.main_text(page) == "\n\n".join([long.strip(), *PARAGRAPHS])
+
+
+def test_extract_of_odd_rows(spark):
+    rows = [(1, "u", f"<p>{PARAGRAPHS[0]}</p>", 5, "x"), (1, "u", f"<p>{PARAGRAPHS[0]}</p>", 5, "x"), (None, None, None, 1, None), (2, "", "", 2, "")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")).collect()
+    assert sorted((r["page_id"] or 0, r["url"], r["text"], r["n_chars"]) for r in got) == [(0, None, "", 0), (1, "u", PARAGRAPHS[0], len(PARAGRAPHS[0])), (1, "u", PARAGRAPHS[0], len(PARAGRAPHS[0])), (2, "", "", 0)]
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 # --- 5 ---------------------------------------------------------------------
 
 

@@ -24,15 +24,20 @@ One row at a time: no shuffle, no state.  Work is linear in the page.
 
 Defined results: null or empty html, and pages without text, give '' and 0;
 broken or cut off pages are read as far as they go, an unfinished tag at the
-end is dropped; repeated rows stay.
+end is dropped; an unclosed script or style takes the rest of the page, an
+unclosed drawing or media element ends with the element around it; repeated
+rows and ids stay; a null page_id or url stays null; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,8 +49,13 @@ SURGE = 86
 #: A marked article or main part weighs so much against unmarked text.
 MARKED = 2
 
+#: So many lines of links only are a menu.
+MENU = 3
+
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select option datalist head".split())
+#: Of these, elements whose content is no markup, so that an unclosed one takes what follows.
+NO_MARKUP = frozenset("script style noscript textarea title iframe".split())
 #: Elements that never belong to an article.
 FURNITURE = frozenset("nav aside footer form dialog menu button fieldset label input".split())
 #: Outside an article only: inside, a header holds its heading.
@@ -69,6 +79,7 @@ _REPLIES = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|respo
 _NAMED = frozenset("section h1 h2 h3 h4 h5 h6 hgroup".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|<(?=[a-zA-Z/!?])[^>]*\Z", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_EVENTS = {tag: re.compile(rf"<(/?){tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 #: Parts of class names that tell what else the page has.
 _BESIDE = re.compile(r"\b(?:has|have|with|without|no)[-_][\w-]+", re.I)
@@ -96,10 +107,36 @@ def _marked(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+class Ends:
+    """Where elements whose content is passed over end: all of one kind are found by one search of the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.found: dict[str, dict[int, int]] = {}
+
+    def of(self, tag: str, at: int) -> int | None:
+        """End of the element whose start tag ends at ``at``; None if it is never closed."""
+        if tag not in self.found:
+            ends: dict[int, int] = {}
+            open_: list[int] = []
+            for m in _EVENTS[tag].finditer(self.page):
+                if not m[1]:
+                    open_.append(m.end())
+                elif open_ and tag in NO_MARKUP:
+                    ends.update((a, m.end()) for a in open_)
+                    open_ = []
+                elif open_:
+                    ends[open_.pop()] = m.end()
+            self.found[tag] = ends
+        return self.found[tag].get(at)
+
+
 def lines(page: str) -> list[Line]:
     """The page's blocks of text in page order."""
     out: list[Line] = []
     stack: list[tuple[str, bool, int]] = []  # tag, furniture, article
+    depth: Counter = Counter()  # open elements by tag
+    ends = Ends(page)
     parts: list[str] = []
     links = linked = articles = 0
     at = 0
@@ -134,18 +171,24 @@ def lines(page: str) -> list[Line]:
                 links = max(0, links - 1)
             if tag in BLOCK:
                 flush()
-            open_ = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if open_ is not None:
-                del stack[open_:]
+            while depth[tag]:
+                closed = stack.pop()[0]
+                depth[closed] -= 1
+                if closed == tag:
+                    break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at) if not m[3].endswith("/") else None
+            end = None if m[3].endswith("/") else ends.of(tag, at)
             if end:
                 if tag in ("iframe", "select", "textarea", "title"):
                     parts.append(" ")
-                at = end.end()
-            elif tag not in ("head", "option") and not m[3].endswith("/"):
+                at = end
+            elif tag in NO_MARKUP and not m[3].endswith("/"):
                 at = len(page)
+            elif tag not in ("head", "option") and not m[3].endswith("/"):  # never closed: it ends with the element around it
+                flush()
+                stack.append((tag, True, state()[1]))
+                depth[tag] += 1
             continue
         if tag == "br":
             parts.append(" ")
@@ -153,7 +196,7 @@ def lines(page: str) -> list[Line]:
         if tag in BLOCK:
             flush()
             while stack and tag in SELF_CLOSING.get(stack[-1][0], ()):
-                stack.pop()
+                depth[stack.pop()[0]] -= 1
         if tag in VOID or m[3].endswith("/"):
             continue
         furniture, article = state()
@@ -167,6 +210,7 @@ def lines(page: str) -> list[Line]:
             if furniture != state()[0]:
                 flush()
             stack.append((tag, furniture, article))
+            depth[tag] += 1
         elif tag == "a":
             links += 1
     text(len(page))
@@ -223,10 +267,20 @@ def main_text(page: str | None) -> str:
         surging = {a for a, of in parts.items() if a > 0 and any(r[2] >= SURGE for r in runs(of))}
         keep = [x for k, x in enumerate(found) if part and part[0] <= k <= part[-1] or x.article in surging]
         if not marked:
-            keep = [x for x in keep if x.linked < len(x.text)]
+            keep = _no_menus(keep)
     return "\n\n".join(x.text for x in keep)
 
 
+def _no_menus(found: list[Line]) -> list[Line]:
+    """Without ``MENU`` or more lines in a row that are links only; fewer are paragraphs of the text."""
+    out: list[Line] = []
+    for linked, some in groupby(found, key=lambda x: x.linked >= len(x.text)):
+        rows = list(some)
+        if not linked or len(rows) < MENU:
+            out += rows
+    return out
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(h) for h in batch.column("html").to_pylist()]

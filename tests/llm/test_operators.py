@@ -310,6 +310,23 @@ def test_near_duplicates_null_ids_and_empty(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def test_rows_of_one_id_are_linked_by_their_own_texts(spark):
+    a, b, c = ("x1 x2 x3 x4 x5 x6 x7 x8 x9 " * 3, "y1 y2 y3 y4 y5 y6 y7 y8", "z1 z2 z3 z4 z5 z6")
+    rows = [(7, a), (7, b), (7, b), (9, b), (3, a), (11, c), (11, "q r"), (5, c)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in got) == sorted([(7, 3, 9), (7, 7, 4), (7, 7, 4), (9, 7, 4), (3, 3, 9), (11, 5, 2), (11, 11, 1), (5, 5, 2)])
+
+
+def test_deduplicate_keeps_one_row_of_each_group(spark):
+    a, b = "x1 x2 x3 x4 x5 x6 x7 x8 x9 " * 3, "y1 y2 y3 y4 y5 y6 y7 y8"
+    rows = [(7, a, 1, "p"), (7, b, 2, "p"), (7, b, 2, "p"), (9, b, 3, None), (3, a, 4, "p"), (None, a, 5, "p"), (None, a, 5, "p"), (20, None, 6, "p"), (20, None, 6, "p"), (21, " ", 7, "p"), (4, "one two", 8, "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _kept int, h string").withColumns({"_doc": F.lit(1), "_hash": F.lit("z"), "group": F.lit(None).cast("int")})
+    got = near_dedup.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted((r["_kept"], str(r["doc_id"])) for r in got.collect()) == [(2, "7"), (4, "3"), (5, "None"), (5, "None"), (6, "20"), (6, "20"), (7, "21"), (8, "4")]
+    assert near_dedup.deduplicate(df.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("n", [1, 4, 30, 400])
 def test_sketch_estimates_similarity(n):
     rng = np.random.default_rng(n)

@@ -703,6 +703,45 @@ def test_mix(spark):
     assert mixing.mix(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def test_mix_expects_each_documents_share(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 2, 3, 5, 40])), "ab"[i % 2]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = mixing.targets([(s, sum(len(t.split()) for _, t, x in rows if x == s)) for s in "ab"])
+    share = {s: target[s] / sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    sized = [(len(t.split()), share[s], s) for _, t, s in rows]
+    for s in "ab":  # whole reductions, many seeds: each document's mean is its share
+        mass = np.array(sorted((n for n, _, x in sized if x == s), reverse=True))
+        part = share[s] % 1
+        total = np.zeros(len(mass))
+        for seed in range(3000):
+            p = np.full(len(mass), part)
+            done, rest = mixing.settle_large(part, mass, np.random.default_rng(seed + 10**6).random(len(mass)))
+            p[:] = rest
+            p[: len(done)] = done
+            p, left = mixing.pivot(p, mass, seed)
+            total += p
+        assert np.abs(total / 3000 - part).max() < 0.06
+    got = mixing.mix(df).collect()
+    for s in "ab":
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - target[s]) <= 20
+    assert all(r["copies"] in (math.floor(share[r["source"]]), math.ceil(share[r["source"]])) for r in got)
+
+
+def test_mix_counts_equal_rows(spark):
+    rows = [(1, "w " * 7, "a")] * 9001 + [(i, "w " * 3, "a") for i in range(200)] + [(None, "x y", None)] * 5000 + [(3, None, "b"), (4, "", "b"), (5, "w " * 100, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"n": F.lit(1), "more": F.lit("x"), "key": F.lit(2)})
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    size = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in ("a", "b", None)}
+    target = mixing.targets(list(size.items()))
+    for s in size:
+        some = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in some) - target[s]) <= (50 if s == "b" else 4)
+        assert all(math.floor(target[s] / size[s]) <= r["copies"] <= math.ceil(target[s] / size[s]) for r in some if r["size"])
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+
+
 # --- 10 --------------------------------------------------------------------
 
 SECRETS = [

@@ -15,11 +15,16 @@ smaller ones at once: they share one fraction, so a common shift of it takes
 up the words and keeps every expectation.  Otherwise one long document would
 be left over as the residual.
 
+Rows that are equal in key, source and text are counted before they travel: n of
+them with fraction f are n * f copies, of which the whole ones are dealt at once
+and one fraction is left to be rounded.  So no group grows with repeated rows.
+
 Draws come from a hash of the row and the level, so reruns agree; groups are hashed
 (source, row), so a source with a third of all rows is spread like any other.
 
 Defined results: null text has size 0; documents of size 0 are taken 0 times;
-a null source is a source (last); repeated rows are documents of their own;
+a null source is a source (last); repeated rows are documents of their own, and
+so are rows that share a key; a null key is a key; other columns are ignored;
 an empty table gives no rows.
 """
 
@@ -32,12 +37,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.scratch import Scratch
+from vellum.llm.scratch import Scratch, partitions
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents or residuals that one reduction takes at most, about.
 GROUP = 4096
+#: Sources whose totals are broadcast; more are joined.
+SOURCES = 100_000
+#: Equal rows that one row is turned back to in one task.
+AGAIN = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -108,11 +117,12 @@ def _reduce(level: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "row"], ascending=[False, True], kind="stable", ignore_index=True)
         seed, mass, p = _seed(level, *(str(k) for k in key)), rows["size"].to_numpy(), rows["fraction"].to_numpy(dtype=float).copy()
-        if not level:  # documents of one source share one fraction
-            live = int((mass > 0).sum())
-            if live and p[0] > 0:
-                done, p[:live] = settle_large(p[0], mass[:live], np.random.default_rng(seed + 1).random(live))
-                p[: len(done)] = done
+        if not level:  # documents of one source that occur once share one fraction
+            live = np.flatnonzero((mass > 0) & (rows["n"].to_numpy() == 1))
+            if len(live) and p[live[0]] > 0:
+                done, share = settle_large(p[live[0]], mass[live], np.random.default_rng(seed + 1).random(len(live)))
+                p[live] = share
+                p[live[: len(done)]] = done
         p, left = pivot(p, mass, seed)
         rows["fraction"] = p
         rows["residual"] = np.arange(len(rows)) == left
@@ -133,17 +143,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, k
     target = targets([(s, n) for s, n, _ in totals], weights, most)
     schema = "source string, source_size long, target double, groups int"
     dim = spark.createDataFrame([(s, n, target[s], -(-rows // group)) for s, n, rows in totals] or [], schema)
-    dim = F.broadcast(dim)  # one row a source; its size was just counted
+    dim = F.broadcast(dim) if len(totals) <= SOURCES else dim  # one row a source
+    same = sized.groupBy("key", "source", "h", "size").agg(F.count("*").alias("n"))
     rows = (
-        sized.withColumnRenamed("source", "own").join(dim, F.col("own").eqNullSafe(F.col("source"))).drop("own")
+        same.withColumnRenamed("source", "own").join(dim, F.col("own").eqNullSafe(F.col("source"))).drop("own")
         .withColumn("copies", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumn("whole", F.floor(F.col("copies") + F.lit(1e-12)).cast("long"))
-        .withColumn("fraction", F.greatest(F.lit(0.0), F.col("copies") - F.col("whole")))
+        .withColumn("part", F.greatest(F.lit(0.0), F.col("copies") - F.col("whole")) * F.col("n"))
+        .withColumn("more", F.floor(F.col("part") + F.lit(1e-12)).cast("long"))
+        .withColumn("fraction", F.greatest(F.lit(0.0), F.col("part") - F.col("more")))
         .withColumn("row", F.xxhash64("key", "h", F.lit(8)))
         .withColumn("g", F.pmod("row", F.col("groups")).cast("int"))
-        .select("key", "source", "size", "source_size", "target", "whole", "fraction", "row", "g")
+        .select("key", "source", "size", "source_size", "target", "whole", "n", "more", "fraction", "row", "g")
     )
-    out = "key {k}, source string, size long, source_size long, target double, whole long, fraction double, row long, g int, residual boolean".format(k=docs.schema[key].dataType.simpleString())
+    out = "key {k}, source string, size long, source_size long, target double, whole long, n long, more long, fraction double, row long, g int, residual boolean".format(k=docs.schema[key].dataType.simpleString())
     first = scratch.write(rows.groupBy("source", "g").applyInPandas(_reduce(0), out), "level0")
     open_ = first.filter("residual").select("source", F.col("g").alias("id"), "size", "fraction", "row")
     settled = None
@@ -159,7 +172,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, k
     settled = (last if settled is None else settled.union(last)).select(F.col("source").alias("s"), "id", F.col("fraction").alias("rounded"))
     # one residual a group: this side is smaller than the documents by the factor ``group``
     res = first.filter("residual").join(settled, F.col("source").eqNullSafe(F.col("s")) & (F.col("g") == F.col("id"))).withColumn("fraction", F.col("rounded"))
-    cols = ["key", "source", "size", "source_size", "target", "whole", "fraction"]
+    cols = ["key", "source", "size", "source_size", "target", "whole", "n", "more", "fraction"]
     both = first.filter("not residual").select(cols).union(res.select(cols))
-    copies = F.col("whole") + F.col("fraction").cast("long")
-    return both.select(F.col("key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    both = both.withColumn("more", F.col("more") + F.col("fraction").cast("long"))
+    # one row again for each that was counted; large counts are dealt to many tasks first
+    step = F.lit(AGAIN).cast("long")
+    often = both.filter(F.col("n") > step).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step))).repartition(partitions(spark), "key", "first")
+    each = both.filter(F.col("n") <= step).withColumn("first", F.lit(0).cast("long")).union(often)
+    each = each.withColumn("at", F.explode(F.sequence("first", F.least(F.col("first") + step, F.col("n")) - 1)))
+    copies = F.col("whole") + (F.col("at") < F.col("more")).cast("long")
+    return each.select(F.col("key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

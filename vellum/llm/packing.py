@@ -36,7 +36,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +49,8 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 24
+#: An epoch ends after so many generations without a better packing.
+PATIENCE = 6
 #: Bins of the first round at least so full stay.
 KEEP_FILL = 0.995
 #: A mutation rebuilds bins at least so full, from pieces in an order shaken by so many places.
@@ -193,10 +194,11 @@ def evolve(size: Sequence[int], seeds: list[Bins], capacity: int, seed: int, pop
                 start.append([x])
         pool.append(best_fit(list(set(items) - set(some)), size, start, capacity))
     scored = sorted(((len(p), -fitness(p, size, capacity), i, p) for i, p in enumerate(pool)), key=lambda x: x[:3])[:population]
-    n = len(pool)
+    n, since = len(pool), 0
     for _ in range(generations):
-        if scored[0][0] <= least:
+        if scored[0][0] <= least or since > PATIENCE:
             break
+        before = scored[0][0]
         i, j = rng.choice(len(scored), 2, replace=False) if len(scored) > 1 else (0, 0)
         child = crossover(scored[i][3], scored[j][3], size, capacity, rng)
         other = mutate(scored[0][3], size, capacity, rng)
@@ -204,6 +206,7 @@ def evolve(size: Sequence[int], seeds: list[Bins], capacity: int, seed: int, pop
             n += 1
             scored.append((len(c), -fitness(c, size, capacity), n, c))
         scored = sorted(scored, key=lambda x: x[:3])[:population]
+        since = 0 if scored[0][0] < before else since + 1
     return scored[0][3]
 
 
@@ -215,9 +218,9 @@ def _flat(bins: Bins, n: int) -> np.ndarray:
     return out
 
 
-def _grouped(of: np.ndarray) -> Bins:
-    out: Bins = [[] for _ in range(int(of.max()) + 1)]
-    for x, k in enumerate(of.tolist()):
+def _grouped(of: list[int]) -> Bins:
+    out: Bins = [[] for _ in range(max(of) + 1)]
+    for x, k in enumerate(of):
         out[k].append(x)
     return out
 
@@ -226,15 +229,13 @@ ISLAND_SCHEMA = "shard long, island int, length array<int>, item array<long>, el
 
 
 def _epoch(number: int, capacity: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             elites = []
-            for r in frame.itertuples():
-                size = np.asarray(r.length, dtype=np.int64)
-                seeds = [_grouped(np.asarray(e)) for e in r.elites]
-                best = evolve(size, seeds, capacity, (int(r.shard) * 1009 + int(r.island)) * 31 + number)
+            for shard, island, size, known in zip(*(batch.column(c).to_pylist() for c in ("shard", "island", "length", "elites")), strict=True):
+                best = evolve(size, [_grouped(e) for e in known], capacity, (shard * 1009 + island) * 31 + number)
                 elites.append([_flat(best, len(size)).tolist()])
-            yield frame.assign(elites=elites)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "island", "length", "item")), pa.array(elites, pa.list_(pa.list_(pa.int32())))], names=["shard", "island", "length", "item", "elites"])
 
     return run
 
@@ -242,17 +243,16 @@ def _epoch(number: int, capacity: int):
 def _finish(capacity: int):
     """Place each piece by the shard's fewest bins (then the fittest island's)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                size = np.asarray(r.length, dtype=np.int64)
-                packings = [_grouped(np.asarray(e)) for e in r.elites]
-                best = min(packings, key=lambda p: (len(p), -fitness(p, r.length, capacity)))
-                bins, offset, fill = _flat(best, len(size)), np.empty(len(size), np.int64), np.empty(len(size))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, lengths, item, known in zip(*(batch.column(c).to_pylist() for c in ("shard", "length", "item", "elites")), strict=True):
+                size = np.array(lengths, dtype=np.int64)
+                best = min((_grouped(e) for e in known), key=lambda p: (len(p), -fitness(p, lengths, capacity)))
+                bins, offset, fill = _flat(best, len(size)).astype(np.int64), np.empty(len(size), np.int64), np.empty(len(size))
                 for g in best:
                     ends = np.cumsum(size[g])
                     offset[g], fill[g] = ends - size[g], ends[-1] / capacity
-                yield pd.DataFrame({"item": np.asarray(r.item, dtype=np.int64), "shard": r.shard, "bin": bins.astype(np.int64), "offset": offset, "fill": fill})
+                yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(np.full(len(size), shard)), pa.array(bins), pa.array(offset), pa.array(fill)], names=["item", "shard", "bin", "offset", "fill"])
 
     return run
 
@@ -270,12 +270,12 @@ def _islands(pieces: DataFrame, scratch: Scratch, n: int, capacity: int, name: s
     many = min(shards * ISLANDS, 8 * spark.sparkContext.defaultParallelism)
     for epoch in range(EPOCHS):
         # one task an island where there are enough: evolution costs CPU, its rows are few
-        evolved = state.repartition(many, "shard", "island").mapInPandas(_epoch(epoch, capacity), ISLAND_SCHEMA)
+        evolved = state.repartition(many, "shard", "island").mapInArrow(_epoch(epoch, capacity), ISLAND_SCHEMA)
         evolved = scratch.write(evolved, f"{name}-epoch{epoch}")
         own = evolved.select("shard", "island", "length", "item", "elites")
         guest = evolved.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("elites").alias("sent"))
         state = own.join(guest, ["shard", "island"]).select("shard", "island", "length", "item", F.concat("elites", "sent").alias("elites"))
-    return state.filter("island = 0").mapInPandas(_finish(capacity), "item long, shard long, bin long, offset long, fill double")
+    return state.filter("island = 0").mapInArrow(_finish(capacity), "item long, shard long, bin long, offset long, fill double")
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

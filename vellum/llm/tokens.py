@@ -191,7 +191,6 @@ def encoder(kind: type[Encoder], path: str) -> Encoder:
     if key not in _CACHE:
         _CACHE[key] = kind(path)
         gc.freeze()
-        gc.set_threshold(100_000, 50, 100)  # pieces come and go by the million, in no cycles
     claim(f"encoder {path}", _CACHE[key].forget)
     return _CACHE[key]
 

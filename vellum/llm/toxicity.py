@@ -57,7 +57,7 @@ HELD_OUT = 5
 PREFIXES = (4, 5, 6, 7)
 LEAST_DOCS = 3
 #: Tokens whose weights a worker keeps.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 400_000
 #: Characters that are counted in one call, about.
 JOINED = 1 << 20
 

@@ -68,8 +68,9 @@ def _cut(path: str, end_id: int, capacity: int):
         enc = encoder(SpaceEncoder, path)
         for batch in batches:
             cols: list[list[int]] = [[] for _ in range(5)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-                ids = enc.encode(text.as_py()) + end
+            texts = (t.as_py() for t in batch.column("text").cast(pa.binary()))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode_many(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

@@ -166,7 +166,7 @@ class Segment:
 def _segments(path: str, end_id: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(WordEncoder, path)
-        end = np.array([end_id], dtype="<u4")
+        end = np.array([end_id], dtype="<u4").tobytes()
         shard, seg, done, held = None, 0, 0, 0
         docs: list[int | None] = []
         ids: list[np.ndarray] = []
@@ -184,9 +184,9 @@ def _segments(path: str, end_id: int, limit: int):
         for batch in batches:
             if shard is None and batch.num_rows:
                 shard = batch.column("shard")[0].as_py()
-            texts = batch.column("text").cast(pa.binary())
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                one = np.concatenate([np.frombuffer(enc.encode(text.as_py()), "<u4"), end])
+            texts = (t.as_py() for t in batch.column("text").cast(pa.binary()))
+            for doc, found in zip(batch.column("doc_id").to_pylist(), enc.encode_many(texts), strict=True):
+                one = np.frombuffer(found + end, "<u4")
                 if docs and held + len(one) > limit:
                     yield close()
                 docs.append(doc)

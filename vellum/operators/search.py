@@ -24,9 +24,21 @@ def occurrences(text: Column, needle: Column) -> Column:
 def search(lines: DataFrame, needles: DataFrame) -> DataFrame:
     """(needle_id, doc_id, line_no, start, stop) of literal needles in ``lines(norm)``.
 
-    Needles are a stated query set: a small table, held by every task.
+    What stands between two spaces of a needle is a whole word of each line that
+    holds the needle, so lines and needles meet by the longest such word (an
+    equi-join; the plan broadcasts needles only if they are small) and the
+    needle is looked for in what is left.  Needles of one or two words have no
+    such word; they meet every line.
     """
-    hit = lines.join(F.broadcast(needles), F.contains(lines["norm"], needles["needle"]))
+    inner = F.filter(F.slice(F.split("needle", " "), F.lit(2), F.greatest(F.lit(0), F.size(F.split("needle", " ")) - 2)), lambda w: w != "")
+    keyed = needles.filter("needle <> ''").select("needle_id", "needle", F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a)).alias("key"))
+    rows = lines.select("doc_id", "page_index", "line_no", "norm")
+    words = rows.select("doc_id", "line_no", F.explode(F.array_distinct(F.split("norm", " "))).alias("key"))
+    some = words.join(keyed.filter("key <> ''"), "key").select("needle_id", "needle", "doc_id", "line_no")
+    hit = rows.join(some, ["doc_id", "line_no"]).filter(F.contains("norm", "needle"))
+    short = keyed.filter("key = ''").select("needle_id", "needle")
+    if not short.isEmpty():
+        hit = hit.unionByName(rows.join(short, F.contains(rows["norm"], short["needle"])).select(hit.columns))
     return hit.select("needle_id", "doc_id", "page_index", "line_no", F.explode(occurrences(F.col("norm"), F.col("needle"))).alias("start"), F.length("needle").alias("n")).withColumn("stop", F.col("start") + F.col("n")).drop("n")
 
 

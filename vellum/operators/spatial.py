@@ -1,17 +1,20 @@
 """Spatial joins between boxes of one page.
 
-Every join carries the page as equi-keys, so a theta condition is a residual
-filter over one page's rows; nothing is joined across pages.
+Every join carries the page as equi-keys and, where many boxes of a page meet many,
+cells of the page that both boxes touch; the theta condition is a residual filter
+over what shares a cell.  Nothing is joined across pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 
 PAGE = ("doc_id", "page_index")
+#: Sides of the cells by which boxes meet: about a line's distance, and some words.
+CELL_H, CELL_W = 36.0, 128.0
 
 
 def _pages(a: str, b: str) -> Column:
@@ -24,18 +27,32 @@ def corners(prefix: str) -> dict[str, Column]:
 
 def nearest(probes: DataFrame, spans: DataFrame, key: str, reach: float = 25.0) -> DataFrame:
     """For each probe (key, page, x, baseline) the span (seq, ox, oy) at the least L1 distance below ``reach``; ties to the first."""
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    # what is nearer than a cell's side lies in the same cell or in one beside it
+    asked = probes.withColumn("cy", around("baseline")).withColumn("cx", around("x"))
+    held = spans.withColumns({"cy": cell("oy"), "cx": cell("ox")})
     dist = F.abs(F.col("s.ox") - F.col("p.x")) + F.abs(F.col("s.oy") - F.col("p.baseline"))
-    near = _pages("p", "s") & (F.abs(F.col("s.oy") - F.col("p.baseline")) < reach) & (F.abs(F.col("s.ox") - F.col("p.x")) < reach)
-    pairs = probes.alias("p").join(spans.alias("s"), near).select(F.col("p.doc_id").alias("doc_id"), F.col(f"p.{key}").alias(key), F.col("s.seq").alias("seq"), dist.alias("d")).filter(F.col("d") < reach)
+    near = _pages("p", "s") & (F.col("p.cy") == F.col("s.cy")) & (F.col("p.cx") == F.col("s.cx"))
+    pairs = asked.alias("p").join(held.alias("s"), near).select(F.col("p.doc_id").alias("doc_id"), F.col(f"p.{key}").alias(key), F.col("s.seq").alias("seq"), dist.alias("d")).filter(F.col("d") < reach)
     best = pairs.groupBy("doc_id", key).agg(F.min(F.struct("d", "seq")).alias("b"))
     return best.select("doc_id", key, "b.seq", F.col("b.d").alias("dist"))
 
 
-def uncovered(words: DataFrame, items: DataFrame, share: float) -> DataFrame:
-    """Words of which no item covers more than ``share``."""
+def _cells(boxes: DataFrame) -> DataFrame:
+    """``boxes`` once for each cell that they touch."""
+    span = lambda a, b, side: F.explode(F.sequence(F.floor(F.col(a) / side), F.floor(F.greatest(a, b) / side)))
+    return boxes.withColumn("cy", span("top", "bottom", CELL_H)).withColumn("cx", span("left", "right", CELL_W))
+
+
+def uncovered(words: DataFrame, items: DataFrame, share: float, key: tuple[str, ...] = ("line_no", "word_no")) -> DataFrame:
+    """Words, told apart on their page by ``key``, of which no item covers more than ``share``."""
     a, b = corners("w"), corners("i")
-    cover = _pages("w", "i") & (G.intersection(a, b) > share * F.greatest(F.lit(1.0), G.area(a)))
-    return words.alias("w").join(items.alias("i"), cover, "left_anti")
+    box = ("left", "right", "top", "bottom")
+    asked, held = _cells(words.select(*PAGE, *key, *box)), _cells(items.select(*PAGE, *box))
+    cover = _pages("w", "i") & (F.col("w.cy") == F.col("i.cy")) & (F.col("w.cx") == F.col("i.cx")) & (G.intersection(a, b) > share * F.greatest(F.lit(1.0), G.area(a)))
+    covered = asked.alias("w").join(held.alias("i"), cover, "left_semi").select(*PAGE, *key).distinct()
+    return words.join(covered, [*PAGE, *key], "left_anti")
 
 
 def first_overlap(lines: DataFrame, links: DataFrame) -> DataFrame:
@@ -53,14 +70,25 @@ def restored(saved: DataFrame, redacted: DataFrame, managed: DataFrame) -> DataF
     return hit.alias("s").join(managed.alias("m"), meets("s", "m"), "left_anti")
 
 
+def _parted(boxes: DataFrame, keys: tuple[str, ...], low: str, high: str, name: str) -> DataFrame:
+    """``boxes`` numbered by parts of ``keys`` that don't reach one another in one direction."""
+    w = Window.partitionBy(*keys).orderBy(low, high)
+    opens = F.coalesce(F.col(low) >= F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    return boxes.withColumn("_opens", opens.cast("int")).withColumn(name, F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+
+
 def suppressed(words: DataFrame, least: float) -> DataFrame:
     """Words without those that a more confident word of the same text overlaps by more than ``least``.
 
     Greedy in order of confidence: a word that is itself suppressed suppresses
-    nothing.  Groups of one text on one page are folded in one expression.
+    nothing.  Boxes of one text are first parted where nothing reaches from one
+    to the next, down the page and then across, as those can't suppress each
+    other; what is left together is folded in one expression.
     """
+    text = (*PAGE, "t")
+    words = _parted(_parted(words.withColumn("t", F.trim("text")), text, "top", "bottom", "py"), (*text, "py"), "left", "right", "px")
     box = F.struct("conf", (-F.col("seq")).alias("o"), "seq", F.col("left").alias("x0"), F.col("right").alias("x1"), F.col("top").alias("y0"), F.col("bottom").alias("y1"))
-    groups = words.groupBy(*PAGE, F.trim("text").alias("text")).agg(F.sort_array(F.collect_list(box), asc=False).alias("all"))
+    groups = words.groupBy(*text, "py", "px").agg(F.sort_array(F.collect_list(box), asc=False).alias("all"))
 
     def area(b):
         return (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
@@ -73,4 +101,4 @@ def suppressed(words: DataFrame, least: float) -> DataFrame:
 
     none = F.slice("all", 1, 0)
     kept = F.aggregate("all", none, lambda acc, x: F.when(F.exists(acc, lambda k: over(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return groups.select(*PAGE, "text", F.explode(F.transform(kept, lambda x: x["seq"])).alias("seq"))
+    return groups.select(*PAGE, F.col("t").alias("text"), F.explode(F.transform(kept, lambda x: x["seq"])).alias("seq"))

@@ -9,11 +9,14 @@ from vellum.operators import spatial as S
 from vellum.plans.registry import query
 from vellum.sources.layout import SQL_ITEMS, SQL_LINES, items, lines
 
-SEQ = "line_no * 1000 + word_no"
+#: A word's place in its document as one number; ``word_no`` is below 2**32.
+SEQ = "cast(line_no as bigint) * 4294967296 + word_no"
+SQL_SEQ = "line_no::BIGINT * 4294967296 + word_no"
+COPY = 1 << 62
 
 
 @query(f"""WITH {SQL_ITEMS}, p AS (SELECT doc_id, page_index, line_no, 72.0 + (line_no % 3) * 11 AS x, top + 9.6 + line_no % 4 AS baseline FROM layout_lines),
-d AS (SELECT p.doc_id, p.line_no, i.line_no * 1000 + i.word_no AS seq, abs(i."left" - x) + abs(i.top + 9.6 - baseline) AS d FROM p JOIN layout_items i ON p.doc_id = i.doc_id AND p.page_index = i.page_index AND abs(i.top + 9.6 - baseline) < 25)
+d AS (SELECT p.doc_id, p.line_no, i.line_no::BIGINT * 4294967296 + i.word_no AS seq, abs(i."left" - x) + abs(i.top + 9.6 - baseline) AS d FROM p JOIN layout_items i ON p.doc_id = i.doc_id AND p.page_index = i.page_index AND abs(i.top + 9.6 - baseline) < 25)
 SELECT doc_id, line_no, seq::BIGINT AS seq, round(d, 6) AS dist FROM d WHERE d < 25 QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY d, seq) = 1""")
 def nearest_span(spark, sf):
     probes = lines(spark, sf).select("doc_id", "page_index", "line_no", (72.0 + F.col("line_no") % 3 * 11).alias("x"), (F.col("top") + 9.6 + F.col("line_no") % 4).alias("baseline"))
@@ -30,7 +33,7 @@ def _words(spark, sf, shift=4.0):
     return i.withColumns({"left": F.col("left") + shift, "right": F.col("right") + shift, "seq": F.expr(SEQ).cast("long")})
 
 
-SQL_WORDS = f"""{SQL_ITEMS}, native AS (SELECT * FROM layout_items WHERE ocr_conf < 20), words AS (SELECT * REPLACE ("left" + 4 AS "left", "right" + 4 AS "right"), line_no * 1000 + word_no AS seq FROM layout_items)"""
+SQL_WORDS = f"""{SQL_ITEMS}, native AS (SELECT * FROM layout_items WHERE ocr_conf < 20), words AS (SELECT * REPLACE ("left" + 4 AS "left", "right" + 4 AS "right"), {SQL_SEQ} AS seq FROM layout_items)"""
 SQL_INTER = """greatest(0, least({a}."right", {b}."right") - greatest({a}."left", {b}."left")) * greatest(0, least({a}.bottom, {b}.bottom) - greatest({a}.top, {b}.top))"""
 
 
@@ -79,17 +82,17 @@ def link_restore_semi_anti(spark, sf):
     return S.restored(_links(spark, sf), ln.filter("line_no % 3 = 0"), ln.filter("line_no % 10 = 4")).select("doc_id", "link_seq", "uri")
 
 
-SQL_TILES = f"""{SQL_ITEMS}, tiles AS (SELECT doc_id, page_index, text, line_no * 1000 + word_no AS seq, "left", "right", top, bottom, ocr_conf AS conf FROM layout_items
- UNION ALL SELECT doc_id, page_index, text, 1000000 + line_no * 1000 + word_no, "left" + 1 + word_no % 9, "right" + 1 + word_no % 9, top + 1, bottom + 1, (ocr_conf * 7) % 100 FROM layout_items WHERE word_no % 2 = 0)"""
+SQL_TILES = f"""{SQL_ITEMS}, tiles AS (SELECT doc_id, page_index, text, {SQL_SEQ} AS seq, "left", "right", top, bottom, ocr_conf AS conf FROM layout_items
+ UNION ALL SELECT doc_id, page_index, text, {COPY} + {SQL_SEQ}, "left" + 1 + word_no % 9, "right" + 1 + word_no % 9, top + 1, bottom + 1, (ocr_conf * 7) % 100 FROM layout_items WHERE word_no % 2 = 0)"""
 
 
-@query(f"""WITH {SQL_TILES} SELECT doc_id, seq::BIGINT AS seq FROM tiles a WHERE NOT EXISTS (SELECT 1 FROM tiles b WHERE a.doc_id = b.doc_id AND a.page_index = b.page_index AND trim(a.text) = trim(b.text) AND a.seq % 1000000 = b.seq % 1000000 AND a.seq <> b.seq
+@query(f"""WITH {SQL_TILES} SELECT doc_id, seq::BIGINT AS seq FROM tiles a WHERE NOT EXISTS (SELECT 1 FROM tiles b WHERE a.doc_id = b.doc_id AND a.page_index = b.page_index AND trim(a.text) = trim(b.text) AND a.seq % {COPY} = b.seq % {COPY} AND a.seq <> b.seq
  AND (b.conf > a.conf OR (b.conf = a.conf AND b.seq < a.seq)) AND {SQL_INTER.format(a='a', b='b')} / ((a."right" - a."left") * 12 + (b."right" - b."left") * 12 - {SQL_INTER.format(a='a', b='b')}) > 0.5)""")
 def nms_dedupe(spark, sf):
     """Copies of words in overlapping tiles: the more confident stays."""
     i = items(spark, sf).withColumns({"seq": F.expr(SEQ).cast("long"), "conf": F.col("ocr_conf")})
     push = 1 + F.col("word_no") % 9
-    copy = i.filter("word_no % 2 = 0").withColumns({"seq": F.col("seq") + 1000000, "left": F.col("left") + push, "right": F.col("right") + push, "top": F.col("top") + 1, "bottom": F.col("bottom") + 1, "conf": F.col("ocr_conf") * 7 % 100})
+    copy = i.filter("word_no % 2 = 0").withColumns({"seq": F.col("seq") + COPY, "left": F.col("left") + push, "right": F.col("right") + push, "top": F.col("top") + 1, "bottom": F.col("bottom") + 1, "conf": F.col("ocr_conf") * 7 % 100})
     return S.suppressed(i.unionByName(copy), 0.5).select("doc_id", "seq")
 
 

@@ -1,15 +1,24 @@
 """Positioned text derived from ``documents``: the engine's input tables on the driver's data.
 
 Lines are 20 to a page of 612 by 792; words are placed by their character
-offset.  Everything is a projection over a generator: no shuffle.
+offset.  Lines are a projection over a generator, words one pass of array kernels
+over batches of texts (a fold in an expression appends to an array for each word):
+no shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_W, PAGE_H, ROWS = 612.0, 792.0, 20
+#: Bytes of text that are cut into words at once; a longer text is cut alone.
+AT_ONCE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,29 +35,46 @@ def lines_of(documents: DataFrame) -> DataFrame:
     )
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each line with their place and character offset, by array kernels; ``AT_ONCE`` bytes of text at a time."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(size // AT_ONCE)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            some = batch.slice(a, b - a)
+            lines, line_no, doc = _split(some.column("text"), "\n")
+            words, word_no, line = _split(lines, " ")
+            n = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(n + 1)
+            begin = ends - n - 1
+            offset = begin - begin[np.flatnonzero(word_no == 0)][line]
+            keep = n > 0
+            cols = [some.column("doc_id").take(pa.array(doc[line][keep])), *(pa.array(c[keep].astype(np.int32)) for c in (line_no[line], word_no, offset)), words.filter(pa.array(keep))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "line_no", "word_no", "o", "text"])
+
+
+def _split(texts: pa.Array, sign: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All parts, each one's number in its text, and its text's number."""
+    lists = pc.split_pattern(texts, sign)
+    owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    count = np.bincount(owner, minlength=len(texts))
+    return lists.flatten(), np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count), owner
+
+
 def items_of(documents: DataFrame, columns: int = 1) -> DataFrame:
     """Words of each line; with two columns, odd rows are shifted right by 270."""
-    lines = lines_of(documents)
-    words = F.split("text", " ")
-    at = F.transform(words, lambda w, i: F.struct(i.alias("word_no"), w.alias("word"), F.length(w).alias("n")))
-    rows = lines.select("*", F.inline(F.filter(with_offsets(at), lambda x: x["n"] > 0)))
-    shift = F.when(F.lit(columns == 2) & (F.col("row") % 2 == 1), 270.0).otherwise(0.0)
-    left = 72.0 + 6 * F.col("o") + shift
+    doc = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.filter("text is not null").select("doc_id", "text").mapInArrow(_words, f"doc_id {doc}, line_no int, word_no int, o int, text string")
+    row, n = F.col("line_no") % ROWS, F.length("text")
+    shift = F.when(F.lit(columns == 2) & (row % 2 == 1), 270.0).otherwise(0.0)
+    left, top = 72.0 + 6 * F.col("o") + shift, F.lit(36.0) + 36 * row
     return rows.select(
-        "doc_id", "page_index", "line_no", "row", "word_no", "o", F.col("word").alias("text"), left.alias("left"), (left + 6 * F.col("n")).alias("right"),
-        "top", "bottom", "baseline", "height", (F.col("n") % 5 == 0).alias("bold"), (F.col("n") % 7 == 0).alias("italic"),
+        "doc_id", F.floor(F.col("line_no") / ROWS).cast("int").alias("page_index"), "line_no", row.alias("row"), "word_no", "o", "text", left.alias("left"), (left + 6 * n).alias("right"),
+        top.alias("top"), (top + 12).alias("bottom"), (top + 9.6).alias("baseline"), F.lit(12.0).alias("height"), (n % 5 == 0).alias("bold"), (n % 7 == 0).alias("italic"),
         ((F.col("doc_id") * 31 + F.col("line_no") * 17 + F.col("word_no") * 7) % 101).cast("int").alias("ocr_conf"),
     )
 
 
-def with_offsets(words):
-    """Adds ``o``, the words' character offsets, by one fold."""
-    kind = "array<struct<word_no:int,word:string,n:int,o:int>>"
-    init = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["n"] + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(x["word_no"], x["word"], x["n"], acc["at"].alias("o")))).alias("out"))
-    return F.aggregate(words, init, step, lambda a: a["out"])
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(table(spark, sf_dir, "documents"))
 

@@ -540,6 +540,39 @@ def test_near_vectors_equal_brute_force(spark):
     assert embed_dedup.near_vectors(df.filter("vec_id < 0")).collect() == []
 
 
+def test_near_vectors_of_clusters_repeats_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "INSIDE", 40)
+    monkeypatch.setattr(embed_dedup, "ACROSS", 16)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6, 32))
+    x = np.concatenate([base[k] + rng.normal(scale=s, size=(n, 32)) for k, (n, s) in enumerate([(120, 0.05), (60, 0.25), (60, 0.32), (30, 0.2), (1, 0), (1, 0)])] + [rng.normal(size=(60, 32))])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)] + [(3, x[3].tolist(), 2), (500, x[3].tolist(), 2), (501, (2 * x[3]).tolist(), 2), (600, None, 1), (601, [0.0] * 32, 1), (602, [float("nan")] * 32, 1), (None, x[0].tolist(), 1)]
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n int")).collect()
+    ok = [(i, np.array(v)) for i, v, _ in rows if i is not None and v is not None and np.isfinite(v).all() and np.any(v)]
+    u = np.stack([v / np.linalg.norm(v) for _, v in ok])
+    linked = u @ u.T >= 0.95
+    n_links = linked.sum(axis=1) - 1
+    root = {i: i for i, _ in ok}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in zip(*np.nonzero(linked), strict=True):
+        p, q = top(ok[a][0]), top(ok[b][0])
+        root[max(p, q)] = min(p, q)
+    want = sorted([(i, int(n), top(i)) for (i, _), n in zip(ok, n_links, strict=True)] + [(600, 0, 600), (601, 0, 601), (602, 0, 602)])
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got if r["vec_id"] is not None) == want
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None] == [(0, None, True)]
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got if r["vec_id"] is not None)
+    assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_tables_grow_with_rows():
+    assert embed_dedup.shape(10**6, 64) == (20, 3) and embed_dedup.shape(10**11, 64)[1] == 4 and embed_dedup.shape(0, 64) == (20, 3)
+
+
 @pytest.mark.parametrize("scale", [False, True])
 def test_nearest(spark, scale):
     x, df = vectors(spark, scale=scale)

@@ -47,7 +47,7 @@ HASHES = 3
 #: Rows of one bucket that hold no near copies, about, before a table joins one more hash; tables added with it.
 OCCUPANCY, MORE_TABLES = 500, 10
 #: Rows of a block: of one component, and of a bucket's other components.
-INSIDE, ACROSS = 1024, 256
+INSIDE, ACROSS = 1024, 1024
 
 
 def shape(n: int, dim: int) -> tuple[int, int]:

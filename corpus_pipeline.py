@@ -2,6 +2,13 @@
 
 Each stage takes all that its predecessor kept, as written Parquet, and
 returns the columns of ``documents`` (the last one returns packed pieces).
+
+Defined results: other columns of the input are left out, whatever their names;
+an empty table gives no rows.  Null and empty texts score like texts without an
+entry, are in no group of copies, hold no secrets, have no words and so go in the
+mixture.  Rows without an id are in no group of copies; of rows that share an id
+each is judged by its own text.  Repeated rows are one group of copies.  Texts of
+any length are read whole.
 """
 
 from __future__ import annotations

@@ -184,8 +184,12 @@ def size_outliers(spark, sf):
     return h.withColumn("med", med).select("doc_id", "line_no", F.when(F.col("h") > 1.7 * F.col("med"), F.col("med")).otherwise(F.col("h")).alias("size"))
 
 
-@query(f"""WITH {SQL_LINES}, w AS (SELECT DISTINCT doc_id, page_index FROM layout_lines), done AS (SELECT DISTINCT conv_id AS doc_id, (turn % 3)::INT AS page_index FROM conversations WHERE role = 'user') SELECT doc_id, page_index FROM w WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM done d WHERE d.doc_id = w.doc_id AND d.page_index = w.page_index)""")
+@query(f"""WITH {SQL_ITEMS}, n AS (SELECT doc_id, page_index, count(*) FILTER (WHERE ocr_conf < 3) AS n, coalesce(sum(length(text)) FILTER (WHERE ocr_conf < 3), 0) AS chars FROM layout_items GROUP BY ALL), done AS (SELECT DISTINCT conv_id AS doc_id, (turn % 3)::INT AS page_index FROM conversations WHERE role = 'user')
+SELECT doc_id, page_index FROM n WHERE n <= 4 AND chars <= 24 AND (300 + doc_id % 300)::DOUBLE * (200 + doc_id % 500) > 0.35 * 612 * 792 AND NOT EXISTS (SELECT 1 FROM done d WHERE d.doc_id = n.doc_id AND d.page_index = n.page_index)""")
 def pages_to_recognise(spark, sf):
-    """Pages that need recognition and haven't had it."""
+    """Pages of a large image and hardly any text of their own that haven't been recognised."""
+    native = F.col("ocr_conf") < 3
+    pages = items(spark, sf).groupBy("doc_id", "page_index").agg(F.count_if(native).alias("n"), F.coalesce(F.sum(F.when(native, F.length("text"))), F.lit(0)).alias("chars"))
+    image = (300 + F.col("doc_id") % 300).cast("double") * (200 + F.col("doc_id") % 500) > 0.35 * 612 * 792
     done = table(spark, sf, "conversations").filter("role = 'user'").select(F.col("conv_id").alias("doc_id"), (F.col("turn") % 3).cast("int").alias("page_index")).distinct()
-    return lines(spark, sf).filter("doc_id % 2 = 0").select("doc_id", "page_index").distinct().join(done, ["doc_id", "page_index"], "left_anti")
+    return pages.filter((F.col("n") <= 4) & (F.col("chars") <= 24) & image).select("doc_id", "page_index").join(done, ["doc_id", "page_index"], "left_anti")

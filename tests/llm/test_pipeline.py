@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from vellum.llm import near_dedup
 from vellum.llm.scratch import Scratch, table
@@ -38,12 +40,27 @@ def test_stages(spark):
 
 def test_odd_rows(spark):
     rng = random.Random(0)
-    rows = [(i, " ".join(rng.choice(["the", "on", "er"]) for _ in range(9)), "en", "s", 1) for i in range(30)] + [(50, None, None, None, None), (51, "", "en", None, 0), (None, "x y", None, "t", 3), (None, "x y", None, "t", 3), (7, "twice", "en", "s", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    long = "qz " * 60_000 + "password=abcdef123 " + "Ab3" * 20_000
+    rows = [(i, " ".join(rng.choice(["the", "on", "er"]) for _ in range(9)), "en", "s", 1, "k") for i in range(30)]
+    rows += [(50, None, None, None, None, "k"), (51, "", "en", None, 0, "k"), (None, "x y", None, "t", 3, "k"), (None, "x y", None, "t", 3, None), (7, "twice", "en", "s", 5, "k"), (60, long, "en", "s", 1, "k"), (61, long, "en", "s", 1, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string").withColumns({"score": F.lit(1), "h": F.lit("x")})
     scratch = Scratch(spark, "test")
+    out = {}
     for name, stage in corpus_pipeline.STAGES:
         docs = scratch.write(stage(spark, docs, SF), name)
-    assert docs.count() > 0
+        out[name] = docs.collect()
+        if name != "packing":
+            assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+    ids = lambda name: Counter(r["doc_id"] for r in out[name])
+    assert ids("toxicity") == Counter(r[0] for r in rows)  # nothing here is toxic
+    kept = ids("near_dedup")
+    assert kept[None] == 2 and kept[50] == kept[51] == 1 and kept[60] == 1 and 61 not in kept and kept[7] == 2
+    assert ids("secret_scan") == kept
+    found = {r["doc_id"]: r["text"] for r in out["secret_scan"]}
+    assert found[60].startswith("qz qz") and "abcdef123" not in found[60] and found[50] is None and found[51] == ""
+    mixed = ids("mixing")
+    assert 50 not in mixed and 51 not in mixed and max(mixed.values()) <= 6 and set(mixed) <= set(kept)
+    assert Counter(r["doc_id"] for r in out["packing"] if r["piece"] == 0) == mixed
 
 
 def test_empty(spark):

@@ -155,3 +155,13 @@ def test_clients_are_apart(spark):
     rows = [(i, f"2024-01-01 00:00:{i:02d}", 1) for i in range(40)] + [(99, "2024-01-01 00:00:59", 2)]
     r = rate_limit.decided(spark.createDataFrame(rows, "req_id int, t string, client int").withColumn("ts", F.to_timestamp("t")), "1 minute", 30).collect()
     assert sum(x["allowed"] for x in r if x["client"] == 1) == 30 and all(x["allowed"] for x in r if x["client"] == 2)
+
+
+def test_sums_before_cut_into_stretches(spark, monkeypatch):
+    """Negative, sparse and repeated places; two groups; stretches of three places."""
+    monkeypatch.setattr(pages, "STRETCH", 3)
+    rows = [(g, p, f"d{k}", k + 1) for g in (0, 1) for k, p in enumerate((-7, -3, -3, 0, 1, 2, 3, 40))]
+    got = pages.sums_before(spark.createDataFrame(rows, "g int, pos long, id string, n long"), "g", ["pos", "id"], F.col("n"))
+    want = {(g, i): sum(n2 for g2, p2, i2, n2 in rows if g2 == g and (p2, i2) < (p, i)) for g, p, i, _ in rows}
+    assert {(r["g"], r["id"]): r["before"] for r in got.collect()} == want
+    assert got.columns == ["g", "pos", "id", "n", "before"]

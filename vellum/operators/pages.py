@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Places of a group that are numbered in one task.
+STRETCH = 1 << 16
 RANGE = r"^(\d+)\s*(?:[-–—]\s*(\d+))?$"
 
 
@@ -36,19 +38,35 @@ def moved(pages: DataFrame, source: Column, before: Column) -> DataFrame:
     return pages.withColumn("out_pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy(key)) - 1).cast("int"))
 
 
+def sums_before(rows: DataFrame, group: str, order: list[str], value: Column) -> DataFrame:
+    """``rows`` with ``before``, the sum of ``value`` over the rows of their group that come before them.
+
+    The first key of ``order`` is a whole number and cuts each group into
+    stretches of ``STRETCH``: sums of stretches are added up first (a row each),
+    then rows within their stretch, so no group is one task.
+    """
+    cut = rows.withColumns({"_value": value, "_stretch": F.floor(F.col(order[0]) / STRETCH)})
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = cut.groupBy(group, "_stretch").agg(F.sum("_value").alias("_sum"))
+    base = sums.select(group, "_stretch", zero(F.sum("_sum").over(upto(Window.partitionBy(group).orderBy("_stretch")))).alias("_base"))
+    inner = zero(F.sum("_value").over(upto(Window.partitionBy(group, "_stretch").orderBy(*order))))
+    return cut.withColumn("_inner", inner).join(base, [group, "_stretch"]).withColumn("before", (F.col("_base") + F.col("_inner")).cast("long")).drop("_value", "_stretch", "_inner", "_base")
+
+
 def merged(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages of ``docs(group_id, doc_order, doc_id)`` in one sequence a group."""
+    """Pages of ``docs(group_id, doc_order, doc_id)`` in one sequence a group; ``doc_order`` is a whole number."""
+    key = ["group_id", "doc_order", "doc_id"]
     both = docs.join(pages, "doc_id")
-    at = F.row_number().over(Window.partitionBy("group_id").orderBy("doc_order", "doc_id", "page_index")) - 1
-    return both.withColumn("out_pos", at.cast("long"))
+    sizes = sums_before(both.groupBy(*key).agg(F.count("*").alias("n")), "group_id", key[1:], F.col("n")).drop("n")
+    at = F.row_number().over(Window.partitionBy(*key).orderBy("page_index")) - 1
+    return both.withColumn("at", at).join(sizes, key).withColumn("out_pos", F.col("before") + F.col("at")).drop("at", "before")
 
 
 def archive(entries: DataFrame) -> DataFrame:
-    """Offsets of a stored archive's entries: ``entries(archive, pos, name, size)``."""
-    local = 30 + F.length("name") + F.col("size")
-    w = Window.partitionBy("archive").orderBy("pos")
-    offset = F.coalesce(F.sum(local).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return entries.withColumns({"offset": offset, "central": 46 + F.length("name")})
+    """Offsets of a stored archive's entries: ``entries(archive, pos, name, size)``; ``pos`` is a whole number."""
+    placed = sums_before(entries, "archive", ["pos"], 30 + F.length("name") + F.col("size"))
+    return placed.withColumnRenamed("before", "offset").withColumn("central", 46 + F.length("name"))
 
 
 def rotated(base: Column, by: Column) -> Column:

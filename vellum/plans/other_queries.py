@@ -76,9 +76,8 @@ def dark_runs(spark, sf):
 
 @query(f"""WITH {SQL_PIXELS} SELECT page_id, list_sort(list((77 * r + 150 * g + 29 * b) >> 8))[floor(count(*) * 0.72)::INT + 1]::INT AS background, greatest(300, least(660, count(*)))::BIGINT AS clamp FROM pixels GROUP BY 1""")
 def background_percentile(spark, sf):
-    v = F.array_sort(F.collect_list(G.luma(F.col("r"), F.col("g"), F.col("b"))))
-    p = pixels(spark, sf).groupBy("page_id").agg(v.alias("v"), F.count("*").alias("n"))
-    return p.select("page_id", F.element_at("v", (F.floor(F.col("n") * 0.72) + 1).cast("int")).alias("background"), F.greatest(F.lit(300), F.least(F.lit(660), "n")).cast("long").alias("clamp"))
+    p = R.background(R.histogram(pixels(spark, sf)), 0.72)
+    return p.select("page_id", "background", F.greatest(F.lit(300), F.least(F.lit(660), "n")).cast("long").alias("clamp"))
 
 
 @query(f"""WITH {SQL_PIXELS}, s AS (SELECT page_id, stddev_pop((77 * r + 150 * g + 29 * b) >> 8) AS sd, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM pixels GROUP BY 1) SELECT page_id, sd > 24 OR sqrt((r - 200) ** 2 + (g - 210) ** 2 + (b - 220) ** 2) > 26 AS dirty FROM s""")

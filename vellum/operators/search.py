@@ -110,3 +110,18 @@ def fuzzy_search(lines: DataFrame, needles: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["needle_id", "doc_id", "line_no", "start", "stop", "dist"])
 
     return lines.select("doc_id", "line_no", "norm").mapInPandas(run, "needle_id long, doc_id long, line_no int, start int, stop int, dist int")
+
+
+def match_boxes(matches: DataFrame, items: DataFrame) -> DataFrame:
+    """``matches(doc_id, line_no, start, stop)`` with the box of their characters: parts of words in proportion.
+
+    ``items(doc_id, line_no, o, text, left, right, top, bottom)`` hold each word's
+    place ``o`` in the line's text.  A match that no word meets has no row.
+    """
+    o, n, w = F.col("o"), F.length("text"), F.col("right") - F.col("left")
+    words = items.filter("trim(text) <> ''").select("doc_id", "line_no", "o", "text", "left", "right", "top", "bottom")
+    key = [c for c in matches.columns if c not in ("x0", "x1", "y0", "y1")]
+    both = matches.join(words, ["doc_id", "line_no"]).filter((o + n > F.col("start")) & (o < F.col("stop")))
+    a = F.col("left") + w * (F.greatest(F.col("start"), o) - o) / n
+    b = F.col("left") + w * (F.least(F.col("stop"), o + n) - o) / n
+    return both.groupBy(*key).agg(F.min(a).alias("x0"), F.max(b).alias("x1"), F.min("top").alias("y0"), F.max("bottom").alias("y1")).filter("x1 > x0")

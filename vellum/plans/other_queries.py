@@ -40,10 +40,10 @@ SQL_PIXELS = f"""{SQL_ITEMS}, pixels AS (SELECT doc_id % 40 AS page_id, (doc_id
 hist AS (SELECT page_id, (77 * r + 150 * g + 29 * b) >> 8 AS bin, count(*) AS n FROM pixels GROUP BY ALL)"""
 
 
-def pixels(spark, sf):
+def pixels(spark, sf, page="doc_id % 40"):
     dark = F.length("text") % 3 == 0
     return items(spark, sf).select(
-        (F.col("doc_id") % 40).alias("page_id"), (F.floor(F.col("doc_id") / 40) * 200 + F.col("line_no")).cast("int").alias("y"), F.col("word_no").alias("x"),
+        F.expr(page).alias("page_id"), (F.floor(F.col("doc_id") / 40) * 200 + F.col("line_no")).cast("int").alias("y"), F.col("word_no").alias("x"),
         F.when(dark, 20 + F.col("o") % 60).otherwise(180 + F.col("o") % 70).alias("r"), F.when(dark, 10 + F.col("word_no") % 50).otherwise(190 + F.col("word_no") % 60).alias("g"), F.when(dark, 30).otherwise(200 + F.col("line_no") % 50).alias("b"),
     )
 

@@ -642,6 +642,31 @@ def test_license_templates_find_themselves(name):
     assert f[5] == "" and body.lower().startswith(text[f[1] : f[2]][:20].lower())
 
 
+def test_license_blocks_hold_every_template_whole():
+    for body in licenses.TEMPLATES.values():
+        found = [w for w, _, _ in licenses.words(body)]
+        cues = [k for k, w in enumerate(found) if licenses._CUE.search(w)]
+        assert len(found) <= licenses.LONGEST // 2 and cues[0] <= licenses.BEFORE and len(found) - 1 - cues[-1] <= licenses.AFTER
+        assert max((b - a for a, b in zip(cues, cues[1:], strict=False)), default=0) <= licenses.BEFORE + licenses.AFTER
+    # a run of cues longer than a block, the notice anywhere in it
+    for before in (0, 150, 330, 390, 555):
+        text = "software " * before + licenses.TEMPLATES["Zlib"] + " software" * 300
+        assert [(f[0], f[5]) for f in licenses.scan(text) if f[0] == "Zlib"] == [("Zlib", "")]
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("BSD-2-Clause", "BSD-2-Clause"), ("BSD-3-Clause", "BSD-3-Clause"), ("GPL-2.0", "GPL-2.0"), ("GPL-3.0", "GPL-3.0"), ("AGPL-3.0", "AGPL-3.0"), ("LGPL-2.1", "LGPL-2.1"),
+    ],
+)
+def test_licenses_alike_are_told_apart(text, name):
+    """Also with numbered conditions and other white space."""
+    body = licenses.TEMPLATES[text]
+    numbered = body.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in").replace("Neither", "3. Neither").replace(" ", "\n * ")
+    assert [f[0] for f in licenses.scan(body)] == [name] and [f[0] for f in licenses.scan(numbered)] == [name]
+
+
 def test_license_differences_and_clean_text(spark):
     found = licenses.scan("x Released under the terms of the MIT License. y")
     assert [f[0] for f in found] == ["MIT-notice"] and "terms" in found[0][5]

@@ -36,9 +36,16 @@ TEMPLATES = {
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
@@ -48,8 +55,8 @@ TEMPLATES = {
 }
 CUES = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public", "domain", "free", "software")
 
-#: Words of a block before and after its cues; cues closer than that share a block, up to ``LONGEST`` words.
-BEFORE, AFTER, LONGEST = 12, 24, 400
+#: Words of a block before and after its cues; cues closer than that share a block, up to ``LONGEST`` words (twice the longest template and more, as cuts overlap by half).
+BEFORE, AFTER, LONGEST = 16, 24, 400
 #: Least saving, relative to the block or to the template if that is shorter, and least share of a template's words found in order.
 LEAST_GAIN, LEAST_WORDS = 0.15, 0.8
 SCHEMA = "doc_id long, license string, start long, stop long, gain double, n_words int, differences string"
@@ -149,7 +156,14 @@ def scan(text: str) -> list[tuple[str, int, int, float, int, str]]:
             notes = ";".join([*([notes] if notes else []), *(f"-{w}+{raw}" for w, (raw, _, _) in zip(block[first:last], found[lo + first : lo + last], strict=True) if w != raw)])
             out[(found[lo + first][1], found[lo + last - 1][2])] = (name, found[lo + first][1], found[lo + last - 1][2], gain, last - first, notes)
             todo += [(lo, lo + first), (lo + last, hi)]
-    return [out[k] for k in sorted(out)]
+    kept: list[tuple[int, int]] = []
+    for at in sorted(out):  # cuts of a long block overlap: of what both saw, the longer
+        if kept and at[0] < kept[-1][1]:
+            if at[1] - at[0] > kept[-1][1] - kept[-1][0]:
+                kept[-1] = at
+        else:
+            kept.append(at)
+    return [out[k] for k in kept]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

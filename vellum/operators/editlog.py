@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from vellum.functions.geometry import js_round
 
 KEY = ("doc_id", "page_index", "kx", "ky")
 
+#: States that a history keeps.
+HISTORY = 60
+
 
 def keyed(edits: DataFrame) -> DataFrame:
     return edits.withColumns({"kx": js_round(F.col("x")), "ky": js_round(F.col("baseline"))})
@@ -57,3 +63,44 @@ def recent(rows: DataFrame, key: str, by: str, order: str, keep: int) -> DataFra
     last = rows.groupBy(by, key).agg(F.max(order).alias("at"))
     w = Window.partitionBy(by).orderBy(F.desc("at"), key)
     return last.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep).drop("at")
+
+
+def history(ops: DataFrame, cap: int = HISTORY) -> DataFrame:
+    """(doc_id, steps, at, shown, can_undo, can_redo) after all of ``ops(doc_id, op_seq, op)``.
+
+    The first change starts a history with the empty state below it; a change
+    cuts what was undone and pushes itself, and the oldest state goes beyond
+    ``cap`` (2 at least).  ``shown`` is the change whose state is seen, null for the
+    empty one.  A log passes by in order and only its states are held, so a log of
+    any length fits; logs without a document have no history.
+    """
+    kind = ops.schema["doc_id"].dataType.simpleString()
+    lookup = {"undo": 1, "redo": 2}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, stack, at = None, [], -1
+        ended = lambda: (doc[0], len(stack), at, stack[at] if stack else None, at > 0, 0 <= at < len(stack) - 1)
+        for batch in batches:
+            out = []
+            for own, k, op in zip(batch["doc_id"].tolist(), batch["op_seq"].tolist(), batch["op"].map(lookup).fillna(0).tolist(), strict=True):
+                if doc != (own,):
+                    if doc:
+                        out.append(ended())
+                    doc, stack, at = (own,), [], -1
+                if op == 1:
+                    at = at - 1 if at > 0 else at
+                elif op == 2:
+                    at = min(at + 1, len(stack) - 1)
+                else:
+                    stack = (stack[: at + 1] or [None])[1 - cap :] + [k]
+                    at = len(stack) - 1
+            yield _histories(out)
+        yield _histories([ended()] if doc else [])
+
+    some = ops.filter("doc_id is not null").select("doc_id", F.col("op_seq").cast("long").alias("op_seq"), "op")
+    return some.repartition("doc_id").sortWithinPartitions("doc_id", "op_seq", "op").mapInPandas(run, f"doc_id {kind}, steps int, at int, shown long, can_undo boolean, can_redo boolean")
+
+
+def _histories(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["doc_id", "steps", "at", "shown", "can_undo", "can_redo"])
+    return frame.assign(shown=frame["shown"].astype("Int64"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellum.operators import editlog as E
 from vellum.operators import grouping as U
 from vellum.operators import raster as R
 from vellum.operators import search as S
 from vellum.plans.edit_queries import SQL_HITS, needles, normed
 from vellum.plans.other_queries import SQL_PIXELS, pixels
 from vellum.plans.registry import query
-from vellum.sources.layout import SQL_ITEMS, items, lines
+from vellum.sources.layout import SQL_ITEMS, items, lines, table
 
 SQL_SPARSE = SQL_PIXELS.replace("FROM layout_items),", "FROM layout_items), sparse AS (SELECT * FROM pixels WHERE NOT (page_id % 2 = 1 AND (77 * r + 150 * g + 29 * b) >> 8 < 128 AND x % 2 = 0)),").replace("FROM pixels GROUP BY", "FROM sparse GROUP BY")
 SQL_STATS = """s AS (SELECT *, sum(n) OVER p AS total, sum(bin * n) OVER p AS sm, sum(bin * bin * n) OVER p AS sq, sum(n) OVER u AS wb, sum(bin * n) OVER u AS sb FROM hist WINDOW p AS (PARTITION BY page_id), u AS (PARTITION BY page_id ORDER BY bin)),
@@ -106,3 +107,18 @@ def merged_fragments(spark, sf):
     shift = F.when(odd, 36.0 - F.col("row") % 4 * 4).otherwise(0.0)
     cols = [F.col("line_no").alias("seq"), "text", *((F.col(c) + F.when(odd, 12.0 * (F.col("row") % 5)).otherwise(0.0)).alias(c) for c in ("left", "right")), *((F.col(c) - shift).alias(c) for c in ("top", "bottom"))]
     return U.fragments_merged(lines(spark, sf).select("doc_id", "page_index", *cols))
+
+
+@query(None)
+def reread_regions(spark, sf):
+    """Regions of each page, whose lines leave gaps and vary in height (a fold in order; tests state cases)."""
+    some = lines(spark, sf).filter("line_no % 5 < 3 or line_no % 7 = 0").withColumns({"bottom": F.col("bottom") + F.length("text") % 9, "page_w": F.lit(612.0), "page_h": F.lit(792.0)})
+    return U.reread_regions(some)
+
+
+@query(None)
+def annotation_undo(spark, sf):
+    """Histories of all users' events, some of which undo and redo (a fold; tests hold it against a plain one)."""
+    k = F.col("event_id")
+    op = F.when(k % 5 == 3, "undo").when(k % 11 == 5, "redo").otherwise("change")
+    return E.history(table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), k.alias("op_seq"), op.alias("op")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import ann, embed_dedup, html_extract, licenses, mixing, near_dedup, oracles, packing, secret_scan, token_files, toxicity
+from vellum.llm import ann, embed_dedup, fill_middle, html_extract, licenses, line_dedup, mixing, near_dedup, oracles, packing, secret_scan, token_files, toxicity, vector_codes
 from vellum.llm.scratch import table
 from vellum.llm.tokens import tokenizer_path
 
@@ -51,5 +51,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_near_dedup, op4_html_extract, op5_packing, op6_ann, op7_licenses, op8_mixing, op9_embed_dedup, op10_secret_scan)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.rearrange(table(spark, sf_dir, "documents")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.drop_repeated(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_near_dedup, op4_html_extract, op5_packing, op6_ann, op7_licenses, op8_mixing, op9_embed_dedup, op10_secret_scan, op11_fill_middle, op12_vector_codes, op13_line_dedup)}
 ORACLES = oracles.ORACLES

@@ -1,4 +1,4 @@
-"""Fill-in-middle, vector codes and line dedup against plain versions and awkward inputs."""
+"""HTML extraction, fill-in-middle, vector codes and line dedup against plain versions and awkward inputs."""
 
 import hashlib
 import re
@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vellum.llm import fill_middle, line_dedup, vector_codes
+from vellum.llm import fill_middle, html_extract, line_dedup, vector_codes
 from vellum.llm.scratch import table
 
 ODD = [
@@ -209,3 +209,68 @@ def test_shards_are_minimal_and_perfect(n):
     assert sorted(at[:n].tolist()) == list(range(n)) and (at[n:] == -1).all()
     assert (s.owners[at[:n]] == np.arange(n)).all()
     assert n < 1000 or 8 * s.bits.nbytes / n < 4.5
+
+
+# --- 4 ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>Text before <span class="ad">Buy now</span> after.</p></article>', "Text before after."),
+        ('<article><p>One.</p><button>Subscribe</button><p>Two <label>Mail</label> three.</p></article>', "One.\n\nTwo three."),
+        ('<article><p>One <a class="share-button" href="/s">Share</a>and <span style="display:none">SECRET</span>two.</p></article>', "One and two."),
+        ("<article><p title=don't>First</p><p>Middle</p><p>Second with it's apostrophe</p><p>Third</p></article>", "First\n\nMiddle\n\nSecond with it's apostrophe\n\nThird"),
+        ("<article><p title=don't>First</p><p>Third</p></article>", "First\n\nThird"),
+        ('<article><p class="notice-of-copyright">Of copyright.</p><div class="search-results"><p>The body.</p></div></article>', "Of copyright.\n\nThe body."),
+        ('<article><p title="the class hidden" data-class="ad">Kept</p><p>Text <i class="ad">ad <p>Next</article>', "Kept\n\nText\n\nNext"),
+        ('<article><p a="1"b=\'>\'hidden>x</p><p a = ">" >y</p><p =">z</p></article>', "y\n\nz"),
+        ('<article><p>One <span class="ad">Buy <span>it</span> <div>now</div></span> two.</p><p>Three</p></article>', "One two.\n\nThree"),
+        ("<article><p>One.</p><div><a href=a>Home</a></div><div><a href=b>News</a></div><div><a href=c>Mail</a></div></article>", "One."),
+        ("<article><div><a href=a>Home</a></div><p>One.</p><div><a href=c>The source of it</a></div></article>", "Home\n\nOne.\n\nThe source of it"),
+        ('<article><div class="site-share-bar">Share</div><div class="share">it</div><div class="x notice y">Cookies</div><div class="post-comments-list">Nice.</div><p>One.</p></article>', "One."),
+    ],
+)
+def test_inline_furniture_and_attributes(page, want):
+    assert html_extract.main_text(page) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_random_articles(data):
+    """Pages are written from a tree whose text is gathered beside the writing."""
+    words = iter(f"w{i}" for i in range(10_000))
+    aside = ['<span class="ad">{}</span>', "<button>{}</button>", '<a class="share" href="/s">{}</a>', "<em style='display: none'>{}</em>", "<label for=a'b>{}</label>", "<!-- {} -->", "<script>{}</script>", '<i hidden title="a > b">{}</i>']
+    blocks = ['<aside>{}</aside>', '<div class="newsletter-box">{}</div>', "<nav>{}</nav>", "<form><p>{}</p></form>", '<div id="comments"><p>{}</p></div>']
+
+    def inline(depth):
+        shown, kept = "", ""
+        for _ in range(data.draw(st.integers(1, 4))):
+            kind = data.draw(st.integers(0, 3))
+            if kind == 0 and depth < 3:
+                s, k = inline(depth + 1)
+                shown, kept = shown + f"<b title=it's>{s}</b>", kept + k
+            elif kind == 1:
+                shown += data.draw(st.sampled_from(aside)).format(next(words))
+            else:
+                w = f" {next(words)}{data.draw(st.sampled_from(['', ' ', chr(10)]))}"
+                shown, kept = shown + w, kept + w
+        return shown, kept
+
+    def body(depth):
+        shown, kept = "", []
+        for _ in range(data.draw(st.integers(1, 4))):
+            kind = data.draw(st.integers(0, 3))
+            if kind == 0 and depth < 3:
+                s, k = body(depth + 1)
+                shown, kept = shown + f'<div class="search-results x">{s}</div>', kept + k
+            elif kind == 1:
+                shown += data.draw(st.sampled_from(blocks)).format(next(words))
+            else:
+                s, k = inline(0)
+                shown, kept = shown + f"<p>{s}{data.draw(st.sampled_from(['</p>', '']))}", [*kept, " ".join(k.split())]
+        return shown, kept
+
+    shown, kept = body(0)
+    page = f"<html><body><header>{next(words)}</header><article>{shown}</article><footer>{next(words)}</footer></body></html>"
+    assert html_extract.main_text(page) == "\n\n".join(k for k in kept if k)

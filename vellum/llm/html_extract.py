@@ -18,7 +18,12 @@ articles, and likewise the main part with the text outside it.  The heavier one
 is the main text.  A marked part that wins is taken to its ends, as short
 paragraphs there belong to it: its marks tell where it begins and ends better
 than window sums do.  One that loses is text as any other: it stays if it
-stands within the block or surges by itself.
+stands within the block or surges by itself.  Lines of ``MENU`` or more in a row that
+are links only have no weight, so surge and dive cut menus at a marked part's ends.
+
+Inline furniture (an advert, a button, a share link, hidden text) is taken out of the
+block around it, whose text goes on after it.  Quotes have a meaning in a tag only
+after "=", and names of attributes are read as such, not in values.
 
 One row at a time: no shuffle, no state.  Work is linear in the page.
 
@@ -74,11 +79,24 @@ MARK = re.compile(
     r"comment|comments|commentlist|disqus|respond|reply|replies|discussion|search|skip|complementary|contentinfo|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Inside an article an element's own text may be named by such words ("search-results", "notice-of-copyright"):
+#: there a whole class must be one, or one with a word of place or shape around it.
+_SHAPE = r"(?:area|bar|bars|block|blocks|box|button|buttons|card|cards|container|content|form|group|icon|icons|inner|item|items|label|link|links|list|nav|panel|placeholder|section|slot|strip|thread|title|top|bottom|left|right|unit|wrap|wrapper|zone|\d+)"
+_PLACE = r"(?:article|bottom|content|entry|footer|global|header|inline|js|left|main|mobile|page|post|reader|right|side|site|sticky|top|user|native|google|in|the)"
+INSIDE = re.compile(
+    rf"(?:{_PLACE}[_-])*(?:ad|ads|advert|adverts|advertisement|advertising|adbox|adslot|banner|sponsor|sponsored|promo|promoted|promotion|cookie|cookies|consent|gdpr|notice|notices|cookie[_-]notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|"
+    rf"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|pagination|pager|sidebar|side-bar|aside|widget|widgets|related|related[_-](?:articles|posts|stories|reading)|recommended|recommendations|trending|popular|masthead|topbar|toolbar|share|sharing|social|"
+    rf"comment|comments|commentlist|disqus|respond|reply|replies|skip|complementary|contentinfo|hidden)(?:[_-]{_SHAPE})*",
+    re.I,
+)
 #: Sections and headings of an article are named by their ids; only these words tell of a reader's part.
 _REPLIES = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|respond)(?:$|[\s_-])", re.I)
 _NAMED = frozenset("section h1 h2 h3 h4 h5 h6 hgroup".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|<(?=[a-zA-Z/!?])[^>]*\Z", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>|<[!?][^>]*(?:>|\Z)|<(?=[a-zA-Z/!?])[^>]*\Z", re.S)
+#: An attribute: name and value, in quotes or not.
+_ATTR = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _EVENTS = {tag: re.compile(rf"<(/?){tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 #: Parts of class names that tell what else the page has.
@@ -94,15 +112,19 @@ class Line:
 
 
 def _marked(tag: str, attrs: str, inside: bool) -> bool:
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "article", "main") or not _TELLING.search(attrs):
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         value = a or b or c
         name = name.lower()
-        words = _REPLIES if inside and name == "id" and tag in _NAMED else MARK
-        if name in ("class", "id", "role") and words.search(_BESIDE.sub("", value)):
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "class" and inside:
+            if any(INSIDE.fullmatch(word) for word in value.split()):
+                return True
+        elif name in ("class", "id", "role"):
+            words = _REPLIES if inside and name == "id" and tag in _NAMED else MARK
+            if words.search(_BESIDE.sub("", value)):
+                return True
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _UNSEEN.search(value):
             return True
     return False
 
@@ -134,7 +156,8 @@ class Ends:
 def lines(page: str) -> list[Line]:
     """The page's blocks of text in page order."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, furniture, article
+    stack: list[tuple[str, bool, int, tuple[list[str], int] | None]] = []  # tag, furniture, article, for inline furniture the text before it
+    blocks: list[int] = []  # places of blocks in the stack
     depth: Counter = Counter()  # open elements by tag
     ends = Ends(page)
     parts: list[str] = []
@@ -152,6 +175,28 @@ def lines(page: str) -> list[Line]:
         parts.clear()
         linked = 0
 
+    def push(tag: str, furniture: bool, article: int) -> None:
+        nonlocal parts, linked
+        block = tag in BLOCK
+        if block:
+            blocks.append(len(stack))
+        stack.append((tag, furniture, article, None if block else (parts, linked)))
+        depth[tag] += 1
+        if not block:
+            parts, linked = [], 0
+
+    def pop() -> str:
+        """Ends the innermost element; the text around inline furniture goes on."""
+        nonlocal parts, linked
+        flush()
+        tag, _, _, before = stack.pop()
+        depth[tag] -= 1
+        if before is None:
+            blocks.pop()
+        else:
+            parts, linked = before
+        return tag
+
     def text(until: int) -> None:
         nonlocal linked
         if until > at:
@@ -167,15 +212,12 @@ def lines(page: str) -> list[Line]:
         if not tag:
             continue
         if m[1]:  # an end tag
-            if tag == "a":
+            if tag == "a" and not depth["a"]:
                 links = max(0, links - 1)
-            if tag in BLOCK:
+            if tag in BLOCK and not depth[tag]:
                 flush()
-            while depth[tag]:
-                closed = stack.pop()[0]
-                depth[closed] -= 1
-                if closed == tag:
-                    break
+            while depth[tag] and pop() != tag:
+                pass
             continue
         if tag in RAW:
             end = None if m[3].endswith("/") else ends.of(tag, at)
@@ -187,16 +229,17 @@ def lines(page: str) -> list[Line]:
                 at = len(page)
             elif tag not in ("head", "option") and not m[3].endswith("/"):  # never closed: it ends with the element around it
                 flush()
-                stack.append((tag, True, state()[1]))
-                depth[tag] += 1
+                push(tag, True, state()[1])
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag in BLOCK:
+            # through inline furniture that was not closed, by one of its own kind only: other blocks stand in that furniture
+            while blocks and tag in SELF_CLOSING.get(over := stack[blocks[-1]][0], ()) and (tag == over or blocks[-1] == len(stack) - 1):
+                for _ in range(len(stack) - blocks[-1]):
+                    pop()
             flush()
-            while stack and tag in SELF_CLOSING.get(stack[-1][0], ()):
-                depth[stack.pop()[0]] -= 1
         if tag in VOID or m[3].endswith("/"):
             continue
         furniture, article = state()
@@ -206,14 +249,13 @@ def lines(page: str) -> list[Line]:
         elif tag == "main" and not article and not furniture:
             article = -1
         furniture = furniture or tag in FURNITURE or tag in HEADER and article <= 0 or _marked(tag, m[3], article != 0)
-        if tag in BLOCK or furniture != state()[0]:
-            if furniture != state()[0]:
-                flush()
-            stack.append((tag, furniture, article))
-            depth[tag] += 1
+        if tag in BLOCK or furniture != state()[0] or depth[tag]:  # one inside inline furniture of its kind has an end of its own
+            push(tag, furniture, article)
         elif tag == "a":
             links += 1
     text(len(page))
+    while stack:
+        pop()
     flush()
     return out
 
@@ -258,7 +300,7 @@ def main_text(page: str | None) -> str:
     article = max((k for k in size if k > 0), key=lambda k: (size[k], -k), default=0)
     beside, rival = block([k for k, x in enumerate(found) if x.article <= 0])
     if article and size[article] and MARKED * size[article] >= rival:
-        keep = [x for x in found if x.article == article]
+        keep = _between_menus([x for x in found if x.article == article])
     else:
         main = [k for k, x in enumerate(found) if x.article == -1]
         rival = block([k for k, x in enumerate(found) if not x.article])[1]
@@ -271,6 +313,16 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(x.text for x in keep)
 
 
+def _between_menus(found: list[Line]) -> list[Line]:
+    """From the first surge of text to the last dive: every line weighs what it has, but those of a menu nothing."""
+    weights: list[int] = []
+    for linked, some in groupby(found, key=lambda x: x.linked >= len(x.text)):
+        rows = list(some)
+        weights += [0 if linked and len(rows) >= MENU else len(x.text) for x in rows]
+    spans = runs(weights)
+    return found[spans[0][0] : spans[-1][1]] if spans else found
+
+
 def _no_menus(found: list[Line]) -> list[Line]:
     """Without ``MENU`` or more lines in a row that are links only; fewer are paragraphs of the text."""
     out: list[Line] = []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.functions import text as T
-from vellum.operators import editlog, pages, search
+from vellum.operators import editlog, pages
 from vellum.sources.layout import table
 
 
@@ -45,11 +45,6 @@ def test_url(spark, raw, want):
     assert one(spark, raw, T.url) == want
 
 
-def test_normalise(spark):
-    assert one(spark, "a­b  c ", T.normalise) == "ab c"
-    assert one(spark, "“ﬁve” – X", T.normalise) == '"five" - x'
-
-
 def test_rotate_box(spark):
     df = spark.createDataFrame([(10.0, 20.0, 30.0, 25.0)], "x0 double, y0 double, x1 double, y1 double")
     assert tuple(df.select(G.unrotated(G.box(), F.lit(180), F.lit(100.0), F.lit(50.0)).alias("b")).first()["b"]) == (70.0, 25.0, 90.0, 30.0)
@@ -84,46 +79,6 @@ def test_zip_crc(spark, sf_dir):
     assert all(r["crc"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) for r in QUERIES["zip_crc"](spark, sf_dir).collect())
 
 
-@pytest.mark.parametrize(
-    ("text", "query", "budget", "want"),
-    [("groin", "roin", 1, [(1, 5, 0)]), ("groin", "join", 1, []), ("sofware engineer", "software", 2, [(0, 7, 1)]), ("abc", "", 0, []), ("aaa", "aa", 0, [(0, 2, 0)])],
-)
-def test_find(text, query, budget, want):
-    assert search.find(text, query, budget) == want
-
-
-def plain_find(norm, q, budget):
-    """Cell by cell, for comparison."""
-    n = len(norm)
-    rows = [[(0, j) for j in range(n + 1)]]
-    for i in range(1, len(q) + 1):
-        row = [(i, 0)]
-        for j in range(1, n + 1):
-            best = (rows[-1][j - 1][0] + (q[i - 1] != norm[j - 1]), rows[-1][j - 1][1])
-            for d, s in ((rows[-1][j][0] + 1, rows[-1][j][1]), (row[j - 1][0] + 1, row[j - 1][1])):
-                if d < best[0]:
-                    best = (d, s)
-            row.append(best)
-        rows.append(row)
-    last = rows[-1]
-    return {(last[j][1], j, last[j][0]) for j in range(1, n + 1) if 0 < last[j][0] <= budget}
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.text("abc ", max_size=24), st.text("abc", min_size=4, max_size=9))
-def test_find_is_consistent(text, q):
-    norm = " ".join(text.split())
-    found = search.find(norm, q, 2)
-    cells = plain_find(norm, q, 2) if norm else set()
-    assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
-    for s, e, d in found:
-        if d == 0:
-            assert norm[s:e] == q
-        else:
-            assert any(c[2] == d and c[0] <= s and c[1] >= e for c in cells)
-            assert not (s and norm[s - 1].isalnum()) and not (e < len(norm) and norm[e].isalnum())
-
-
 def test_undo_then_redo_after_edit(spark):
     ops = [(1, 1, "edit"), (1, 2, "edit"), (1, 3, "undo"), (1, 4, "edit"), (1, 5, "redo")]
     assert editlog.replayed(spark.createDataFrame(ops, "doc_id long, op_seq long, op string")).first()["applied"] == [1, 4]

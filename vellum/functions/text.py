@@ -13,8 +13,6 @@ ODD_SPACES = r"[\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"
 INVISIBLE = r"[\u200B-\u200D\u2060\uFEFF\u00AD]"
 WINANSI = r"[^\x09\x0A\x20-\x7E\u00A0-\u00FF\u20AC\u201A\u0192\u201E\u2026\u2020\u2021\u02C6\u2030\u0160\u2039\u0152\u017D\u2018\u2019\u201C\u201D\u2022\u2013\u2014\u02DC\u2122\u0161\u203A\u0153\u017E\u0178]"
 CONTROLS = r"[\u0000-\u0008\u000B\u000C\u000D\u000E-\u001F\u007F]"
-FOLDED = ("\u2018\u2019\u201A\u201C\u201D\u201E\u2013\u2014\u2212\u00A0", "'''\"\"\"--- ")
-LIGATURES = (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"))
 SCRIPTS = (
     ("devanagari", r"\u0900-\u097F"),
     ("bengali", r"\u0980-\u09FF"),
@@ -95,13 +93,6 @@ def tidy_line(c: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(c, r"[^\S ]+", " "), " {25,}", " " * 24))
 
 
-def normalise(c: Column, keep_case: bool = False) -> Column:
-    """Search form: quotes, dashes and ligatures folded, soft hyphens dropped, white space collapsed."""
-    out = F.translate(F.regexp_replace(c, "\u00ad", ""), *FOLDED)
-    out = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), LIGATURES, out)
-    return collapsed(out if keep_case else F.lower(out))
-
-
 def edit_budget(n: Column) -> Column:
     return F.when(n >= 8, 2).when(n >= 4, 1).otherwise(0)
 

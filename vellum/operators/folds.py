@@ -14,18 +14,27 @@ def folded(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fold:
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []  # of one group
         for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(batch):
+                continue
             new = np.zeros(len(batch), bool)
             for k in keys:
                 v = batch[k].to_numpy()
                 new[1:] |= v[1:] != v[:-1]
             cuts = [0, *np.flatnonzero(new).tolist()]
-            yield done(batch, cuts)
-            held = batch.iloc[cuts[-1] :]
-        if held is not None and len(held):
-            yield done(held, [0, len(held)])
+            if held and any(held[0][k].iat[0] != batch[k].iat[0] for k in keys):
+                yield done(pd.concat(held, ignore_index=True), [0, sum(map(len, held))])
+                held = []
+            if held and len(cuts) > 1:  # the group that went on ends here
+                whole = pd.concat([*held, batch.iloc[: cuts[1]]], ignore_index=True)
+                yield done(whole, [0, len(whole)])
+                cuts, held = cuts[1:], []
+            if len(cuts) > 1:
+                yield done(batch.iloc[cuts[0] :], [c - cuts[0] for c in cuts])
+            held.append(batch.iloc[cuts[-1] :])
+        if held:
+            yield done(pd.concat(held, ignore_index=True), [0, sum(map(len, held))])
 
     def done(batch: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
         cols = {c: batch[c].tolist() for c in batch.columns}

@@ -9,58 +9,85 @@ from vellum.functions import text as T
 from vellum.operators import editlog as E
 from vellum.operators import search as S
 from vellum.plans.registry import query
-from vellum.plans.text_queries import SQL_NORMAL
-from vellum.sources.layout import SQL_LINES, lines, table
+from vellum.plans.text_queries import SQL_LETTERS
+from vellum.sources.layout import SQL_LINES, SQL_ROUGH_LINES, lines, lines_of, rough, table
 
 SQL_NEEDLES = r"""needles AS (SELECT item_id AS needle_id, lower(regexp_extract(text, '^(\S+ \S+ \S+)', 1)) AS needle FROM benchmark)"""
-SQL_NORMED = f"{SQL_LINES}, normed AS (SELECT doc_id, page_index, line_no, {SQL_NORMAL} AS norm FROM layout_lines), {SQL_NEEDLES}"
+#: Matches in folded lines (s, e) and in the original ones (start, stop).
+SQL_HITS = f"""{SQL_ROUGH_LINES}, {SQL_LETTERS}, {SQL_NEEDLES}, h AS (SELECT needle_id, doc_id, page_index, line_no, places, needle, string_split(norm, needle) AS parts FROM normed JOIN needles ON needle <> '' AND contains(norm, needle)),
+spots AS (SELECT needle_id, doc_id, page_index, line_no, places, length(needle) AS n, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(needle)))::INT AS s FROM h),
+hits AS (SELECT needle_id, doc_id, page_index, line_no, places[s + 1]::INT AS start, (places[s + n] + 1)::INT AS stop FROM spots)"""
 
 
 def needles(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.lower(F.regexp_extract("text", r"^(\S+ \S+ \S+)", 1)).alias("needle")).filter("needle <> ''")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.lower(F.regexp_extract("text", r"^(\S+ \S+ \S+)", 1)).alias("needle"))
 
 
-def normed(spark, sf):
-    return lines(spark, sf).withColumn("norm", T.normalise(F.col("text")))
+def rough_lines(spark, sf):
+    return lines_of(rough(table(spark, sf, "documents")))
 
 
-SQL_HITS = f"""{SQL_NORMED}, h AS (SELECT needle_id, doc_id, page_index, line_no, norm, needle, string_split(norm, needle) AS parts FROM normed JOIN needles ON needle <> '' AND contains(norm, needle)),
-hits AS (SELECT needle_id, doc_id, page_index, line_no, norm, needle, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(needle)))::INT AS start FROM h)"""
+def hits(spark, sf):
+    return S.search(rough_lines(spark, sf), needles(spark, sf)).drop("dist")
 
 
-@query(f"WITH {SQL_HITS} SELECT needle_id, doc_id, page_index, line_no, start, (start + length(needle))::INT AS stop FROM hits")
+@query(f"WITH {SQL_HITS} SELECT needle_id, doc_id, page_index, line_no, start, stop FROM hits")
 def exact_search(spark, sf):
-    return S.search(normed(spark, sf), needles(spark, sf))
+    """Literal needles in lines with ligatures, soft hyphens and odd blanks; offsets are the lines' own."""
+    return hits(spark, sf)
 
 
 @query(f"WITH {SQL_HITS} SELECT needle_id, count(*)::BIGINT AS matches, count(DISTINCT concat(doc_id, ':', page_index))::BIGINT AS pages FROM hits GROUP BY 1")
 def search_summary(spark, sf):
-    h = S.search(normed(spark, sf), needles(spark, sf))
-    return h.groupBy("needle_id").agg(F.count("*").alias("matches"), F.countDistinct("doc_id", "page_index").alias("pages"))
+    return hits(spark, sf).groupBy("needle_id").agg(F.count("*").alias("matches"), F.countDistinct("doc_id", "page_index").alias("pages"))
 
 
-@query(f"""WITH {SQL_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY needle_id ORDER BY doc_id, page_index, line_no, start) AS r FROM hits)
-SELECT needle_id, r::INT AS r, doc_id, line_no, concat(CASE WHEN start > 34 THEN '…' ELSE '' END, substr(norm, greatest(start - 34, 0) + 1, least(start + length(needle) + 34, length(norm)) - greatest(start - 34, 0)), CASE WHEN start + length(needle) + 34 < length(norm) THEN '…' ELSE '' END) AS snippet FROM o WHERE r <= 200""")
+@query(f"""WITH {SQL_HITS}, o AS (SELECT h.*, text, row_number() OVER (PARTITION BY needle_id ORDER BY h.doc_id, h.page_index, h.line_no, start) AS r FROM hits h JOIN layout_lines l ON l.doc_id = h.doc_id AND l.line_no = h.line_no)
+SELECT needle_id, r::INT AS r, doc_id, line_no, concat(CASE WHEN start > 34 THEN '…' ELSE '' END, substr(text, greatest(start - 34, 0) + 1, least(stop + 34, length(text)) - greatest(start - 34, 0)), CASE WHEN stop + 34 < length(text) THEN '…' ELSE '' END) AS snippet FROM o WHERE r <= 200""")
 def search_cards(spark, sf):
-    """The first 200 matches of each needle in reading order, with context."""
-    h = S.search(normed(spark, sf), needles(spark, sf))
+    """The first 200 matches of each needle in reading order, with context of the line as it is."""
     w = Window.partitionBy("needle_id").orderBy("doc_id", "page_index", "line_no", "start")
-    top = h.withColumn("r", F.row_number().over(w)).filter("r <= 200")
-    both = top.join(normed(spark, sf).select("doc_id", "line_no", "norm"), ["doc_id", "line_no"])
-    return both.select("needle_id", "r", "doc_id", "line_no", T.snippet(F.col("norm"), F.col("start"), F.col("stop")).alias("snippet"))
+    top = hits(spark, sf).withColumn("r", F.row_number().over(w)).filter("r <= 200")
+    both = top.join(rough_lines(spark, sf).select("doc_id", "line_no", "text"), ["doc_id", "line_no"])
+    return both.select("needle_id", "r", "doc_id", "line_no", T.snippet(F.col("text"), F.col("start"), F.col("stop")).alias("snippet"))
 
 
 @query(f"""WITH {SQL_HITS}, o AS (SELECT needle_id, (row_number() OVER (PARTITION BY needle_id ORDER BY doc_id, page_index, line_no, start) - 1) AS i, count(*) OVER (PARTITION BY needle_id) AS n, doc_id, page_index, start FROM hits)
 SELECT needle_id, min(i) FILTER (WHERE doc_id > 500 OR (doc_id = 500 AND page_index >= 0))::BIGINT AS resume, ((min(i) FILTER (WHERE doc_id > 500 OR (doc_id = 500 AND page_index >= 0)) - 1 + any_value(n)) % any_value(n))::BIGINT AS previous FROM o GROUP BY 1""")
 def search_resume(spark, sf):
     """First match at or after a position, and the one before it with wrap-around."""
-    h = S.search(normed(spark, sf), needles(spark, sf))
+    h = hits(spark, sf)
     w = Window.partitionBy("needle_id")
     o = h.withColumns({"i": F.row_number().over(w.orderBy("doc_id", "page_index", "line_no", "start")) - 1, "n": F.count("*").over(w)})
     at = F.min(F.when((F.col("doc_id") > 500) | ((F.col("doc_id") == 500) & (F.col("page_index") >= 0)), F.col("i"))).cast("long")
     return o.groupBy("needle_id").agg(at.alias("resume"), F.first("n").alias("n")).select("needle_id", "resume", F.pmod(F.col("resume") - 1 + F.col("n"), F.col("n")).alias("previous"))
 
 
+SQL_REPLACED = f"""{SQL_HITS}, mine AS (SELECT * FROM hits WHERE needle_id = (SELECT min(needle_id) FROM hits)), spans AS (SELECT doc_id, line_no, list(start ORDER BY start) AS a, list(stop ORDER BY start) AS b FROM mine GROUP BY ALL)"""
+
+
+@query(f"""WITH {SQL_REPLACED} SELECT l.doc_id, l.line_no, len(a)::INT AS n, concat(array_to_string(list_transform(range(1, len(a) + 1), lambda i: concat(substr(text, CASE WHEN i = 1 THEN 1 ELSE b[i - 1] + 1 END, a[i] - CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END), '[…]')), ''), substr(text, b[len(b)] + 1)) AS text FROM layout_lines l JOIN spans s ON s.doc_id = l.doc_id AND s.line_no = l.line_no""")
+def replace_matches(spark, sf):
+    """All matches of the first needle that has any, replaced in the lines as they are."""
+    h = hits(spark, sf)
+    first = h.agg(F.min("needle_id").alias("needle_id"))
+    return S.replaced(rough_lines(spark, sf).select("doc_id", "line_no", "text"), h.join(F.broadcast(first), "needle_id"), "[…]")  # one row
+
+
+@query(f"""WITH {SQL_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY needle_id ORDER BY doc_id, page_index, line_no, start) AS r, lead(struct_pack(d := doc_id, l := line_no, s := start)) OVER (PARTITION BY needle_id ORDER BY doc_id, page_index, line_no, start) AS nxt FROM hits)
+SELECT needle_id, o.doc_id, o.line_no, concat(substr(text, 1, start), 'X', substr(text, stop + 1)) AS text, nxt.d AS next_doc, nxt.l AS next_line, (CASE WHEN nxt.d = o.doc_id AND nxt.l = o.line_no THEN nxt.s - (stop - start) + 1 ELSE nxt.s END)::INT AS next_start FROM o JOIN layout_lines l ON l.doc_id = o.doc_id AND l.line_no = o.line_no WHERE r = 1""")
+def replace_current_match(spark, sf):
+    """Each needle's current match (its first) replaced, and where the search goes on."""
+    w = Window.partitionBy("needle_id").orderBy("doc_id", "page_index", "line_no", "start")
+    nxt = F.lead(F.struct("doc_id", "line_no", "start")).over(w)
+    current = hits(spark, sf).withColumns({"r": F.row_number().over(w), "nxt": nxt}).filter("r = 1")
+    text, same = F.col("text"), (F.col("nxt.doc_id") == F.col("doc_id")) & (F.col("nxt.line_no") == F.col("line_no"))
+    new = F.concat(F.substring(text, F.lit(1), F.col("start")), F.lit("X"), F.substring(text, F.col("stop") + 1, F.length(text)))
+    moved = F.when(same, F.col("nxt.start") - (F.col("stop") - F.col("start")) + 1).otherwise(F.col("nxt.start"))
+    both = current.join(rough_lines(spark, sf).select("doc_id", "line_no", "text"), ["doc_id", "line_no"])
+    return both.select("needle_id", "doc_id", "line_no", new.alias("text"), F.col("nxt.doc_id").alias("next_doc"), F.col("nxt.line_no").alias("next_line"), moved.cast("int").alias("next_start"))
+
+
 @query("SELECT doc_id, replace(text, 'the ', 'THE-') AS text, ((length(text) - length(replace(text, 'the ', ''))) // 4)::BIGINT AS n FROM documents WHERE contains(text, 'the ')")
 def replace_all_literal(spark, sf):
     d = table(spark, sf, "documents").filter(F.contains("text", F.lit("the ")))
@@ -68,10 +95,24 @@ def replace_all_literal(spark, sf):
     return d.select("doc_id", F.replace("text", F.lit("the "), F.lit("THE-")).alias("text"), n.alias("n"))
 
 
+def typos(spark, sf):
+    """Needles of which every third has lost a letter and every third has two others swapped."""
+    n = F.col("needle")
+    lost = F.concat(F.substring(n, 1, 4), F.substring(n, F.lit(6), F.length(n)))
+    swapped = F.concat(F.substring(n, 1, 6), F.substring(n, 8, 1), F.substring(n, 7, 1), F.substring(n, F.lit(9), F.length(n)))
+    return needles(spark, sf).withColumn("needle", F.when(F.col("needle_id") % 3 == 1, lost).when(F.col("needle_id") % 3 == 2, swapped).otherwise(n))
+
+
 @query(None)
 def fuzzy_search(spark, sf):
-    """Typo-tolerant search (rows only: tests hold it against a plain table)."""
-    return S.fuzzy_search(normed(spark, sf), needles(spark, sf))
+    """Typo-tolerant search of all lines (rows only: tests hold it against a plain table of distances)."""
+    return S.search(rough_lines(spark, sf), typos(spark, sf), fuzzy=True)
+
+
+@query(None)
+def search_with_fallback(spark, sf):
+    """Exact matches of each document, fuzzy ones where it has none (rows only: tests hold it against a plain table)."""
+    return S.search_documents(rough_lines(spark, sf), typos(spark, sf))
 
 
 SQL_EDITS = """edits AS (SELECT conv_id AS doc_id, turn AS edit_seq, (turn % 3)::INT AS page_index, 10.0 * (turn % 4) + 0.3 AS x, 20.0 * (turn % 2) + 0.4 AS baseline, text AS new_text, CASE WHEN turn % 3 = 0 THEN 5.0 + turn END AS dx, CASE WHEN turn % 6 = 0 THEN 2.0 END AS dy FROM conversations)"""

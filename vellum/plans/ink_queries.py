@@ -8,10 +8,10 @@ from vellum.operators import editlog as E
 from vellum.operators import grouping as U
 from vellum.operators import raster as R
 from vellum.operators import search as S
-from vellum.plans.edit_queries import SQL_HITS, needles, normed
+from vellum.plans.edit_queries import SQL_HITS, hits
 from vellum.plans.other_queries import SQL_PIXELS, pixels
 from vellum.plans.registry import query
-from vellum.sources.layout import SQL_ITEMS, items, lines, table
+from vellum.sources.layout import SQL_ITEMS, SQL_ROUGH_ITEMS, items, items_of, lines, rough, table
 
 SQL_SPARSE = SQL_PIXELS.replace("FROM layout_items),", "FROM layout_items), sparse AS (SELECT * FROM pixels WHERE NOT (page_id % 2 = 1 AND (77 * r + 150 * g + 29 * b) >> 8 < 128 AND x % 2 = 0)),").replace("FROM pixels GROUP BY", "FROM sparse GROUP BY")
 SQL_STATS = """s AS (SELECT *, sum(n) OVER p AS total, sum(bin * n) OVER p AS sm, sum(bin * bin * n) OVER p AS sq, sum(n) OVER u AS wb, sum(bin * n) OVER u AS sb FROM hist WINDOW p AS (PARTITION BY page_id), u AS (PARTITION BY page_id ORDER BY bin)),
@@ -92,12 +92,12 @@ def underlined_items(spark, sf):
     return R.underlined(it, runs, ("doc_id", "line_no"), F.lit(16), F.lit(8)).select("doc_id", "line_no", "item", "underline")
 
 
-@query(f"""WITH {SQL_HITS}, {SQL_ITEMS[SQL_ITEMS.index("raw_items"):]}, j AS (SELECT needle_id, doc_id, line_no, start, (start + length(needle))::INT AS stop, i.text, o, "left" AS l, "right" - "left" AS w, top, bottom FROM hits JOIN layout_items i USING (doc_id, line_no) WHERE o + length(i.text) > start AND o < start + length(needle) AND trim(i.text) <> '')
+@query(f"""WITH {SQL_HITS}, {SQL_ROUGH_ITEMS[SQL_ROUGH_ITEMS.index("raw_items"):]}, j AS (SELECT needle_id, doc_id, line_no, start, stop, i.text, o, "left" AS l, "right" - "left" AS w, top, bottom FROM hits JOIN layout_items i USING (doc_id, line_no) WHERE o + length(i.text) > start AND o < stop AND trim(i.text) <> '')
 SELECT needle_id, doc_id, line_no, start, stop, round(min(l + w * (greatest(start, o) - o) / length(text)), 4)::DOUBLE AS x0, round(max(l + w * (least(stop, o + length(text)) - o) / length(text)), 4)::DOUBLE AS x1, min(top)::DOUBLE AS y0, max(bottom)::DOUBLE AS y1 FROM j GROUP BY ALL""")
 def match_boxes(spark, sf):
-    """Boxes of all search matches on their words."""
-    hits = S.search(normed(spark, sf), needles(spark, sf)).select("needle_id", "doc_id", "line_no", "start", "stop")
-    return S.match_boxes(hits, items(spark, sf)).withColumns({c: F.round(c, 4) for c in ("x0", "x1")})
+    """Boxes of all search matches on the words of the same rough texts."""
+    h = hits(spark, sf).select("needle_id", "doc_id", "line_no", "start", "stop")
+    return S.match_boxes(h, items_of(rough(table(spark, sf, "documents")))).withColumns({c: F.round(c, 4) for c in ("x0", "x1")})
 
 
 @query(None)

@@ -7,9 +7,10 @@ import re
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.operators import folding
 from vellum.operators import furniture as fu
 from vellum.plans.registry import query
-from vellum.sources.layout import PAGE_H, SQL_LINES, lines, table
+from vellum.sources.layout import PAGE_H, SQL_LINES, SQL_ROUGH_LINES, lines, lines_of, rough, table
 
 WS = r"regexp_replace(regexp_replace({c}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 SQL_KEY = WS.format(c=r"regexp_replace(lower(text), '\d+', '#', 'g')")
@@ -111,12 +112,27 @@ def edit_budget(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.length("text").alias("n"), T.edit_budget(F.length("text") % 12).alias("budget"))
 
 
-SQL_NORMAL = r"""regexp_replace(regexp_replace(lower(replace(replace(replace(replace(replace(translate(replace(text, chr(173), ''), '‘’‚“”„–—−' || chr(160), '''''''"""+'"""'+r"""--- '), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl')), '\s+', ' ', 'g'), '^ | $', '', 'g')"""
+# One row a folded letter: k tells the letters of one character apart; white space has no letter of its own.
+SQL_LETTERS = r"""split AS (SELECT doc_id, page_index, line_no, regexp_extract_all(text, '(?s).') AS cs FROM layout_lines),
+signs AS (SELECT doc_id, page_index, line_no, unnest(range(len(cs))) AS i, unnest(cs) AS c FROM split),
+folds AS (SELECT doc_id, page_index, line_no, i, CASE WHEN c = 'ﬃ' THEN 'ffi' WHEN c = 'ﬁ' THEN 'fi' WHEN c = 'ﬂ' THEN 'fl' WHEN c = 'ﬀ' THEN 'ff' WHEN c = chr(173) THEN '' WHEN c IN (chr(160), chr(8195)) THEN ' ' ELSE lower(translate(c, '①②‘’‚“”„–—−', '12' || repeat(chr(39), 3) || repeat('"', 3) || '---')) END AS f FROM signs),
+letters AS (SELECT doc_id, page_index, line_no, i, u.k AS k, substr(f, u.k, 1) AS ch FROM folds, unnest(range(1, length(f) + 1)) AS u(k)),
+ranked AS (SELECT *, count(*) FILTER (WHERE NOT regexp_matches(ch, '\s')) OVER (PARTITION BY doc_id, line_no ORDER BY i, k) AS solid FROM letters),
+gaps AS (SELECT doc_id, line_no, solid, min(i) AS i FROM ranked WHERE regexp_matches(ch, '\s') AND solid > 0 GROUP BY ALL),
+spaced AS (SELECT r.doc_id, r.page_index, r.line_no, r.i, r.k, CASE WHEN g.i IS NULL THEN ch ELSE ' ' || ch END AS ch, CASE WHEN g.i IS NULL THEN [r.i] ELSE [g.i, r.i] END AS places FROM ranked r LEFT JOIN gaps g ON g.doc_id = r.doc_id AND g.line_no = r.line_no AND g.solid = r.solid - 1 WHERE NOT regexp_matches(ch, '\s')),
+normed AS (SELECT doc_id, page_index, line_no, string_agg(ch, '' ORDER BY i, k) AS norm, flatten(list(places ORDER BY i, k)) AS places FROM spaced GROUP BY ALL)"""
 
 
-@query(f"WITH {SQL_LINES} SELECT doc_id, line_no, {SQL_NORMAL} AS norm FROM layout_lines")
+@query(f"""WITH {SQL_ROUGH_LINES}, {SQL_LETTERS} SELECT l.doc_id, l.line_no, coalesce(norm, '') AS norm, coalesce(list_sum(list_transform(range(1, len(places) + 1), lambda j: j * places[j])), 0)::BIGINT AS places FROM layout_lines l LEFT JOIN normed n ON n.doc_id = l.doc_id AND n.line_no = l.line_no""")
 def search_normalise(spark, sf):
-    return lines(spark, sf).select("doc_id", "line_no", T.normalise(F.col("text")).alias("norm"))
+    """Folded lines; their places in the original as a weighted sum."""
+    f = folding.folded(lines_of(rough(table(spark, sf, "documents"))).select("doc_id", "line_no", "text"))
+    # a shift at position p (from 0) moves all later ones: sum over j > p of j, times what it changes
+    n = F.length("norm").cast("long")
+    every = n * (n + 1) * (n - 1) / 3
+    before = lambda i: F.coalesce(F.get(F.col("shifts"), i - 1)["by"], F.lit(0))
+    moved = F.transform("shifts", lambda s, i: (s["by"] - before(i)) * (n * (n + 1) / 2 - s["at"].cast("long") * (s["at"] + 1) / 2))
+    return f.select("doc_id", "line_no", "norm", (every + F.aggregate(moved, F.lit(0.0), lambda a, x: a + x)).cast("long").alias("places"))
 
 
 SAMPLES = [(1, "Invoice"), (2, "Invoice हिन्दी"), (3, "שלום"), (4, "परीक्षाQA"), (5, "Привет αβ"), (6, "漢字かな"), (7, "مرحبا abc"), (8, ""), (9, "αβ Прив"), (10, "ไทย 123")]

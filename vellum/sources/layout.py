@@ -9,6 +9,7 @@ no shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,15 @@ def items_of(documents: DataFrame, columns: int = 1) -> DataFrame:
     )
 
 
+#: What is written into rough texts: ligatures, soft hyphens, odd and doubled blanks, circled digits, curly quotes.
+ROUGH = (("ffi", "ﬃ"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("st", "s\u00adt"), (" and ", "  and\u00a0 "), (" de ", "\u2003de "), ("1", "①"), ("2", "②"), ("'", "’"), (" - ", " – "))
+
+
+def rough(documents: DataFrame) -> DataFrame:
+    """The documents as a page's text layer often has them."""
+    return documents.withColumn("text", reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), ROUGH, F.col("text")))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(table(spark, sf_dir, "documents"))
 
@@ -90,3 +100,14 @@ SQL_ITEMS = SQL_LINES + """,
 raw_items AS (SELECT doc_id, page_index, line_no, row, top, bottom, height, unnest(range(len(ws)))::INT AS word_no, unnest(ws) AS text FROM (SELECT doc_id, page_index, line_no, row, top, bottom, height, string_split(text, ' ') AS ws FROM layout_lines)),
 placed AS (SELECT *, (sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY word_no) - length(text) - 1)::INT AS o FROM raw_items),
 layout_items AS (SELECT doc_id, page_index, line_no, row, word_no, o, text, (72 + 6 * o)::DOUBLE AS "left", (72 + 6 * o + 6 * length(text))::DOUBLE AS "right", top, bottom, height, length(text) % 5 = 0 AS bold, length(text) % 7 = 0 AS italic, ((doc_id * 31 + line_no * 17 + word_no * 7) % 101)::INT AS ocr_conf FROM placed WHERE length(text) > 0)"""
+
+
+def _sql_rough() -> str:
+    text = "text"
+    for a, b in ROUGH:
+        text = f"replace({text}, '{a.replace(chr(39), chr(39) * 2)}', '{b}')"
+    return f"rough_documents AS (SELECT doc_id, {text} AS text FROM documents)"
+
+
+SQL_ROUGH_LINES = f"{_sql_rough()}, {SQL_LINES.replace('FROM documents', 'FROM rough_documents')}"
+SQL_ROUGH_ITEMS = f"{_sql_rough()}, {SQL_ITEMS.replace('FROM documents', 'FROM rough_documents')}"

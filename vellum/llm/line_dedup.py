@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,7 +169,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stretches(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Rows of a batch in stretches of about ``most`` bytes of text."""
-    size = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     lo = 0
     while lo < len(size):
         before = int(size[lo - 1]) if lo else 0
@@ -231,7 +232,7 @@ def _finish(batch: pa.RecordBatch, text: str, names: list[str], results: list[tu
     new, lines, dropped = zip(*results, strict=True)
     if any(t is not None for t in new):
         changed = pa.array([t is not None for t in new])
-        texts = pa.compute.if_else(changed, pa.array(new, pa.binary()).cast(pa.string()), old)
+        texts = pc.if_else(changed, pa.array(new, pa.binary()).cast(pa.string()), old)
     else:
         texts = old
     columns = [texts if c == text else batch.column(c) for c in names]

@@ -11,6 +11,7 @@ from vellum.operators import search as S
 from vellum.plans.registry import query
 from vellum.plans.text_queries import SQL_LETTERS
 from vellum.sources.layout import SQL_LINES, SQL_ROUGH_LINES, lines, lines_of, rough, table
+from vellum.streaming import page_index
 
 SQL_NEEDLES = r"""needles AS (SELECT item_id AS needle_id, lower(regexp_extract(text, '^(\S+ \S+ \S+)', 1)) AS needle FROM benchmark)"""
 #: Matches in folded lines (s, e) and in the original ones (start, stop).
@@ -115,6 +116,16 @@ def search_with_fallback(spark, sf):
     return S.search_documents(rough_lines(spark, sf), typos(spark, sf))
 
 
+@query(f"""WITH {SQL_ROUGH_LINES}, {SQL_LETTERS}, p AS (SELECT doc_id, count(DISTINCT page_index)::INT AS pages FROM layout_lines GROUP BY 1), m AS (SELECT doc_id, sum((length(norm) - length(replace(norm, 'st', ''))) // 2) AS matches FROM normed GROUP BY 1)
+SELECT doc_id, (1 + doc_id % 3)::BIGINT AS generation, pages AS indexed, pages, coalesce(matches, 0)::BIGINT AS matches, true AS final FROM p LEFT JOIN m USING (doc_id)""")
+def progressive_index(spark, sf):
+    """The index of all documents as one chunk, in which pages of older generations come too and are ignored."""
+    rows = rough_lines(spark, sf).groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    pages = rows.join(rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("pages")), "doc_id").withColumn("generation", 1 + F.col("doc_id") % 3)
+    stale = pages.filter("page_index % 2 = 0").withColumns({"generation": F.col("generation") - 1, "text": F.lit("st st st"), "page_index": F.col("page_index") + 1})
+    return page_index.indexed(pages.unionByName(stale), "st")
+
+
 SQL_EDITS = """edits AS (SELECT conv_id AS doc_id, turn AS edit_seq, (turn % 3)::INT AS page_index, 10.0 * (turn % 4) + 0.3 AS x, 20.0 * (turn % 2) + 0.4 AS baseline, text AS new_text, CASE WHEN turn % 3 = 0 THEN 5.0 + turn END AS dx, CASE WHEN turn % 6 = 0 THEN 2.0 END AS dy FROM conversations)"""
 
 

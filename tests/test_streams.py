@@ -2,7 +2,13 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql.datasource import EqualTo, In, StringContains
+
 from vellum.operators import search
+from vellum.sources import lazy_pages
 from vellum.streaming import page_index
 
 PAGE = "doc_id long, generation long, page_index int, pages int, text string"
@@ -58,3 +64,49 @@ def test_newer_generations_drop_what_was_there(spark, tmp_path):
     rows = [r for chunk in seen for r in chunk]
     assert sorted(r for r in rows if r[0] == 2) == [(2, 1, 1, 1, 1, True)]
     assert [r for r in rows if r[0] == 1] == [(1, 1, 1, 2, 2, False), (1, 2, 1, 2, 1, False), (1, 2, 2, 2, 2, True)]
+
+
+# --- pages read lazily -------------------------------------------------------
+
+
+@pytest.fixture
+def store(tmp_path):
+    texts = [None if k == 13 else "\n".join(f"line {i} of {k} " + "xyz" * (k % 5) for i in range(1 + 7 * k % 90)) for k in range(200)]
+    ids = [None if k in (50, 51) else k for k in range(200)]
+    for part in range(2):
+        rows = slice(100 * part, 100 * part + 100)
+        pq.write_table(pa.table({"extra": pa.array(ids[rows], pa.int64()), "text": texts[rows], "doc_id": pa.array(ids[rows], pa.int64())}), tmp_path / f"part-{part}.parquet", row_group_size=10)
+    pages = [(i, p, t.split("\n")[20 * p : 20 * p + 20]) for i, t in zip(ids, texts, strict=True) if t is not None for p in range(-(-len(t.split("\n")) // 20))]
+    return str(tmp_path), pages
+
+
+@pytest.mark.parametrize(
+    ("condition", "keep"),
+    [
+        ("true", lambda d, p: True), ("doc_id = 7", lambda d, p: d == 7), ("doc_id in (3, 150, 999) and page_index = 1", lambda d, p: d in (3, 150) and p == 1), ("doc_id > 180 and page_index <= 1", lambda d, p: d is not None and d > 180 and p <= 1),
+        ("doc_id is null", lambda d, p: d is None), ("doc_id is not null and page_index >= 2 and page_index < 4", lambda d, p: d is not None and 2 <= p < 4), ("doc_id = 7 and doc_id = 8", lambda d, p: False), ("doc_id % 2 = 0 and size(lines) = 20", lambda d, p: d is not None and d % 2 == 0),
+    ],
+)
+def test_lazy_pages(spark, store, condition, keep):
+    path, pages = store
+    lazy_pages.register(spark)
+    df = spark.read.format("document_pages").load(path).filter(condition)
+    want = sorted((str(d), p, ls) for d, p, ls in pages if keep(d, p) and ("20" not in condition or len(ls) == 20))
+    for _ in range(2):  # a read changes nothing for the next
+        assert sorted((str(r["doc_id"]), r["page_index"], r["lines"]) for r in df.collect()) == want
+
+
+def test_filters_reach_the_reader(spark, store):
+    path, _ = store
+    lazy_pages.register(spark)
+    df = spark.read.format("document_pages").load(path).filter("doc_id = 7 and page_index in (0, 2)")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.replace("RuntimeFilters", "")
+    size = {}
+    for name, filters in (("all", []), ("range", [lazy_pages.GreaterThanOrEqual(("doc_id",), 170)]), ("one", [EqualTo(("doc_id",), 7)]), ("two", [In(("doc_id",), (7, 150))])):
+        reader = lazy_pages.PageReader(path)
+        assert list(reader.pushFilters(filters)) == []
+        size[name] = sum(g.size for g in reader.partitions())
+    assert 0 < size["one"] < size["two"] < size["range"] < size["all"] / 3
+    other = StringContains(("lines",), "x")
+    assert list(lazy_pages.PageReader(path).pushFilters([other])) == [other]

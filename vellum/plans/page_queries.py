@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import pages as P
 from vellum.plans.registry import query
+from vellum.sources import lazy_pages as lazy
 from vellum.sources.layout import SQL_LINES, lines, table
 
 SPECS = [(1, "1-5, 8, 11-14", 12), (2, "5-3", 10), (3, "0, 20, x, 2, 2", 10), (4, "0-3", 10), (5, " 2 – 4 ,,1", 3), (6, "", 5), (7, "9-12, 1", 10)]
@@ -141,3 +142,11 @@ def intake_errors(spark, sf):
 def magic_check(spark, sf):
     v = spark.createDataFrame([(1, "JVBERi0xLjQK"), (2, "iVBORw0KGgo="), (3, "anVuayVQREYt"), (4, "")], "id int, b string")
     return v.select("id", F.coalesce(F.contains(F.substring(F.try_to_binary("b", F.lit("base64")), 1, 1024), F.encode(F.lit("%PDF-"), "UTF-8")), F.lit(False)).alias("is_document"))
+
+
+@query(f"""WITH {SQL_LINES} SELECT doc_id, page_index, count(*)::INT AS n_lines, sum(length(text))::BIGINT AS n_chars FROM layout_lines GROUP BY ALL""")
+def lazy_pages(spark, sf):
+    """All pages as the lazy source reads them."""
+    lazy.register(spark)
+    pages = spark.read.format("document_pages").load(f"{sf}/documents.parquet")
+    return pages.select("doc_id", "page_index", F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))

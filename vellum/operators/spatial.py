@@ -7,10 +7,11 @@ over what shares a cell.  Nothing is joined across pages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
+from vellum.operators.folds import folded as in_order
 
 PAGE = ("doc_id", "page_index")
 #: Sides of the cells by which boxes meet: about a line's distance, and some words.
@@ -70,35 +71,46 @@ def restored(saved: DataFrame, redacted: DataFrame, managed: DataFrame) -> DataF
     return hit.alias("s").join(managed.alias("m"), meets("s", "m"), "left_anti")
 
 
-def _parted(boxes: DataFrame, keys: tuple[str, ...], low: str, high: str, name: str) -> DataFrame:
-    """``boxes`` numbered by parts of ``keys`` that don't reach one another in one direction."""
-    w = Window.partitionBy(*keys).orderBy(low, high)
-    opens = F.coalesce(F.col(low) >= F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    return boxes.withColumn("_opens", opens.cast("int")).withColumn(name, F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+def _greedy(least: float):
+    """Words of one text on one page, the most confident first: those that overlap none kept before by more than ``least``.
+
+    What is kept is filed in cells as large as it is, so a word meets only what stands around it.
+    """
+
+    def fold(c: dict[str, list]) -> list[tuple]:
+        if len(c["seq"]) == 1:
+            return [(c["doc_id"][0], c["page_index"][0], c["text"][0], c["seq"][0])]
+        high = max(max(b - a for a, b in zip(c["top"], c["bottom"], strict=True)), 1.0)
+        wide = max(max(b - a for a, b in zip(c["left"], c["right"], strict=True)), 1.0)
+        held: dict[tuple[int, int], list[tuple]] = {}
+        out = []
+        for d, p, t, seq, x0, x1, y0, y1 in zip(*(c[k] for k in ("doc_id", "page_index", "text", "seq", "left", "right", "top", "bottom")), strict=True):
+            cells = [(i, j) for i in range(int(y0 // high), int(max(y0, y1) // high) + 1) for j in range(int(x0 // wide), int(max(x0, x1) // wide) + 1)]
+            if any(_over(x0, x1, y0, y1, *k) > least for cell in cells for k in held.get(cell, ())):
+                continue
+            for cell in cells:
+                held.setdefault(cell, []).append((x0, x1, y0, y1))
+            out.append((d, p, t, seq))
+        return out
+
+    return fold
+
+
+def _over(x0: float, x1: float, y0: float, y1: float, u0: float, u1: float, v0: float, v1: float) -> float:
+    w, h = min(x1, u1) - max(x0, u0), min(y1, v1) - max(y0, v0)
+    if w <= 0 or h <= 0:
+        return 0.0
+    return w * h / ((x1 - x0) * (y1 - y0) + (u1 - u0) * (v1 - v0) - w * h)
 
 
 def suppressed(words: DataFrame, least: float) -> DataFrame:
-    """Words without those that a more confident word of the same text overlaps by more than ``least``.
+    """Words without those that a more confident word of the same text overlaps by more than ``least`` of both.
 
-    Greedy in order of confidence: a word that is itself suppressed suppresses
-    nothing.  Boxes of one text are first parted where nothing reaches from one
-    to the next, down the page and then across, as those can't suppress each
-    other; what is left together is folded in one expression.
+    Greedy in order of confidence, along chains too: a word that is itself
+    suppressed suppresses nothing.  One shuffle; words of one text on one page
+    pass by in order, and of them only those kept are held, so copies on one
+    place cost a look each.  Null texts count as empty.
     """
-    text = (*PAGE, "t")
-    words = _parted(_parted(words.withColumn("t", F.trim("text")), text, "top", "bottom", "py"), (*text, "py"), "left", "right", "px")
-    box = F.struct("conf", (-F.col("seq")).alias("o"), "seq", F.col("left").alias("x0"), F.col("right").alias("x1"), F.col("top").alias("y0"), F.col("bottom").alias("y1"))
-    groups = words.groupBy(*text, "py", "px").agg(F.sort_array(F.collect_list(box), asc=False).alias("all"))
-
-    def area(b):
-        return (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
-
-    def over(a, b):
-        w, h = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
-        inter = F.when((w > 0) & (h > 0), w * h).otherwise(0.0)
-        union = area(a) + area(b) - inter
-        return (inter > 0) & (union > 0) & (inter / union > least)
-
-    none = F.slice("all", 1, 0)
-    kept = F.aggregate("all", none, lambda acc, x: F.when(F.exists(acc, lambda k: over(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return groups.select(*PAGE, F.col("t").alias("text"), F.explode(F.transform(kept, lambda x: x["seq"])).alias("seq"))
+    rows = words.select(*PAGE, F.trim(F.coalesce("text", F.lit(""))).alias("text"), "seq", *(F.col(c).cast("double").alias(c) for c in ("left", "right", "top", "bottom")), F.coalesce(-F.col("conf").cast("double"), F.lit(float("inf"))).alias("doubt"))
+    kind = {c: rows.schema[c].dataType.simpleString() for c in (*PAGE, "text", "seq")}
+    return in_order(rows, (*PAGE, "text"), ("doubt", "seq"), _greedy(least), ", ".join(f"{c} {k}" for c, k in kind.items()))

@@ -12,7 +12,7 @@ from vellum.sources.layout import SQL_ITEMS, SQL_LINES, items, lines
 #: A word's place in its document as one number; ``word_no`` is below 2**32.
 SEQ = "cast(line_no as bigint) * 4294967296 + word_no"
 SQL_SEQ = "line_no::BIGINT * 4294967296 + word_no"
-COPY = 1 << 62
+COPY = 1 << 60
 
 
 @query(f"""WITH {SQL_ITEMS}, p AS (SELECT doc_id, page_index, line_no, 72.0 + (line_no % 3) * 11 AS x, top + 9.6 + line_no % 4 AS baseline FROM layout_lines),
@@ -83,17 +83,23 @@ def link_restore_semi_anti(spark, sf):
 
 
 SQL_TILES = f"""{SQL_ITEMS}, tiles AS (SELECT doc_id, page_index, text, {SQL_SEQ} AS seq, "left", "right", top, bottom, ocr_conf AS conf FROM layout_items
- UNION ALL SELECT doc_id, page_index, text, {COPY} + {SQL_SEQ}, "left" + 1 + word_no % 9, "right" + 1 + word_no % 9, top + 1, bottom + 1, (ocr_conf * 7) % 100 FROM layout_items WHERE word_no % 2 = 0)"""
+ UNION ALL SELECT doc_id, page_index, text, {COPY} + {SQL_SEQ}, "left" + 1 + word_no % 9, "right" + 1 + word_no % 9, top + 1, bottom + 1, (ocr_conf * 7) % 100 FROM layout_items WHERE word_no % 2 = 0
+ UNION ALL SELECT doc_id, page_index, text, 2 * {COPY} + {SQL_SEQ}, "left" + 9 + word_no % 9, "right" + 9 + word_no % 9, top + 1, bottom + 1, (ocr_conf * 13) % 100 FROM layout_items WHERE word_no % 4 = 0)"""
 
 
-@query(f"""WITH {SQL_TILES} SELECT doc_id, seq::BIGINT AS seq FROM tiles a WHERE NOT EXISTS (SELECT 1 FROM tiles b WHERE a.doc_id = b.doc_id AND a.page_index = b.page_index AND trim(a.text) = trim(b.text) AND a.seq % {COPY} = b.seq % {COPY} AND a.seq <> b.seq
- AND (b.conf > a.conf OR (b.conf = a.conf AND b.seq < a.seq)) AND {SQL_INTER.format(a='a', b='b')} / ((a."right" - a."left") * 12 + (b."right" - b."left") * 12 - {SQL_INTER.format(a='a', b='b')}) > 0.5)""")
+# Rounds of the plain order: of the words that are left on each page and text, those with no better one over them stay, and what they lie over goes.
+@query(f"""WITH RECURSIVE {SQL_TILES}, pairs AS MATERIALIZED (SELECT a.doc_id AS doc_id, a.seq AS better, b.seq AS worse FROM tiles a JOIN tiles b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND trim(a.text) = trim(b.text) AND (a.conf > b.conf OR a.conf = b.conf AND a.seq < b.seq)
+ WHERE {SQL_INTER.format(a='a', b='b')} / ((a."right" - a."left") * 12 + (b."right" - b."left") * 12 - {SQL_INTER.format(a='a', b='b')}) > 0.5),
+r(doc_id, seq, state, turn) AS (SELECT doc_id, seq, 'live', 0 FROM tiles UNION ALL SELECT l.doc_id, l.seq, CASE WHEN EXISTS (SELECT 1 FROM pairs o JOIN r k ON k.doc_id = o.doc_id AND k.seq = o.better AND k.state = 'kept' WHERE o.doc_id = l.doc_id AND o.worse = l.seq) THEN 'gone'
+ WHEN NOT EXISTS (SELECT 1 FROM pairs o JOIN r k ON k.doc_id = o.doc_id AND k.seq = o.better AND k.state <> 'gone' WHERE o.doc_id = l.doc_id AND o.worse = l.seq) THEN 'kept' ELSE l.state END, turn + 1 FROM r l WHERE turn < 12)
+SELECT doc_id, seq::BIGINT AS seq FROM r WHERE turn = 12 AND state = 'kept'""")
 def nms_dedupe(spark, sf):
-    """Copies of words in overlapping tiles: the more confident stays."""
+    """Copies of words in overlapping tiles, one pushed along by others: the more confident stays, in order."""
     i = items(spark, sf).withColumns({"seq": F.expr(SEQ).cast("long"), "conf": F.col("ocr_conf")})
     push = 1 + F.col("word_no") % 9
     copy = i.filter("word_no % 2 = 0").withColumns({"seq": F.col("seq") + COPY, "left": F.col("left") + push, "right": F.col("right") + push, "top": F.col("top") + 1, "bottom": F.col("bottom") + 1, "conf": F.col("ocr_conf") * 7 % 100})
-    return S.suppressed(i.unionByName(copy), 0.5).select("doc_id", "seq")
+    again = copy.filter("word_no % 4 = 0").withColumns({"seq": F.col("seq") + COPY, "left": F.col("left") + 8, "right": F.col("right") + 8, "conf": F.col("ocr_conf") * 13 % 100})
+    return S.suppressed(i.unionByName(copy).unionByName(again), 0.5).select("doc_id", "seq")
 
 
 @query(f"""WITH {SQL_ITEMS}, b AS (SELECT doc_id, page_index, line_no, word_no, "left", "right", top, bottom FROM layout_items) SELECT doc_id, line_no, word_no, 612 - "right" AS x0, 792 - bottom AS y0, 612 - "left" AS x1, 792 - top AS y1 FROM b""")

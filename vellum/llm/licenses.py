@@ -6,17 +6,25 @@ saves most tells most about the block, as wording they share costs next to
 nothing.  Winners in rank order are confirmed by exact wording: words of
 template and block are aligned, and what differs is reported.
 
+A name or version can't be another one: the *telling* words of a template (numbers,
+and names: capitals within a sentence) must all stand in the notice, and no
+name of other templates may stand between its words.  Only templates
+whose telling words, and ``LEAST_WORDS`` of all their words in any order, stand in
+a block are compressed with: no other could be confirmed.
+
 Work is local to a row: one scan, no shuffle.  A text without a cue is passed
 over by substring search; blocks are bounded, texts are read whole.
 
 Defined results: null and empty texts give no rows; a notice that occurs
 several times in a text gives a row for each; repeated rows give their rows
-again.
+again; a null doc_id stays null; other columns are ignored, whatever their
+names; texts of any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -53,6 +61,10 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
 }
+TEMPLATES |= {
+    f"{name}-SPDX": f"SPDX-License-Identifier: {name}"
+    for name in "MIT Apache-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later BSD-2-Clause BSD-3-Clause ISC MPL-2.0 EPL-2.0 Zlib BSL-1.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0".split()
+}
 CUES = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public", "domain", "free", "software")
 
 #: Words of a block before and after its cues; cues closer than that share a block, up to ``LONGEST`` words (twice the longest template and more, as cuts overlap by half).
@@ -70,6 +82,28 @@ def words(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
+#: Words with a capital that are no names.
+_PLAIN = frozenset("a any as basis code for form foundation free is kind license of or software source unless version you".split())
+
+
+def telling(body: str) -> frozenset[str]:
+    """Numbers, and names: words with a capital that begin no sentence, but for long words in capitals only."""
+    out = set()
+    for m in _WORD.finditer(body):
+        begins = not m.start() or body[: m.start()].rstrip(' "(')[-1:] in ".:;"
+        name = m[0][0].isupper() and not begins and not (m[0].isupper() and len(m[0]) > 5)
+        if any(c.isdigit() for c in m[0]) or name and m[0].lower() not in _PLAIN:
+            out.add(m[0].lower())
+    if body.startswith("SPDX"):
+        out.add("spdx-license-identifier")
+    return frozenset(out)
+
+
+TELLING = {name: telling(body) for name, body in TEMPLATES.items()}
+_NAMES = frozenset(w for ws in TELLING.values() for w in ws if not any(c.isdigit() for c in w)) - {"by"}
+TELLING_WORDS = {tuple(w for w, _, _ in words(body)): TELLING[name] for name, body in TEMPLATES.items()}
+
+
 @lru_cache(maxsize=1)
 def _prepared():
     import zstandard as z
@@ -79,7 +113,7 @@ def _prepared():
     for name, body in TEMPLATES.items():
         raw = " ".join(w for w, _, _ in words(body))
         known = z.ZstdCompressionDict(raw.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
-        out.append((name, raw.split(" "), z.ZstdCompressor(level=19, dict_data=known)))
+        out.append((name, raw.split(" "), Counter(raw.split(" ")), z.ZstdCompressor(level=19, dict_data=known)))
     return plain, out
 
 
@@ -101,34 +135,42 @@ def blocks(found: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
 
 
 def rank(block: list[str]) -> list[tuple[float, str, list[str]]]:
-    """Templates by how much they save, most first: (relative saving, name, words)."""
+    """Templates that can be confirmed, by how much they save, most first: (relative saving, name, words)."""
     plain, templates = _prepared()
+    have = Counter(block)
+    able = [(name, tw, c) for name, tw, bag, c in templates if all(w in have for w in TELLING[name]) and sum(min(n, have[w]) for w, n in bag.items()) >= LEAST_WORDS * len(tw)]
+    if not able:
+        return []
     data = " ".join(block).encode()
     alone = len(plain.compress(data))
     out = []
-    for name, tw, compressor in templates:
+    for name, tw, compressor in able:
         saved = alone - len(compressor.compress(data))
         out.append((saved / max(1, min(alone, len(plain.compress(" ".join(tw).encode())))), name, tw))
     return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
-def align(block: list[str], template: list[str]) -> tuple[int, int, int, str]:
-    """(first, last exclusive, template words found in order, differences)."""
+def align(block: list[str], template: list[str]) -> tuple[int, int, int, str, bool]:
+    """(first, last exclusive, template words found in order, differences, whether names and numbers are the template's)."""
     m = SequenceMatcher(None, template, block, autojunk=False)
     best = m.find_longest_match()
     if not best.size:
-        return 0, 0, 0, ""
+        return 0, 0, 0, "", False
     # the template's own extent around its longest common run
     slack = max(4, len(template) // 4)
     a, b = max(0, best.b - best.a - slack), min(len(block), best.b + len(template) - best.a + slack)
     m = SequenceMatcher(None, template, block[a:b], autojunk=False)
     same = [x for x in m.get_matching_blocks() if x.size]
     first, last = same[0].b, same[-1].b + same[-1].size
-    notes = []
+    notes, lost, more = [], [], []
     for op, i, j, k, n in m.get_opcodes():
         if op != "equal" and not (op == "insert" and (n <= first or k >= last)):
             notes.append(f"-{' '.join(template[i:j])}+{' '.join(block[a + max(k, first) : a + min(n, last)])}")
-    return a + first, a + last, sum(x.size for x in same), ";".join(notes)
+            lost += template[i:j]
+            more += block[a + max(k, first) : a + min(n, last)]
+    own = TELLING_WORDS.get(tuple(template), frozenset())
+    exact = not own.intersection(lost) and not (_NAMES - own).intersection(more)
+    return a + first, a + last, sum(x.size for x in same), ";".join(notes), exact
 
 
 def scan(text: str) -> list[tuple[str, int, int, float, int, str]]:
@@ -146,8 +188,8 @@ def scan(text: str) -> list[tuple[str, int, int, float, int, str]]:
             for gain, name, template in rank(block):
                 if gain < LEAST_GAIN:
                     break
-                first, last, same, notes = align(block, template)
-                if same >= LEAST_WORDS * len(template) and any(_CUE.search(w) for w in block[first:last]):
+                first, last, same, notes, exact = align(block, template)
+                if exact and same >= LEAST_WORDS * len(template) and any(_CUE.search(w) for w in block[first:last]):
                     good.append((same - notes.count("-") - notes.count("+"), gain, name, first, last, notes))
             if not good:
                 continue

@@ -822,10 +822,14 @@ def entropy_spans(t):
     out = []
     for kind, chars, needs, bits in secret_scan.CLASSES:
         for m in re.finditer(f"{chars}{{20,}}", t):
-            if all(re.search(n, m[0]) for n in needs) and not re.search(secret_scan.ALLOW, m[0]):
-                high = [k for k in range(len(m[0]) - 19) if -sum(c / 20 * math.log2(c / 20) for c in Counter(m[0][k : k + 20]).values()) >= bits]
-                if high:
-                    out.append((m.start() + high[0], secret_scan.KINDS.index(kind), m.start() + high[-1] + 20, kind))
+            listed = [(a.start(), a.end()) for a in re.finditer(secret_scan.ALLOW, m[0])]
+            ends = [0, *(x for pair in listed for x in pair), len(m[0])]
+            for a, b in zip(ends[::2], ends[1::2]):  # between entries of the allow list
+                part = m[0][a:b]
+                if all(re.search(n, part) for n in needs) and not re.search(secret_scan.CHECKSUM, m[0]):
+                    high = [k for k in range(len(part) - 19) if -sum(c / 20 * math.log2(c / 20) for c in Counter(part[k : k + 20]).values()) >= bits]
+                    if high:
+                        out.append((m.start() + a + high[0], secret_scan.KINDS.index(kind), m.start() + a + high[-1] + 20, kind))
     return out
 
 

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vellum.llm import fill_middle, html_extract, line_dedup, vector_codes
+from vellum.llm import fill_middle, html_extract, licenses, line_dedup, secret_scan, vector_codes
 from vellum.llm.scratch import table
 
 ODD = [
@@ -274,3 +274,51 @@ def test_random_articles(data):
     shown, kept = body(0)
     page = f"<html><body><header>{next(words)}</header><article>{shown}</article><footer>{next(words)}</footer></body></html>"
     assert html_extract.main_text(page) == "\n\n".join(k for k in kept if k)
+
+
+# --- 7, 10 -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Released under the Foo License.", []), ("Released under the BSD License.", []), ("Licensed under the Apache License, Version 1.1.", []), ("This work is licensed under the GNU General Public License, version 9.", []),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.", []), ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0-notice"]), ("Licensed under CC BY-NC-ND 4.0.", []),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later\nint main() {}", ["GPL-2.0-or-later-SPDX"]), ("SPDX-License-Identifier: Foo-1.0", []), ("Released under the terms of the MIT License.", ["MIT-notice"]),
+    ],
+)
+def test_license_names_and_versions_are_exact(text, names):
+    assert [f[0] for f in licenses.scan("Some words before it stand here. " + text)] == names
+
+
+def test_license_rank_leaves_out_only_what_cannot_be_confirmed():
+    rng = np.random.default_rng(2)
+    body = [w for w, _, _ in licenses.words(licenses.TEMPLATES["GPL-3.0"])]
+    for _ in range(20):
+        block = list(rng.permutation(body)[: rng.integers(1, len(body))]) + body[: rng.integers(0, len(body))]
+        able = {name for _, name, _ in licenses.rank(block)}
+        for name, template in licenses.TEMPLATES.items():
+            tw = [w for w, _, _ in licenses.words(template)]
+            _, _, same, _, exact = licenses.align(block, tw)
+            assert not (exact and same >= licenses.LEAST_WORDS * len(tw)) or name in able or licenses.TELLING[name] - set(block)
+
+
+def test_licenses_of_odd_tables(spark):
+    assert licenses.notices(docs_of(spark, [])).count() == 0
+    rows = licenses.notices(docs_of(spark, [(None, "Released under the MIT License."), (1, None), (1, "Released under the MIT License."), (1, "Released under the MIT License.")])).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "None"]
+
+
+KEY = "q7Rz0Lx2Kc9Vb4Nm8Wd1"
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        (f"deploy/sample-{KEY}x", [("entropy_base64", 13, 35)]), (f"path/example/{KEY}/", [("entropy_base64", 12, 34)]), (f"{KEY[:10]}example{KEY[10:]}", []), (f"sha256-{KEY}{KEY}", []),
+        ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", []), ("JBSWY3DPEHPK3PXPQ7TZ2CNV", [("entropy_base32", 0, 24)]), ("k3x9q7mzw1r8tb5vn2cj", [("entropy_lower", 0, 20)]), ("averyveryverylongword2andmore", []), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", []),
+    ],
+)
+def test_allow_list_suppresses_windows(spark, text, spans):
+    row = secret_scan.scan(docs_of(spark, [(1, text)])).first()
+    assert [(m["kind"], m["start"], m["stop"]) for m in row["entropy_spans"]] == spans

@@ -36,11 +36,14 @@ def _secrets() -> str:
         "SELECT doc_id, start, 1, start + n, 'access' FROM access",
         "SELECT doc_id, start, 2, start + n, 'hex' FROM hex",
     ]
+    allow, checksum = secret_scan.ALLOW, secret_scan.CHECKSUM
     for k, (kind, chars, needs, bits) in enumerate(secret_scan.CLASSES, 3):
         parts.append(_found(kind, f"{chars}{{{w},}}"))
-        holds = " AND ".join(f"regexp_matches(word, '{x}')" for x in needs)
+        holds = " AND ".join(f"regexp_matches(part, '{x}')" for x in needs)
         parts.append(
-            f"""{kind}_w AS (SELECT doc_id, start, j, string_split(substr(word, j + 1, {w}), '') AS cs FROM {kind}, unnest(range(length(word) - {w - 1})) AS u(j) WHERE {holds} AND NOT regexp_matches(word, '{secret_scan.ALLOW}')),
+            f"""{kind}_s AS (SELECT doc_id, start AS run, string_split_regex(word, '{allow}') AS ps, regexp_extract_all(word, '{allow}', 0) AS hs FROM {kind} WHERE NOT regexp_matches(word, '{checksum}')),
+{kind}_t AS (SELECT doc_id, ps[i] AS part, (run + list_sum(list_transform(ps[1:i], lambda x: length(x))) - length(ps[i]) + coalesce(list_sum(list_transform(hs[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM {kind}_s, unnest(range(1, len(ps) + 1)) AS u(i)),
+{kind}_w AS (SELECT doc_id, start, j, string_split(substr(part, j + 1, {w}), '') AS cs FROM {kind}_t, unnest(range(length(part) - {w - 1})) AS u(j) WHERE {holds}),
 {kind}_h AS (SELECT doc_id, start, min(j) AS lo, max(j) AS hi FROM {kind}_w WHERE log2({w}) - list_sum(list_transform(list_distinct(cs), lambda c: len(list_filter(cs, lambda x: x = c)) * log2(len(list_filter(cs, lambda x: x = c))))) / {w} >= {bits} GROUP BY doc_id, start)"""
         )
         spans.append(f"SELECT doc_id, start + lo, {k}, start + hi + {w}, '{kind}' FROM {kind}_h")

@@ -1,12 +1,13 @@
 """Operator 10: secret scans with DataFrame expressions only.
 
 Base kinds are patterns; the method adds spans of high Shannon entropy: each
-candidate string of a character class (hex digits; base64 letters) is read by
+candidate string of a character class (hex digits; base64 letters; base32
+letters; lower-case letters and digits) is read by
 a sliding window whose entropy is kept by incremental counts.  For counts c of
 a window of w characters, ``H = log2(w) - sum(c * log2(c)) / w``; when one
-character leaves and one enters, only their two counts and terms change.  Candidates that
-match the allow list (placeholders, alphabets, published checksums) are
-suppressed; base spans never are.
+character leaves and one enters, only their two counts and terms change.  Windows that
+touch an entry of the allow list (placeholders, alphabets) are suppressed, and
+whole candidates that are published checksums; base spans never are.
 
 Everything is a per-row expression: one scan, no shuffle, no Python worker.
 A row without a candidate costs one pattern search a kind.
@@ -38,12 +39,16 @@ ASSIGN_VALUE = 6
 WINDOW = 20
 #: Code points counted by a window: from "+" to "z".
 FIRST_SIGN, SIGNS = 43, 80
-#: kind, run of its characters, what a run must hold, least bits in some window
+#: kind, run of its characters, what a stretch must hold, least bits in some window
 CLASSES = (
     ("entropy_hex", "[0-9A-Fa-f]", ("[0-9]", "[A-Fa-f]"), 2.95),
     ("entropy_base64", "[A-Za-z0-9+/=_-]", ("[0-9]", "[A-Z]", "[a-z]"), 3.65),
+    ("entropy_base32", "[A-Z2-7]", ("[2-7]", "[A-Z]"), 3.65),
+    ("entropy_lower", "[a-z0-9]", ("[0-9]", "[g-z]"), 3.65),
 )
-ALLOW = r"(?i)example|sample|dummy|placeholder|changeme|redacted|your[-_]?(?:key|token|secret)|xxxx|0000000|deadbeef|0123456789|abcdefghij|qwertyuiop|^sha(?:1|256|384|512)[-=]|^[0-9]+[xX][0-9]+$"
+ALLOW = r"(?i:wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|example|sample|dummy|placeholder|changeme|redacted|your[-_]?(?:key|token|secret)|xxxx|0000000|deadbeef|0123456789|1234567890|abcdefghij|qwertyuiop)"
+#: Candidates that are whole of this form: integrity values, sizes.
+CHECKSUM = r"^(?i:sha)(?:1|256|384|512)[-=]|^[0-9]+[xX][0-9]+$"
 
 KINDS = ("assign", "access", "hex", *(c[0] for c in CLASSES))
 
@@ -150,9 +155,17 @@ def _kind(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["stop"].alias("stop"), F.lit(kind).alias("kind")))
 
 
+def _stretch(chars: str) -> str:
+    """Matches of checksums, of entries of the allow list, and, as group 1, of what stands between them in a run."""
+    checksum = f"(?<!{chars})(?:(?i:sha)(?:1|256|384|512)[-=]{chars}*|[0-9]+[xX][0-9]+(?!{chars}))"
+    return f"{checksum}|{ALLOW}|((?:(?!{ALLOW}){chars}){{{WINDOW},}})"
+
+
 def _entropy(text: Column, kind: str, chars: str, needs: tuple[str, ...], bits: float) -> Column:
-    runs = F.filter(matches(text, _guarded(chars, needs)), lambda m: ~m["word"].rlike(ALLOW))
-    marked = F.transform(runs, lambda m: F.struct(m["start"].alias("start"), surge(m["word"], bits).alias("w")))
+    # a text without a candidate costs one search
+    some = F.when(text.rlike(_guarded(chars, needs)), text).otherwise("")
+    able = F.filter(matches(some, _stretch(chars), 1), lambda m: reduce(lambda a, b: a & b, [m["word"].rlike(x) for x in needs], F.length(m["word"]) >= WINDOW))
+    marked = F.transform(able, lambda m: F.struct(m["start"].alias("start"), surge(m["word"], bits).alias("w")))
     high = F.filter(marked, lambda m: m["w"]["first"].isNotNull())
     return _kind(F.transform(high, lambda m: F.struct((m["start"] + m["w"]["first"]).alias("start"), (m["start"] + m["w"]["last"] + WINDOW).alias("stop"))), kind)
 

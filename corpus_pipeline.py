@@ -13,14 +13,16 @@ any length are read whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import mixing, near_dedup, packing, secret_scan, toxicity
-from vellum.llm.scratch import Scratch, table
+from vellum.llm.scratch import Scratch, partitions, table
 from vellum.llm.tokens import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Copies of one row that one task makes.
+AT_ONCE = 4096
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +42,22 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
-    keyed = docs.select(*COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text"))
-    # rows that are equal in both share their copies
-    taken = mixing.mix(keyed, key="_key").groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    both = keyed.join(taken, "_key").withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
-    times = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_at") <= F.col("_copies") % F.col("_rows")).cast("long")
-    return both.withColumn("_each", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*COLUMNS)
+    """Each document as often as the mixture takes it.
+
+    Rows that are equal in all columns share a key (128 bits) and their copies, so
+    each key is one row that is repeated: no rows of a key need to be told apart.
+    """
+    docs = docs.select(*COLUMNS)
+    whole = F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})
+    keyed = docs.withColumn("_key", F.md5(whole))
+    taken = mixing.mix(keyed.select("_key", "source", "text"), key="_key").groupBy("_key").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
+    one = keyed.groupBy("_key").agg(*(F.first(c).alias(c) for c in COLUMNS)).join(taken, "_key")
+    # what is taken very often is dealt to many tasks first
+    step = F.lit(AT_ONCE).cast("long")
+    often = one.filter(F.col("_copies") > step).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, step))).repartition(partitions(spark), "_key", "_from")
+    each = one.filter(F.col("_copies") <= step).withColumn("_from", F.lit(0).cast("long")).unionByName(often)
+    times = F.least(step, F.col("_copies") - F.col("_from")).cast("int")
+    return each.withColumn("_each", F.explode(F.array_repeat(F.lit(0), times))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

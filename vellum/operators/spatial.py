@@ -7,7 +7,7 @@ over what shares a cell.  Nothing is joined across pages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
@@ -114,3 +114,22 @@ def suppressed(words: DataFrame, least: float) -> DataFrame:
     rows = words.select(*PAGE, F.trim(F.coalesce("text", F.lit(""))).alias("text"), "seq", *(F.col(c).cast("double").alias(c) for c in ("left", "right", "top", "bottom")), F.coalesce(-F.col("conf").cast("double"), F.lit(float("inf"))).alias("doubt"))
     kind = {c: rows.schema[c].dataType.simpleString() for c in (*PAGE, "text", "seq")}
     return in_order(rows, (*PAGE, "text"), ("doubt", "seq"), _greedy(least), ", ".join(f"{c} {k}" for c, k in kind.items()))
+
+
+def bars_told(words: DataFrame) -> DataFrame:
+    """Bars among ``words(doc_id, page_index, line_no, word_no, t, left, right, top, bottom)`` with ``text``: the pronoun beside prose, else a bar.
+
+    A bar is the pronoun if a word of letters follows within two heights, or if
+    nothing follows in its row and such a word stands before it.  A bar meets the
+    nearest words of its row only, by two windows over the row in order.
+    """
+    row = Window.partitionBy("doc_id", "line_no").orderBy("left", "word_no")
+    after, before = row.rowsBetween(1, Window.unboundedFollowing), row.rowsBetween(Window.unboundedPreceding, -1)
+    near = 2 * (F.col("bottom") - F.col("top"))
+    # what lies within two heights on either side: the nearest word of letters decides
+    begins = F.min(F.when(F.col("t").rlike("^[a-z]{3,}"), F.col("left"))).over(after)
+    ends = F.max(F.when(F.col("t").rlike("[a-z]{3,}[.,]?$"), F.col("right"))).over(before)
+    more = F.coalesce(F.max("left").over(after) > F.col("right") - 2, F.lit(False))
+    follows = F.coalesce((begins > F.col("right") - 2) & (begins - F.col("right") < near), F.lit(False))
+    precedes = F.coalesce((ends < F.col("left") + 2) & (F.col("left") - ends < near), F.lit(False))
+    return words.withColumn("text", F.when(follows | (~more & precedes), "I").otherwise(F.col("t"))).filter("t = '|'")

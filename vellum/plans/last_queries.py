@@ -9,7 +9,7 @@ from vellum.functions import text as T
 from vellum.operators import raster as R
 from vellum.plans.other_queries import SQL_PIXELS, pixels
 from vellum.plans.registry import query
-from vellum.plans.text_queries import SAMPLES, SQL_SAMPLES, _sql_counts
+from vellum.plans.text_queries import SQL_SAMPLES, _samples, _sql_counts
 from vellum.sources.layout import SQL_ITEMS, SQL_LINES, items, lines, table
 
 
@@ -51,7 +51,7 @@ SELECT samples.id, CASE WHEN script IS NULL OR script IN ('cyrillic', 'greek') T
 def script_faces(spark, sf):
     """The face that draws a text's script; the bundled ones cover Latin, Cyrillic and Greek."""
     s = T.script_of(F.col("text"))
-    return spark.createDataFrame(SAMPLES, "id int, text string").select("id", F.when(s.isin("latin", "cyrillic", "greek"), "").otherwise(F.concat(F.lit("Noto Sans "), F.initcap(s))).alias("face"))
+    return _samples(spark, sf).select("id", F.when(s.isin("latin", "cyrillic", "greek"), "").otherwise(F.concat(F.lit("Noto Sans "), F.initcap(s))).alias("face"))
 
 
 @query(f"""WITH {SQL_ITEMS} SELECT doc_id, line_no, word_no, text, "left" AS x, 792 - bottom AS y FROM layout_items""")

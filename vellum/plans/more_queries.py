@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.operators import fonts as N
-from vellum.plans.other_queries import FONTS, SQL_FONTS
+from vellum.operators import styles as S
+from vellum.plans.other_queries import SQL_FONTS, _fonts
 from vellum.plans.registry import query
 from vellum.sources.layout import SQL_ITEMS, SQL_LINES, items, lines, table
 
@@ -102,10 +103,11 @@ def skew_scores(spark, sf):
     return n.groupBy("page_id", "deg").agg(F.sum(F.col("n") * F.col("n")).alias("score"))
 
 
-@query("""WITH v(id, t, reusable) AS (VALUES (1, '`500', false), (2, '`500', true), (3, 'a`b`', false)) SELECT id, CASE WHEN NOT reusable THEN replace(t, '`', '₹') ELSE t END AS text FROM v""")
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN '₹' || p_size || ' ' || replace(p_name, 'a', '₹') ELSE '`' || p_size || ' ' || replace(p_name, 'a', '`') END AS text FROM part""")
 def grave_repair(spark, sf):
-    v = spark.createDataFrame([(1, "`500", False), (2, "`500", True), (3, "a`b`", False)], "id int, t string, reusable boolean")
-    return v.select("id", F.when(~F.col("reusable"), F.replace("t", F.lit("`"), F.lit("₹"))).otherwise(F.col("t")).alias("text"))
+    """Graves in texts whose face can't be used again stand for rupees."""
+    t = F.concat(F.lit("`"), F.col("p_size").cast("string"), F.lit(" "), F.replace("p_name", F.lit("a"), F.lit("`")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, F.replace(t, F.lit("`"), F.lit("₹"))).otherwise(t).alias("text"))
 
 
 @query(f"""WITH {SQL_LINES}, e AS (SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'center' END AS al, "left" AS x, "right" AS r, 6 * (length(text) + line_no % 5)::DOUBLE AS w FROM layout_lines)
@@ -186,25 +188,25 @@ def annotation_history(spark, sf):
     return h.filter("r <= 4").select("conv_id", "turn", (F.least("n", F.lit(4)) - F.col("r")).alias("slot"))
 
 
-RUNS = [(1, [("ab", True, None), ("", False, None)], True, "http://x"), (2, [("cd", False, 500.0), ("ef", True, 1.0)], None, None), (3, [("", None, None)], False, ""), (4, [], True, None)]
-RUN_TYPE = "id int, runs array<struct<text:string,bold:boolean,size:double>>, bold boolean, link string"
-
-
-@query("""WITH r(id, text, bold, size) AS (VALUES (1, 'ab', true, 12.0), (2, 'cd', false, 400.0), (2, 'ef', true, 4.0)) SELECT * FROM r""")
+@query("""SELECT p_partkey AS id, u.i AS at, substr(p_name, 1, p_size % 4 * u.i) AS text, CASE WHEN u.i = 1 THEN p_size % 2 = 0 ELSE p_size % 3 = 0 END AS bold, greatest(4, least(400, CASE WHEN u.i = 1 THEN 12 ELSE p_size * p_size END))::DOUBLE AS size FROM part, unnest([1, 2]) AS u(i) WHERE p_size % 4 > 0""")
 def run_model_clean(spark, sf):
-    """Runs without empty text, sizes by default 12 and within 4 to 400."""
-    runs = F.transform("runs", lambda r: F.struct(r["text"].alias("text"), F.coalesce(r["bold"], F.col("bold"), F.lit(False)).alias("bold"), F.greatest(F.lit(4.0), F.least(F.lit(400.0), F.coalesce(r["size"], F.lit(12.0)))).alias("size")))
-    return spark.createDataFrame(RUNS, RUN_TYPE).select("id", F.inline(F.filter(runs, lambda r: r["text"] != "")))
+    """Two runs of each part: those without text go, sizes by default 12 and within 4 to 400, weight inherited."""
+    size = F.col("p_size")
+    run = lambda i, s, b: F.struct(F.expr(f"substring(p_name, 1, p_size % 4 * {i})").alias("text"), s.cast("double").alias("size"), b.alias("bold"), F.lit(None).cast("boolean").alias("italic"), F.lit(None).cast("boolean").alias("underline"), F.lit(None).cast("string").alias("link"))
+    runs = F.array(F.array(run(1, F.lit(None), F.lit(None).cast("boolean")), run(2, size * size, size % 3 == 0)))
+    clean = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(S.cleaned_runs(runs, F.lit(12.0), size % 2 == 0, F.lit(False))).alias("line"))
+    return clean.select("id", F.posexplode("line").alias("at", "r")).select("id", (F.col("at") + 1).alias("at"), "r.text", "r.bold", "r.size")
 
 
-@query("""WITH r(id, n_bold, link, link_removed, bold_set) AS (VALUES (1, 2, 'http://x', false, true), (2, 0, NULL, false, false), (3, 0, NULL, true, true), (4, 0, NULL, false, true)) SELECT * FROM r""")
+@query("""WITH t AS (SELECT conv_id, turn, turn % 2 = 0 AS own FROM conversations), b AS (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS bold, CASE conv_id % 4 WHEN 1 THEN 'http://x' WHEN 2 THEN '' END AS link, count(*) AS n, count(*) FILTER (WHERE own) AS owned FROM t GROUP BY 1)
+SELECT conv_id, (CASE WHEN bold IS NULL THEN owned WHEN bold THEN n ELSE 0 END)::INT AS n_bold, nullif(link, '') AS link, coalesce(link = '', false) AS link_removed, bold IS NOT NULL AS bold_set FROM b""")
 def style_broadcast(spark, sf):
-    """A box's style written into all its runs; clearing a link leaves a tombstone."""
+    """A box's style written into all its runs, the conversation's turns; clearing a link leaves a tombstone."""
+    k = F.col("conv_id")
+    box = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", (F.col("turn") % 2 == 0).alias("bold"))).alias("runs"))
+    box = box.withColumns({"bold": F.when(k % 3 == 0, True).when(k % 3 == 1, False), "link": F.when(k % 4 == 1, "http://x").when(k % 4 == 2, "")})
     runs = F.transform("runs", lambda r: r.withField("bold", F.coalesce(F.col("bold"), r["bold"])))
-    df = spark.createDataFrame(RUNS, RUN_TYPE).withColumn("runs", F.when(F.col("bold").isNotNull(), runs).otherwise(F.col("runs")))
-    n = F.size(F.filter("runs", lambda r: r["bold"] & F.lit(True)))
-    n = F.when(F.col("bold").isNull(), 0).otherwise(n)
-    return df.select("id", n.alias("n_bold"), F.nullif("link", F.lit("")).alias("link"), (F.col("link") == "").alias("link_removed"), F.col("bold").isNotNull().alias("bold_set")).withColumn("link_removed", F.coalesce("link_removed", F.lit(False)))
+    return box.select("conv_id", F.size(F.filter(runs, lambda r: r["bold"])).alias("n_bold"), F.nullif("link", F.lit("")).alias("link"), F.coalesce(F.col("link") == "", F.lit(False)).alias("link_removed"), F.col("bold").isNotNull().alias("bold_set"))
 
 
 @query("""WITH l AS (SELECT conv_id, max(turn) AS last, max(turn) FILTER (WHERE turn % 5 = 4) AS cleared FROM conversations GROUP BY 1) SELECT conv_id, count(*) FILTER (WHERE turn > coalesce(cleared, -1))::BIGINT AS standing FROM conversations JOIN l USING (conv_id) GROUP BY 1""")
@@ -222,23 +224,24 @@ def style_refine(spark, sf):
     return k.select("doc_id", "line_no", ((F.col("known") == F.col("n")) & F.col("ab")).alias("bold"))
 
 
-@query(f"""WITH {SQL_FONTS}, a(name) AS (VALUES ('Tinos'), ('Arial'), ('Georgia')) SELECT b.name, CASE WHEN a.name IS NOT NULL THEN b.name END AS face, CASE WHEN a.name IS NULL THEN (CASE WHEN contains(n, 'mono') OR contains(n, 'courier') THEN 'mono' WHEN contains(n, 'times') OR contains(n, 'roman') THEN 'serif' ELSE 'sans' END) END AS family FROM b LEFT JOIN a ON a.name = b.name""")
+@query(f"""WITH {SQL_FONTS}, a AS (SELECT DISTINCT 'Face' || s_nationkey AS name FROM supplier UNION ALL VALUES ('Tinos'), ('Arial'), ('Georgia')) SELECT b.name, CASE WHEN a.name IS NOT NULL THEN b.name END AS face, CASE WHEN a.name IS NULL THEN (CASE WHEN contains(n, 'mono') OR contains(n, 'courier') THEN 'mono' WHEN contains(n, 'times') OR contains(n, 'roman') THEN 'serif' ELSE 'sans' END) END AS family FROM b LEFT JOIN a ON a.name = b.name""")
 def unregistered_faces(spark, sf):
-    """Faces that aren't registered give way to a family."""
-    f = spark.createDataFrame([(n,) for n in FONTS], "name string")
-    known = spark.createDataFrame([("Tinos",), ("Arial",), ("Georgia",)], "face string")
+    """Faces of all parts that no supplier registers and that aren't bundled give way to a family."""
+    bundled = spark.createDataFrame([("Tinos",), ("Arial",), ("Georgia",)], "face string")
+    known = table(spark, sf, "supplier").select(F.concat(F.lit("Face"), F.col("s_nationkey").cast("string")).alias("face")).unionByName(bundled).distinct()
     n = F.lower(F.element_at(F.split("name", r"\+"), -1))
     family = F.when(N.holds(n, ("mono", "courier")), "mono").when(N.holds(n, ("times", "roman")), "serif").otherwise("sans")
-    both = f.join(known, F.col("name") == F.col("face"), "left")
+    both = _fonts(spark, sf).join(known, F.col("name") == F.col("face"), "left")
     return both.select("name", "face", F.when(F.col("face").isNull(), family).alias("family"))
 
 
-@query("""WITH c(id, pos, file) AS (VALUES (1, 0, 'arimo-bi'), (1, 1, 'arimo-b'), (1, 2, 'arimo'), (2, 0, 'x-b'), (2, 1, 'x'), (3, 0, 'tinos-i')), a(file) AS (VALUES ('arimo-b'), ('arimo'), ('tinos-i')) SELECT c.id, coalesce(arg_min(c.file, pos) FILTER (WHERE a.file IS NOT NULL), 'builtin') AS file FROM c LEFT JOIN a ON a.file = c.file GROUP BY 1""")
+@query("""WITH c AS (SELECT p_partkey AS id, u.i AS pos, concat('face-', (p_partkey * (u.i + 3)) % 40) AS file FROM part, unnest(range(4)) AS u(i)), a AS (SELECT DISTINCT concat('face-', s_nationkey) AS file FROM supplier) SELECT c.id, coalesce(arg_min(c.file, pos) FILTER (WHERE a.file IS NOT NULL), 'builtin') AS file FROM c LEFT JOIN a ON a.file = c.file GROUP BY 1""")
 def font_file_choice(spark, sf):
-    """The first available candidate of an ordered chain, else the built-in face."""
-    c = spark.createDataFrame([(1, ["arimo-bi", "arimo-b", "arimo"]), (2, ["x-b", "x"]), (3, ["tinos-i"])], "id int, files array<string>")
-    have = ("arimo-b", "arimo", "tinos-i")
-    return c.select("id", F.coalesce(F.get(F.filter("files", lambda f: f.isin(*have)), 0), F.lit("builtin")).alias("file"))
+    """The first of each part's four candidates that is among the suppliers' faces, else the built-in face."""
+    face = lambda k: F.concat(F.lit("face-"), k.cast("string"))
+    have = table(spark, sf, "supplier").select(face(F.col("s_nationkey")).alias("file"), F.lit(True).alias("have")).distinct()
+    c = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).withColumn("file", face(F.col("id") * (F.col("pos") + 3) % 40))
+    return c.join(have, "file", "left").groupBy("id").agg(F.coalesce(F.min_by("file", F.when(F.col("have"), F.col("pos"))), F.lit("builtin")).alias("file"))
 
 
 @query("""SELECT item_id, i::INT AS i, ch, CASE WHEN regexp_matches(ch, '[a-m]') THEN 'page' WHEN regexp_matches(ch, '[a-zA-Z ]') THEN 'bundled' ELSE 'fallback' END AS font FROM (SELECT item_id, unnest(range(length(text))) AS i, unnest(string_split(text, '')) AS ch FROM benchmark WHERE length(text) > 0)""")

@@ -89,11 +89,13 @@ def cover_strip_state(spark, sf):
 
 
 FONTS = ["ABCDEF+Carlito-Bold", "Tinos", "CMR10", "XYZABC+CMBX12", "LMSans10-Regular", "Arial", "HelveticaBold", "Times New Roman Italic", "JetBrains Mono Medium", "NimbusRomNo9L-Medi", "TeXGyreHeros-BoldItalic", "Georgia", "Noto Sans Black", "Courier-Oblique", "lmmono10", "Unknown"]
-SQL_FONTS = "f(name) AS (VALUES " + ", ".join(f"('{n}')" for n in FONTS) + "), b AS (SELECT name, lower(string_split(name, '+')[-1]) AS n, regexp_replace(lower(string_split(name, '+')[-1]), '[\\s-]', '', 'g') AS t FROM f)"
+SQL_FONTS = "f AS (SELECT DISTINCT [" + ", ".join(f"'{n}'" for n in FONTS) + f"][p_partkey % {len(FONTS)} + 1] || CASE WHEN p_size % 3 = 0 THEN '-' || p_size ELSE '' END AS name FROM part), b AS (SELECT name, lower(string_split(name, '+')[-1]) AS n, regexp_replace(lower(string_split(name, '+')[-1]), '[\\s-]', '', 'g') AS t FROM f)"
 
 
-def _fonts(spark):
-    return spark.createDataFrame([(n,) for n in FONTS], "name string")
+def _fonts(spark, sf):
+    """The fonts of all parts: a name, for some with the part's size after it."""
+    name = F.element_at(F.array(*map(F.lit, FONTS)), (F.col("p_partkey") % len(FONTS) + 1).cast("int"))
+    return table(spark, sf, "part").select(F.when(F.col("p_size") % 3 == 0, F.concat(name, F.lit("-"), F.col("p_size").cast("string"))).otherwise(name).alias("name")).distinct()
 
 
 def _any(parts, c="n"):
@@ -102,42 +104,53 @@ def _any(parts, c="n"):
 
 @query(f"WITH {SQL_FONTS} SELECT name, CASE " + " ".join(f"WHEN contains(lower(name), '{p}') THEN '{k}'" for p, k in N.FAMILY_KEYS) + " ELSE '' END AS key FROM b")
 def font_key_lookup(spark, sf):
-    return _fonts(spark).select("name", N.family_key(F.col("name")).alias("key"))
+    return _fonts(spark, sf).select("name", N.family_key(F.col("name")).alias("key"))
 
 
 @query(f"WITH {SQL_FONTS}, s AS (SELECT *, {_any(N.MONO)} AS mono, {_any(N.SERIF)} OR NOT {_any(N.SANS)} AS serif FROM b) SELECT name, CASE WHEN mono THEN 'mono' WHEN serif THEN 'serif' ELSE 'sans' END AS family, regexp_matches(n, '{N.BOLD}') AS bold, regexp_matches(n, '{N.ITALIC}') AS italic FROM s")
 def font_style(spark, sf):
     """Style from the name, with a serif flag in the descriptor."""
-    return _fonts(spark).select("name", N.style(F.col("name"), F.lit("serif")).alias("s")).select("name", "s.*")
+    return _fonts(spark, sf).select("name", N.style(F.col("name"), F.lit("serif")).alias("s")).select("name", "s.*")
 
 
 @query(f"WITH {SQL_FONTS} SELECT name, CASE WHEN regexp_matches(n, '^(helvetica|arial)') THEN 'sans' WHEN regexp_matches(n, '^times|times new roman') THEN 'serif' WHEN starts_with(n, 'courier') THEN 'mono' END AS standard, regexp_matches(n, '{N.LATEX}') AS latex FROM b")
 def font_standard(spark, sf):
-    return _fonts(spark).select("name", N.standard_family(F.col("name")).alias("standard"), N.strip_subset(F.col("name")).rlike(N.LATEX).alias("latex"))
+    return _fonts(spark, sf).select("name", N.standard_family(F.col("name")).alias("standard"), N.strip_subset(F.col("name")).rlike(N.LATEX).alias("latex"))
 
 
 @query(f"""WITH {SQL_FONTS}, s AS (SELECT *, CASE WHEN {_any(N.TEX_TIMES, 't')} THEN 'times' WHEN {_any(N.TEX_HELVETICA, 't')} THEN 'helvetica' WHEN {_any(N.TEX_COURIER, 't')} THEN 'courier' WHEN regexp_matches(n, '{N.LATEX}') OR regexp_matches(t, 'latinmodern|computermodern|^(lmroman|lmsans|lmmono)') THEN 'cm' END AS shape FROM b)
 SELECT name, shape, CASE shape WHEN 'times' THEN 'serif' WHEN 'helvetica' THEN 'sans' WHEN 'courier' THEN 'mono' ELSE CASE WHEN regexp_matches(t, 'cmss|lmsans|lmss') THEN 'sans' WHEN regexp_matches(t, 'cmtt|cmitt|cmsltt|lmmono|lmtt') THEN 'mono' ELSE 'serif' END END AS family, {_any(N.TEX_BOLD, 't')} AS bold, {_any(N.TEX_ITALIC, 't')} AS italic FROM s WHERE shape IS NOT NULL""")
 def latex_profile(spark, sf):
-    return _fonts(spark).select("name", N.latex_profile(F.col("name")).alias("p")).filter("p is not null").select("name", "p.*")
+    return _fonts(spark, sf).select("name", N.latex_profile(F.col("name")).alias("p")).filter("p is not null").select("name", "p.*")
 
 
-COLOURS = ["#336699", "rgb(51, 102, 153)", "rgba(255,0,10,0.5)", "bad", "#GG0000"]
 
 
-@query("""WITH c(c) AS (VALUES ('#336699'), ('rgb(51, 102, 153)'), ('rgba(255,0,10,0.5)'), ('bad'), ('#GG0000')), p AS (SELECT c, CASE WHEN regexp_matches(c, '(?i)^#[0-9a-f]{6}$') THEN [concat('0x', substr(c, 2, 2))::INT / 255, concat('0x', substr(c, 4, 2))::INT / 255, concat('0x', substr(c, 6, 2))::INT / 255]
-WHEN regexp_matches(c, 'rgba?\\(\\d+,\\s*\\d+,\\s*\\d+') THEN [regexp_extract(c, '(\\d+),\\s*(\\d+),\\s*(\\d+)', 1)::DOUBLE / 255, regexp_extract(c, '(\\d+),\\s*(\\d+),\\s*(\\d+)', 2)::DOUBLE / 255, regexp_extract(c, '(\\d+),\\s*(\\d+),\\s*(\\d+)', 3)::DOUBLE / 255] END AS v FROM c)
-SELECT c, round(v[1], 6)::DOUBLE AS r, round(v[2], 6)::DOUBLE AS g, round(v[3], 6)::DOUBLE AS b FROM p""".replace("\\\\", "\\"))
+@query(r"""WITH c AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN format('#{:06x}', p_partkey * 7919 % 16777216) WHEN 1 THEN format('rgb({}, {},{})', p_partkey % 256, p_size, p_partkey * 31 % 256) WHEN 2 THEN format('rgba({},{}, {},0.5)', p_size, p_partkey % 256, p_partkey * 17 % 256) ELSE '#' || substr(p_name, 1, 6) END AS c FROM part), p AS (SELECT c, CASE WHEN regexp_matches(c, '(?i)^#[0-9a-f]{6}$') THEN [concat('0x', substr(c, 2, 2))::INT / 255, concat('0x', substr(c, 4, 2))::INT / 255, concat('0x', substr(c, 6, 2))::INT / 255]
+WHEN regexp_matches(c, 'rgba?\(\d+,\s*\d+,\s*\d+') THEN [regexp_extract(c, '(\d+),\s*(\d+),\s*(\d+)', 1)::DOUBLE / 255, regexp_extract(c, '(\d+),\s*(\d+),\s*(\d+)', 2)::DOUBLE / 255, regexp_extract(c, '(\d+),\s*(\d+),\s*(\d+)', 3)::DOUBLE / 255] END AS v FROM c)
+SELECT c, round(v[1], 6)::DOUBLE AS r, round(v[2], 6)::DOUBLE AS g, round(v[3], 6)::DOUBLE AS b FROM p""")
 def colour_parse(spark, sf):
-    v = spark.createDataFrame([(c,) for c in COLOURS], "c string").withColumn("v", G.hex_to_rgb(F.col("c")))
+    """Colours in three notations, and names that are none, of all parts."""
+    k, text = F.col("p_partkey"), lambda x: x.cast("string")
+    notation = (
+        F.when(k % 4 == 0, F.concat(F.lit("#"), F.lpad(F.lower(F.hex(k * 7919 % 16777216)), 6, "0")))
+        .when(k % 4 == 1, F.concat(F.lit("rgb("), text(k % 256), F.lit(", "), text(F.col("p_size")), F.lit(","), text(k * 31 % 256), F.lit(")")))
+        .when(k % 4 == 2, F.concat(F.lit("rgba("), text(F.col("p_size")), F.lit(","), text(k % 256), F.lit(", "), text(k * 17 % 256), F.lit(",0.5)")))
+        .otherwise(F.concat(F.lit("#"), F.substring("p_name", 1, 6)))
+    )
+    v = table(spark, sf, "part").select(notation.alias("c")).distinct().withColumn("v", G.hex_to_rgb(F.col("c")))
     return v.select("c", *[F.round(F.col("v")[i], 6).alias(n) for i, n in enumerate("rgb")])
 
 
-@query("""WITH c(id, v) AS (VALUES (1, [0.5]), (2, [0.2, 0.4, 0.6]), (3, [0.0, 1.0, 1.0, 0.0]), (4, [51.0, 102.0, 153.0]), (5, []::DOUBLE[])), n AS (SELECT id, CASE len(v) WHEN 0 THEN [0.0, 0.0, 0.0] WHEN 1 THEN [v[1], v[1], v[1]] WHEN 4 THEN [(1 - v[1]) * (1 - v[4]), (1 - v[2]) * (1 - v[4]), (1 - v[3]) * (1 - v[4])] ELSE v END AS w FROM c)
+@query("""WITH c AS (SELECT p_partkey AS id, p_size / 50.0 AS u, p_partkey % 256 AS w, CASE p_partkey % 5 WHEN 0 THEN []::DOUBLE[] WHEN 1 THEN [p_size / 50.0] WHEN 2 THEN [p_size / 50.0, (p_partkey % 8) / 8.0, 0.25] WHEN 3 THEN [p_size / 50.0, (p_partkey % 8) / 8.0, 0.25, 0.5] ELSE [p_partkey % 256, p_size, 153.0]::DOUBLE[] END AS v FROM part),
+n AS (SELECT id, CASE len(v) WHEN 0 THEN [0.0, 0.0, 0.0] WHEN 1 THEN [v[1], v[1], v[1]] WHEN 4 THEN [(1 - v[1]) * (1 - v[4]), (1 - v[2]) * (1 - v[4]), (1 - v[3]) * (1 - v[4])] ELSE v END AS w FROM c)
 SELECT id, round(w[1] / CASE WHEN list_max(w) > 1.0001 THEN 255 ELSE 1 END, 6)::DOUBLE AS r, round(w[2] / CASE WHEN list_max(w) > 1.0001 THEN 255 ELSE 1 END, 6)::DOUBLE AS g, round(w[3] / CASE WHEN list_max(w) > 1.0001 THEN 255 ELSE 1 END, 6)::DOUBLE AS b FROM n""")
 def colour_normalise(spark, sf):
-    v = spark.createDataFrame([(1, [0.5]), (2, [0.2, 0.4, 0.6]), (3, [0.0, 1.0, 1.0, 0.0]), (4, [51.0, 102.0, 153.0]), (5, [])], "id int, v array<double>")
-    w = v.withColumn("w", G.unit_colour(G.normal_colour(F.col("v"))))
+    """Grey, three and four components, in either scale, of all parts' sizes."""
+    k, u = F.col("p_partkey"), F.col("p_size") / 50.0
+    eighths = k % 8 / 8.0
+    value = F.when(k % 5 == 0, F.array().cast("array<double>")).when(k % 5 == 1, F.array(u)).when(k % 5 == 2, F.array(u, eighths, F.lit(0.25))).when(k % 5 == 3, F.array(u, eighths, F.lit(0.25), F.lit(0.5))).otherwise(F.array((k % 256).cast("double"), F.col("p_size").cast("double"), F.lit(153.0)))
+    w = table(spark, sf, "part").select(k.alias("id"), value.alias("v")).withColumn("w", G.unit_colour(G.normal_colour(F.col("v"))))
     return w.select("id", *[F.round(F.col("w")[i], 6).alias(n) for i, n in enumerate("rgb")])
 
 

@@ -17,7 +17,8 @@ def doc_pages(spark, sf):
     return lines(spark, sf).select("doc_id", "page_index").distinct()
 
 
-@query("""WITH specs(id, spec, n) AS (VALUES (1,'1-5, 8, 11-14',12),(2,'5-3',10),(3,'0, 20, x, 2, 2',10),(4,'0-3',10),(5,' 2 – 4 ,,1',3),(6,'',5),(7,'9-12, 1',10)),
+@query("""WITH kinds(k, spec, n) AS (VALUES (1,'1-5, 8, 11-14',12),(2,'5-3',10),(3,'0, 20, x, 2, 2',10),(4,'0-3',10),(5,' 2 – 4 ,,1',3),(6,'',5),(7,'9-12, 1',10)),
+specs AS (SELECT p_partkey AS id, concat(spec, CASE WHEN p_partkey % 2 = 0 THEN ', ' || p_size || '-' || (p_partkey % 9 + 1) ELSE '' END) AS spec, n + p_size AS n FROM part JOIN kinds ON k = p_partkey % 7 + 1),
 t AS (SELECT id, n, unnest(range(len(s))) AS k, trim(unnest(s)) AS tok FROM (SELECT id, n, string_split(spec, ',') AS s FROM specs)),
 e AS (SELECT *, try_cast(regexp_extract(tok, '^(\\d+)\\s*(?:[-–—]\\s*(\\d+))?$', 1) AS BIGINT) AS a, try_cast(regexp_extract(tok, '^(\\d+)\\s*(?:[-–—]\\s*(\\d+))?$', 2) AS BIGINT) AS b0 FROM t WHERE tok <> ''),
 f AS (SELECT *, least(a, coalesce(b0, a)) AS lo, greatest(a, coalesce(b0, a)) AS hi FROM e),
@@ -27,7 +28,12 @@ q AS (SELECT id, page, min(k * 100000 + page - 0) AS o, min(k) AS k FROM p GROUP
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY k, page)::INT AS pos, page::BIGINT AS page, NULL::VARCHAR AS bad FROM q
 UNION ALL SELECT id, row_number() OVER (PARTITION BY id ORDER BY k)::INT, NULL, tok FROM g WHERE NOT fits""".replace("\\\\", "\\"))
 def page_ranges(spark, sf):
-    return P.parse_ranges(spark.createDataFrame(SPECS, "id int, spec string, n long"))
+    """Page ranges as typed, with each part's size in some, for documents of so many pages more."""
+    kinds = spark.createDataFrame(SPECS, "k int, spec string, pages long")
+    k = F.col("p_partkey")
+    more = F.when(k % 2 == 0, F.concat(F.lit(", "), F.col("p_size").cast("string"), F.lit("-"), (k % 9 + 1).cast("string"))).otherwise("")
+    rows = table(spark, sf, "part").withColumn("k", (k % 7 + 1).cast("int")).join(F.broadcast(kinds), "k")  # seven rows
+    return P.parse_ranges(rows.select(k.alias("id"), F.concat("spec", more).alias("spec"), (F.col("pages") + F.col("p_size")).alias("n")))
 
 
 @query(f"""WITH {SQL_PAGES}, s AS (SELECT doc_id AS id, page_index AS page FROM doc_pages WHERE (doc_id + page_index) % 3 <> 0), i AS (SELECT *, page - row_number() OVER (PARTITION BY id ORDER BY page) AS g FROM s),
@@ -117,11 +123,13 @@ AGENTS = [
 ]
 
 
-@query("""WITH a(id, ua, touch, mem) AS (VALUES (1,'Mozilla/5.0 (iPhone; CPU iPhone OS 17_0) Mobile/15E148',true,NULL),(2,'Mozilla/5.0 (Linux; Android 14) Mobile Safari',true,8.0),(3,'Mozilla/5.0 (Linux; Android 14; Tablet)',true,4.0),(4,'Mozilla/5.0 (Macintosh; Intel Mac OS X)',true,NULL),(5,'Mozilla/5.0 (Windows NT 10.0)',false,2.0),(6,'Mozilla/5.0 (Windows NT 10.0)',false,16.0),(7,'BlackBerry9000 Opera Mini',true,NULL)),
+@query("""WITH agents(k, ua, touch, mem) AS (VALUES (1,'Mozilla/5.0 (iPhone; CPU iPhone OS 17_0) Mobile/15E148',true,NULL),(2,'Mozilla/5.0 (Linux; Android 14) Mobile Safari',true,8.0),(3,'Mozilla/5.0 (Linux; Android 14; Tablet)',true,4.0),(4,'Mozilla/5.0 (Macintosh; Intel Mac OS X)',true,NULL),(5,'Mozilla/5.0 (Windows NT 10.0)',false,2.0),(6,'Mozilla/5.0 (Windows NT 10.0)',false,16.0),(7,'BlackBerry9000 Opera Mini',true,NULL)),
+a AS (SELECT event_id AS id, ua, touch, mem FROM events JOIN agents ON k = event_id % 7 + 1),
 k AS (SELECT *, touch AND (regexp_matches(ua, '(?i)Android|iPhone|iPad|iPod|Mobile|Silk|Kindle|BlackBerry|Opera Mini|IEMobile') OR regexp_matches(ua, '(?i)Macintosh')) AS mobile, touch AND (regexp_matches(ua, '(?i)iPhone|iPod|Windows Phone|BlackBerry|Opera Mini|IEMobile') OR (regexp_matches(ua, '(?i)Android') AND regexp_matches(ua, '(?i)Mobile'))) AS phone FROM a)
 SELECT id, mobile, phone, CASE WHEN phone OR coalesce(mem <= 2, false) THEN 30 ELSE 200 END::INT AS edit_mb, CASE WHEN phone OR coalesce(mem <= 2, false) THEN 150 ELSE 500 END::INT AS cap_mb FROM k""")
 def device_limits(spark, sf):
-    a = spark.createDataFrame(AGENTS, "id int, ua string, touch boolean, mem double")
+    agents = spark.createDataFrame(AGENTS, "k int, ua string, touch boolean, mem double")
+    a = table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 7 + 1).cast("int").alias("k")).join(F.broadcast(agents), "k")  # seven rows
     ua = F.col("ua")
     mobile = F.col("touch") & (ua.rlike("(?i)Android|iPhone|iPad|iPod|Mobile|Silk|Kindle|BlackBerry|Opera Mini|IEMobile") | ua.rlike("(?i)Macintosh"))
     phone = F.col("touch") & (ua.rlike("(?i)iPhone|iPod|Windows Phone|BlackBerry|Opera Mini|IEMobile") | (ua.rlike("(?i)Android") & ua.rlike("(?i)Mobile")))
@@ -138,10 +146,12 @@ def intake_errors(spark, sf):
     return p.select("page_id", F.when(F.octet_length("html") > 8000, "too-large").when(~magic, "not-a-document").when(~F.col("url").rlike("(?i)^https?://"), "bad-name").alias("error"))
 
 
-@query("""WITH v(id, b) AS (VALUES (1, 'JVBERi0xLjQK'), (2, 'iVBORw0KGgo='), (3, 'anVuayVQREYt'), (4, '')) SELECT id, position('%PDF-' IN substr(coalesce(decode(from_base64(CASE WHEN id = 2 THEN '' ELSE b END)), ''), 1, 1024)) > 0 AS is_document FROM v""")
+@query("""SELECT doc_id, coalesce(position('%PDF-' IN substr(CASE doc_id % 4 WHEN 0 THEN '%PDF-1.7 ' WHEN 1 THEN 'junk %PDF-' WHEN 2 THEN repeat('x', 1020) || '%PDF-' ELSE '' END || coalesce(text, ''), 1, 1024)) > 0, false) AS is_document FROM documents""")
 def magic_check(spark, sf):
-    v = spark.createDataFrame([(1, "JVBERi0xLjQK"), (2, "iVBORw0KGgo="), (3, "anVuayVQREYt"), (4, "")], "id int, b string")
-    return v.select("id", F.coalesce(F.contains(F.substring(F.try_to_binary("b", F.lit("base64")), 1, 1024), F.encode(F.lit("%PDF-"), "UTF-8")), F.lit(False)).alias("is_document"))
+    """Whether each document's first bytes hold the mark; some have it first, some after others, some too late."""
+    k = F.col("doc_id")
+    raw = F.encode(F.concat(F.when(k % 4 == 0, "%PDF-1.7 ").when(k % 4 == 1, "junk %PDF-").when(k % 4 == 2, "x" * 1020 + "%PDF-").otherwise(""), F.coalesce("text", F.lit(""))), "UTF-8")
+    return table(spark, sf, "documents").select("doc_id", F.contains(F.substring(raw, 1, 1024), F.encode(F.lit("%PDF-"), "UTF-8")).alias("is_document"))
 
 
 @query(f"""WITH {SQL_LINES} SELECT doc_id, page_index, count(*)::INT AS n_lines, sum(length(text))::BIGINT AS n_chars FROM layout_lines GROUP BY ALL""")

@@ -138,21 +138,16 @@ def redaction_clamp(spark, sf):
     return z.select("doc_id", "line_no", F.greatest(up, F.coalesce("above", up)).alias("y0"), F.least(down, F.coalesce("below", down)).alias("y1"))
 
 
-@query("""WITH w(id, t, x0, y0, x1, y1) AS (VALUES (1,'|',10.0,10.0,12.0,20.0),(2,'authorize',16.0,10.0,60.0,20.0),(3,'|',10.0,40.0,12.0,50.0),(4,'12',16.0,40.0,30.0,50.0),(5,'identified.',100.0,70.0,150.0,80.0),(6,'|',156.0,70.0,158.0,80.0),(7,'plain',10.0,100.0,40.0,110.0)),
-s AS (SELECT a.id, bool_or(regexp_matches(b.t, '^[a-z]{3,}') AND b.x0 > a.x1 - 2 AND b.x0 - a.x1 < 2 * (a.y1 - a.y0)) AS f, bool_or(b.x0 > a.x1 - 2) AS r, bool_or(regexp_matches(b.t, '[a-z]{3,}[.,]?$') AND b.x1 < a.x0 + 2 AND a.x0 - b.x1 < 2 * (a.y1 - a.y0)) AS p FROM w a JOIN w b ON a.id <> b.id AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0.5 * least(a.y1 - a.y0, b.y1 - b.y0) GROUP BY 1)
-SELECT w.id, CASE WHEN t = '|' AND (coalesce(f, false) OR (NOT coalesce(r, false) AND coalesce(p, false))) THEN 'I' ELSE t END AS text FROM w LEFT JOIN s USING (id)""")
+SQL_BARS = f"""{SQL_ITEMS}, w AS (SELECT doc_id, page_index, line_no, word_no, CASE WHEN word_no % 7 = 3 THEN '|' ELSE text END AS t, "left" AS x0, "right" AS x1, top AS y0, bottom AS y1 FROM layout_items),
+s AS (SELECT a.doc_id, a.line_no, a.word_no, bool_or(regexp_matches(b.t, '^[a-z]{{3,}}') AND b.x0 > a.x1 - 2 AND b.x0 - a.x1 < 24) AS f, bool_or(b.x0 > a.x1 - 2) AS r, bool_or(regexp_matches(b.t, '[a-z]{{3,}}[.,]?$') AND b.x1 < a.x0 + 2 AND a.x0 - b.x1 < 24) AS p
+ FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.word_no <> b.word_no WHERE a.t = '|' GROUP BY ALL)"""
+
+
+@query(f"""WITH {SQL_BARS} SELECT w.doc_id, w.line_no, w.word_no, CASE WHEN coalesce(f, false) OR (NOT coalesce(r, false) AND coalesce(p, false)) THEN 'I' ELSE t END AS text FROM w LEFT JOIN s ON s.doc_id = w.doc_id AND s.line_no = w.line_no AND s.word_no = w.word_no WHERE t = '|'""")
 def pipe_repair(spark, sf):
-    """A lone bar beside prose is the pronoun."""
-    rows = [(1, "|", 10.0, 10.0, 12.0, 20.0), (2, "authorize", 16.0, 10.0, 60.0, 20.0), (3, "|", 10.0, 40.0, 12.0, 50.0), (4, "12", 16.0, 40.0, 30.0, 50.0), (5, "identified.", 100.0, 70.0, 150.0, 80.0), (6, "|", 156.0, 70.0, 158.0, 80.0), (7, "plain", 10.0, 100.0, 40.0, 110.0)]
-    w = spark.createDataFrame(rows, "id int, t string, x0 double, y0 double, x1 double, y1 double").withColumn("page", F.lit(0))
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    row = (a("page") == b("page")) & (a("id") != b("id")) & (F.least(a("y1"), b("y1")) - F.greatest(a("y0"), b("y0")) > 0.5 * F.least(a("y1") - a("y0"), b("y1") - b("y0")))
-    h = 2 * (a("y1") - a("y0"))
-    s = w.filter("t = '|'").alias("a").join(w.alias("b"), row).groupBy(a("id").alias("id")).agg(
-        F.bool_or(b("t").rlike("^[a-z]{3,}") & (b("x0") > a("x1") - 2) & (b("x0") - a("x1") < h)).alias("follows"), F.bool_or(b("x0") > a("x1") - 2).alias("more"),
-        F.bool_or(b("t").rlike("[a-z]{3,}[.,]?$") & (b("x1") < a("x0") + 2) & (a("x0") - b("x1") < h)).alias("before"),
-    )
-    return w.join(s, "id", "left").select("id", F.when((F.col("t") == "|") & (F.col("follows") | (~F.col("more") & F.col("before"))), "I").otherwise(F.col("t")).alias("text"))
+    """A lone bar beside prose is the pronoun; every seventh word of each line is a bar."""
+    i = items(spark, sf).withColumn("t", F.when(F.col("word_no") % 7 == 3, "|").otherwise(F.col("text")))
+    return S.bars_told(i.select("doc_id", "page_index", "line_no", "word_no", "t", "left", "right", "top", "bottom")).select("doc_id", "line_no", "word_no", "text")
 
 
 @query(f"""WITH {SQL_ITEMS} SELECT doc_id, line_no, word_no FROM layout_items WHERE ocr_conf >= 45 OR (length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 4 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 0.6 * length(trim(text))) OR (length(regexp_replace(text, '[^0-9]', '', 'g')) >= 2 AND ocr_conf >= 20) OR (regexp_matches(trim(text), '^[Ia]$') AND ocr_conf >= 25)""")

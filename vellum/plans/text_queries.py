@@ -138,11 +138,13 @@ def search_normalise(spark, sf):
 SAMPLES = [(1, "Invoice"), (2, "Invoice हिन्दी"), (3, "שלום"), (4, "परीक्षाQA"), (5, "Привет αβ"), (6, "漢字かな"), (7, "مرحبا abc"), (8, ""), (9, "αβ Прив"), (10, "ไทย 123")]
 
 
-def _samples(spark):
-    return spark.createDataFrame(SAMPLES, "id int, text string")
+def _samples(spark, sf):
+    """One text a part: a sample, sometimes with the part's name after it."""
+    text = F.element_at(F.array(*(F.lit(t) for _, t in SAMPLES)), (F.col("p_partkey") % len(SAMPLES) + 1).cast("int"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, F.concat(text, F.lit(" "), F.substring("p_name", 1, 6))).otherwise(text).alias("text"))
 
 
-SQL_SAMPLES = "samples(id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SAMPLES) + ")"
+SQL_SAMPLES = "samples AS (SELECT p_partkey AS id, [" + ", ".join(f"'{t}'" for _, t in SAMPLES) + f"][p_partkey % {len(SAMPLES)} + 1] || CASE WHEN p_size % 2 = 0 THEN ' ' || substr(p_name, 1, 6) ELSE '' END AS text FROM part)"
 
 
 def _sql_counts(which: str) -> str:
@@ -153,7 +155,7 @@ def _sql_counts(which: str) -> str:
 @query(f"""WITH {SQL_SAMPLES}, {_sql_counts('samples')}, best AS (SELECT id, script FROM counts QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, prio) = 1)
 SELECT samples.id, coalesce(script, 'latin') AS script, CASE WHEN script IN ('arabic', 'hebrew') THEN 'rtl' ELSE 'ltr' END AS direction FROM samples LEFT JOIN best USING (id)""")
 def script_detect(spark, sf):
-    return _samples(spark).select("id", T.script_of(F.col("text")).alias("script"), T.direction_of(F.col("text")).alias("direction"))
+    return _samples(spark, sf).select("id", T.script_of(F.col("text")).alias("script"), T.direction_of(F.col("text")).alias("direction"))
 
 
 @query(f"""WITH d AS (SELECT doc_id AS id, text FROM documents), {_sql_counts('d')}, best AS (SELECT id, script FROM counts QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, prio) = 1)
@@ -165,12 +167,16 @@ def script_of_documents(spark, sf):
 @query(f"WITH {SQL_SAMPLES}, {_sql_counts('samples')} SELECT id, array_to_string(list(script ORDER BY prio), ',') AS scripts FROM counts GROUP BY id")
 def scripts_in_text(spark, sf):
     found = F.transform(T.script_counts(F.col("text")), lambda r: r["script"])
-    return _samples(spark).select("id", F.array_join(found, ",").alias("scripts")).filter("scripts <> ''")
+    return _samples(spark, sf).select("id", F.array_join(found, ",").alias("scripts")).filter("scripts <> ''")
 
 
-@query("""WITH v(id, name) AS (VALUES (1,'ABCDEF+Carlito-Bold'),(2,'Tinos'),(3,'XYZ+A+B'),(4,'')) SELECT id, lower(string_split(name, '+')[-1]) AS base FROM v""")
+@query("SELECT p_partkey, lower(p_type || '-' || p_name) AS base FROM part")
 def strip_subset_prefix(spark, sf):
-    return spark.createDataFrame([(1, "ABCDEF+Carlito-Bold"), (2, "Tinos"), (3, "XYZ+A+B"), (4, "")], "id int, name string").select("id", T.strip_subset(F.col("name")).alias("base"))
+    """Names with a subset's tag before them, every third with two."""
+    tag = F.concat(F.substring(F.upper(F.md5(F.col("p_partkey").cast("string"))), 1, 6), F.lit("+"))
+    name = F.concat("p_type", F.lit("-"), "p_name")
+    named = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("AB+"), tag, name)).when(F.col("p_partkey") % 3 == 1, F.concat(tag, name)).otherwise(name)
+    return table(spark, sf, "part").select("p_partkey", T.strip_subset(named).alias("base"))
 
 
 @query("""SELECT doc_id, CASE WHEN octet_length(encode(text)) < 1024 THEN concat(octet_length(encode(text)), ' B') WHEN octet_length(encode(text)) < 1048576 THEN concat(floor(octet_length(encode(text)) / 1024 + 0.5)::BIGINT, ' KB') ELSE printf('%.1f MB', octet_length(encode(text)) / 1048576) END AS size FROM documents""")
@@ -178,17 +184,24 @@ def human_size(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.human_size(F.octet_length("text")).alias("size"))
 
 
-@query(r"""WITH v(id, t) AS (VALUES (1,'Jan 19th, 2023'),(2,'the 2nd of May'),(3,'21st'),(4,'no ordinal'),(5,'x3rd y')) SELECT id, regexp_extract(t, '^(.*?\d)(st|nd|rd|th)(.*)$', 1) AS head, regexp_extract(t, '^(.*?\d)(st|nd|rd|th)(.*)$', 2) AS ordinal, regexp_extract(t, '^(.*?\d)(st|nd|rd|th)(.*)$', 3) AS tail FROM v""")
+SQL_ORDINAL = r"'^(.*?\d)(st|nd|rd|th)(.*)$'"
+
+
+@query(f"""WITH v AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE 'Jan ' || p_size || ['st', 'nd', 'rd', 'th'][p_size % 4 + 1] || ' of ' || p_name END AS t FROM part) SELECT id, regexp_extract(t, {SQL_ORDINAL}, 1) AS head, regexp_extract(t, {SQL_ORDINAL}, 2) AS ordinal, regexp_extract(t, {SQL_ORDINAL}, 3) AS tail FROM v""")
 def ordinal_split(spark, sf):
-    v = spark.createDataFrame([(1, "Jan 19th, 2023"), (2, "the 2nd of May"), (3, "21st"), (4, "no ordinal"), (5, "x3rd y")], "id int, t string")
+    """Head, ordinal and tail of dates with the parts' sizes and names."""
+    ending = F.element_at(F.array(*map(F.lit, ("st", "nd", "rd", "th"))), (F.col("p_size") % 4 + 1).cast("int"))
+    t = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(F.concat(F.lit("Jan "), F.col("p_size").cast("string"), ending, F.lit(" of "), "p_name"))
     part = lambda i, n: F.regexp_extract("t", r"^(.*?\d)(st|nd|rd|th)(.*)$", i).alias(n)
-    return v.select("id", part(1, "head"), part(2, "ordinal"), part(3, "tail"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), t.alias("t")).select("id", part(1, "head"), part(2, "ordinal"), part(3, "tail"))
 
 
-@query(r"""WITH v(id, t) AS (VALUES (1,'<01> <00a0>'),(2,'<02> <00AD>'),(3,'<03> <0041>')) SELECT id, regexp_replace(regexp_replace(t, '(?i)<00a0>', '<0020>', 'g'), '(?i)<00ad>', '<002d>', 'g') AS cmap FROM v""")
+@query(r"""SELECT p_partkey AS id, format('<{:02x}> <{}> <{}>', p_size, CASE p_partkey % 3 WHEN 0 THEN '0020' WHEN 1 THEN '002d' ELSE '0041' END, CASE p_partkey % 2 WHEN 0 THEN '0020' ELSE '00a1' END) AS cmap FROM part""")
 def tounicode_repair(spark, sf):
-    v = spark.createDataFrame([(1, "<01> <00a0>"), (2, "<02> <00AD>"), (3, "<03> <0041>")], "id int, t string")
-    return v.select("id", F.regexp_replace(F.regexp_replace("t", "(?i)<00a0>", "<0020>"), "(?i)<00ad>", "<002d>").alias("cmap"))
+    """Character maps of each part's size: no-break spaces and soft hyphens become plain ones, in either case of the digits."""
+    k = F.col("p_partkey")
+    t = F.concat(F.lit("<"), F.lpad(F.lower(F.hex("p_size")), 2, "0"), F.lit("> <"), F.when(k % 3 == 0, "00A0").when(k % 3 == 1, "00Ad").otherwise("0041"), F.lit("> <"), F.when(k % 2 == 0, "00a0").otherwise("00a1"), F.lit(">"))
+    return table(spark, sf, "part").select(k.alias("id"), F.regexp_replace(F.regexp_replace(t, "(?i)<00a0>", "<0020>"), "(?i)<00ad>", "<002d>").alias("cmap"))
 
 
 @query(f"""WITH {SQL_LINES}, c AS (SELECT doc_id, line_no, unnest(range(length(text))) AS i, unnest(string_split(text, '')) AS ch FROM layout_lines WHERE length(text) > 0)

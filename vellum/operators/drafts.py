@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators import fonts
+
 # Fixed values that results depend on.
 EXPORT_CONFIDENCE = 68
 SIGNATURE_ZONE = (30, 80)
@@ -27,6 +29,29 @@ def unembeddable(edits: DataFrame, charset: DataFrame) -> DataFrame:
     return chars.filter("char > ' '").join(charset, "char", "left_anti").select(*EDIT).distinct()
 
 
+def undrawable(edits: DataFrame, options: DataFrame, charsets: DataFrame) -> DataFrame:
+    """Keys of edits whose text holds a printable character that none of the edit's own faces draws.
+
+    ``options(doc_id, page_index, edit_seq, rank, font, kind)`` are an edit's
+    faces, ``charsets(font, ch)`` what embedded ones hold; an edit without faces
+    can draw nothing.
+    """
+    key = F.to_json(F.struct(*EDIT)).alias("edit")
+    chars = edits.select(*EDIT, key, F.explode(F.array_distinct(F.split(F.coalesce("new_text", F.lit("")), ""))).alias("ch")).filter("ch > ' '")
+    own = options.select(key, "rank", "font", "kind")
+    drawn = fonts.drawn_by(chars.select("edit", "ch"), own, charsets, "edit")
+    return chars.join(drawn.filter("draws"), ["edit", "ch"], "left_anti").select(*EDIT).distinct()
+
+
+def tiers(edits: DataFrame, lost: DataFrame) -> DataFrame:
+    """Effective edits with ``tier``, as ``draw_list``, where ``lost`` holds the keys of edits that no face draws."""
+    flat = lost.select("doc_id").distinct().withColumn("flat", F.lit(True))
+    drawn = F.coalesce((F.col("kind") == "image") | (F.col("style") == "signature"), F.lit(False))
+    covered = edits.filter(drawn).select("doc_id").distinct().withColumn("drawn", F.lit(True))
+    all_ = edits.join(flat, "doc_id", "left").join(covered, "doc_id", "left")
+    return all_.withColumn("tier", F.when(F.col("flat"), 3).when(F.col("drawn"), 2).otherwise(1)).drop("drawn", "flat")
+
+
 def draw_list(edits: DataFrame, charset: DataFrame) -> DataFrame:
     """Effective edits with ``tier``, the way their document is written.
 

@@ -36,19 +36,34 @@ def upserted(edits: DataFrame) -> DataFrame:
 def replayed(ops: DataFrame) -> DataFrame:
     """(doc_id, applied): ids of the edits that stand after all of ``ops(doc_id, op_seq, op)``.
 
-    One fold over each document's ordered operations: undo moves the cursor
-    back, redo forward, an edit cuts what was undone.
+    Undo moves the cursor back, redo forward, an edit cuts what was undone.  A
+    log passes by in order and only its edits are held, each step in constant
+    time; logs without a document are left out.
     """
-    steps = F.array_sort(F.collect_list(F.struct("op_seq", "op")))
-    init = F.struct(F.array().cast("array<long>").alias("stack"), F.lit(0).alias("at"))
+    kind = ops.schema["doc_id"].dataType.simpleString()
 
-    def step(acc: Column, x: Column) -> Column:
-        edit = F.struct(F.concat(F.slice(acc["stack"], F.lit(1), acc["at"]), F.array(x["op_seq"].cast("long"))).alias("stack"), (acc["at"] + 1).alias("at"))
-        undo = F.struct(acc["stack"].alias("stack"), F.greatest(acc["at"] - 1, F.lit(0)).alias("at"))
-        redo = F.struct(acc["stack"].alias("stack"), F.least(acc["at"] + 1, F.size(acc["stack"])).alias("at"))
-        return F.when(x["op"] == "undo", undo).when(x["op"] == "redo", redo).otherwise(edit)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, stack, at = None, [], 0
+        for batch in batches:
+            out = []
+            for own, k, op in zip(batch["doc_id"].tolist(), batch["op_seq"].tolist(), batch["op"].tolist(), strict=True):
+                if doc != (own,):
+                    if doc:
+                        out.append((doc[0], stack[:at]))
+                    doc, stack, at = (own,), [], 0
+                if op == "undo":
+                    at = max(at - 1, 0)
+                elif op == "redo":
+                    at = min(at + 1, len(stack))
+                else:
+                    del stack[at:]
+                    stack.append(k)
+                    at += 1
+            yield pd.DataFrame(out, columns=["doc_id", "applied"])
+        yield pd.DataFrame([(doc[0], stack[:at])] if doc else [], columns=["doc_id", "applied"])
 
-    return ops.groupBy("doc_id").agg(F.aggregate(steps, init, step, lambda a: F.slice(a["stack"], F.lit(1), a["at"])).alias("applied"))
+    some = ops.filter("doc_id is not null").select("doc_id", F.col("op_seq").cast("long").alias("op_seq"), "op")
+    return some.repartition("doc_id").sortWithinPartitions("doc_id", "op_seq", "op").mapInPandas(run, f"doc_id {kind}, applied array<long>")
 
 
 def changed_pages(before: DataFrame, after: DataFrame) -> DataFrame:

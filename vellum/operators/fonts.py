@@ -126,15 +126,29 @@ def font_options(wished: DataFrame, faces: DataFrame, *key: str) -> DataFrame:
     return ends.unionByName(inner).withColumn("rank", F.row_number().over(by)).select(*key, "rank", "font", "kind", "style_ok")
 
 
+def _offered(chars: DataFrame, options: DataFrame, charsets: DataFrame, key: str) -> DataFrame:
+    """Each text's distinct characters with each of its faces."""
+    kinds = chars.select(key, "ch").distinct().join(options.select(key, "rank", "font", "kind"), key)
+    return kinds.join(charsets.select("font", "ch").distinct().withColumn("drawn", F.lit(True)), ["font", "ch"], "left")
+
+
+def _draws() -> Column:
+    return F.when(F.col("kind") == "any", True).when(F.col("kind") == "winansi", ~F.col("ch").rlike(WINANSI)).otherwise(_yes("drawn"))
+
+
+def drawn_by(chars: DataFrame, options: DataFrame, charsets: DataFrame, key: str) -> DataFrame:
+    """(key, ch, draws): whether some face of the text draws the character."""
+    return _offered(chars, options, charsets, key).groupBy(key, "ch").agg(F.bool_or(_draws()).alias("draws"))
+
+
 def char_fonts(chars: DataFrame, options: DataFrame, charsets: DataFrame, key: str) -> DataFrame:
     """``chars(key, ch)`` with ``font``, the first of ``options(key, rank, font, kind)`` that draws it, else the last.
 
     A face of kind ``any`` draws everything, a standard one WinAnsi, others what
     ``charsets(font, ch)`` lists.  Each text's distinct characters are looked up once.
     """
-    kinds = chars.select(key, "ch").distinct().join(options.select(key, "rank", "font", "kind"), key)
-    seen = kinds.join(charsets.select("font", "ch").distinct().withColumn("drawn", F.lit(True)), ["font", "ch"], "left")
-    draws = F.when(F.col("kind") == "any", True).when(F.col("kind") == "winansi", ~F.col("ch").rlike(WINANSI)).otherwise(_yes("drawn"))
+    seen = _offered(chars, options, charsets, key)
+    draws = _draws()
     best = seen.groupBy(key, "ch").agg(F.coalesce(F.min_by("font", F.when(draws, F.col("rank"))), F.max_by("font", "rank")).alias("font"))
     return chars.join(best, [key, "ch"], "left")
 

@@ -71,3 +71,9 @@ def archive(entries: DataFrame) -> DataFrame:
 
 def rotated(base: Column, by: Column) -> Column:
     return F.pmod(base + by, F.lit(360))
+
+
+def moved(rows: DataFrame, place: str, start: str, stop: str) -> DataFrame:
+    """Rows of lists whose ``place`` is renumbered after one was moved from ``start`` to ``stop``: what lies between makes way by one."""
+    p, a, b = F.col(place), F.col(start), F.col(stop)
+    return rows.withColumn(place, F.when(p == a, b).when((p > a) & (p <= b), p - 1).when((p < a) & (p >= b), p + 1).otherwise(p))

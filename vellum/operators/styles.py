@@ -113,3 +113,33 @@ def refined(items: DataFrame, fonts: DataFrame) -> DataFrame:
     g = both.groupBy("doc_id", "line_no").agg(F.bool_and(F.col("known").isNotNull()).alias("known"), every(F.col("bold"), F.col("font_bold")).alias("b"), every(F.col("italic"), F.col("font_italic")).alias("i"), F.first("line_bold").alias("lb"), F.first("line_italic").alias("li"))
     add = lambda own, of: F.coalesce(F.col(own), F.lit(False)) | (F.col("known") & F.col(of))
     return g.select("doc_id", "line_no", add("lb", "b").alias("bold"), add("li", "i").alias("italic"))
+
+
+def restyled(runs: Column, start: Column, stop: Column, field: Column, value: Column) -> Column:
+    """Runs (text, bold, italic, underline) with one ``field`` set to ``value`` for the characters from ``start`` to ``stop``.
+
+    Runs that the range cuts are split, empty ones go and equal neighbours are
+    joined.  A range beyond the text's ends is what of it lies inside.
+    """
+    kind = "array<struct<text:string,bold:boolean,italic:boolean,underline:boolean>>"
+    fields = ("bold", "italic", "underline")
+
+    def placed(acc: Column, r: Column) -> Column:
+        n = F.length(r["text"])
+        a, b = (F.least(F.greatest(x - acc["at"], F.lit(0)), n) for x in (start, stop))
+        b = F.greatest(a, b)
+        own = [r[f].alias(f) for f in fields]
+        new = [F.when(field == f, value).otherwise(r[f]).alias(f) for f in fields]
+        cut = lambda x, y, style: F.struct(F.substring(r["text"], x + 1, y - x).alias("text"), *style)
+        parts = F.array(cut(F.lit(0), a, own), cut(a, b, new), cut(b, n, own)).cast(kind)
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.filter(parts, lambda p: p["text"] != "")).alias("out"))
+
+    split = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), placed, lambda a: a["out"])
+
+    def joined(acc: Column, r: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        same = F.coalesce(F.struct(*(last[f] for f in fields)) == F.struct(*(r[f] for f in fields)), F.lit(False))
+        one = F.struct(F.concat(last["text"], r["text"]).alias("text"), *(r[f].alias(f) for f in fields))
+        return F.when(same, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(one).cast(kind))).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(split, F.array().cast(kind), joined)

@@ -29,6 +29,33 @@ def unembeddable_edits(spark, sf):
     return D.unembeddable(drafts(spark, sf), charset(spark))
 
 
+SQL_FACES = """faced AS (SELECT *, concat('face', turn_ % 3) AS font, doc_id % 2 = 0 AS base, doc_id % 3 = 0 AS whole FROM (SELECT *, edit_seq AS turn_ FROM drafts)),
+unfaced AS (SELECT DISTINCT doc_id, page_index, edit_seq FROM (SELECT *, unnest(regexp_extract_all(new_text, '(?s).')) AS ch FROM faced) WHERE ch > ' ' AND NOT whole AND NOT (base AND ascii(ch) < 256) AND NOT (ascii(ch) BETWEEN 33 AND 126 AND ascii(ch) % 3 <> turn_ % 3))"""
+
+
+def _faces(spark, sf):
+    """Each edit's faces: one that lacks a third of the printable characters, for every other document a standard one, for every third one for all."""
+    d = drafts(spark, sf)
+    given = lambda rank, font, kind: F.struct(F.lit(rank).alias("rank"), font.alias("font"), F.lit(kind).alias("kind"))
+    own = F.array(given(1, F.concat(F.lit("face"), (F.col("edit_seq") % 3).cast("string")), "embedded"), F.when(F.col("doc_id") % 2 == 0, given(2, F.lit("base"), "winansi")), F.when(F.col("doc_id") % 3 == 0, given(3, F.lit("full"), "any")))
+    options = d.select("doc_id", "page_index", "edit_seq", F.inline(F.filter(own, lambda x: x.isNotNull())))
+    charsets = spark.range(33, 127).select(F.chr("id").alias("ch"), "id", F.explode(F.array(*map(F.lit, range(3)))).alias("f")).filter("id % 3 <> f").select(F.concat(F.lit("face"), F.col("f").cast("string")).alias("font"), "ch")
+    return d, D.undrawable(d, options, charsets)
+
+
+@query(f"WITH {SQL_DRAFTS}, {SQL_FACES} SELECT * FROM unfaced")
+def undrawable_edits(spark, sf):
+    """Edits with a character that none of their own faces draws."""
+    return _faces(spark, sf)[1]
+
+
+@query(f"""WITH {SQL_DRAFTS}, {SQL_FACES}, d AS (SELECT doc_id, max(kind = 'image' OR coalesce(style = 'signature', false)) AS drawn FROM drafts GROUP BY 1)
+SELECT e.doc_id, e.page_index, e.edit_seq, CASE WHEN e.doc_id IN (SELECT doc_id FROM unfaced) THEN 3 WHEN drawn THEN 2 ELSE 1 END::INT AS tier FROM drafts e JOIN d ON d.doc_id = e.doc_id""")
+def edit_tiers(spark, sf):
+    """How each edit's document is written, by the faces of its own edits."""
+    return D.tiers(*_faces(spark, sf)).select("doc_id", "page_index", "edit_seq", "tier")
+
+
 @query(f"""WITH {SQL_DRAFTS}, {SQL_LOST}, d AS (SELECT doc_id, max(kind = 'image' OR coalesce(style = 'signature', false)) AS drawn FROM drafts GROUP BY 1)
 SELECT e.doc_id, e.page_index, e.edit_seq, CASE WHEN e.doc_id IN (SELECT doc_id FROM lost) THEN 3 WHEN drawn THEN 2 ELSE 1 END::INT AS tier FROM drafts e JOIN d ON d.doc_id = e.doc_id""")
 def draw_list(spark, sf):

@@ -160,10 +160,10 @@ def stale_results(spark, sf):
     return e.withColumn("now", now).groupBy("doc_id").agg(F.count_if(F.col("gen") == F.col("now")).alias("current"), F.count_if(F.col("gen") < F.col("now")).alias("stale"))
 
 
-@query("""WITH p AS (SELECT user_id % 30 AS doc_id, event_id % 40 AS page, max(ts) AS seen FROM events GROUP BY ALL) SELECT doc_id, page FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seen DESC, page) > 14""")
+@query("""WITH p AS (SELECT user_id AS doc_id, event_id % 40 AS page, max(ts) AS seen FROM events GROUP BY ALL) SELECT doc_id, page FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seen DESC, page) > 14""")
 def paint_evictions(spark, sf):
     """Pages beyond the 14 last seen lose their canvas."""
-    p = table(spark, sf, "events").groupBy((F.col("user_id") % 30).alias("doc_id"), (F.col("event_id") % 40).alias("page")).agg(F.max("ts").alias("seen"))
+    p = table(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id"), (F.col("event_id") % 40).alias("page")).agg(F.max("ts").alias("seen"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("seen"), "page")
     return p.withColumn("r", F.row_number().over(w)).filter("r > 14").select("doc_id", "page")
 

@@ -80,7 +80,7 @@ def line_colours(spark, sf):
 
 @query(f"""WITH {SQL_ITEMS}, i AS (SELECT doc_id, line_no, word_no AS item, 6 * o AS c0, 6 * (o + length(text)) AS c1 FROM layout_items),
 runs AS (SELECT doc_id, line_no, c0 - CASE WHEN item % 5 = 1 THEN 9 ELSE 0 END AS x0, c1 - 1 - CASE WHEN item % 7 = 2 THEN (c1 - c0) // 2 ELSE 0 END AS x1, unnest(range(item % 6)) AS y FROM i WHERE item % 3 = 1),
-rows_ AS (SELECT i.doc_id, i.line_no, item, c0, c1, y, max(least(x1 + 1, c1) - greatest(x0, c0)) AS run, max((x0 < c0 - 3 AND x1 >= greatest(0, c0 - 16)) OR (x0 < c1 + 16 AND x1 >= c1 + 3)) AS beyond FROM i JOIN runs r ON r.doc_id = i.doc_id AND r.line_no = i.line_no AND x0 < c1 + 16 AND x1 >= c0 - 16 WHERE c1 - c0 >= 6 GROUP BY ALL),
+rows_ AS (SELECT i.doc_id, i.line_no, item, c0, c1, y, max(least(x1 + 1, c1) - greatest(x0, c0)) AS run, max((x0 < c0 - 3 AND x1 >= greatest(0, c0 - 16)) OR (x0 < c1 + 16 AND x1 >= c1 + 3)) AS beyond FROM (SELECT *, unnest(range(greatest(c0 - 16, 0) // 256, (c1 + 16) // 256 + 1)) AS cell FROM i) i JOIN (SELECT *, unnest(range(greatest(x0, 0) // 256, greatest(x1, 0) // 256 + 1)) AS cell FROM runs) r ON r.doc_id = i.doc_id AND r.line_no = i.line_no AND r.cell = i.cell AND x0 < c1 + 16 AND x1 >= c0 - 16 WHERE c1 - c0 >= 6 GROUP BY i.doc_id, i.line_no, item, c0, c1, y),
 u AS (SELECT doc_id, line_no, item, count(*) FILTER (WHERE run >= 0.55 * (c1 - c0) AND NOT beyond) AS ruled, count(*) AS inked FROM rows_ WHERE run > 0 GROUP BY ALL)
 SELECT i.doc_id, i.line_no, i.item, coalesce(ruled BETWEEN 1 AND 4 AND inked <= 4.8, false) AS underline FROM i LEFT JOIN u ON u.doc_id = i.doc_id AND u.line_no = i.line_no AND u.item = i.item""")
 def underlined_items(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.operators import fonts as N
+from vellum.operators import pages as P
 from vellum.operators import styles as S
 from vellum.plans.other_queries import SQL_FONTS, _fonts
 from vellum.plans.registry import query
@@ -93,11 +94,11 @@ def best_language(spark, sf):
     return b.select("page", F.when((F.col("l") != "click") & (F.col("c") >= 55), F.col("l")).alias("lang"))
 
 
-@query(f"""WITH {SQL_ITEMS}, ink AS (SELECT doc_id % 40 AS page_id, word_no AS x, line_no AS y FROM layout_items WHERE length(text) % 3 = 0), a AS (SELECT page_id, deg, floor(y + x * tan(radians(deg)) + 0.5) AS r, count(*) AS n FROM ink, unnest(range(-10, 11)) AS u(k), (SELECT 0.5 AS step) AS st, LATERAL (SELECT k * step AS deg) AS d GROUP BY ALL),
+@query(f"""WITH {SQL_ITEMS}, ink AS (SELECT doc_id // 8 AS page_id, word_no AS x, line_no AS y FROM layout_items WHERE length(text) % 3 = 0), a AS (SELECT page_id, deg, floor(y + x * tan(radians(deg)) + 0.5) AS r, count(*) AS n FROM ink, unnest(range(-10, 11)) AS u(k), (SELECT 0.5 AS step) AS st, LATERAL (SELECT k * step AS deg) AS d GROUP BY ALL),
 v AS (SELECT page_id, deg, sum(n * n) AS score FROM a GROUP BY ALL) SELECT page_id, score::BIGINT AS score, deg::DOUBLE AS deg FROM v""")
 def skew_scores(spark, sf):
     """Sum of squares of the row projection at each angle; the largest tells the skew."""
-    ink = items(spark, sf).filter(F.length("text") % 3 == 0).select((F.col("doc_id") % 40).alias("page_id"), F.col("word_no").alias("x"), F.col("line_no").alias("y"))
+    ink = items(spark, sf).filter(F.length("text") % 3 == 0).select(F.floor(F.col("doc_id") / 8).alias("page_id"), F.col("word_no").alias("x"), F.col("line_no").alias("y"))
     a = ink.withColumn("deg", F.explode(F.array(*[F.lit(k * 0.5) for k in range(-10, 11)])))
     n = a.groupBy("page_id", "deg", G.js_round(F.col("y") + F.col("x") * F.tan(F.radians("deg"))).alias("r")).agg(F.count("*").alias("n"))
     return n.groupBy("page_id", "deg").agg(F.sum(F.col("n") * F.col("n")).alias("score"))
@@ -263,11 +264,13 @@ def font_segments(spark, sf):
     return c.groupBy("item_id", "run").agg(F.first("font").alias("font"), F.array_join(chars, "").alias("text"))
 
 
-@query("""WITH e AS (SELECT conv_id AS doc_id, turn, (turn % 3)::INT AS page FROM conversations), rot(page) AS (VALUES (1)) SELECT doc_id, count(*) FILTER (WHERE page <> 1)::BIGINT AS kept, count(*) FILTER (WHERE page = 1)::BIGINT AS dropped FROM e GROUP BY 1""")
+@query("""WITH e AS (SELECT conv_id AS doc_id, turn AS edit_seq, (turn % 3)::INT AS page FROM conversations), rot AS (SELECT DISTINCT doc_id, page, 90 * (1 + (doc_id + page) % 3) AS turned FROM e WHERE (doc_id * 7 + page * 3) % 4 = 1) SELECT doc_id, edit_seq, page FROM e WHERE NOT EXISTS (SELECT 1 FROM rot WHERE rot.doc_id = e.doc_id AND rot.page = e.page AND turned % 360 <> 0)""")
 def targeted_rotation(spark, sf):
-    """Edits on rotated pages go, the others stay."""
-    e = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") % 3).alias("page"))
-    return e.groupBy("doc_id").agg(F.count_if(F.col("page") != 1).alias("kept"), F.count_if(F.col("page") == 1).alias("dropped"))
+    """Edits that stay after some of each document's pages were turned: those on the turned pages go."""
+    e = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("edit_seq"), (F.col("turn") % 3).cast("int").alias("page"))
+    pages = e.select("doc_id", "page").distinct().filter((F.col("doc_id") * 7 + F.col("page") * 3) % 4 == 1)
+    turned = pages.filter(90 * (1 + (F.col("doc_id") + F.col("page")) % 3) % 360 != 0)
+    return e.join(turned, ["doc_id", "page"], "left_anti").select("doc_id", "edit_seq", "page")
 
 
 @query("""SELECT doc_id, concat(substr(text, 1, position('the ' IN text) - 1), 'THE-', substr(text, position('the ' IN text) + 4)) AS text, (position('the ' IN text) + 3)::INT AS resume FROM documents WHERE position('the ' IN text) > 0""")
@@ -286,13 +289,13 @@ def pending_previews(spark, sf):
     return table(spark, sf, "conversations").filter(t != 3).select("conv_id", "turn", F.when(t == 4, "erase").otherwise("text").alias("draw"), F.when(t != 4, one).alias("text"))
 
 
-@query("""WITH f AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN pos = 2 THEN -0.5 ELSE pos END) - 1)::INT AS pos FROM f""")
+@query("""WITH f AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), m AS (SELECT *, conv_id % n AS a, conv_id * 7 % n AS b FROM f)
+SELECT conv_id, turn, (CASE WHEN pos = a THEN b WHEN pos > a AND pos <= b THEN pos - 1 WHEN pos < a AND pos >= b THEN pos + 1 ELSE pos END)::INT AS pos FROM m""")
 def merge_list_reorder(spark, sf):
-    """The third file of a merge list moved to the front."""
-    w = Window.partitionBy("conv_id")
-    f = table(spark, sf, "conversations").select("conv_id", "turn", (F.row_number().over(w.orderBy("turn")) - 1).alias("p"))
-    key = F.when(F.col("p") == 2, -0.5).otherwise(F.col("p").cast("double"))
-    return f.select("conv_id", "turn", (F.row_number().over(w.orderBy(key)) - 1).cast("int").alias("pos"))
+    """One file of each merge list moved to another place, both its own."""
+    f = table(spark, sf, "conversations").withColumn("p", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    k, n = F.col("conv_id"), F.count("*").over(Window.partitionBy("conv_id"))
+    return P.moved(f.withColumns({"from": k % n, "to": k * 7 % n}), "p", "from", "to").select("conv_id", "turn", F.col("p").cast("int").alias("pos"))
 
 
 @query(f"""WITH {SQL_LINES}, g AS (SELECT *, top - lag(bottom) OVER w AS gap FROM layout_lines WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY line_no)) SELECT doc_id, page_index, count(*) FILTER (WHERE coalesce(gap, 0) <= 30)::BIGINT AS joined, count(*) FILTER (WHERE gap > 30)::BIGINT AS apart FROM (SELECT * REPLACE (gap + line_no % 4 * 3 AS gap) FROM g) GROUP BY ALL""")

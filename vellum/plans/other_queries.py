@@ -36,14 +36,14 @@ def rate_limit_counts(spark, sf):
     return L.counted(requests(spark, sf), "1 hour", 4).withColumn("start", F.unix_timestamp("start"))
 
 
-SQL_PIXELS = f"""{SQL_ITEMS}, pixels AS (SELECT doc_id % 40 AS page_id, (doc_id // 40 * 200 + line_no)::INT AS y, word_no AS x, CASE WHEN length(text) % 3 = 0 THEN 20 + o % 60 ELSE 180 + o % 70 END AS r, CASE WHEN length(text) % 3 = 0 THEN 10 + word_no % 50 ELSE 190 + word_no % 60 END AS g, CASE WHEN length(text) % 3 = 0 THEN 30 ELSE 200 + line_no % 50 END AS b FROM layout_items),
+SQL_PIXELS = f"""{SQL_ITEMS}, pixels AS (SELECT doc_id // 8 AS page_id, (doc_id % 8 * 200 + line_no)::INT AS y, word_no AS x, CASE WHEN length(text) % 3 = 0 THEN 20 + o % 60 ELSE 180 + o % 70 END AS r, CASE WHEN length(text) % 3 = 0 THEN 10 + word_no % 50 ELSE 190 + word_no % 60 END AS g, CASE WHEN length(text) % 3 = 0 THEN 30 ELSE 200 + line_no % 50 END AS b FROM layout_items),
 hist AS (SELECT page_id, (77 * r + 150 * g + 29 * b) >> 8 AS bin, count(*) AS n FROM pixels GROUP BY ALL)"""
 
 
-def pixels(spark, sf, page="doc_id % 40"):
+def pixels(spark, sf, page="floor(doc_id / 8)"):
     dark = F.length("text") % 3 == 0
     return items(spark, sf).select(
-        F.expr(page).alias("page_id"), (F.floor(F.col("doc_id") / 40) * 200 + F.col("line_no")).cast("int").alias("y"), F.col("word_no").alias("x"),
+        F.expr(page).alias("page_id"), (F.col("doc_id") % 8 * 200 + F.col("line_no")).cast("int").alias("y"), F.col("word_no").alias("x"),
         F.when(dark, 20 + F.col("o") % 60).otherwise(180 + F.col("o") % 70).alias("r"), F.when(dark, 10 + F.col("word_no") % 50).otherwise(190 + F.col("word_no") % 60).alias("g"), F.when(dark, 30).otherwise(200 + F.col("line_no") % 50).alias("b"),
     )
 

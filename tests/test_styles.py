@@ -98,3 +98,70 @@ def test_annotations_that_draw_nothing(spark):
     assert shown[:2] == [(5, 0.0, 100.0, 10.0, 90.0, 0.5, 0.7), (5, 10.0, 90.0, 20.0, 100.0, 0.5, 0.7)] and got[0]["colour"] == [1.0, 0.0, 0.0]
     assert [r["ann_seq"] for r in got[2:]] == [6] * 6  # three rows, one column
     assert shown[2] == (6, 10.0, 50.0, 50.0, 50.0, 1.0, 1.0) and shown[-1] == (6, 50.0, 50.0, 50.0, 80.0, 1.0, 1.0)
+
+
+def test_item_inks(spark):
+    px = [(1, 0, x, *c) for x, c in enumerate([(0, 0, 0), (4, 0, 0), (90, 90, 90), (250, 250, 250), (0, 0, 255), (90, 92, 90), (92, 90, 90), (250, 250, 250), (200, 0, 0)])]
+    df = spark.createDataFrame(px, "line int, y int, x int, r int, g int, b int")
+    items = spark.createDataFrame([(1, 0, 0.0, 4.0), (1, 1, 4.0, 7.0), (1, 2, 7.2, 9.0), (1, 3, 3.0, 3.0)], "line int, item int, left double, right double")
+    bg = spark.createDataFrame([(1, [255, 255, 255])], "line int, background array<int>")
+    got = {r["item"]: r["ink"] for r in raster.item_inks(df, items, bg, "line").collect()}
+    # two dark pixels, their grey edge below the band; blue and red are seen once
+    assert got == {0: [2, 0, 0], 1: [91, 91, 90], 2: None, 3: None}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_restyled_equals_plain(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(60):
+        runs = [("".join(rng.choice("ab é") for _ in range(rng.randint(0, 5))), *(rng.random() < 0.5 for _ in range(3))) for _ in range(rng.randint(0, 5))]
+        rows.append((k, runs, rng.randint(-2, 12), rng.randint(-2, 16), rng.choice(["bold", "italic", "underline"]), rng.random() < 0.5))
+    df = spark.createDataFrame(rows, "k int, runs array<struct<text:string,bold:boolean,italic:boolean,underline:boolean>>, a int, b int, field string, v boolean")
+    got = {r["k"]: [tuple(x) for x in r["out"]] for r in df.select("k", styles.restyled(F.col("runs"), F.col("a"), F.col("b"), F.col("field"), F.col("v")).alias("out")).collect()}
+    for k, runs, a, b, field, v in rows:
+        chars = [(ch, list(style)) for t, *style in runs for ch in t]
+        for i, (_, style) in enumerate(chars):
+            if a <= i < b:
+                style[["bold", "italic", "underline"].index(field)] = v
+        want = []
+        for ch, style in chars:
+            if want and want[-1][1] == style:
+                want[-1][0] += ch
+            else:
+                want.append([ch, style])
+        assert got[k] == [(t, *s) for t, s in want]
+
+
+def test_faces_of_edits(spark):
+    from vellum.operators import drafts
+
+    edits = spark.createDataFrame([(1, 0, 1, "text", None, "ab é"), (1, 0, 2, "image", None, None), (2, 0, 1, "text", None, "az"), (3, 0, 1, "text", None, "₹"), (4, 1, 9, "text", None, " ")], "doc_id long, page_index int, edit_seq long, kind string, style string, new_text string")
+    options = spark.createDataFrame([(1, 0, 1, 1, "f", "embedded"), (1, 0, 1, 2, "base", "winansi"), (2, 0, 1, 1, "f", "embedded"), (3, 0, 1, 1, "full", "any")], "doc_id long, page_index int, edit_seq long, rank int, font string, kind string")
+    charsets = spark.createDataFrame([("f", "a"), ("f", "b"), ("f", "a")], "font string, ch string")
+    lost = drafts.undrawable(edits, options, charsets)
+    assert [tuple(r) for r in lost.collect()] == [(2, 0, 1)]
+    assert sorted((r["doc_id"], r["edit_seq"], r["tier"]) for r in drafts.tiers(edits, lost).collect()) == [(1, 1, 2), (1, 2, 2), (2, 1, 3), (3, 1, 1), (4, 9, 1)]
+
+
+def test_long_logs_replay_in_linear_time(spark):
+    import time
+
+    from vellum.operators import editlog
+
+    ops = spark.range(200_000).selectExpr("id div 150000 as doc_id", "id as op_seq", "case when id % 3 = 2 then 'undo' when id % 7 = 5 then 'redo' else 'edit' end as op")
+    began = time.time()
+    got = {r["doc_id"]: r["applied"] for r in editlog.replayed(ops).collect()}
+    assert time.time() - began < 60
+    for doc, rows in ((0, range(150_000)), (1, range(150_000, 200_000))):
+        stack, at = [], 0
+        for k in rows:
+            if k % 3 == 2:
+                at = max(at - 1, 0)
+            elif k % 7 == 5:
+                at = min(at + 1, len(stack))
+            else:
+                del stack[at:]
+                stack.append(k)
+                at += 1
+        assert got[doc] == stack[:at]

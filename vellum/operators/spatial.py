@@ -133,3 +133,15 @@ def bars_told(words: DataFrame) -> DataFrame:
     follows = F.coalesce((begins > F.col("right") - 2) & (begins - F.col("right") < near), F.lit(False))
     precedes = F.coalesce((ends < F.col("left") + 2) & (F.col("left") - ends < near), F.lit(False))
     return words.withColumn("text", F.when(follows | (~more & precedes), "I").otherwise(F.col("t"))).filter("t = '|'")
+
+
+def hits(points: DataFrame, boxes: DataFrame, key: str, order: str) -> DataFrame:
+    """(doc_id, key, order): for each of ``points(doc_id, page_index, key, x, y)`` the box with the largest ``order`` that holds it, null if none does.
+
+    Points and ``boxes(doc_id, page_index, order, left, right, top, bottom)`` meet in cells of their page; edges belong to a box.
+    """
+    at = points.withColumns({"cy": F.floor(F.col("y") / CELL_H), "cx": F.floor(F.col("x") / CELL_W)})
+    held = _cells(boxes.select(*PAGE, order, "left", "right", "top", "bottom"))
+    met = at.join(held, [*PAGE, "cy", "cx"]).filter("x >= left and x <= right and y >= top and y <= bottom")
+    best = met.groupBy("doc_id", key).agg(F.max(order).alias(order))
+    return points.select("doc_id", key).join(best, ["doc_id", key], "left")

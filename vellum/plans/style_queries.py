@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.operators import annotations as A
+from vellum.operators import editlog as E
 from vellum.operators import raster as R
+from vellum.operators import spatial as X
 from vellum.operators import styles as S
 from vellum.plans.registry import query
-from vellum.sources.layout import SQL_ITEMS, items, lines, table
+from vellum.sources.layout import SQL_ITEMS, SQL_LINES, items, lines, table
 
 SQL_STYLED = f"""{SQL_ITEMS}, styled AS (SELECT doc_id, line_no, word_no, text, [bold::INT, italic::INT, (word_no % 9 = 4)::INT, (word_no % 13 = 7)::INT] AS style, 8 * (word_no * word_no % 5) AS col FROM layout_items),
 by_line AS (SELECT doc_id, line_no, list({{'style': style, 'col': col, 'anchor': col, 'run': 0, 'runs': [0]}} ORDER BY word_no) AS ws, list(text ORDER BY word_no) AS ts FROM styled GROUP BY ALL),
@@ -119,3 +121,35 @@ def style_ranges(spark, sf):
     out = S.restyled(runs, k % 11, k % 11 + 3 + k % 29, field, k % 2 == 0)
     rows = lines(spark, sf).select("doc_id", "line_no", F.posexplode(out).alias("at", "r"))
     return rows.select("doc_id", "line_no", (F.col("at") + 1).alias("run"), "r.text", "r.bold", "r.italic", "r.underline")
+
+
+@query(f"""WITH {SQL_ITEMS}, px AS (SELECT doc_id, line_no, word_no AS item, o + k AS x, CASE WHEN k % 4 = 3 THEN 250 ELSE 20 + (k % 2) * 9 + word_no % 3 * 40 END AS r, CASE WHEN k % 4 = 3 THEN 250 ELSE 10 + o % 50 END AS g, CASE WHEN k % 4 = 3 THEN 250 ELSE 30 + line_no % 5 * 40 END AS b FROM layout_items, LATERAL (SELECT unnest(range(length(text))) AS k)),
+d AS (SELECT *, abs(r - 250) + abs(g - 250) + abs(b - 250 + line_no % 5) AS d FROM px), s AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line_no, item, r & 240, g & 240, b & 240) AS n FROM d WHERE d > 70),
+m AS (SELECT *, max(d) OVER (PARTITION BY doc_id, line_no, item) AS most FROM s WHERE n >= 2), k AS (SELECT doc_id, line_no, item, concat_ws(',', floor(avg(r) + 0.5)::INT, floor(avg(g) + 0.5)::INT, floor(avg(b) + 0.5)::INT) AS ink FROM m WHERE d >= most * 0.88 GROUP BY ALL)
+SELECT i.doc_id, i.line_no, i.word_no AS item, ink FROM layout_items i LEFT JOIN k ON k.doc_id = i.doc_id AND k.line_no = i.line_no AND k.item = i.word_no""")
+def item_inks(spark, sf):
+    """Ink of each word, a pixel a character: the farthest band's mean."""
+    k, o, n = F.col("k"), F.col("o"), F.col("word_no")
+    it = items(spark, sf).select("doc_id", "line_no", F.col("word_no").alias("item"), F.col("o").cast("double").alias("left"), (o + F.length("text")).cast("double").alias("right"))
+    px = items(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0), F.length("text") - 1)))
+    blank = k % 4 == 3
+    px = px.select("doc_id", "line_no", F.lit(0).alias("y"), (o + k).alias("x"), F.when(blank, 250).otherwise(20 + k % 2 * 9 + n % 3 * 40).alias("r"), F.when(blank, 250).otherwise(10 + o % 50).alias("g"), F.when(blank, 250).otherwise(30 + F.col("line_no") % 5 * 40).alias("b"))
+    bg = lines(spark, sf).select("doc_id", "line_no", F.array(F.lit(250), F.lit(250), 250 - F.col("line_no") % 5).alias("background"))
+    return R.item_inks(px, it, bg, "doc_id", "line_no").select("doc_id", "line_no", "item", F.array_join("ink", ",").alias("ink"))
+
+
+@query(f"""WITH {SQL_LINES}, e AS (SELECT conv_id AS doc_id, (turn % 3)::INT AS page_index, turn, 60 + (conv_id * 37 + turn * 101) % 400 AS x, (conv_id * 53 + turn * 29) % 792 AS y FROM conversations)
+SELECT e.doc_id, e.turn, max(l.line_no)::INT AS line_no FROM e LEFT JOIN layout_lines l ON l.doc_id = e.doc_id AND l.page_index = e.page_index AND x >= "left" AND x <= "right" + line_no % 3 * 50 AND y >= top - 20 AND y <= bottom + 20 GROUP BY ALL""")
+def hit_tests(spark, sf):
+    """The uppermost line box under each of many points, on any page; none where nothing lies there."""
+    t, d = F.col("turn"), F.col("conv_id")
+    points = table(spark, sf, "conversations").select(d.alias("doc_id"), (t % 3).cast("int").alias("page_index"), "turn", (60 + (d * 37 + t * 101) % 400).cast("double").alias("x"), ((d * 53 + t * 29) % 792).cast("double").alias("y"))
+    boxes = lines(spark, sf).select("doc_id", "page_index", "line_no", "left", (F.col("right") + F.col("line_no") % 3 * 50).alias("right"), (F.col("top") - 20).alias("top"), (F.col("bottom") + 20).alias("bottom"))
+    return X.hits(points, boxes, "turn", "line_no")
+
+
+@query("""WITH u AS (SELECT user_id, event_id % 23 AS mark, max(event_id) AS seen FROM events GROUP BY ALL) SELECT user_id, mark, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, mark)::INT AS rank FROM u QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, mark) <= 8""")
+def signature_shelf(spark, sf):
+    """The eight signatures that each user used last, newest first."""
+    marks = table(spark, sf, "events").select("user_id", (F.col("event_id") % 23).alias("mark"), "event_id")
+    return E.recent(marks, "mark", "user_id", "event_id", 8).select("user_id", "mark", "rank")

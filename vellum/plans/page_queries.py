@@ -49,7 +49,7 @@ def page_reorder(spark, sf):
     """First page moved behind the last."""
     p = doc_pages(spark, sf)
     last = p.groupBy("doc_id").agg(F.max("page_index").alias("last"))
-    return P.moved(p.join(last, "doc_id"), F.lit(0), F.col("last") + 1).select("doc_id", "page_index", "out_pos")
+    return P.moved_before(p.join(last, "doc_id"), F.lit(0), F.col("last") + 1).select("doc_id", "page_index", "out_pos")
 
 
 @query(f"""WITH {SQL_PAGES} SELECT doc_id % 50 AS group_id, doc_id, page_index, (row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id // 50 DESC, doc_id, page_index) - 1)::BIGINT AS out_pos FROM doc_pages""")

@@ -155,3 +155,14 @@ def snippet(c: Column, start: Column, end: Column, around: int = 34) -> Column:
     right = F.least(end + around, F.length(c))
     body = c.substr(left + 1, right - left)
     return F.concat(F.when(left > 0, "…").otherwise(""), body, F.when(right < F.length(c), "…").otherwise(""))
+
+
+#: Letters by which a line is cut into runs; a run goes on to the next letter of the other kind, the first one takes what stands before it.
+ACCENTED, LATIN = "À-ÿ", "A-Za-z"
+LETTER_RUN = f"(?s)^[^{LATIN}{ACCENTED}]+$|(?:^[^{LATIN}{ACCENTED}]+)?(?:[{LATIN}][^{ACCENTED}]*|[{ACCENTED}][^{LATIN}]*)"
+
+
+def letter_runs(text: Column) -> Column:
+    """Runs of one kind of letter as (kind, text), in one pass of a pattern; without letters the text is one run of no kind."""
+    kind = lambda t: F.when(t.rlike(f"[{ACCENTED}]"), "accented").when(t.rlike(f"[{LATIN}]"), "latin")
+    return F.transform(F.regexp_extract_all(text, F.lit(LETTER_RUN), F.lit(0)), lambda t: F.struct(kind(t).alias("kind"), t.alias("text")))

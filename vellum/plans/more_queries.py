@@ -89,8 +89,11 @@ def cover_holes(spark, sf):
 @query("""WITH r AS (SELECT event_id // 10 AS page, event_type AS lang, avg(value) AS conf FROM events GROUP BY ALL) SELECT page, CASE WHEN arg_max(lang, conf) <> 'click' AND max(conf) >= 55 THEN arg_max(lang, conf) END AS lang FROM r GROUP BY 1""")
 def best_language(spark, sf):
     """The reading with most confidence, if good enough and not the default."""
-    r = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 10).alias("page"), F.col("event_type").alias("lang")).agg(F.avg("value").alias("conf"))
-    b = r.groupBy("page").agg(F.max_by("lang", "conf").alias("l"), F.max("conf").alias("c"))
+    # a sum of doubles depends on its order: that of the events, however they are dealt; equal readings go by the first event
+    values = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("event_id", "value"))))
+    r = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 10).alias("page"), F.col("event_type").alias("lang")).agg(values.alias("v"), F.min("event_id").alias("first"))
+    r = r.withColumn("conf", F.aggregate("v", F.lit(0.0), lambda s, x: s + x["value"]) / F.nullif(F.size("v"), F.lit(0)))
+    b = r.groupBy("page").agg(F.max_by("lang", F.when(F.col("conf").isNotNull(), F.struct("conf", -F.col("first")))).alias("l"), F.max("conf").alias("c"))
     return b.select("page", F.when((F.col("l") != "click") & (F.col("c") >= 55), F.col("l")).alias("lang"))
 
 

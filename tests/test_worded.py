@@ -29,3 +29,8 @@ def test_inks_of_lines_without_background_pixels_or_width(spark):
     got = raster.item_inks(pixels, spark.createDataFrame(items, "line long, item int, left double, right double"), ground, "line").collect()
     ink = [20, 20, 20]
     assert sorted((r["line"], r["item"], r["ink"]) for r in got) == [(1, 7, ink), (1, 8, None), (1, 9, ink), (1, 10, None), (2, 1, None), (3, 1, None)]
+
+
+def test_rows_of_pixels_are_dealt_over_more_tasks_than_a_shuffle_has(spark, sf_dir):
+    for name in ("dark_runs", "vector_rules"):
+        assert registry.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 16, name

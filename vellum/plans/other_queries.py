@@ -8,7 +8,7 @@ from vellum.functions import geometry as G
 from vellum.operators import fonts as N
 from vellum.operators import raster as R
 from vellum.plans.registry import query
-from vellum.sources.layout import SQL_ITEMS, items, table
+from vellum.sources.layout import SQL_ITEMS, items, parts, table
 from vellum.streaming import rate_limit as L
 
 
@@ -71,7 +71,7 @@ def modal_colour(spark, sf):
 
 @query(f"""WITH {SQL_PIXELS}, d AS (SELECT page_id, y, x, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS k FROM pixels WHERE (77 * r + 150 * g + 29 * b) >> 8 < 128) SELECT page_id, y, min(x)::INT AS x0, max(x)::INT AS x1 FROM d GROUP BY page_id, y, k HAVING max(x) - min(x) + 1 >= 3""")
 def dark_runs(spark, sf):
-    return R.dark_runs(pixels(spark, sf), 3, 128)
+    return R.dark_runs(pixels(spark, sf), 3, 128, parts(spark, sf))
 
 
 @query(f"""WITH {SQL_PIXELS} SELECT page_id, list_sort(list((77 * r + 150 * g + 29 * b) >> 8))[floor(count(*) * 0.72)::INT + 1]::INT AS background, greatest(300, least(660, count(*)))::BIGINT AS clamp FROM pixels GROUP BY 1""")

@@ -34,3 +34,7 @@ def test_inks_of_lines_without_background_pixels_or_width(spark):
 def test_rows_of_pixels_are_dealt_over_more_tasks_than_a_shuffle_has(spark, sf_dir):
     for name in ("dark_runs", "vector_rules"):
         assert registry.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 16, name
+
+
+def test_table_rules_deal_rows_of_pixels_by_number(spark, sf_dir):
+    assert registry.QUERIES["table_rules"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2

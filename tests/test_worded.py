@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import raster
 from vellum.plans import registry
-from vellum.sources.layout import items_of, worded_pages_of
+from vellum.sources.layout import items_of, worded_lines_of, worded_pages_of
 
 
 def test_nested_words_are_the_flat_ones(spark):
@@ -38,3 +38,14 @@ def test_rows_of_pixels_are_dealt_over_more_tasks_than_a_shuffle_has(spark, sf_d
 
 def test_table_rules_deal_rows_of_pixels_by_number(spark, sf_dir):
     assert registry.QUERIES["table_rules"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+
+
+def test_worded_lines_hold_text_and_words(spark):
+    texts = ["", None, "a  b\n\n c", " \n ", "é 😀 z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r["doc_id"], r["line_no"], r["text"], [tuple(w) for w in r["words"]]) for r in worded_lines_of(docs).orderBy("doc_id", "line_no").collect()]
+    assert got == [(2, 0, "a  b", [(0, 0, "a"), (2, 3, "b")]), (2, 2, " c", [(1, 1, "c")]), (4, 0, "é 😀 z", [(0, 0, "é"), (1, 2, "😀"), (2, 4, "z")])]
+
+
+def test_line_style_runs_shuffle_nothing(spark, sf_dir):
+    assert "Exchange" not in registry.QUERIES["line_style_runs"](spark, sf_dir)._jdf.queryExecution().toString()

@@ -2,76 +2,113 @@
 
 from __future__ import annotations
 
-import math
-import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators.folds import folded
 
 #: Colours nearer than this (sum of the three differences) are one.
 NEAR = 24
 #: Of a line's size: what a superscript is raised at least, how high it is at most, and a gap that stands for a space (of the word's own height).
 RAISED, SMALL, GAP = 0.12, 0.85, 0.18
 RUN = "run int, text string, bold boolean, italic boolean, underline boolean, font string, colour array<int>, sup_ratio double, sup_raise double"
-_WHITE = re.compile(r"[\s﻿]+")
-
-
-def _round(x: float) -> float:
-    return math.floor(x * 1000 + 0.5) / 1000
-
-
-def _runs(c: dict[str, list]) -> list[tuple]:
-    """One line's runs; none if it has one style only or its runs don't give its text again."""
-    size, base, ocr = c["line_size"][0] or 0.0, c["line_baseline"][0] or 0.0, bool(c["ocr"][0])
-    runs: list[dict] = []
-    right, open_ = None, False  # right edge of the word before, whether a gap may stand for a space
-    for k, text in enumerate(c["text"]):
-        if not text:
-            continue
-        if _WHITE.fullmatch(text):  # white space has no style: it joins the run
-            if runs:
-                runs[-1]["text"] += text
-            else:
-                runs.append({"text": text, "style": (False, False, False, False, None), "colour": None, "sup": (None, None)})
-            right, open_ = c["right"][k], False
-            continue
-        if runs and right is not None and open_ and not _WHITE.match(text) and c["left"][k] - right > (c["height"][k] or 0.0) * GAP:
-            runs[-1]["text"] += " "
-        raised = base - (c["baseline"][k] or 0.0)
-        high = c["height"][k] or 0.0
-        sup = (None, None)
-        if size and not ocr and raised > size * RAISED and high < size * SMALL:
-            sup = (_round(min(0.9, max(0.3, high / size))), _round(min(0.8, max(0.05, raised / size))))
-        style = (bool(c["bold"][k]), bool(c["italic"][k]), bool(c["underline"][k]), sup[0] is not None, c["font"][k] or None)
-        colour = None if c["colour"][k] is None else [int(v) for v in c["colour"][k]]
-        # a run's colour is its first word's: near colours in a row may lead away from it
-        last = runs[-1] if runs else None
-        if last and last["style"] == style and (colour is None) == (last["colour"] is None) and (colour is None or sum(abs(a - b) for a, b in zip(colour, last["colour"], strict=True)) < NEAR):
-            last["text"] += text
-        else:
-            runs.append({"text": text, "style": style, "colour": colour, "sup": sup})
-        right, open_ = c["right"][k], not _WHITE.match(text[-1])
-    kinds = {(r["style"], None if r["colour"] is None else tuple(v >> 3 for v in r["colour"])) for r in runs}
-    fold = lambda s: _WHITE.sub(" ", s or "").strip()
-    if len(kinds) < 2 or fold("".join(r["text"] for r in runs)) != fold(c["line_text"][0]):
-        return []
-    return [(c["doc_id"][0], c["line_no"][0], n, r["text"], *r["style"][:3], r["style"][4], r["colour"], *r["sup"]) for n, r in enumerate(runs)]
-
-
-def style_runs(items: DataFrame) -> DataFrame:
-    """(doc_id, line_no, run, text, bold, italic, underline, font, colour, sup_ratio, sup_raise) of lines that mix styles.
-
-    ``items(doc_id, line_no, seq, text, left, right, height, baseline, bold,
-    italic, underline, font, colour, line_text, line_size, line_baseline, ocr)``:
-    a line's own values stand on each of its items.  Words of one style join; a
+#: White space as Python has it, and the byte order mark, for patterns of Arrow.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_OWN = ("text", "left", "right", "height", "baseline", "bold", "italic", "underline", "font", "colour")
+
+
+def _starts(new: np.ndarray, white: np.ndarray, style: np.ndarray, coloured: np.ndarray, rgb: np.ndarray) -> np.ndarray:
+    """Which words begin a run. A run's colour is its first word's: near colours in a row may lead away from it."""
+    out = np.zeros(len(new), bool)
+    last = None
+    for k, (n, w, s, c, (r, g, b)) in enumerate(zip(*(v.tolist() for v in (new, white, style, coloured, rgb)), strict=True)):
+        if n or not w and (s != last or c != had or c and abs(r - r0) + abs(g - g0) + abs(b - b0) >= NEAR):  # noqa: F821 - set by a line's first word
+            out[k], last, had, r0, g0, b0 = True, s, c, r, g, b
+    return out
+
+
+def _runs(batch: pa.RecordBatch, keys: tuple[str, ...]) -> pa.RecordBatch:
+    """Runs of the batch's lines; lines of one style, or whose runs don't give their text again, have none."""
+    lists = batch.column("items")
+    item = lists.flatten()
+    line = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    filled = pc.greater(pc.binary_length(item.field("text").fill_null("")), 0)
+    item, line = item.filter(filled), line[filled.to_numpy(zero_copy_only=False)]
+    text, n = item.field("text"), len(line)
+    number = lambda c: c.cast(pa.float64()).to_numpy(zero_copy_only=False)  # noqa: E731 - nulls are NaN
+    zero = lambda c: np.nan_to_num(number(c))
+    flag = lambda c: c.fill_null(False).to_numpy(zero_copy_only=False)
+    told = lambda p, c: pc.match_substring_regex(c, p).to_numpy(zero_copy_only=False)
+    white, leads, trails = told(f"^{_WHITE}+$", text), told(f"^{_WHITE}", text), told(f"{_WHITE}$", text)
+    new = np.r_[True, line[1:] != line[:-1]][:n]
+    left, right, high = number(item.field("left")), number(item.field("right")), zero(item.field("height"))
+    # a gap stands for a space, at the end of the run before
+    gap = np.r_[~new[1:] & ~trails[:-1] & ~leads[1:] & (left[1:] - right[:-1] > high[1:] * GAP), False][:n]
+    size, base, ocr = zero(batch.column("line_size"))[line], zero(batch.column("line_baseline"))[line], flag(batch.column("ocr"))[line]
+    raised = base - zero(item.field("baseline"))
+    sup = (size != 0) & ~ocr & (raised > size * RAISED) & (high < size * SMALL) & ~white
+    whole = np.where(size != 0, size, 1.0)
+    held = lambda v, low, most: np.floor(np.clip(v / whole, low, most) * 1000 + 0.5) / 1000
+    font = pc.if_else(pc.equal(item.field("font"), ""), None, item.field("font"))
+    face = font.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    marks = [flag(item.field(c)) & ~white for c in ("bold", "italic", "underline")]
+    colour = item.field("colour")
+    coloured = colour.is_valid().to_numpy(zero_copy_only=False) & ~white
+    rgb = np.zeros((n, 3), np.int64)
+    if coloured.any():
+        rgb[coloured] = colour.filter(pa.array(coloured)).flatten().cast(pa.int64()).to_numpy(zero_copy_only=False).reshape(-1, 3)
+    face = np.where(white, -1, face)
+    style = sum(m.astype(np.int64) << k for k, m in enumerate((*marks, sup))) + (face.astype(np.int64) + 1 << 4)
+    first = np.flatnonzero(_starts(new, white, style, coloured, rgb))
+    own = line[first]
+    begin = np.flatnonzero(new)
+    top = begin[np.searchsorted(line[begin], own)]
+    mixed = np.zeros(len(lists), bool)
+    mixed[own[(style[first] != style[top]) | (coloured[first] != coloured[top]) | (rgb[first] >> 3 != rgb[top] >> 3).any(axis=1)]] = True
+    pieces = pc.binary_join_element_wise(text, pc.if_else(pa.array(gap), " ", ""), "")
+    joined = lambda at: pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[at, n].astype(np.int32)), pieces), "")
+    fold = lambda c: pc.utf8_trim(pc.replace_substring_regex(c.fill_null(""), f"{_WHITE}+", " "), " ")
+    same = np.zeros(len(lists), bool)
+    same[line[begin]] = pc.equal(fold(joined(begin)), fold(batch.column("line_text").take(pa.array(line[begin])))).to_numpy(zero_copy_only=False)
+    keep = np.flatnonzero((same & mixed)[own])
+    at, own, run = first[keep], own[keep], (np.arange(len(first)) - np.searchsorted(own, own))[keep]
+    ratio = lambda v: pa.array(v[at], pa.float64(), mask=~sup[at])
+    shades = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * 3, pa.int32()), pa.array(rgb[at].ravel(), pa.int32())).take(pa.array(np.arange(len(at)), mask=~coloured[at]))
+    faces = font.take(pa.array(at, mask=white[at]))
+    cols = [*(batch.column(c).take(pa.array(own)) for c in keys), pa.array(run.astype(np.int32)), joined(first).take(pa.array(keep)), *(pa.array(m[at]) for m in marks), faces, shades, ratio(held(high, 0.3, 0.9)), ratio(held(raised, 0.05, 0.8))]
+    return pa.RecordBatch.from_arrays(cols, names=[*keys, *(c.split()[0] for c in RUN.split(", "))])
+
+
+def line_style_runs(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, run, text, bold, italic, underline, font, colour, sup_ratio, sup_raise) of lines that mix styles.
+
+    ``lines(keys, line_text, line_size, line_baseline, ocr, items)`` hold their
+    items (text, left, right, height, baseline, bold, italic, underline, font,
+    colour) in order, so that lines stay where they are.  Words of one style join; a
     colour joins a run that began with one near it; small raised words are
     superscripts, in recognised lines none.  A null colour is a style of its own.
     """
-    kind = {c: items.schema[c].dataType.simpleString() for c in ("doc_id", "line_no")}
-    return folded(items, ("doc_id", "line_no"), ("seq",), _runs, ", ".join(f"{c} {k}" for c, k in kind.items()) + ", " + RUN)
+    part = F.transform("items", lambda i: F.struct(*(i[c].alias(c) for c in _OWN[:-1]), i["colour"].cast("array<int>").alias("colour"))) if lines.schema["items"].dataType.elementType.names != list(_OWN) else F.col("items")
+    some = lines.select(*keys, "line_text", "line_size", "line_baseline", "ocr", part.alias("items"))
+    schema = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in keys) + ", " + RUN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _runs(batch, keys)
+
+    return some.mapInArrow(run, schema)
+
+
+def style_runs(items: DataFrame) -> DataFrame:
+    """``line_style_runs`` of flat ``items(doc_id, line_no, seq, text, left, right, height, baseline, bold, italic, underline, font, colour, line_text, line_size, line_baseline, ocr)``: a line's own values stand on each of its items, and its rows travel once."""
+    own = F.array_sort(F.collect_list(F.struct("seq", *_OWN)))
+    lines = items.groupBy("doc_id", "line_no").agg(*(F.first(c).alias(c) for c in ("line_text", "line_size", "line_baseline", "ocr")), own.alias("items"))
+    return line_style_runs(lines, "doc_id", "line_no")
 
 
 def cleaned_runs(runs: Column, size: Column, bold: Column, italic: Column) -> Column:

@@ -59,3 +59,7 @@ def test_suppression_beyond_its_rounds(spark):
     words = [(" a", k, 10.0 * k, 10.0 * k + 9, 0.0, 9.0, k) for k in range(40)] + [("a", 100 + k, 10.0 * k + 1, 10.0 * k + 10, 0.0, 9.0, -1) for k in range(40)] + [(None, 300, 0.0, 9.0, 0.0, 9.0, None)]
     pages = spark.createDataFrame([(1, words), (2, []), (3, None)], "page long, words array<struct<text:string,seq:long,left:double,right:double,top:double,bottom:double,conf:int>>")
     assert sorted(r["seq"] for r in spatial.page_suppressed(pages, 0.5, "page").collect()) == [*range(40), 300]
+
+
+def test_skew_angle_shuffles_nothing(spark, sf_dir):
+    assert "Exchange" not in registry.QUERIES["skew_angle"](spark, sf_dir)._jdf.queryExecution().toString()

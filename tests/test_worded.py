@@ -63,3 +63,8 @@ def test_suppression_beyond_its_rounds(spark):
 
 def test_skew_angle_shuffles_nothing(spark, sf_dir):
     assert "Exchange" not in registry.QUERIES["skew_angle"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_scramble_queries_shuffle_nothing(spark, sf_dir):
+    for name in ("scramble_ratio", "junk_layer_pages"):
+        assert "Exchange" not in registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString(), name

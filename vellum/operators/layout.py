@@ -44,14 +44,20 @@ def segments(items: DataFrame) -> DataFrame:
     return marked.withColumn("segment", F.sum("wide").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("gap", "med", "wide")
 
 
-def scramble(items: DataFrame, least: int = 10) -> DataFrame:
-    """(doc_id, page_index, n, ratio): share of steps in content order that go up by more than 1.3 median heights."""
-    seq = Window.partitionBy(*PAGE).orderBy("seq")
-    mid = (F.col("top") + F.col("bottom")) / 2
-    step = items.withColumn("dy", F.lead(mid).over(seq) - mid)
-    page = step.groupBy(*PAGE).agg(F.count("*").alias("n"), F.collect_list("dy").alias("dys"), upper_median(F.collect_list(F.when(F.col("height") > 0, F.col("height")))).alias("med"))
+def page_scramble(pages: DataFrame, *keys: str, least: int = 10) -> DataFrame:
+    """(keys, n, ratio) of ``pages(keys, items)`` with items (seq, top, bottom, height): share of steps in content order that go up by more than 1.3 median heights; pages stay where they are."""
+    mid = F.transform(F.array_sort("items"), lambda i: (i["top"] + i["bottom"]) / 2)
+    some = pages.select(*keys, mid.alias("mid"), F.filter(F.transform("items", lambda i: i["height"]), lambda h: h > 0).alias("heights"))
+    n = F.size("mid")
+    steps = F.zip_with(F.slice("mid", F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice("mid", F.lit(1), F.greatest(n - 1, F.lit(0))), lambda b, a: b - a)
+    page = some.select(*keys, n.cast("long").alias("n"), F.filter(steps, lambda d: d.isNotNull()).alias("dys"), upper_median(F.col("heights")).alias("med"))
     up = F.size(F.filter("dys", lambda d: d < -1.3 * F.coalesce("med", F.lit(1.0))))
-    return page.select(*PAGE, "n", F.when((F.col("n") < least) | (F.size("dys") == 0), 0.0).otherwise(up / F.size("dys")).alias("ratio"))
+    return page.select(*keys, "n", F.when((F.col("n") < least) | (F.size("dys") == 0), 0.0).otherwise(up / F.size("dys")).alias("ratio"))
+
+
+def scramble(items: DataFrame, least: int = 10) -> DataFrame:
+    """``page_scramble`` of flat ``items(doc_id, page_index, seq, top, bottom, height)``."""
+    return page_scramble(items.groupBy(*PAGE).agg(F.collect_list(F.struct("seq", "top", "bottom", "height")).alias("items")), *PAGE, least=least)
 
 
 def line_style(items: DataFrame) -> DataFrame:

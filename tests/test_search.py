@@ -119,6 +119,28 @@ def test_fuzzy_search(spark):
     assert {m[6] for m in want} == {0, 1, 2} and len(want) > 150
 
 
+def test_a_match_inside_a_word_takes_its_place(spark):
+    """The nearest match begins inside a word and isn't shown, but what lies over it isn't a match either."""
+    texts = ["hedtion the the the by", "the the the by", "hedtion  the the x the the the"]
+    assert held(spark, texts, ["thou the the"], fuzzy=True)
+
+
+def test_common_parts_give_few_windows(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, 0, k, "wand the bird and the tree, or the sea " * 20) for k in range(50)], LINE)
+    needles = spark.createDataFrame([(1, "xkcd the quiz"), (2, "the zephyrous")], "needle_id long, needle string")
+    seen = spark.sparkContext.accumulator(0)
+    verify = search._verify
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield from verify(iter([batch]))
+
+    monkeypatch.setattr(search, "_verify", counted)
+    assert search.search(lines, needles, fuzzy=True).count() == 0
+    assert seen.value < 50
+
+
 def test_fuzzy_search_of_random_texts(spark):
     rng = random.Random(9)
     draw = lambda n, signs: "".join(rng.choice(signs) for _ in range(n))

@@ -5,9 +5,12 @@ match must hold untouched (an exact needle is one part).  The first characters
 of each part, ``GRAMS`` long, are hashed; lines are folded and hashed at all
 positions by array kernels in one pass, a Bloom filter of the needles' hashes
 (``BITS``, a fixed size) lets few positions through, and these meet the needles
-in an equi-join that the plan broadcasts or shuffles by size.  What the join
-gives is verified on a window of the line that is as wide as the needle and its
-edits: by comparison, or by a banded table of edit distances for many windows
+in an equi-join that the plan broadcasts or shuffles by size.  Common parts
+("the ") stand everywhere, so a position and a part also carry the characters on
+either side, five bits each: what stands in no place that the edits allow is
+counted by bit operations in the join, and few windows are left.  What it gives
+is verified on a window of the line that is as wide as the needle and its edits:
+by comparison, or by a banded table of edit distances for many windows
 at once.  No line is compared with a needle that it shares no part with, no
 text is shuffled but the windows' chunks, and no needles are collected.
 """
@@ -30,6 +33,8 @@ from vellum.operators.folds import folded as in_order
 GRAMS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 #: Bits of the filter: it says which positions can't begin a part, whatever the number of needles is.
 BITS = 1 << 24
+#: Characters on either side of a gram that a line's position carries, and of a part that are compared: the budget shifts them by 2 at most.
+NEAR, COMPARED = 12, 10
 #: Characters of a line that travel as one chunk, besides a needle's length on either side.
 CHUNK = 2048
 #: Cells of a table of edit distances that are filled at once.
@@ -72,6 +77,39 @@ class Hashes:
         return _mix((self.sums[at + n] - self.sums[at]) * self.back[at] + np.uint64(n))
 
 
+# --- what stands on either side ----------------------------------------------
+
+#: The lowest four bits and the highest one of each character's five.
+_LOW, _HIGH = (sum(b << 5 * k for k in range(NEAR)) for b in (0b01111, 0b10000))
+
+
+def _packed(chars: np.ndarray) -> np.ndarray:
+    """``NEAR`` characters from each place on, the first lowest, none after the last; one more place than there are characters."""
+    one = np.append(chars.astype(np.int64) & 31, 0)
+    more = lambda x, y, n: x | np.append(y[n:], np.zeros(min(n, len(y)), np.int64)) << 5 * n
+    two = more(one, one, 1)
+    four = more(two, two, 2)
+    return more(more(four, four, 4), four, 8)
+
+
+def _sides(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before each place, the nearest lowest, and from it on.
+
+    It may be of the next line: a character too many only lets a window pass.
+    """
+    return _packed(chars[::-1])[::-1], _packed(chars)
+
+
+def _missing(side: str, seed: str) -> Column:
+    """How many characters of one side of a part stand in no place that two edits allow."""
+
+    def unlike(shift: int) -> Column:
+        x = F.col(f"{side}_chars").bitwiseXOR(F.shiftleft(seed, 5 * -shift) if shift < 0 else F.shiftright(seed, 5 * shift))
+        return (x.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(x).bitwiseAND(F.lit(_HIGH))
+
+    return F.bit_count(functools.reduce(Column.bitwiseAND, map(unlike, range(-2, 3)), F.col(f"{side}_held")))
+
+
 # --- needles -----------------------------------------------------------------
 
 
@@ -90,22 +128,23 @@ def _parts(match_case: bool, fuzzy: bool):
                     a, b = len(q) * p // (budget + 1), len(q) * (p + 1) // (budget + 1)
                     gram = max(g for g in GRAMS if g <= b - a)
                     h = hashes.of(np.array([f.first[k] + a]), gram).view(np.int64)[0]
-                    rows.append((k, q, budget, bool(ends[0]), bool(ends[1]), a, b - a, GRAMS.index(gram), int(h)))
+                    sides = [points([side])[0] for side in (q[:a][::-1][:COMPARED], q[a + gram :][:COMPARED])]
+                    rows.append((k, q, budget, bool(ends[0]), bool(ends[1]), a, b - a, GRAMS.index(gram), int(h), *(x for c in sides for x in (int(_packed(c)[0]), _HIGH & ((1 << 5 * len(c)) - 1)))))
             if rows:
                 k, *columns = zip(*rows, strict=True)
-                kinds = (pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+                kinds = (pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), *(pa.int64(),) * 5)
                 yield pa.RecordBatch.from_arrays([batch.column("needle_id").take(pa.array(k)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=_PARTS.split())
 
     return run
 
 
-_PARTS = "needle_id needle budget left_edge right_edge part_at part_len gram hash"
+_PARTS = "needle_id needle budget left_edge right_edge part_at part_len gram hash before_chars before_held after_chars after_held"
 
 
 def parts(needles: DataFrame, match_case: bool = False, fuzzy: bool = False) -> DataFrame:
     """Parts of ``needles(needle_id, needle)``, folded; white space at an end of a needle asks for a word's edge there."""
     kind = needles.schema["needle_id"].dataType.simpleString()
-    shape = f"needle_id {kind}, needle string, budget int, left_edge boolean, right_edge boolean, part_at int, part_len int, gram int, hash long"
+    shape = f"needle_id {kind}, needle string, budget int, left_edge boolean, right_edge boolean, part_at int, part_len int, gram int, hash long, before_chars long, before_held long, after_chars long, after_held long"
     return needles.select("needle_id", "needle").mapInArrow(_parts(match_case, fuzzy), shape)
 
 
@@ -141,20 +180,21 @@ def _seeds(sent, match_case: bool):
                 chars, first = points([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 f = fold(chars, first, match_case)
                 hashes, found = Hashes(f.chars), []
+                before, after = _sides(f.chars)
                 ends = f.first[1:][np.searchsorted(f.first, np.arange(len(f.chars)), side="right") - 1]
                 for k, g in enumerate(GRAMS):
                     if grams >> k & 1:
                         at = np.flatnonzero(np.arange(len(f.chars)) + g <= ends)
                         h = hashes.of(at, g)
                         hit = passing(bits, h)
-                        found.append((at[hit], h[hit]))
-                at, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                        found.append((at[hit], h[hit], after[at[hit] + g]))
+                at, h, beyond = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 if not len(at):
                     continue
                 line = np.searchsorted(f.first, at, side="right") - 1
                 chunk = (at - f.first[line]) // CHUNK
                 order = np.lexsort((at, chunk, line))
-                at, h, line, chunk = at[order], h[order], line[order], chunk[order]
+                at, h, beyond, line, chunk = at[order], h[order], beyond[order], line[order], chunk[order]
                 cuts = np.flatnonzero(np.concatenate([[True], (np.diff(line) != 0) | (np.diff(chunk) != 0)]))
                 c0 = np.maximum(f.first[line[cuts]], f.first[line[cuts]] + chunk[cuts] * CHUNK - reach)
                 c1 = np.minimum(f.first[line[cuts] + 1], f.first[line[cuts]] + (chunk[cuts] + 1) * CHUNK + reach)
@@ -167,7 +207,7 @@ def _seeds(sent, match_case: bool):
                 right = (own + 1 >= end) | blank[np.minimum(own + 1, len(chars))]
                 packed = (place << 2 | left.astype(np.int64) << 1 | right).astype("<i4").tobytes()
                 whole = f.chars.astype("<u4").tobytes()
-                seeds = pa.StructArray.from_arrays([pa.array((at - f.first[line]).astype(np.int32)), pa.array(h.view(np.int64))], ["at", "hash"])
+                seeds = pa.StructArray.from_arrays([pa.array((at - f.first[line]).astype(np.int32)), *(pa.array(c) for c in (h.view(np.int64), before[at], beyond))], ["at", "hash", "before", "after"])
                 rows = pa.array(lo + line[cuts])
                 bounds = list(zip(c0.tolist(), c1.tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -221,7 +261,7 @@ def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def _some(budget: int, q: np.ndarray, hay: np.ndarray, n: np.ndarray, a: np.ndarray, size: np.ndarray, at: np.ndarray, whole: np.ndarray, begun: np.ndarray) -> tuple[np.ndarray, ...]:
+def _some(budget: int, q: np.ndarray, hay: np.ndarray, n: np.ndarray, a: np.ndarray, size: np.ndarray, at: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, dist, start, stop) in windows of needles of one length and budget, for the part at ``a`` that stands at ``at``."""
     m = q.shape[1]
     rows = np.arange(len(q))
@@ -236,16 +276,8 @@ def _some(budget: int, q: np.ndarray, hay: np.ndarray, n: np.ndarray, a: np.ndar
         hit = first[(np.take_along_axis(hay[first], at[first, None] + np.arange(m), 1) == q[first]).all(axis=1)]
         out.append((hit, np.zeros(len(hit), np.int64), at[hit], at[hit] + m))
     if budget:
-        letter = np.zeros((len(q), hay.shape[1] + 1), np.int64)
-        letter[:, 1:] = np.cumsum(~_letters()[np.minimum(hay, 0x10FFFF)] & (np.arange(hay.shape[1]) < n[:, None]), axis=1)
-
-        def edge(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-            """Something else than letters and digits between two places of the window."""
-            return letter[rows, np.clip(hi + 1, 0, hay.shape[1])] > letter[rows, np.clip(lo, 0, hay.shape[1])]
-
-        begin, stop = at - a, at - a + m
-        near = same & (edge(begin - budget - 1, begin + budget) | begun & (begin - budget <= 0)) & (edge(stop - budget - 1, stop + budget) | whole & (stop + budget >= n))
-        some = np.flatnonzero(near)
+        stop = at - a + m
+        some = np.flatnonzero(same)
         step = max(1, CELLS // (m * (hay.shape[1] + 1)) * 8)
         for s in range(0, len(some), step):
             r = some[s : s + step]
@@ -271,7 +303,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, _ = _matrix([needle[k] for k in r])
             hay, n = _matrix(batch.column("window").take(pa.array(r)).to_pylist())
             at, base = col["seed"][r].astype(np.int64), col["base"][r].astype(np.int64)
-            i, dist, s, e = _some(int(kind) % 4, q, hay, n, col["part_at"][r].astype(np.int64), col["part_len"][r], at - base, col["ends"][r], base == 0)
+            i, dist, s, e = _some(int(kind) % 4, q, hay, n, col["part_at"][r].astype(np.int64), col["part_len"][r], at - base, col["ends"][r])
             if not len(i):
                 continue
             # a match never begins or ends with the space that stands for white space
@@ -321,8 +353,13 @@ def search(lines: DataFrame, needles: DataFrame, match_case: bool = False, fuzzy
     sent = lines.sparkSession.sparkContext.broadcast(_filter(known))
     kind = {c: lines.schema[c].dataType.simpleString() for c in ("doc_id", "page_index", "line_no")}
     keys = "".join(f"{c} {t}, " for c, t in kind.items())
-    chunks = lines.select("doc_id", "page_index", "line_no", "text").mapInArrow(_seeds(sent, match_case), f"{keys}c0 int, whole boolean, chunk string, places binary, seeds array<struct<at:int,hash:bigint>>")
-    met = chunks.select("doc_id", "page_index", "line_no", "c0", "whole", "chunk", "places", F.explode("seeds").alias("seed")).withColumn("hash", F.col("seed.hash")).join(known, "hash")
+    chunks = lines.select("doc_id", "page_index", "line_no", "text").mapInArrow(_seeds(sent, match_case), f"{keys}c0 int, whole boolean, chunk string, places binary, seeds array<struct<at:int,hash:bigint,before:bigint,after:bigint>>")
+    # never null, so that the join's condition is a few lines of code
+    sure = lambda c: F.coalesce(c, F.lit(0))
+    spots = chunks.select("doc_id", "page_index", "line_no", "c0", "whole", "chunk", "places", F.explode("seeds").alias("seed"))
+    spots = spots.select("*", sure("seed.hash").alias("hash"), sure("seed.before").alias("before"), sure("seed.after").alias("after"))
+    parted = known.withColumns({c: sure(c) for c in ("budget", "before_chars", "before_held", "after_chars", "after_held")})
+    met = spots.join(parted, (spots["hash"] == parted["hash"]) & (_missing("before", "before") + _missing("after", "after") <= F.col("budget")))
     begin = F.col("seed.at") - F.col("part_at")
     lo = F.greatest(F.col("c0"), begin - 3 * F.col("budget") - 3)
     hi = F.least(F.col("c0") + F.length("chunk"), begin + F.length("needle") + F.col("budget") + 2)
